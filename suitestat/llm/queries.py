@@ -16,9 +16,60 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, with_ids=False, with_text=False)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from suitestat.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from suitestat.llm.quality_rules import STATS, quality_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *STATS, "base_failed", "kept", "rule")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of a document's original text that go, and its size in code points."""
+    from pyspark.sql import functions as F
+
+    from suitestat.llm.line_hash import removals
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = removals(docs)
+    sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    out = sizes.join(gone, sizes["doc_id"].eqNullSafe(gone["k"]), "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>"))
+    return out.select("doc_id", "n_chars", F.size(spans).cast("long").alias("n_removed"), F.coalesce("words", F.lit(0)).cast("long").alias("removed_words"), spans.alias("removed_spans"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from suitestat.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
+
+
+#: The digest in base 32: 40 hex digits as 160 bits, five at a time.
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (
+  SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(to_base(CAST(instr('0123456789abcdef', substr(sha, i, 1)) - 1 AS BIGINT), 2), 4, '0')), 'string_agg', '') AS bits FROM p),
+d AS (
+  SELECT page_id, payload_bytes, sha, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+    + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) + 1, 1)), 'string_agg', '') AS payload_digest FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY sha) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> min(page_id) OVER (PARTITION BY sha) THEN min(page_id) OVER (PARTITION BY sha) END AS refers_to
+FROM d
+"""
