@@ -30,6 +30,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *STATS, "base_failed", "kept", "rule")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from suitestat.llm.toxicity_ftrl import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of a document's original text that go, and its size in code points."""
     from pyspark.sql import functions as F
@@ -44,6 +51,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.size(spans).cast("long").alias("n_removed"), F.coalesce("words", F.lit(0)).cast("long").alias("removed_words"), spans.alias("removed_spans"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from suitestat.llm.language_cnn import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).drop("text", "lang")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from suitestat.llm.warc import round_trip
 
