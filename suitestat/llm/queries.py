@@ -37,6 +37,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from suitestat.llm.prob_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of a document's original text that go, and its size in code points."""
     from pyspark.sql import functions as F
