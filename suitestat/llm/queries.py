@@ -30,6 +30,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *STATS, "base_failed", "kept", "rule")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from suitestat.llm.embedding_cells import link
+
+    return link(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from suitestat.llm.toxicity_ftrl import toxicity
 
@@ -75,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op4_embeddings": OP4_SQL, "op10_warc": OP10_SQL}
 
 
 #: The digest in base 32: 40 hex digits as 160 bits, five at a time.
@@ -93,3 +99,20 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id <> min(page_id) OVER (PARTITION BY sha) THEN min(page_id) OVER (PARTITION BY sha) END AS refers_to
 FROM d
 """
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id AS id, vec_id AS root FROM embeddings
+  UNION SELECT p.b, reach.root FROM reach JOIN p ON p.a = reach.id),
+c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.id = e.vec_id
+"""
