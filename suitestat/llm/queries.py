@@ -36,6 +36,18 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from suitestat.llm.line_join import removed_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = removed_lines(docs)
+    out = docs.select("doc_id").join(found, docs["doc_id"].eqNullSafe(found["k"]), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from suitestat.llm.toxicity_ftrl import toxicity
 
@@ -81,7 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embeddings": OP4_SQL, "op10_warc": OP10_SQL}
+    return {"op4_embeddings": OP4_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
 
 
 #: The digest in base 32: 40 hex digits as 160 bits, five at a time.
@@ -116,3 +128,24 @@ n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.id = e.vec_id
 """
+
+OP5_SQL = """
+WITH l AS (
+  SELECT doc_id, u.pos - 1 AS pos, regexp_extract_all(u.line, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(line, pos)),
+s AS (
+  SELECT doc_id, pos, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS t
+  FROM l WHERE len(w) >= 5),
+f AS (SELECT t, min((doc_id, pos)) AS first, row_number() OVER (ORDER BY t) AS id, len(t) AS n FROM s GROUP BY t),
+e AS (SELECT id, n, unnest(t) AS x FROM f),
+p AS (
+  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))),
+k AS (SELECT f.id, count(p.b) AS links, least(any_value(f.first), coalesce(min(g.first), any_value(f.first))) AS first
+  FROM f LEFT JOIN p ON p.a = f.id LEFT JOIN f g ON g.id = p.b GROUP BY f.id),
+r AS (SELECT s.doc_id, s.pos, k.links, (s.doc_id, s.pos) <> k.first AS gone FROM s JOIN f ON f.t = s.t JOIN k ON k.id = f.id),
+d AS (SELECT doc_id, count(*) AS n_lines, sum(links) AS n_links, count(*) FILTER (gone) AS n_removed,
+  string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (gone) AS removed FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN d USING (doc_id)
+"""
