@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +95,6 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", u
     A null text stays null and an empty one empty; both lose nothing.  Columns of docs
     with the names that are added are replaced.  Rows that repeat a key: see removals().
     """
-    import pandas as pd
-
     docs = docs.drop(*[c for c in docs.columns if c in ("removed_spans", "removed_words")])
     gone = removals(docs, text, key, unit, min_words)
     gone = gone.select(F.col("k").alias("_k"), F.col("spans").alias("removed_spans"), F.col("words").alias("removed_words"))

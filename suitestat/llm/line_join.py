@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,6 @@ BLOCK = 150_000  # words handled at once
 
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     """Counts of all words of the corpus in COUNTERS counters by hash: what comes to the driver is of one size."""
-    import pandas as pd
     import pyarrow as pa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +226,6 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
 
     Null and empty texts stay as they are.  See removed_lines() for keys that repeat.
     """
-    import pandas as pd
-
     docs = docs.drop(*[c for c in docs.columns if c in ("n_lines", "n_links", "removed")])
     found = removed_lines(docs, text, key, threshold).withColumnRenamed("k", "_k")
     out = docs.join(found, docs[key].cast("long").eqNullSafe(found["_k"]), "left").drop("_k")

@@ -125,7 +125,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
                     at = np.searchsorted(y, x)
                     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                on.append(both >= threshold * (len(x) + len(y) - both) if both else False)
+                on.append(both >= threshold * (len(x) + len(y) - both) - 1e-9 if both else False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
