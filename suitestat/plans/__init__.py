@@ -1,0 +1,6 @@
+"""Registered queries: importing this package fills QUERIES and SQL."""
+
+from suitestat.plans import queries_sequences  # noqa: F401
+from suitestat.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
