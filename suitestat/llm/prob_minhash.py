@@ -9,9 +9,10 @@ with the probability Jaccard similarity.  Bands of the signature give candidate
 groups.  Pairs are verified by the exact Jaccard similarity of their shingle sets.
 
 Equal texts are one representative first.  In a candidate group all members are
-compared with its smallest; where a group then still holds several components, the
-pairs between those are compared too.  So no pair within a group is left out, and a
-group of near copies, which its smallest joins, is not expanded into all its pairs.
+compared with its head; where a group then still holds several components, members
+outside the head's are compared with those of other components, block by block
+within tasks.  So no pair that could join two components is left out, and no group is
+expanded into rows for its pairs.
 """
 
 from __future__ import annotations
@@ -132,6 +133,57 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def across(members: DataFrame, root: DataFrame, sets: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """Links (a, b) between the components that one group holds.
+
+    Of each group, members outside the component of its head ask all members of other
+    components.  Blocks of askers meet blocks of members in tasks; what leaves a task is
+    at most one link for each asker and component, so nothing grows with the square of
+    a group but the comparisons, which an exact answer needs.
+    """
+    import pyarrow as pa
+
+    placed = members.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "head", "size", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("rep") == F.col("head"), F.col("root"))).alias("main")).filter("lo <> hi").select("bucket", "main")
+    mixed = materialize(mixed, "mixed")
+    # The head has been compared with all.
+    rows = placed.join(mixed, "bucket").filter("rep <> head")
+    n = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = F.explode(F.sequence(F.lit(0), n - 1))
+    live = rows.withColumn("lb", own).withColumn("ab", every).withColumn("asks", F.lit(False))
+    ask = rows.filter("root <> main").withColumn("lb", every).withColumn("ab", own).withColumn("asks", F.lit(True))
+    columns = ["bucket", "lb", "ab", "asks", "rep", "root"]
+    both = live.select(columns).unionByName(ask.select(columns)).join(sets.withColumnRenamed("id", "rep"), "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        reps, roots, raw = (table.column(c).to_pylist() for c in ("rep", "root", "set"))
+        at, live_at = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out: list[tuple[int, int]] = []
+        if len(at) and len(live_at):
+            sets_ = [np.frombuffer(raw[i], np.uint64) for i in live_at.tolist()]
+            sizes = np.array([len(x) for x in sets_])
+            token, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), sizes)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            live_rep, live_root = np.array([reps[i] for i in live_at]), np.array([roots[i] for i in live_at])
+            for i in at.tolist():
+                x = np.frombuffer(raw[i], np.uint64)
+                lo, hi = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
+                n = hi - lo
+                hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[hit], minlength=len(sizes))
+                on = (both >= threshold * (len(x) + sizes - both) - 1e-9) & (live_root != roots[i])
+                for r in np.unique(live_root[on]).tolist():
+                    out.append((reps[i], int(live_rep[on & (live_root == r)].min())))
+        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in out], schema=schema)
+
+    return both.groupBy("bucket", "lb", "ab").applyInArrow(meet, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id) of the documents in a class of two or more: class_id is the smallest id of the class.
 
@@ -144,23 +196,18 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = S
     signed = materialize(sign(docs, text, key, k, bands, rows), "signed")
     # Copies: one representative for each digest.
     copies = materialize(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")), "copies")
-    keyed = materialize(copies.select("rep", F.explode("bands").alias("bucket")), "banded")
-    heads = keyed.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
-    heads = materialize(heads, "heads")
-    members = materialize(keyed.join(heads, "bucket"), "members")
+    keyed = materialize(copies.select("rep", "n", F.explode("bands").alias("bucket")), "banded")
+    # The head of a group is its text with the most copies: the one that near copies are likest to.
+    heads = keyed.groupBy("bucket").agg(F.min(F.struct(-F.col("n"), "rep")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("bucket", "head.rep", "size")
+    heads = materialize(heads.withColumnRenamed("rep", "head"), "heads")
+    members = materialize(keyed.drop("n").join(heads, "bucket"), "members")
     stars = materialize(members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     involved = members.select(F.col("rep").alias("id")).distinct()
     sets = materialize(shingle_table(docs, text, key, involved, k).dropDuplicates(["id"]), "sets")
     linked = materialize(verify(stars, sets, threshold), "linked")
-    # What the stars leave: pairs of one group in different components, but for those just compared.
-    root = components(linked)
-    placed = members.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "head", "rep", F.coalesce("root", "rep").alias("root"))
-    placed = materialize(placed, "placed")
-    mixed = materialize(placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket"), "mixed")
-    rest = materialize(placed.join(mixed, "bucket").filter("rep <> head"), "rest")
-    other = rest.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    pairs = rest.select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a")).join(other, "bucket").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-    more = materialize(verify(pairs, sets, threshold), "linked-more")
+    # What the stars leave: pairs of one group in different components.
+    root = materialize(components(linked), "roots")
+    more = materialize(across(members.filter("size > 2"), root, sets, threshold), "linked-more")
     root = components(linked.unionByName(more))
     groups = copies.join(root.withColumnRenamed("id", "rep"), "rep", "left").filter("root is not null or n > 1").select("digest", F.coalesce("root", "rep").alias("class_id"))
     groups = materialize(groups, "groups")
