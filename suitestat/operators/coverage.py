@@ -104,13 +104,13 @@ def match(requests: DataFrame, endpoints: DataFrame, prefixes: DataFrame | None
     keys = ["project_id", "http_method", "http_path", "path_truncated"]
     pairs = asked.join(t, ["project_id", "verb"])
     whole = F.when(F.col("_p") == "/", "").otherwise(F.col("_p"))
-    direct = whole.rlike(F.col("pattern")) | (F.col("path_truncated") & F.coalesce(whole.rlike(F.col("cut_pattern")), F.lit(False)))
-    suffix = ~F.col("path_truncated") & (F.size(segments("_p")) >= MIN_SUFFIX) & F.exists("suffix_patterns", lambda x: whole.rlike(x))
+    direct = F.rlike(whole, F.col("pattern")) | (F.col("path_truncated") & F.coalesce(F.rlike(whole, F.col("cut_pattern")), F.lit(False)))
+    suffix = ~F.col("path_truncated") & (F.size(segments("_p")) >= MIN_SUFFIX) & F.exists("suffix_patterns", lambda x: F.rlike(whole, x))
     tiers = pairs.withColumn("tier", F.when(direct, 1).when(suffix, 3)).filter("tier is not null").select(*keys, "endpoint_id", "route", "tier")
     if prefixes is not None:
         rest = asked.join(prefixes.select("project_id", "prefix").distinct(), "project_id").withColumn("_r", strip_prefix(segments("_p"), segments(normalize_path(F.col("prefix"))))).filter("_r is not null")
         rest = rest.withColumn("_w", F.when(F.col("_r") == "/", "").otherwise(F.col("_r"))).join(t, ["project_id", "verb"])
-        hit = F.col("_w").rlike(F.col("pattern")) | (F.col("path_truncated") & F.coalesce(F.col("_w").rlike(F.col("cut_pattern")), F.lit(False)))
+        hit = F.rlike(F.col("_w"), F.col("pattern")) | (F.col("path_truncated") & F.coalesce(F.rlike(F.col("_w"), F.col("cut_pattern")), F.lit(False)))
         tiers = tiers.unionByName(rest.filter(hit).select(*keys, "endpoint_id", "route", F.lit(2).alias("tier")).distinct())
     w = Window.partitionBy(*keys)
     best = tiers.withColumn("_best", F.min("tier").over(w)).filter("tier = _best")
