@@ -22,8 +22,10 @@ def _t(spark, sf_dir, name):
 
 # ---- nested documents: a customer's orders as a project
 
-_ORDER = D.StructType.fromDDL("key bigint, status string, kind string, total double")
-_DOC = D.StructType.fromDDL("id bigint, name string, orders array<struct<key:bigint,status:string,kind:string,total:double>>")
+
+
+def _doc():
+    return D.StructType.fromDDL("id bigint, name string, orders array<struct<key:bigint,status:string,kind:string,total:double>>")
 
 
 def _docs(spark, sf_dir):
@@ -37,28 +39,28 @@ def _docs(spark, sf_dir):
 
 @query("SELECT o_custkey AS project_id, 'not valid JSON of the schema' AS error FROM orders WHERE o_custkey % 13 = 0 GROUP BY o_custkey")
 def src_quarantine(spark, sf_dir):
-    return D.quarantine(D.parse(_docs(spark, sf_dir), _DOC), "project_id")
+    return D.quarantine(D.parse(_docs(spark, sf_dir), _doc()), "project_id")
 
 
 @query("SELECT o_custkey AS project_id, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey % 13 <> 0 GROUP BY o_custkey")
 def src_documents(spark, sf_dir):
-    d = D.good(D.parse(_docs(spark, sf_dir), _DOC))
+    d = D.good(D.parse(_docs(spark, sf_dir), _doc()))
     return d.select("project_id", F.explode("doc.orders").alias("o")).groupBy("project_id").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o.total"), 2).alias("total"))
 
 
 @query("SELECT DISTINCT o_custkey AS key, 'orders.status' AS path FROM orders WHERE o_custkey % 13 <> 0 AND o_orderkey % 7 = 0")
 def src_missing_keys(spark, sf_dir):
-    return D.missing_keys(_docs(spark, sf_dir).filter("project_id % 13 <> 0"), "project_id", "json", _DOC)
+    return D.missing_keys(_docs(spark, sf_dir).filter("project_id % 13 <> 0"), "project_id", "json", _doc())
 
 
 @query("SELECT DISTINCT o_custkey AS key, 'orders.extra' AS path FROM orders WHERE o_custkey % 13 <> 0 AND o_orderkey % 11 = 0")
 def src_unknown_keys(spark, sf_dir):
-    return D.unknown_keys(_docs(spark, sf_dir).filter("project_id % 13 <> 0"), "project_id", "json", _DOC)
+    return D.unknown_keys(_docs(spark, sf_dir).filter("project_id % 13 <> 0"), "project_id", "json", _doc())
 
 
 @query("SELECT o_custkey AS key, 'orders.status' AS path, o_orderstatus AS value, count(*) AS n FROM orders WHERE o_custkey % 13 <> 0 AND o_orderkey % 7 <> 0 AND o_orderstatus = 'P' GROUP BY o_custkey, o_orderstatus")
 def src_enum_drift(spark, sf_dir):
-    return D.enum_drift(_docs(spark, sf_dir).filter("project_id % 13 <> 0"), "project_id", "json", {"orders.status": ("F", "O")}, D.depth(_DOC))
+    return D.enum_drift(_docs(spark, sf_dir).filter("project_id % 13 <> 0"), "project_id", "json", {"orders.status": ("F", "O")}, D.depth(_doc()))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag <> 'R' OR l_linestatus = 'O' ELSE l_linestatus <> 'O' OR l_returnflag = 'R' END")

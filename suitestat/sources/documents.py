@@ -21,7 +21,7 @@ _TEST = f"struct<method_signature:string,is_api_test:boolean,is_controller_unit_
 _FIXTURE = "struct<phase:string,owner:string,method_signature:string,ncloc:bigint>"
 _ENDPOINT = "struct<http_method:string,path_template:string,framework:string,class_name:string,method_signature:string,is_method_wildcard:boolean,parameters:array<struct<name:string,source:string,required:boolean,is_aggregate:boolean,is_synthetic:boolean,is_unscorable:boolean,type:string,annotation:string>>>"
 #: SRC-02: one document per project.
-PROJECT = StructType.fromDDL(
+PROJECT_DDL = (
     "dataset_name string, metadata struct<project_path:string,git_commit_hash:string,git_remote_host:string,git_repository:string,expanded_helper_depth:bigint,analysis_level:string>,"
     "summary struct<api_test_count:bigint,non_api_test_count:bigint,controller_unit_test_count:bigint,total_http_interactions:bigint,coverage_ratio:double>,"
     "application_class_count bigint, application_method_count bigint, application_cyclomatic_complexity bigint, test_class_count bigint, test_method_count bigint, test_utility_class_count bigint, test_utility_method_count bigint,"
@@ -29,6 +29,11 @@ PROJECT = StructType.fromDDL(
     f"test_class_analyses array<struct<qualified_class_name:string,testing_frameworks:array<string>,fixtures:array<{_FIXTURE}>,test_method_analyses:array<{_TEST}>>>"
 )
 
+
+def project_schema() -> StructType:
+    return StructType.fromDDL(PROJECT_DDL)
+
+
 #: SRC-06. Closed vocabularies by the dotted path of the field.
 DOMAINS = {
     "test_class_analyses.test_method_analyses.http.test_sequences.steps.kind": ("request-build", "http-request", "response-check"),
@@ -53,9 +58,9 @@ def read_text(spark: SparkSession, root: str, name: str = FILE_NAME) -> DataFram
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 
-def parse(texts: DataFrame, schema: StructType = PROJECT, json: str = "json") -> DataFrame:
+def parse(texts: DataFrame, schema: StructType | None = None, json: str = "json") -> DataFrame:
     """SRC-02/03: texts with doc (the document) and error (null for the good ones)."""
-    full = StructType([*schema.fields]).add(CORRUPT, "string")
+    full = StructType([*(schema or project_schema()).fields]).add(CORRUPT, "string")
     doc = F.from_json(json, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     out = texts.withColumn("doc", doc)
     is_object = F.ltrim(F.col(json)).startswith("{")
@@ -131,8 +136,9 @@ def nodes(texts: DataFrame, key: str, json: str, levels: int) -> DataFrame:
     return out
 
 
-def missing_keys(texts: DataFrame, key: str, json: str, schema: StructType = PROJECT) -> DataFrame:
+def missing_keys(texts: DataFrame, key: str, json: str, schema: StructType | None = None) -> DataFrame:
     """SRC-04: (key, path) of schema fields that an object of a document doesn't have."""
+    schema = schema or project_schema()
     n = nodes(texts, key, json, depth(schema))
     objects = n.filter("is_object").select("key", F.col("instance").alias("parent"), F.col("path").alias("within")).unionByName(texts.select(F.col(key).alias("key"), F.lit("$").alias("parent"), F.lit("").alias("within")))
     fields = texts.sparkSession.createDataFrame(declared(schema), "within string, name string")
@@ -142,8 +148,9 @@ def missing_keys(texts: DataFrame, key: str, json: str, schema: StructType = PRO
     return gone.select("key", F.when(F.col("within") == "", F.col("name")).otherwise(F.concat_ws(".", "within", "name")).alias("path")).distinct()
 
 
-def unknown_keys(texts: DataFrame, key: str, json: str, schema: StructType = PROJECT) -> DataFrame:
+def unknown_keys(texts: DataFrame, key: str, json: str, schema: StructType | None = None) -> DataFrame:
     """SRC-05: (key, path) of fields that the schema doesn't have; keys of maps are data."""
+    schema = schema or project_schema()
     n = nodes(texts, key, json, depth(schema)).filter("name is not null")
     spark = texts.sparkSession
     known = spark.createDataFrame(declared(schema), "within string, name string")
