@@ -78,7 +78,7 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str
 
 def cut(text: str | None, spans: list) -> str | None:
     """The text without the spans, and without lines that this leaves empty."""
-    if not text or not spans:
+    if not isinstance(text, str) or spans is None or not len(spans):
         return text
     out, at = [], 0
     for s in spans:

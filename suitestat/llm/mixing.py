@@ -122,7 +122,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         s = pdf["_s"].iloc[0]
         s = None if s is None or s != s else s
         take = fit(list(zip(pdf["size"].tolist(), pdf["_n"].tolist(), strict=True)), rest[s])
-        return pd.DataFrame({"_s": [s] * len(take), "size": list(take), "more": list(take.values())})
+        return pd.DataFrame({"_s": pd.Series([s] * len(take), dtype=object), "size": pd.Series(list(take), dtype="int64"), "more": pd.Series(list(take.values()), dtype="int64")})
 
     by_size = parts.groupBy("_s", "size").agg(F.sum("_n").alias("_n"))
     more = by_size.groupBy("_s").applyInPandas(choose, "_s string, size long, more long")
