@@ -109,7 +109,7 @@ def shingle_table(docs: DataFrame, text: str, key: str, ids: DataFrame, k: int)
             sets = [shingle_set(t.as_py(), k)[0].tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi")
     return rows.mapInArrow(run, "id long, set binary")
 
 
@@ -130,7 +130,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def across(members: DataFrame, root: DataFrame, sets: DataFrame, threshold: float, block: int = 512) -> DataFrame:
@@ -155,7 +155,7 @@ def across(members: DataFrame, root: DataFrame, sets: DataFrame, threshold: floa
     live = rows.withColumn("lb", own).withColumn("ab", every).withColumn("asks", F.lit(False))
     ask = rows.filter("root <> main").withColumn("lb", every).withColumn("ab", own).withColumn("asks", F.lit(True))
     columns = ["bucket", "lb", "ab", "asks", "rep", "root"]
-    both = live.select(columns).unionByName(ask.select(columns)).join(sets.withColumnRenamed("id", "rep"), "rep")
+    both = live.select(columns).unionByName(ask.select(columns)).join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(table: pa.Table) -> pa.Table:
