@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from suitestat.operators import extract as E
 from suitestat.operators import figures as G
 from suitestat.operators import graph as H
+from suitestat.operators import labels as L
 from suitestat.operators import rules as R
 from suitestat.operators import stats_corpus as T
 from suitestat.plans import views
@@ -275,6 +276,47 @@ def ext_mounts(spark, sf_dir):
     return E.mounts(n, r)
 
 
+# ---- labels of tests: an order is a test, its lines are calls and annotations
+
+_AN = ("WithMockUser", "PermitAll", "MockBean", "Container", "Override", "CsvSource", "MethodSource")
+_RT = ("org.keycloak.Admin", "io.restassured.Auth", "org.mockito.Mockito", "java.util.List", "org.keycloakish.X")
+
+
+def _test_rows(spark, sf_dir):
+    pick = lambda xs, c: F.get(F.array(*[F.lit(x) for x in xs]), (F.col(c) % len(xs)).cast("int"))
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("test_id"), pick(_AN, "l_suppkey").alias("short_name"), pick(_RT, "l_partkey").alias("receiver_type"), F.lit("basic").alias("method_name"))
+
+
+_EV = f"""r AS (SELECT l_orderkey AS test_id, {list(_AN)!r}[1 + l_suppkey % {len(_AN)}] AS a, {list(_RT)!r}[1 + l_partkey % {len(_RT)}] AS c FROM lineitem),
+e AS (SELECT test_id, CASE a WHEN 'WithMockUser' THEN 'mocked' WHEN 'PermitAll' THEN 'bypassed' END AS label FROM r UNION ALL SELECT test_id, CASE c WHEN 'org.keycloak.Admin' THEN 'real-flow' WHEN 'io.restassured.Auth' THEN 'test-token' END FROM r)"""
+
+
+@query(f"WITH {_EV}, k AS (SELECT test_id, min(CASE label WHEN 'real-flow' THEN 1 WHEN 'test-token' THEN 2 WHEN 'mocked' THEN 3 WHEN 'bypassed' THEN 4 END) AS k FROM e GROUP BY test_id) SELECT test_id, CASE k WHEN 1 THEN 'real-flow' WHEN 2 THEN 'test-token' WHEN 3 THEN 'mocked' WHEN 4 THEN 'bypassed' ELSE 'none' END AS label FROM k")
+def seq_auth_labels(spark, sf_dir):
+    rows = _test_rows(spark, sf_dir)
+    e = L.annotation_evidence(rows).unionByName(L.call_evidence(rows)).filter("family = 'auth'")
+    return L.precedence(rows.select("test_id").distinct(), e, L.AUTH_ORDER, "none").select("test_id", "label")
+
+
+@query(f"WITH {_EV}, d AS (SELECT test_id, CASE a WHEN 'MockBean' THEN 'mocked' WHEN 'Container' THEN 'containerized' END AS label FROM r UNION ALL SELECT test_id, CASE c WHEN 'org.mockito.Mockito' THEN 'mocked' END FROM r) SELECT test_id, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))), ','), '') AS labels FROM d GROUP BY test_id")
+def seq_dependency_labels(spark, sf_dir):
+    rows = _test_rows(spark, sf_dir)
+    e = L.annotation_evidence(rows).unionByName(L.call_evidence(rows)).filter("family = 'dependency'")
+    return L.label_sets(rows.select("test_id").distinct(), e).withColumn("labels", F.array_join("labels", ","))
+
+
+@query(f"WITH r AS (SELECT l_orderkey AS test_id, {list(_AN)!r}[1 + l_suppkey % {len(_AN)}] AS a FROM lineitem), p AS (SELECT DISTINCT test_id, a FROM r WHERE a IN ('CsvSource', 'MethodSource')) SELECT test_id, string_agg(a, ',' ORDER BY a) AS sources, CASE WHEN count(*) = 2 THEN 'mixed' WHEN min(a) = 'CsvSource' THEN 'static' ELSE 'dynamic' END AS kind FROM p GROUP BY test_id")
+def seq_parameterization(spark, sf_dir):
+    return L.parameterization(_test_rows(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
+
+
+@query(f"""WITH s AS ({STEPS}), q AS (SELECT test_id, CASE WHEN framework IN ('mockmvc', 'webtestclient') THEN 'in-process' ELSE 'local-network' END AS l FROM s WHERE kind = 'http-request')
+SELECT test_id, string_agg(DISTINCT l, ',' ORDER BY l) AS labels FROM q GROUP BY test_id""")
+def seq_dispatch_labels(spark, sf_dir):
+    rq = views.steps(spark, sf_dir).filter("kind = 'http-request'").select("test_id", "framework", F.col("http_path").alias("path"))
+    return L.dispatch_labels(rq).withColumn("labels", F.array_join("labels", ","))
+
+
 # ---- figure tables: event types over projects as suites
 
 _SERIES = f"steps AS ({STEPS}), s AS (SELECT CAST(project_id AS VARCHAR) AS suite, project_id AS suite_rank, coalesce(http_method, 'unknown') AS category, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY project_id) AS value FROM steps GROUP BY project_id, coalesce(http_method, 'unknown'))"
