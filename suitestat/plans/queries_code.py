@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from suitestat.operators import assertions as N
 from suitestat.operators import extract as E
 from suitestat.operators import figures as G
 from suitestat.operators import graph as H
@@ -276,6 +277,20 @@ def ext_mounts(spark, sf_dir):
     return E.mounts(n, r)
 
 
+_MN = ("assertThat", "status", "isEqualTo", "isOk", "body", "run", "equalTo")
+_AR = ("org.assertj.core.api.Assertions", "org.hamcrest.Matchers", "java.util.List", "org.junitx.Fake")
+
+
+@query(f"""WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey, {list(_MN)!r}[1 + l_suppkey % {len(_MN)}] AS m, {list(_AR)!r}[1 + l_partkey % {len(_AR)}] AS r, 195 + l_partkey % 420 AS n FROM lineitem),
+k AS (SELECT *, CASE WHEN m IN ('status', 'isOk') THEN 'status' WHEN m = 'body' THEN 'body' WHEN m = 'assertThat' THEN 'general' WHEN r IN ('org.assertj.core.api.Assertions', 'org.hamcrest.Matchers') THEN 'general' END AS role,
+  CASE WHEN m = 'assertThat' THEN 'wrapper' WHEN m IN ('status', 'body') THEN 'subject' WHEN m IN ('isEqualTo', 'isOk', 'equalTo') THEN 'verifier' ELSE 'direct' END AS kind, CASE WHEN m IN ('isEqualTo', 'equalTo') AND n BETWEEN 100 AND 599 THEN CAST(n AS INT) END AS status_code FROM c)
+SELECT role, kind, status_code, role IS NOT NULL AND kind IN ('direct', 'verifier') AS counts, count(*) AS n FROM k GROUP BY ALL""")
+def cls_assertions(spark, sf_dir):
+    pick = lambda xs, c: F.get(F.array(*[F.lit(x) for x in xs]), (F.col(c) % len(xs)).cast("int"))
+    d = _t(spark, sf_dir, "lineitem").select(pick(_MN, "l_suppkey").alias("method_name"), pick(_AR, "l_partkey").alias("receiver_type"), F.array(F.lit("x"), (195 + F.col("l_partkey") % 420).cast("string")).alias("args"))
+    return N.classify(d).groupBy("role", "kind", "status_code", "counts").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- labels of tests: an order is a test, its lines are calls and annotations
 
 _AN = ("WithMockUser", "PermitAll", "MockBean", "Container", "Override", "CsvSource", "MethodSource")
