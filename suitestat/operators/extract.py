@@ -129,3 +129,62 @@ def application_prefixes(class_annotations: DataFrame) -> DataFrame:
     """EXT-17: application-level mounts, the root left out."""
     a = class_annotations.filter(annotation_name("annotation") == "ApplicationPath")
     return a.select(F.explode(paths(annotation_body("annotation"))).alias("p")).select(normalize_path("p").alias("prefix")).filter("prefix <> '/'").distinct()
+
+
+def client_kind(class_annotations: DataFrame) -> DataFrame:
+    """EXT-19: (class_name, kind, base): which client family an interface is, and its base path or URL."""
+    n, b = annotation_name("annotation"), annotation_body("annotation")
+    kind = F.when(n == "FeignClient", "feign").when(n == "HttpExchange", "http-interface").when(n == "Client", "micronaut-client").when(n == "RegisterRestClient", "rest-client")
+    url = F.regexp_extract(b, r'\b(?:url|baseUri)\s*=\s*"([^"]*)"', 1)
+    base = F.when(url != "", url).otherwise(F.get(paths(b), 0))
+    return class_annotations.withColumn("kind", kind).filter("kind is not null").select("class_name", "kind", base.alias("base"))
+
+
+def inherited_parameter_annotations(ancestors: DataFrame, annotations: DataFrame) -> DataFrame:
+    """EXT-21: annotations of each parameter, those of the concrete method before its supertypes', each name once.
+
+    annotations: class_name, method_signature, pos, short_name, annotation.
+    """
+    a = ancestors.join(annotations.withColumnRenamed("class_name", "ancestor"), "ancestor")
+    return a.groupBy(F.col("child").alias("class_name"), "method_signature", "pos", "short_name").agg(F.min_by("annotation", F.struct("depth", "ancestor")).alias("annotation"), F.min("depth").alias("depth"))
+
+
+def body_parameters(parameters_: DataFrame, methods: DataFrame) -> DataFrame:
+    """EXT-15: the lone parameter without a binding of a method whose verb may carry a body is the body.
+
+    parameters_: class_name, method_signature, java_name, source (null: unbound), is_context; methods: class_name, method_signature, http_method.
+    """
+    keys = ["class_name", "method_signature"]
+    free = parameters_.filter("source is null and not is_context")
+    lone = free.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("java_name").alias("name")).filter("_n = 1")
+    taken = parameters_.filter("source in ('body', 'form')").select(*keys).distinct()
+    able = methods.filter(F.col("http_method").isin("POST", "PUT", "PATCH")).select(*keys).distinct()
+    return lone.join(able, keys, "left_semi").join(taken, keys, "left_anti").select(*keys, "name", F.lit("body").alias("source"), F.lit(True).alias("required"))
+
+
+def bean_parameters(beans: DataFrame, fields: DataFrame, max_depth: int = 4) -> DataFrame:
+    """EXT-16: fields of bean parameters as parameters, through beans within beans; a type without fields is one row that can't be scored.
+
+    beans: class_name, method_signature, type; fields: type, name, source, bean (the field's bean type or null).
+    """
+    keys = ["class_name", "method_signature"]
+    now = beans.select(*keys, "type", F.array("type").alias("_seen"))
+    out = None
+    for _ in range(max_depth):
+        step = now.join(fields, "type", "left")
+        rows = step.filter("bean is null").select(*keys, F.coalesce("name", "type").alias("name"), F.coalesce("source", F.lit("query")).alias("source"), F.col("name").isNull().alias("is_unscorable"))
+        out = rows if out is None else out.unionByName(rows)
+        now = step.filter(F.col("bean").isNotNull() & ~F.array_contains("_seen", F.col("bean"))).select(*keys, F.col("bean").alias("type"), F.concat("_seen", F.array("bean")).alias("_seen"))
+    return out.distinct()
+
+
+#: Header constants by name.
+HEADER_CONSTANTS = {"AUTHORIZATION": "Authorization", "CONTENT_TYPE": "Content-Type", "ACCEPT": "Accept", "IF_MATCH": "If-Match", "IF_NONE_MATCH": "If-None-Match", "ETAG": "ETag", "LOCATION": "Location", "USER_AGENT": "User-Agent", "ACCEPT_LANGUAGE": "Accept-Language", "CACHE_CONTROL": "Cache-Control", "COOKIE": "Cookie", "ORIGIN": "Origin", "HOST": "Host"}
+
+
+def header_constants(names: DataFrame, imports: DataFrame, classes: tuple[str, ...] = ("HttpHeaders",)) -> DataFrame:
+    """EXT-24: header text of constants such as HttpHeaders.ACCEPT where the class imports the holder. names: class_name, identifier; imports: class_name, path."""
+    table = names.sparkSession.createDataFrame(list(HEADER_CONSTANTS.items()), "constant string, header string")
+    n = names.withColumn("holder", F.regexp_extract("identifier", r"^(\w+)\.", 1)).withColumn("constant", F.regexp_extract("identifier", r"\.(\w+)$", 1)).filter(F.col("holder").isin(*classes))
+    held = imports.select("class_name", F.regexp_extract("path", r"([^.]+)$", 1).alias("holder")).distinct()
+    return n.join(held, ["class_name", "holder"], "left_semi").join(F.broadcast(table), "constant").select("class_name", "identifier", "header")  # a fixed list

@@ -162,3 +162,38 @@ def categorize(classes: DataFrame, test_classes: DataFrame, in_test_directory: C
     """SYM-01: each class as test, utility (in a test directory without tests) or application."""
     t = test_classes.select("class_name").distinct().withColumn("_t", F.lit(True))
     return classes.join(t, "class_name", "left").withColumn("category", F.when(F.col("_t"), "test").when(in_test_directory, "utility").otherwise("application")).drop("_t")
+
+
+def parameter_values(calls: DataFrame, parameters: DataFrame) -> DataFrame:
+    """SYM-26: values of a helper's parameters over all its calls: (callee, name, value), null where calls differ or one is unknown.
+
+    calls: call_id, callee, values (array, null for unknown); parameters: callee, pos (from 0), name.
+    """
+    v = calls.select("call_id", "callee", F.posexplode("values").alias("pos", "value"))
+    return v.join(parameters, ["callee", "pos"]).groupBy("callee", "name").agg(F.when((F.count("value") == F.count(F.lit(1))) & (F.count_distinct("value") == 1), F.min("value")).alias("value"))
+
+
+def helper_targets(calls: DataFrame, ancestors: DataFrame, methods: DataFrame, allowed: DataFrame) -> DataFrame:
+    """SYM-35/37: the class in which a call is resolved: the nearest ancestor of the receiver, or of the caller without one, that has the method and is allowed.
+
+    calls: call_id, owner, receiver_type (null: own class), callee_signature; allowed: class_name.
+    """
+    c = calls.withColumn("child", F.coalesce("receiver_type", "owner")).join(ancestors, "child")
+    m = methods.select(F.col("class_name").alias("ancestor"), F.col("method_signature").alias("callee_signature")).join(allowed.withColumnRenamed("class_name", "ancestor"), "ancestor", "left_semi")
+    return c.join(m, ["ancestor", "callee_signature"]).groupBy("call_id").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("target"))
+
+
+def method_totals(methods: DataFrame, calls: DataFrame) -> DataFrame:
+    """SYM-22: per class, methods, complexity and objects that they create. methods: class_name, method_signature, complexity; calls: class_name, is_constructor."""
+    made = calls.groupBy("class_name").agg(F.count_if("is_constructor").alias("objects_created"))
+    out = methods.groupBy("class_name").agg(F.count(F.lit(1)).alias("methods"), F.sum("complexity").alias("complexity")).join(made, "class_name", "left")
+    return out.withColumn("objects_created", F.coalesce("objects_created", F.lit(0)).cast("long"))
+
+
+def imports_of(imports: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
+    """SYM-32: imports of each class, its ancestors' too where they are given, each path once, with is_static."""
+    own = imports.select("class_name", "path", "is_static", "is_wildcard").distinct()
+    if ancestors is None:
+        return own
+    up = ancestors.join(own.withColumnRenamed("class_name", "ancestor"), "ancestor").select(F.col("child").alias("class_name"), "path", "is_static", "is_wildcard")
+    return own.unionByName(up).distinct()

@@ -194,3 +194,28 @@ def test_statistics_sink(spark, tmp_path):
     for suite in ("dev", "agent"):
         D.write_statistics({"auth": spark.createDataFrame([("none", 1)], "label string, n int")}, str(tmp_path / suite))
     assert [r["suite"] for r in D.read_statistics(spark, str(tmp_path), "auth", "dev").collect()] == ["dev", "agent"]
+
+
+def test_code_tables_by_hand(spark):
+    from suitestat.operators import assertions as N
+    from suitestat.operators import labels as L
+
+    f = spark.createDataFrame
+    found = E.client_kind(f([("A", '@FeignClient(name = "x", url = "http://h/a")'), ("B", "@Override")], "class_name string, annotation string")).collect()
+    assert [tuple(r) for r in found] == [("A", "feign", "http://h/a")]
+    body = E.body_parameters(f([("A", "m", "x", None, False), ("A", "m", "c", None, True), ("A", "n", "y", None, False)], "class_name string, method_signature string, java_name string, source string, is_context boolean"), f([("A", "m", "POST"), ("A", "n", "GET")], "class_name string, method_signature string, http_method string"))
+    assert [r["name"] for r in body.collect()] == ["x"]
+    beans = E.bean_parameters(f([("A", "m", "P")], "class_name string, method_signature string, type string"), f([("P", "q", "query", None), ("P", "in", None, "I"), ("I", "h", "header", None), ("I", "p", None, "P")], "type string, name string, source string, bean string"))
+    assert sorted(r["name"] for r in beans.collect()) == ["h", "q"]
+    headers = E.header_constants(f([("A", "HttpHeaders.ACCEPT"), ("B", "HttpHeaders.ACCEPT")], "class_name string, identifier string"), f([("A", "x.HttpHeaders")], "class_name string, path string"))
+    assert [tuple(r) for r in headers.collect()] == [("A", "HttpHeaders.ACCEPT", "Accept")]
+    values = H.parameter_values(f([(1, "h", ["a", "b"]), (2, "h", ["a", None])], "call_id int, callee string, values array<string>"), f([("h", 0, "x"), ("h", 1, "y")], "callee string, pos int, name string"))
+    assert {r["name"]: r["value"] for r in values.collect()} == {"x": "a", "y": None}
+    chain = N.status_chain(f([(1, 1, "subject", "status"), (1, 2, "verifier", None), (2, 1, "verifier", None)], "chain int, pos int, kind string, role string").withColumn("m", F.lit(1)), "m")
+    assert {r["chain"]: r["in_status"] for r in chain.collect()} == {1: True, 2: False}
+    for path, helper, want in (("", "/a", "/a"), ("?q", "/a", "/a?q"), ("/a", "/a/b", "/a/b"), ("/x", "/a", "/x")):
+        assert one(spark, N.recovered_path(F.lit(path), F.lit(helper))) == want
+    fixtures = L.applicable_fixtures(f([("A", "s", False, ["g"]), ("A", "t", False, None), ("A", "u", True, ["h"]), ("A", "v", False, ["h"])], "class_name string, method_signature string, always_run boolean, groups array<string>"), f([("A", 1, ["g"])], "class_name string, test_id int, groups array<string>"))
+    assert {r["method_signature"]: r["ambiguous"] for r in fixtures.collect()} == {"s": False, "t": True, "u": False}
+    seen = L.state_observations(f([(1, 1, "db", 5, 8, "x"), (1, 2, "mq", 20, 22, None), (1, 3, "fs", 30, 31, "z")], "test_id int, call_id int, medium string, start int, stop int, target string"), f([(1, 10, 12, ["x"]), (1, 19, 25, [])], "test_id int, start int, stop int, names array<string>"))
+    assert {r["call_id"]: r["tier"] for r in seen.collect()} == {1: "binding", 2: "nested"}
