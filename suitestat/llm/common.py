@@ -37,7 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/suitestat-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:
@@ -69,7 +78,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the words seen last; forgets all of them when full, so its size is bounded."""
 
-    def __init__(self, limit: int = 400_000, seed: int = 0):
+    def __init__(self, limit: int = 200_000, seed: int = 0):
         super().__init__()
         import xxhash
 
@@ -90,6 +99,42 @@ def word_hashes(seed: int = 0) -> WordHashes:
     return _hashes.setdefault(seed, WordHashes(seed=seed))
 
 
+# ---- words of many texts at once
+
+_BYTE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLDEN)
+_STEP = np.uint64(0x9FB21C651E98DF25)  # odd, so that it has an inverse
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of _STEP and of its inverse, n at least, kept in the worker."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_STEP, _BACK)):
+            steps = np.full(max(n, 1 << 20), base)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def block_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, line) of each word of a text in UTF-8, without a step of Python for each word.
+
+    A word's hash is a polynomial of its bytes, taken from running sums; the gap
+    characters are ASCII, so bytes show them.  Line numbers count line feeds from 0.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.diff(_GAP[b].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = _power(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
+    h = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return h, start, np.searchsorted(np.flatnonzero(b == 10), start)
+
+
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 

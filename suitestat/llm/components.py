@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import materialize
+from suitestat.llm.common import discard, materialize
 
 
 def _minima(edges: DataFrame, name: str) -> DataFrame:
@@ -35,11 +35,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         mark = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: neighbours above u are linked to u's smallest neighbour.
-        large = materialize(_distinct(both.join(_minima(both, "large"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large-star")
+        most = _minima(both, "large")
+        large = materialize(_distinct(both.join(most, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large-star")
         # Small star: u and its neighbours below are linked to the smallest of them.
         least = _minima(large, "small")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialize(_distinct(small), "small-star")
+        before, now = now, materialize(_distinct(small), "small-star")
+        discard(before, most, large, least)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = now.select(F.col("u").alias("id"), F.col("v").alias("root"))

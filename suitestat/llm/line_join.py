@@ -3,13 +3,16 @@
 A line is the set of its five-word shingles; lines of fewer words are left alone.
 Tokens are ordered by rarity: by the corpus counts of their words, which a first pass
 gathers into a fixed number of counters, then by hash.  Any one order gives the same
-result; a rare one first makes the index short.  Lines of one token set are
-one set.  Two sets of the similarity t share a token among the first
-n - ceil(t n) + 1 of each (prefix filter), their sizes differ by no more than t allows
-(length filter), and what can still be shared after the token's places must reach
-what t asks for (positional filter).  Pairs that pass are verified by the exact Jaccard
-similarity of their whole token sets.  A line goes if a line before it, in the order
-of documents and lines, has its set or a similar one.
+result; a rare one first makes the index short.  Lines of one token set are one set.
+Two sets of the similarity t share a token among the first n - ceil(t n) + 1 of each
+(prefix filter).  Sets that share such a token, directly or through others, are a
+family; similar sets are never in two families.  Within a family, blocks of sets meet
+in tasks: the prefix index there gives candidates, their sizes may differ by no more
+than t allows (length filter), and what can still be shared after a token's places
+must reach what t asks for (positional filter); what passes is verified by the exact
+Jaccard similarity of the whole sets.  What leaves a task is a row for each set that
+has links, never the pairs.  A line goes if a line before it, in the order of
+documents and lines, has its set or a similar one.
 """
 
 from __future__ import annotations
@@ -21,11 +24,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, hash_words, materialize, mix64, shingles, split_words
+from suitestat.llm.common import GOLDEN, block_words, materialize, mix64, shingles
+from suitestat.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 COUNTERS, PART = 1 << 16, 1 << 10
-BLOCK = 150_000  # words handled at once
+PER_PART = 1024  # sets of a family that meet at once
+BLOCK = 1 << 19  # bytes of text handled at once; a longer text is a block of its own
+
+
+def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], bytes]]:
+    """Runs of texts as (their places, their bytes with a line feed after each)."""
+    held: list[int] = []
+    parts: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        if held and size + len(raw) > BLOCK:
+            yield held, b"\n".join(parts)
+            held, parts, size = [], [], 0
+        held.append(i)
+        parts.append(raw)
+        size += len(raw) + 1
+    if held:
+        yield held, b"\n".join(parts)
+
+
+def first_lines(raw: bytes, texts: list[str | None]) -> np.ndarray:
+    """Number of the first line of each text of a block."""
+    return np.cumsum([0, *[(t or "").count("\n") + 1 for t in texts]])
 
 
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
@@ -35,9 +62,8 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                h = hash_words(split_words(t.as_py()))
-                total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=COUNTERS) if len(h) > 2000 else _sparse(h, total)
+            for _, raw in blocks(batch.column(0).to_pylist()):
+                total += np.bincount((block_words(raw)[0] >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
         parts = total.reshape(-1, PART)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
 
@@ -52,27 +78,22 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-def _sparse(h: np.ndarray, total: np.ndarray) -> int:
-    np.add.at(total, (h >> np.uint64(48)).astype(np.int64), 1)
-    return 0
-
-
-def line_sets(lines: list[list[str]], weight: np.ndarray | None, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(line of each token, token) for lines of k words or more: distinct tokens of each line, by rarity if weight is given, else by hash."""
-    sizes = np.array([len(w) for w in lines])
-    h = hash_words([w for ws in lines for w in ws])
-    of = np.repeat(np.arange(len(lines)), sizes)
-    token = shingles(h, k)
-    inside = of[: len(token)] == of[k - 1 :]
-    line, token = of[: len(token)][inside], token[inside]
-    if weight is None:
-        order = np.lexsort((token, line))
-    else:
-        common = weight[(h >> np.uint64(48)).astype(np.int64)]
-        rarity = np.convolve(common, np.ones(k, np.int64), "valid")[inside]
-        order = np.lexsort((token, rarity, line))
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Whole steps of the logarithm: words of like counts tie, and hashes decide."""
+    return np.round(16 * np.log2(1 + counts)).astype(np.int64)
+
+
+def line_sets(h: np.ndarray, line: np.ndarray, weight: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(line, token) of the distinct tokens of each line of k words or more, the rarest of a line first."""
+    if len(h) < k:
+        return line[:0], h[:0]
+    inside = line[: len(h) - k + 1] == line[k - 1 :]
+    token, rare = shingles(h, k)[inside], np.convolve(weight[(h >> np.uint64(48)).astype(np.int64)], np.ones(k, np.int64), "valid")[inside]
+    line = line[: len(h) - k + 1][inside]
+    order = np.lexsort((token, rare, line))
     line, token = line[order], token[order]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (line[1:] != line[:-1])])
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
     return line[new], token[new]
 
 
@@ -80,112 +101,190 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
+def digests(token: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, whatever the order of its tokens."""
+    return np.add.reduceat(mix64(token), start).view(np.int64), np.add.reduceat(mix64(token ^ GOLDEN), start).view(np.int64)
+
+
 def line_rows(docs: DataFrame, text: str, key: str, counts: np.ndarray, threshold: float) -> DataFrame:
-    """A row for each line of SHINGLE words or more: k, pos (line number), d1, d2 (digest of the token set), n, prefix (rarest tokens)."""
+    """A row for each line of SHINGLE words or more: k, pos (line number), d1, d2 (digest of the token set), prefix (rarest tokens)."""
     import pyarrow as pa
 
-    # Whole steps of the logarithm: words of like counts tie, and hashes decide.
-    weight = np.round(16 * np.log2(1 + counts)).astype(np.int64)
-
-    def flush(held: list) -> pa.RecordBatch:
-        line, token = line_sets([w for _, _, w in held], weight)
-        start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        n = np.diff(np.append(start, len(line)))
-        d1 = np.add.reduceat(mix64(token), start)
-        d2 = np.add.reduceat(mix64(token ^ GOLDEN), start)
-        take = prefix_length(n, threshold)
-        prefix = [token[s : s + p].tobytes() for s, p in zip(start.tolist(), take.tolist(), strict=True)]
-        arrays = [pa.array([k for k, _, _ in held], pa.int64()), pa.array([p for _, p, _ in held], pa.int32()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(prefix, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, names=["k", "pos", "d1", "d2", "n", "prefix"])
+    weight = rarity(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        words = 0
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for pos, line in enumerate((t.as_py() or "").split("\n")):
-                    ws = split_words(line)
-                    if len(ws) >= SHINGLE:
-                        held.append((k, pos, ws))
-                        words += len(ws)
-                if words > BLOCK:
-                    yield flush(held)
-                    held, words = [], 0
-        if held:
-            yield flush(held)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for held, raw in blocks(texts):
+                h, _, line = block_words(raw)
+                line, token = line_sets(h, line, weight)
+                if not len(line):
+                    continue
+                start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                n = np.diff(np.append(start, len(line)))
+                head = first_lines(raw, [texts[i] for i in held])
+                doc = np.searchsorted(head, line[start], "right") - 1
+                take = prefix_length(n, threshold)
+                d1, d2 = digests(token, start)
+                prefix = [token[s : s + p].tobytes() for s, p in zip(start.tolist(), take.tolist(), strict=True)]
+                arrays = [pa.array([keys[held[d]] for d in doc.tolist()], pa.int64()), pa.array((line[start] - head[doc]).astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(prefix, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["k", "pos", "d1", "d2", "prefix"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, "k long, pos int, d1 long, d2 long, n int, prefix binary")
+    return rows.mapInArrow(run, "k long, pos int, d1 long, d2 long, prefix binary")
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of d1 that pass the prefix, length and positional filters."""
+def families(lines: DataFrame) -> DataFrame:
+    """(d1, family): sets that share a prefix token, directly or through others; sets that share none are left out.
+
+    The index has a row for each set and prefix token (once in a task, so that a line
+    that stands a thousand times is one set).  Each token links its sets to the least
+    of those in its part; parts of a token are linked by their least sets.
+    """
     import pyarrow as pa
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sizes = np.array([len(p) // 8 for p in batch.column(2).to_pylist()], np.int64)
-            if not len(sizes):
+            ids = batch.column(0).to_pylist()
+            on = []
+            for i, d in enumerate(ids):
+                if d not in seen:
+                    seen.add(d)
+                    on.append(i)
+            if len(seen) > 200_000:
+                seen.clear()
+            if not on:
                 continue
-            token = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place.astype(np.int32))], names=["token", "d1", "n", "i"])
+            prefix = batch.column(1).take(pa.array(on)).to_pylist()
+            sizes = np.array([len(p) // 8 for p in prefix])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefix), np.int64)), pa.array(np.repeat(np.array([ids[i] for i in on], np.int64), sizes))], names=["token", "d1"])
 
-    index = sets.select("d1", "n", "prefix").mapInArrow(unfold, "token long, d1 long, n int, i int")
-    a, b = index.select("token", F.col("d1").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia")), index.select("token", F.col("d1").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    near = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
-    return a.join(b, "token").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-
-
-def token_table(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
-    """(d1, d2, tokens binary) of the sets that wanted (k, pos, d1, d2) names by a line that has them."""
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_token = last_head = None
+        for batch in batches:
+            token, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(token):
+                continue
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            head = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+            if last_token is not None and token[0] == last_token:
+                head[: np.flatnonzero(np.append(new[1:], True))[0] + 1] = last_head
+            last_token, last_head = token[-1], head[-1]
+            on = head != d
+            edges = np.unique(np.stack([head[on], d[on]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    index = lines.select("d1", "prefix").mapInArrow(unfold, "token long, d1 long")
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = index.repartition(n, "token").sortWithinPartitions("token", "d1").mapInArrow(stars, "a long, b long")
+    return components(materialize(edges, "line-stars")).select(F.col("id").alias("d1"), F.col("root").alias("family"))
+
+
+def token_table(docs: DataFrame, text: str, key: str, wanted: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(family, parts, d1, d2, k, pos, tokens binary, rarest first) of the sets that wanted (all of those but tokens) names by a line that has them."""
     import pyarrow as pa
 
+    weight = rarity(counts)
+    names = ["family", "parts", "d1", "d2", "k", "pos"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d1, d2, out = [], [], []
-            for t, asked in zip(batch.column(0), batch.column(1), strict=True):
-                lines = (t.as_py() or "").split("\n")
-                asked = [r for r in asked.as_py() if r["pos"] < len(lines)]
-                ws = [split_words(lines[r["pos"]]) for r in asked]
-                on = [i for i, w in enumerate(ws) if len(w) >= SHINGLE]
-                if not on:
+            out: list[tuple] = []
+            texts, keys, asked = (c.to_pylist() for c in batch.columns)
+            for held, raw in blocks(texts):
+                h, _, line = block_words(raw)
+                head = first_lines(raw, [texts[i] for i in held])
+                pairs = [(int(head[j]) + r["pos"], keys[i], r) for j, i in enumerate(held) for r in asked[i] if head[j] + r["pos"] < head[j + 1]]
+                if not pairs:
+                    continue
+                on = np.isin(line, np.array([p[0] for p in pairs]))
+                line, token = line_sets(h[on], line[on], weight)
+                if not len(line):
                     continue
-                line, token = line_sets([ws[i] for i in on], None)
-                start = np.searchsorted(line, np.arange(len(on) + 1))
-                for j, i in enumerate(on):
-                    tokens = token[start[j] : start[j + 1]]
+                start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                e1, e2 = digests(token, start)
+                at = dict(zip(line[start].tolist(), range(len(start)), strict=True))
+                ends = np.append(start, len(line))
+                for g, k, r in pairs:
+                    j = at.get(g)
                     # Rows that share a key may hold other texts: only the set that was asked for counts.
-                    if int(mix64(tokens).sum(dtype=np.uint64).astype(np.int64)) == asked[i]["d1"]:
-                        d1.append(asked[i]["d1"])
-                        d2.append(asked[i]["d2"])
-                        out.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(out, pa.binary())], names=["d1", "d2", "tokens"])
+                    if j is not None and e1[j] == r["d1"] and e2[j] == r["d2"]:
+                        out.append((r["family"], r["parts"], r["d1"], r["d2"], k, r["pos"], token[ends[j] : ends[j + 1]].tobytes()))
+            cols = zip(*out, strict=True) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=[*names, "tokens"])
 
-    asked = wanted.groupBy("k").agg(F.collect_list(F.struct("pos", "d1", "d2")).alias("asked"))
+    asked = wanted.groupBy("k").agg(F.collect_list(F.struct("pos", "d1", "d2", "family", "parts")).alias("asked"))
     rows = docs.select(F.col(key).cast("long").alias("dk"), F.col(text).cast("string").alias("t"))
-    rows = rows.join(asked, F.col("dk").eqNullSafe(F.col("k"))).select("t", "asked")
-    return rows.mapInArrow(run, "d1 long, d2 long, tokens binary").dropDuplicates(["d1", "d2"])
+    rows = rows.join(asked.hint("merge"), F.col("dk").eqNullSafe(F.col("k"))).select("t", "k", "asked")
+    return rows.mapInArrow(run, "family long, parts int, d1 long, d2 long, k long, pos int, tokens binary")
+
 
+def links_within(sets: DataFrame, threshold: float) -> DataFrame:
+    """(d1, d2, links, first_k, first_pos): for each set of a family with similar ones, how many, and the earliest line that has one of those.
 
-def similar(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """Of candidate pairs, those with the Jaccard similarity: (a1, a2, b1, b2)."""
+    sets: family, parts, d1, d2, k, pos, tokens.  Families are cut into parts, and each
+    part asks each part, so a pair is seen once from either side.
+    """
     import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            on = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                on.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a1", "a2", "b1", "b2"]).filter(pa.array(on, pa.bool_()))
+    # A family of one part asks itself: its rows stand once.  Of others each row stands in each part's turn, as a member and as one that asks.
+    part = F.pmod(F.col("d2"), F.col("parts")).cast("int")
+    turn = lambda asks: lambda i: F.struct(F.when(F.lit(asks), part).otherwise(i).alias("ask"), F.when(F.lit(asks), i).otherwise(part).alias("live"), F.lit(asks).alias("asks"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    turns = F.when(F.col("parts") == 1, F.transform(every, turn(False))).otherwise(F.concat(F.transform(every, turn(False)), F.transform(every, turn(True))))
+    rows = sets.withColumn("x", F.explode(turns)).select("family", "x.*", "d1", "d2", "k", "pos", "tokens")
+    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("links", pa.int64()), ("first_k", pa.int64()), ("first_pos", pa.int32())])
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks, d1, d2, ks, pos, raw = (table.column(c).to_pylist() for c in ("asks", "d1", "d2", "k", "pos", "tokens"))
+        # Rows of documents that repeat show a set again.
+        once = list({(a, x, y): i for i, (a, x, y) in enumerate(zip(asks, d1, d2, strict=True))}.values())
+        asks, d1, d2, ks, pos, raw = ([c[i] for i in once] for c in (asks, d1, d2, ks, pos, raw))
+        asks = np.array(asks, bool)
+        sets_ = [np.frombuffer(x, np.uint64) for x in raw]
+        n = np.array([len(x) for x in sets_])
+        live = np.flatnonzero(~asks)
+        at = np.flatnonzero(asks) if asks.any() else live
+        if not len(live) or not len(at):
+            return schema.empty_table()
+        rank = np.empty(len(ks), np.int64)
+        rank[np.array(sorted(range(len(ks)), key=lambda i: (ks[i] is not None, ks[i] or 0, pos[i])))] = np.arange(len(ks))
+        take = prefix_length(n, threshold)
+        token = np.concatenate([sets_[i][: take[i]] for i in live])
+        owner = np.repeat(live, take[live])
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(take[live]) - take[live], take[live])
+        order = np.argsort(token, kind="stable")
+        token, owner, place = token[order], owner[order], place[order]
+        ordered = [np.sort(x) for x in sets_]
+        e1, e2, alike = np.array(d1), np.array(d2), bool(asks.any())
+        out = {c: [] for c in schema.names}
+        for i in at.tolist():
+            x = sets_[i][: take[i]]
+            lo, hi = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
+            m = hi - lo
+            hit = np.repeat(lo - np.cumsum(m) + m, m) + np.arange(m.sum())
+            j, pj, pi = owner[hit], place[hit], np.repeat(np.arange(len(x)), m)
+            long, short = np.maximum(n[i], n[j]), np.minimum(n[i], n[j])
+            need = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
+            first = np.minimum(n[i] - pi, n[j] - pj) >= need
+            other = (e1[j] != d1[i]) | (e2[j] != d2[i]) if alike else j != i
+            able = np.unique(j[(short >= threshold * long - 1e-9) & first & other])
+            if not len(able):
+                continue
+            mine, theirs = ordered[i], np.concatenate([ordered[a] for a in able])
+            same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.add.reduceat(same, np.cumsum(n[able]) - n[able], dtype=np.int64)
+            good = able[both >= threshold * (n[i] + n[able] - both) - 1e-9]
+            if len(good):
+                f = good[rank[good].argmin()]
+                for c, v in zip(schema.names, (d1[i], d2[i], len(good), ks[f], pos[f]), strict=True):
+                    out[c].append(v)
+        return pa.Table.from_pydict(out, schema=schema)
 
-    left = tokens.select(F.col("d1").alias("a"), F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("tokens").alias("x"))
-    right = tokens.select(F.col("d1").alias("b"), F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    return rows.groupBy("family", "ask", "live").applyInArrow(meet, "d1 long, d2 long, links long, first_k long, first_pos int")
 
 
 def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -197,15 +296,11 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
     """
     counts = word_counts(docs, text)
     lines = materialize(line_rows(docs, text, key, counts, threshold), "lines")
-    by_set = lines.groupBy("d1", "d2")
-    firsts = materialize(by_set.agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("copies")), "line-sets")
-    pairs = materialize(candidates(by_set.agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), threshold), "line-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct()
-    wanted = firsts.join(involved, "d1", "left_semi").select("d1", "d2", "first.k", "first.pos")
-    tokens = materialize(token_table(docs, text, key, wanted), "line-tokens")
-    links = materialize(similar(pairs, tokens, threshold), "line-links")
-    both = links.unionByName(links.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("b1").alias("a1"), F.col("b2").alias("a2")))
-    seen = both.join(firsts.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), "first"), ["b1", "b2"]).groupBy(F.col("a1").alias("d1"), F.col("a2").alias("d2")).agg(F.count("*").alias("links"), F.min("first").alias("other"))
+    firsts = materialize(lines.groupBy("d1", "d2").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("copies")), "line-sets")
+    family = materialize(families(lines), "line-families")
+    parts = materialize(family.groupBy("family").agg(F.ceil(F.count("*") / PER_PART).cast("int").alias("parts")), "line-parts")
+    wanted = firsts.join(family.join(parts, "family"), "d1").select("d1", "d2", "first.k", "first.pos", "family", "parts")
+    seen = links_within(token_table(docs, text, key, wanted, counts), threshold).groupBy("d1", "d2").agg(F.sum("links").alias("links"), F.min(F.struct(F.col("first_k").alias("k"), F.col("first_pos").alias("pos"))).alias("other"))
     known = firsts.join(seen, ["d1", "d2"], "left").filter("copies > 1 or links > 0").select("d1", "d2", F.coalesce("links", F.lit(0)).alias("links"), F.least("first", "other").alias("first"))
     known = materialize(known, "line-known")
     rows = lines.select("k", "pos", "d1", "d2").join(known, ["d1", "d2"], "left")
@@ -215,7 +310,7 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
 
 
 def without(text: str | None, removed: list[int] | None) -> str | None:
-    if text is None or removed is None or not len(removed):
+    if not isinstance(text, str) or removed is None or not len(removed):
         return text
     gone = set(removed)
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)

@@ -227,6 +227,24 @@ def test_lines_by_hand(spark, odd, none):
     assert line_join.dedup_lines(odd).count() == odd.count() and line_join.dedup_lines(none).count() == 0
 
 
+def test_lines_in_small_parts(spark, docs, monkeypatch):
+    rows = lambda: sorted((r["k"], r["n_lines"], r["n_links"], r["removed"]) for r in line_join.removed_lines(docs).collect())
+    whole = rows()
+    monkeypatch.setattr(line_join, "PER_PART", 2)
+    assert rows() == whole and any(r[3] for r in whole)
+    twice = docs.unionByName(docs.limit(40))
+    assert {r["k"]: r["removed"] for r in line_join.removed_lines(twice).collect()} == {r[0]: r[3] for r in whole}
+
+
+def test_words_of_a_block(texts):
+    every = [t or "" for t in texts.values()][:60] + ["", " ", "é\u3000 \x0b\x1f x\n\ny"]
+    h, start, line = common.block_words("\n".join(every).encode())
+    want = [(w, i) for i, row in enumerate("\n".join(every).split("\n")) for w in WORD.findall(row)]
+    assert line.tolist() == [i for _, i in want] and len(start) == len(want)
+    seen = {}
+    assert all(seen.setdefault(w, x) == x for (w, _), x in zip(want, h.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+
+
 # ---- 6
 
 
