@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MARK = "▁"  # the space mark
-UNIT_CACHE = 600_000  # encodings kept in a worker
-PAIR_CACHE = 2_000_000  # answers on neighbours kept in a worker
+UNIT_CACHE = 200_000  # encodings kept in a worker
+PAIR_CACHE = 300_000  # answers on neighbours kept in a worker
 
 
 def default_model() -> str:
