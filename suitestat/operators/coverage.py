@@ -187,3 +187,45 @@ def handler_calls(calls: DataFrame, endpoints: DataFrame, ancestors: DataFrame)
     c = c.join(ancestors, c["receiver_type"] == ancestors["class_name"]).join(h.withColumnRenamed("class_name", "ancestor").withColumnRenamed("method_signature", "callee_signature"), ["ancestor", "callee_signature"])
     near = c.groupBy("test_id", "receiver_type", "callee_signature").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("owner"))
     return near.groupBy(F.col("owner").alias("class_name"), F.col("callee_signature").alias("method_signature")).agg(F.count_distinct("test_id").alias("tests"))
+
+
+# ---- deploy prefixes and production keys
+
+
+def has_lead_segment(requests: DataFrame, leads: list[str]) -> DataFrame:
+    """PRJ-34: projects with a path whose first segment is one of the leads."""
+    first = F.get(segments(normalize_path(F.col("http_path"))), 0)
+    return requests.filter(first.isin(*leads)).select("project_id").distinct()
+
+
+def coverage_with_prefixes(requests: DataFrame, endpoints: DataFrame, prefixes: DataFrame, more: DataFrame) -> DataFrame:
+    """PRJ-35, ST2-07: covered endpoints per project with the discovered prefixes, and with extra deploy prefixes: (project_id, variant, endpoints, covered, coverage_ratio)."""
+    out = None
+    for variant, table in (("discovered", prefixes), ("with-deploy-prefixes", prefixes.unionByName(more))):
+        cov = endpoint_coverage(endpoints, matched_requests(requests, match(requests, endpoints, table)))
+        part = coverage_summary(cov, "project_id").withColumn("variant", F.lit(variant))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def production_keys(resource_steps: DataFrame, matches: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """PRJ-36: resource steps with production_key: the resource of the endpoints that the request matches if they have one key, else the step's own; and whether it was resolved."""
+    from suitestat.functions.urls import normalize_request_path, resource_key
+
+    key = endpoints.select("project_id", "endpoint_id", resource_key(normalize_request_path(F.col("path_template"))).alias("_k")).filter("_k is not null")
+    request = ["project_id", "http_method", "http_path"]
+    one = matches.join(key, ["project_id", "endpoint_id"]).groupBy(*request).agg(F.count_distinct("_k").alias("_n"), F.min("_k").alias("_k")).filter("_n = 1").drop("_n")
+    out = resource_steps.join(one, request, "left")
+    return out.withColumn("production_key", F.coalesce("_k", "resource_key")).withColumn("resolved", F.col("_k").isNotNull()).drop("_k")
+
+
+def grouping_comparison(resource_steps_: DataFrame) -> DataFrame:
+    """ST2-08: sequences under the observed and under the production grouping: how many read after they write, and how many clean up."""
+    from suitestat.operators.sequences import resource_sequences
+
+    out = None
+    for name, column in (("observed", "resource_key"), ("production", "production_key")):
+        s = resource_sequences(resource_steps_.withColumn("resource_key", F.col(column)))
+        part = s.agg(F.count(F.lit(1)).alias("sequences"), F.count_if("read_after_write").alias("read_after_write"), F.count_if("cleanup_delete").alias("cleanup_delete")).withColumn("grouping", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

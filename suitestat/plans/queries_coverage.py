@@ -235,3 +235,19 @@ def st2_coverage_buckets(spark, sf_dir):
 @query(f"WITH {_COV}, e2 AS (SELECT * FROM cov WHERE covering_tests > 0) SELECT (SELECT count(*) FROM cov) AS endpoints, (SELECT CAST(count(*) FILTER (covering_tests > 0) AS DOUBLE) / count(*) FROM cov) AS covered_share, {summary('covering_tests')} FROM e2")
 def st2_coverage_payload(spark, sf_dir):
     return T.coverage_payload(_cov(spark, sf_dir))
+
+
+@query()
+def st2_grouping_comparison(spark, sf_dir):
+    steps, e, m = _match(spark, sf_dir)
+    return C.grouping_comparison(C.production_keys(S.resource_steps(steps), m, e))
+
+
+@query()
+def st2_prefix_comparison(spark, sf_dir):
+    steps, e, _ = _match(spark, sf_dir)
+    # Every other request goes through a deploy prefix that the code doesn't declare.
+    asked = steps.withColumn("http_path", F.when(F.col("k") % 2 == 0, F.concat(F.lit("/app"), "http_path")).otherwise(F.col("http_path")))
+    none = spark.createDataFrame([], "project_id bigint, prefix string")
+    more = C.has_lead_segment(asked, ["app"]).withColumn("prefix", F.lit("/app"))
+    return C.coverage_with_prefixes(asked, e, none, more)

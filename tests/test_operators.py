@@ -219,3 +219,14 @@ def test_code_tables_by_hand(spark):
     assert {r["method_signature"]: r["ambiguous"] for r in fixtures.collect()} == {"s": False, "t": True, "u": False}
     seen = L.state_observations(f([(1, 1, "db", 5, 8, "x"), (1, 2, "mq", 20, 22, None), (1, 3, "fs", 30, 31, "z")], "test_id int, call_id int, medium string, start int, stop int, target string"), f([(1, 10, 12, ["x"]), (1, 19, 25, [])], "test_id int, start int, stop int, names array<string>"))
     assert {r["call_id"]: r["tier"] for r in seen.collect()} == {1: "binding", 2: "nested"}
+
+
+def test_prefixes_and_production_keys(spark):
+    e = spark.createDataFrame([(1, 1, "GET", False, "/v1/a/{id}"), (1, 2, "DELETE", False, "/v1/a"), (1, 3, "POST", False, "/v1/a")], ENDPOINTS)
+    r = spark.createDataFrame([(1, 1, 1, "http-request", "POST", "/app/v1/a"), (1, 1, 2, "http-request", "GET", "/app/v1/a/7")], "project_id int, test_id int, pos int, kind string, http_method string, http_path string")
+    none, more = (spark.createDataFrame(x, "project_id int, prefix string") for x in ([], [(1, "/app")]))
+    assert [x["project_id"] for x in C.has_lead_segment(r, ["app"]).collect()] == [1] and C.has_lead_segment(r, ["v1"]).count() == 0
+    assert {x["variant"]: x["covered"] for x in C.coverage_with_prefixes(r, e, none, more).collect()} == {"discovered": 0, "with-deploy-prefixes": 2}
+    keyed = C.production_keys(S.resource_steps(r), C.match(r, e, more), e)
+    assert {x["http_method"]: (x["resource_key"], x["production_key"], x["resolved"]) for x in keyed.collect()} == {"POST": ("/app/v1/a", "/v1/a", True), "GET": ("/app/v1/a", "/v1/a", True)}
+    assert {x["grouping"]: x["read_after_write"] for x in C.grouping_comparison(keyed).collect()} == {"observed": 1, "production": 1}
