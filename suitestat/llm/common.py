@@ -49,6 +49,34 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch for operators on texts: a batch of 10,000 long texts, several times over, is a large share of an executor.
+TEXT_BATCH = 2000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's rows of an Arrow batch to TEXT_BATCH, where it is above that."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > TEXT_BATCH:
+        df.sparkSession.conf.set(name, TEXT_BATCH)
+    return df
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: Python workers live on from stage to stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it has its own rules
+        pass
+
+
 def words(text: Column) -> Column:
     """array<string> of the words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

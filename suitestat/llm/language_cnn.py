@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import id_hash
+from suitestat.llm.common import bound_batches, id_hash, release
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """
     import pyarrow as pa
 
-    docs = docs.drop(*[c for c in docs.columns if c in ("held_out", "lang_pred", "score")])
+    docs = bound_batches(docs).drop(*[c for c in docs.columns if c in ("held_out", "lang_pred", "score")])
     x, y, languages = sample(docs, text, lang, key, train_docs, windows_each, max_languages, seed)
     net = train(x, y, languages) if languages else None
     base = docs.withColumn("held_out", held_out(key)).withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
@@ -185,5 +185,6 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
                     pred[j] = languages[b]
                 score[part] = np.clip(mean.max(axis=1), 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+        release()
 
     return base.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import materialize
+from suitestat.llm.common import bound_batches, materialize, release
 
 UNITS = {
     "line": re.compile(r"[^\n]+"),
@@ -50,6 +50,7 @@ def unit_rows(docs: DataFrame, text: str, key: str, unit: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
                     cols = ([], [], [], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        release()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(run, "k long, pos int, start int, stop int, words int, digest binary")
@@ -64,7 +65,7 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str
     are joined back, from a written table, so a unit that a third of all documents
     share is a join whose large side Spark may split.
     """
-    rows = materialize(unit_rows(docs, text, key, unit), "units")
+    rows = materialize(unit_rows(bound_batches(docs), text, key, unit), "units")
     first = rows.groupBy("digest").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     first = materialize(first, "repeated")
     again = rows.join(first, "digest").filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("pos") == F.col("first.pos"))))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, block_words, materialize, mix64, shingles
+from suitestat.llm.common import GOLDEN, block_words, bound_batches, materialize, mix64, release, shingles
 from suitestat.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -129,6 +129,7 @@ def line_rows(docs: DataFrame, text: str, key: str, counts: np.ndarray, threshol
                 prefix = [token[s : s + p].tobytes() for s, p in zip(start.tolist(), take.tolist(), strict=True)]
                 arrays = [pa.array([keys[held[d]] for d in doc.tolist()], pa.int64()), pa.array((line[start] - head[doc]).astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(prefix, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["k", "pos", "d1", "d2", "prefix"])
+        release()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(run, "k long, pos int, d1 long, d2 long, prefix binary")
@@ -215,6 +216,7 @@ def token_table(docs: DataFrame, text: str, key: str, wanted: DataFrame, counts:
                         out.append((r["family"], r["parts"], r["d1"], r["d2"], k, r["pos"], token[ends[j] : ends[j + 1]].tobytes()))
             cols = zip(*out, strict=True) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=[*names, "tokens"])
+        release()
 
     asked = wanted.groupBy("k").agg(F.collect_list(F.struct("pos", "d1", "d2", "family", "parts")).alias("asked"))
     rows = docs.select(F.col(key).cast("long").alias("dk"), F.col(text).cast("string").alias("t"))
@@ -294,7 +296,7 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
     are ranked by key, null first, lines by number.  Rows that share a key count as one
     document, whose first occurrences stay in each of them: give keys that are unique.
     """
-    counts = word_counts(docs, text)
+    counts = word_counts(bound_batches(docs), text)
     lines = materialize(line_rows(docs, text, key, counts, threshold), "lines")
     firsts = materialize(lines.groupBy("d1", "d2").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("copies")), "line-sets")
     family = materialize(families(lines), "line-families")

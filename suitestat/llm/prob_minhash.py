@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, hash_words, materialize, mix64, shingles, split_words
+from suitestat.llm.common import GOLDEN, bound_batches, hash_words, materialize, mix64, release, shingles, split_words
 from suitestat.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -95,6 +95,7 @@ def sign(docs: DataFrame, text: str, key: str, k: int, bands: int, rows: int) ->
             for ids, digests, keys in out:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "digest", "bands"])
+        release()
 
     rows_ = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return rows_.mapInArrow(run, "id long, digest binary, bands array<long>")
@@ -193,7 +194,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = S
     threshold shares a band with probability 1 - (1 - threshold^rows)^bands: 0.99997
     as set here, more above it.
     """
-    signed = materialize(sign(docs, text, key, k, bands, rows), "signed")
+    signed = materialize(sign(bound_batches(docs), text, key, k, bands, rows), "signed")
     # Copies: one representative for each digest.
     copies = materialize(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")), "copies")
     keyed = materialize(copies.select("rep", "n", F.explode("bands").alias("bucket")), "banded")

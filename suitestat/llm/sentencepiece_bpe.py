@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from suitestat.llm.common import bound_batches, release
+
 MARK = "▁"  # the space mark
 UNIT_CACHE = 200_000  # encodings kept in a worker
 PAIR_CACHE = 300_000  # answers on neighbours kept in a worker
@@ -240,9 +242,10 @@ def encode_decode(df: DataFrame, text: str = "text", model_file: str | None = No
             if with_text:
                 new.append(pa.array(decoded, pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=names)
+        release()
 
     new = [x.split(" ")[0] for x in schema.split(", ")]
-    keep = df.select(*[c for c in df.columns if c != text and c not in new], F.col(text).cast("string").alias(text))
+    keep = bound_batches(df).select(*[c for c in df.columns if c != text and c not in new], F.col(text).cast("string").alias(text))
     names = [*keep.columns[:-1], *new]
     kept = keep.drop(text).schema
     for field in StructType.fromDDL(schema):
