@@ -49,6 +49,11 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage, which a job of many small plans may not do for long."""
+    df.sparkSession._jvm.System.gc()
+
+
 #: Rows of an Arrow batch for operators on texts: a batch of 10,000 long texts, several times over, is a large share of an executor.
 TEXT_BATCH = 2000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import discard, materialize
+from suitestat.llm.common import discard, free_shuffles, materialize
 
 
 def _minima(edges: DataFrame, name: str) -> DataFrame:
@@ -42,6 +42,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         before, now = now, materialize(_distinct(small), "small-star")
         discard(before, most, large, least)
+        free_shuffles(now)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = now.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, block_words, bound_batches, materialize, mix64, release, shingles
+from suitestat.llm.common import GOLDEN, block_words, bound_batches, free_shuffles, materialize, mix64, release, shingles
 from suitestat.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -180,7 +180,9 @@ def families(lines: DataFrame) -> DataFrame:
     index = lines.select("d1", "prefix").mapInArrow(unfold, "token long, d1 long")
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = index.repartition(n, "token").sortWithinPartitions("token", "d1").mapInArrow(stars, "a long, b long")
-    return components(materialize(edges, "line-stars")).select(F.col("id").alias("d1"), F.col("root").alias("family"))
+    edges = materialize(edges, "line-stars")
+    free_shuffles(edges)
+    return components(edges).select(F.col("id").alias("d1"), F.col("root").alias("family"))
 
 
 def token_table(docs: DataFrame, text: str, key: str, wanted: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -300,6 +302,7 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
     lines = materialize(line_rows(docs, text, key, counts, threshold), "lines")
     firsts = materialize(lines.groupBy("d1", "d2").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("copies")), "line-sets")
     family = materialize(families(lines), "line-families")
+    free_shuffles(family)
     parts = materialize(family.groupBy("family").agg(F.ceil(F.count("*") / PER_PART).cast("int").alias("parts")), "line-parts")
     wanted = firsts.join(family.join(parts, "family"), "d1").select("d1", "d2", "first.k", "first.pos", "family", "parts")
     seen = links_within(token_table(docs, text, key, wanted, counts), threshold).groupBy("d1", "d2").agg(F.sum("links").alias("links"), F.min(F.struct(F.col("first_k").alias("k"), F.col("first_pos").alias("pos"))).alias("other"))
