@@ -65,10 +65,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of a document's original text that go, and its size in code points."""
     from pyspark.sql import functions as F
 
-    from suitestat.llm.line_hash import removals
+    from suitestat.llm.line_hash import removed_passages
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = removals(docs)
+    gone = removed_passages(docs)
     sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
     out = sizes.join(gone, sizes["doc_id"].eqNullSafe(gone["k"]), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>"))

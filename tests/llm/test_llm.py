@@ -372,6 +372,42 @@ def test_passage_goes_and_the_rest_stays(spark, odd, none):
     assert line_hash.dedup_substrings(odd).count() == odd.count() and line_hash.dedup_substrings(none).count() == 0
 
 
+def test_passage_within_sentences_goes(spark):
+    rng = random.Random(80)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    within, across = word(60), f"{word(25)}. {word(6)}. {word(25)}"
+    parts = [(word(9), word(7)), (word(5), word(8))]
+    rows = [(i, f"{a} {p} {b}. {word(12)}.") for i, (p, (a, b)) in enumerate((p, ab) for ab in parts for p in (within, across))]
+    got = {r["doc_id"]: r for r in line_hash.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i]["removed_words"] for i in range(4)] == [0, 0, 60, 56]
+    for i, p in ((2, within), (3, across)):
+        assert [rows[i][1][s["start"] : s["stop"]].strip() for s in got[i]["removed_spans"]] == [p]
+
+
+def covered_share(texts, spans, n=50):
+    """Words in runs of n that an earlier document has, and how many of those are in no span; words that stand alone for a whole text are left out."""
+    seen, all_, lost = set(), 0, 0
+    for i in sorted(texts):
+        ms = list(WORD.finditer((texts[i] or "").lower()))
+        ws = [hash(m[0]) for m in ms]
+        wins = [hash(tuple(ws[j : j + n])) for j in range(len(ws) - n + 1)]
+        if len(set(ws)) > 1:
+            need = {p for j, x in enumerate(wins) if x in seen for p in range(j, j + n)}
+            gone = {p for p, m in enumerate(ms) for s in spans.get(i, ()) if s[0] <= m.start() < s[1]}
+            all_, lost = all_ + len(need), lost + len(need - gone)
+        seen.update(wins)
+    return all_, lost
+
+
+def test_long_passages_of_the_table_go(spark, docs, texts):
+    got = {r["k"]: [tuple(s) for s in r["spans"]] for r in line_hash.removed_passages(docs).collect()}
+    whole = {r["k"]: [tuple(s) for s in r["spans"]] for r in line_hash.removals(docs).collect()}
+    n, lost = covered_share(texts, got)
+    print("passages of 50 words:", n, "words; lost", lost, "whole units lost", covered_share(texts, whole)[1])
+    assert n and lost <= 0.01 * n and lost < covered_share(texts, whole)[1]
+    assert all(any(a <= s[0] and s[1] <= b for a, b in got[k]) for k, ss in whole.items() for s in ss)
+
+
 # ---- 9
 
 
