@@ -1,11 +1,12 @@
 """Operator 7: near-duplicate documents by ProbMinHash, banding and verification.
 
-Shingles of five words weigh 1 + ln(count).  Each shingle is a Poisson process whose
+Distinct shingles of five words weigh 1 each: pairs are verified as sets, and with other
+weights sets of one similarity could have signatures of less.  Each shingle is a Poisson process whose
 rate is its weight: arrivals come at the sums of exponential gaps (from the shingle's
 hash, so they are the same in every document) and fall on random places of the
 signature; a place keeps the shingle that arrived first.  A process ends when its
 next arrival is later than the latest first arrival of any place.  Two places agree
-with the probability Jaccard similarity.  Bands of the signature give candidate
+with the probability Jaccard similarity, which at equal weights is that of the sets.  Bands of the signature give candidate
 groups.  Pairs are verified by the exact Jaccard similarity of their shingle sets.
 
 Equal texts are one representative first.  In a candidate group all members are
@@ -53,11 +54,11 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
     return sign.reshape(n, places)
 
 
-def shingle_set(text: str | None, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Distinct shingle hashes in order, their counts, and a digest of the words."""
+def shingle_set(text: str | None, k: int = SHINGLE) -> tuple[np.ndarray, bytes]:
+    """Distinct shingle hashes in order, and a digest of the words."""
     ws = split_words(text)
-    found, counts = np.unique(shingles(hash_words(ws), k), return_counts=True)
-    return found, counts, hashlib.md5(" ".join(ws).encode("utf-8", "surrogatepass")).digest()
+    found = np.unique(shingles(hash_words(ws), k))
+    return found, hashlib.md5(" ".join(ws).encode("utf-8", "surrogatepass")).digest()
 
 
 def sign(docs: DataFrame, text: str, key: str, k: int, bands: int, rows: int) -> DataFrame:
@@ -70,7 +71,7 @@ def sign(docs: DataFrame, text: str, key: str, k: int, bands: int, rows: int) ->
         sizes = [len(h[2]) for h in held]
         owner = np.repeat(np.arange(len(held)), sizes)
         elements = np.concatenate([h[2] for h in held])
-        weights = 1 + np.log(np.concatenate([h[3] for h in held]))
+        weights = np.ones(len(elements))
         s = signatures(elements, weights, owner, len(held), bands * rows).reshape(len(held), bands, rows)
         key_ = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(held), bands)).copy()
         for i in range(rows):
@@ -84,9 +85,9 @@ def sign(docs: DataFrame, text: str, key: str, k: int, bands: int, rows: int) ->
             out: list = []
             n = 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, counts, digest = shingle_set(t.as_py(), k)
+                found, digest = shingle_set(t.as_py(), k)
                 if len(found):
-                    held.append((i, digest, found, counts))
+                    held.append((i, digest, found))
                     n += len(found)
                     if n > BLOCK:
                         flush(held, out)

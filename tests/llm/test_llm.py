@@ -336,6 +336,19 @@ def test_near_duplicates_of_the_table(spark, docs, texts):
     assert {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(docs).collect()} == brute_classes(texts)
 
 
+def test_near_duplicates_of_repeated_words(spark):
+    rng = random.Random(81)
+    texts = {}
+    for i in range(40):  # a text with half of its words 150 times, and it with some of those gone: set similarity 0.81
+        ring, rest = ([f"{c}{i}_{rng.randrange(10**6)}" for _ in range(50)] for c in "ab")
+        texts[2 * i] = " ".join(rest + ring * 150)
+        texts[2 * i + 1] = " ".join(rest + ring[:35])
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 40
+    assert {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(df).collect()} == want
+
+
 # ---- 8
 
 
