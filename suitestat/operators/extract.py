@@ -48,7 +48,7 @@ def verbs(name: Column, body: Column) -> Column:
 def endpoints(methods: DataFrame, class_annotations: DataFrame) -> DataFrame:
     """EXT-01/05..07/18: verbs x class paths x method paths of every mapped method.
 
-    methods: class_name, method_signature, annotation (text); class_annotations:
+    The method paths of JAX-RS stand in @Path annotations of their own.  methods: class_name, method_signature, annotation (text); class_annotations:
     class_name, annotation (text) of classes that serve.
     """
     m = methods.withColumn("_n", annotation_name("annotation")).withColumn("_b", annotation_body("annotation"))
@@ -56,7 +56,11 @@ def endpoints(methods: DataFrame, class_annotations: DataFrame) -> DataFrame:
     m = m.join(F.broadcast(kinds), "_n")  # a fixed list of annotations
     base = class_annotations.filter(annotation_name("annotation").isin("RequestMapping", "Path", "Controller")).select("class_name", F.explode(paths(annotation_body("annotation"))).alias("class_path"))
     rows = m.join(base, "class_name", "left").withColumn("class_path", F.coalesce("class_path", F.lit("")))
-    rows = rows.withColumn("http_method", F.explode(verbs(F.col("_n"), F.col("_b")))).withColumn("_p", F.explode(paths(F.col("_b"))))
+    rows = rows.withColumn("http_method", F.explode(verbs(F.col("_n"), F.col("_b"))))
+    own = methods.filter(annotation_name("annotation") == "Path").select("class_name", "method_signature", F.explode(paths(annotation_body("annotation"))).alias("_path"))
+    own = own.groupBy("class_name", "method_signature").agg(F.collect_set("_path").alias("_paths"))
+    rows = rows.join(own, ["class_name", "method_signature"], "left")
+    rows = rows.withColumn("_p", F.explode(F.when(F.col("framework") == "jax-rs", F.coalesce("_paths", F.array(F.lit("")))).otherwise(paths(F.col("_b")))))
     wild = (F.col("http_method") == "UNKNOWN") & (F.col("_n") == "RequestMapping")
     return rows.select("class_name", "method_signature", "framework", "http_method", wild.alias("is_method_wildcard"), join_paths("class_path", "_p").alias("path_template")).distinct()
 

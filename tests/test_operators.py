@@ -230,3 +230,10 @@ def test_prefixes_and_production_keys(spark):
     keyed = C.production_keys(S.resource_steps(r), C.match(r, e, more), e)
     assert {x["http_method"]: (x["resource_key"], x["production_key"], x["resolved"]) for x in keyed.collect()} == {"POST": ("/app/v1/a", "/v1/a", True), "GET": ("/app/v1/a", "/v1/a", True)}
     assert {x["grouping"]: x["read_after_write"] for x in C.grouping_comparison(keyed).collect()} == {"observed": 1, "production": 1}
+
+
+def test_jax_rs_paths_of_methods(spark):
+    m = spark.createDataFrame([("A", "one", "@GET"), ("A", "one", '@Path("/{id}")'), ("A", "all", "@GET"), ("A", "two", '@Path("/x")'), ("A", "two", "@POST"), ("A", "sub", '@Path("/sub")')], "class_name string, method_signature string, annotation string")
+    c = spark.createDataFrame([("A", '@Path("/a")')], "class_name string, annotation string")
+    got = {(r["method_signature"], r["http_method"], r["path_template"]) for r in E.endpoints(m, c).collect()}
+    assert got == {("one", "GET", "/a/{id}"), ("all", "GET", "/a"), ("two", "POST", "/a/x")}
