@@ -72,21 +72,22 @@ def is_server(class_annotations: DataFrame) -> DataFrame:
     return serve.join(n.filter(F.col("_n").isin("FeignClient", "HttpExchange", "RegisterRestClient", "Client")), "class_name", "left_anti")
 
 
-def mounts(locators: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
+def mounts(locators: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
     """EXT-08/23: (class_name, mount): class paths carried along sub-resource edges.
 
     roots: class_name, mount; locators: class_name, path, target.  Each round follows one
     edge more, until nothing is new; a class reached by several ways has several mounts.
+    A way that comes to a class again ends there.  Raises if max_depth rounds don't do.
     """
-    out = roots.select("class_name", normalize_path("mount").alias("mount")).distinct()
-    front = out
+    front = roots.select("class_name", normalize_path("mount").alias("mount")).distinct().withColumn("_seen", F.array("class_name"))
+    out = front
     for _ in range(max_depth):
-        nxt = front.join(locators, "class_name").select(F.col("target").alias("class_name"), join_paths("mount", "path").alias("mount")).distinct()
-        front = cut(nxt.join(out, ["class_name", "mount"], "left_anti"))
+        nxt = front.join(locators, "class_name").filter(~F.array_contains("_seen", F.col("target")))
+        front = cut(nxt.select(F.col("target").alias("class_name"), join_paths("mount", "path").alias("mount"), F.concat("_seen", F.array("target")).alias("_seen")).distinct())
         if front.isEmpty():
-            break
+            return out.select("class_name", "mount").distinct()
         out = out.unionByName(front)
-    return out
+    raise RuntimeError(f"mounts did not settle in {max_depth} rounds")
 
 
 def nearest_mapping(ancestors: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -166,10 +167,10 @@ def body_parameters(parameters_: DataFrame, methods: DataFrame) -> DataFrame:
     return lone.join(able, keys, "left_semi").join(taken, keys, "left_anti").select(*keys, "name", F.lit("body").alias("source"), F.lit(True).alias("required"))
 
 
-def bean_parameters(beans: DataFrame, fields: DataFrame, max_depth: int = 4) -> DataFrame:
+def bean_parameters(beans: DataFrame, fields: DataFrame, max_depth: int = 1000) -> DataFrame:
     """EXT-16: fields of bean parameters as parameters, through beans within beans; a type without fields is one row that can't be scored.
 
-    beans: class_name, method_signature, type; fields: type, name, source, bean (the field's bean type or null).
+    Raises if max_depth rounds don't do.  beans: class_name, method_signature, type; fields: type, name, source, bean (the field's bean type or null).
     """
     keys = ["class_name", "method_signature"]
     now = beans.select(*keys, "type", F.array("type").alias("_seen"))
@@ -179,7 +180,10 @@ def bean_parameters(beans: DataFrame, fields: DataFrame, max_depth: int = 4) ->
         rows = step.filter("bean is null").select(*keys, F.coalesce("name", "type").alias("name"), F.coalesce("source", F.lit("query")).alias("source"), F.col("name").isNull().alias("is_unscorable"))
         out = rows if out is None else out.unionByName(rows)
         now = step.filter(F.col("bean").isNotNull() & ~F.array_contains("_seen", F.col("bean"))).select(*keys, F.col("bean").alias("type"), F.concat("_seen", F.array("bean")).alias("_seen"))
-    return out.distinct()
+        now = cut(now.distinct())
+        if now.isEmpty():
+            return out.distinct()
+    raise RuntimeError(f"beans did not settle in {max_depth} rounds")
 
 
 #: Header constants by name.

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from suitestat.functions.lineage import cut
 
 
-def closure(edges: DataFrame, child: str = "class_name", parent: str = "parent", max_depth: int = 32) -> DataFrame:
+def closure(edges: DataFrame, child: str = "class_name", parent: str = "parent", max_depth: int = 1000) -> DataFrame:
     """SYM-08/09: (child, ancestor, depth): itself at 0, nearest depth of each ancestor.
 
-    A bounded loop of joins, one level a round, until a round finds nothing new; cycles
-    end because an ancestor is kept at its first depth only.
+    A loop of joins, one level a round, until a round finds nothing new; cycles end
+    because an ancestor is kept at its first depth only.  Raises if max_depth rounds
+    don't do.
     """
     e = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).filter("parent is not null").distinct()
     every = edges.select(F.col(child).alias("child")).unionByName(e.select(F.col("parent").alias("child"))).distinct()
@@ -22,9 +23,9 @@ def closure(edges: DataFrame, child: str = "class_name", parent: str = "parent",
         up = front.select("child", F.col("ancestor").alias("_a")).join(e, F.col("_a") == e["child"]).select(front["child"], F.col("parent").alias("ancestor")).distinct()
         front = cut(up.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
-            break
+            return out
         out = out.unionByName(front)
-    return out
+    raise RuntimeError(f"closure did not settle in {max_depth} rounds")
 
 
 def visible_methods(ancestors: DataFrame, methods: DataFrame) -> DataFrame:
@@ -110,11 +111,12 @@ def unambiguous(candidates: DataFrame, *keys: str) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.count_distinct("type").alias("_n"), F.min("type").alias("type")).filter("_n = 1").drop("_n")
 
 
-def resolve_constants(fields: DataFrame, max_rounds: int = 16) -> DataFrame:
+def resolve_constants(fields: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """SYM-25/39: (name, value): string constants through references and concatenation.
 
     fields: name, tokens array<struct<kind, text>> (kind literal or reference).  A
     name that refers to itself, or to one that can't be resolved, is null.
+    Raises if max_rounds rounds don't do.
     """
     parts = fields.select("name", F.posexplode("tokens").alias("i", "t")).select("name", "i", "t.kind", "t.text")
     done = fields.filter(~F.exists("tokens", lambda t: t["kind"] == "reference")).select("name", F.array_join(F.transform("tokens", lambda t: t["text"]), "").alias("value"))
@@ -123,9 +125,9 @@ def resolve_constants(fields: DataFrame, max_rounds: int = 16) -> DataFrame:
         p = parts.join(done, "name", "left_anti").join(known, "text", "left").withColumn("v", F.when(F.col("kind") == "literal", F.col("text")).otherwise(F.col("value")))
         ready = cut(p.groupBy("name").agg(F.count_if(F.col("v").isNull()).alias("open"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]), "").alias("value")).filter("open = 0").select("name", "value"))
         if ready.isEmpty():
-            break
+            return fields.select("name").join(done, "name", "left")
         done = done.unionByName(ready)
-    return fields.select("name").join(done, "name", "left")
+    raise RuntimeError(f"constants did not settle in {max_rounds} rounds")
 
 
 def type_name(reference: str | Column) -> Column:

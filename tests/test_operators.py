@@ -237,3 +237,21 @@ def test_jax_rs_paths_of_methods(spark):
     c = spark.createDataFrame([("A", '@Path("/a")')], "class_name string, annotation string")
     got = {(r["method_signature"], r["http_method"], r["path_template"]) for r in E.endpoints(m, c).collect()}
     assert got == {("one", "GET", "/a/{id}"), ("all", "GET", "/a"), ("two", "POST", "/a/x")}
+
+
+def test_deep_nesting_is_whole(spark):
+    beans = spark.createDataFrame([("A", "m", "T0")], "class_name string, method_signature string, type string")
+    fields = [(f"T{i}", f"f{i}", "query", None) for i in range(8)] + [(f"T{i}", "in", None, f"T{(i + 1) % 8}") for i in range(8)]
+    got = E.bean_parameters(beans, spark.createDataFrame(fields, "type string, name string, source string, bean string")).collect()
+    assert sorted(r["name"] for r in got) == [f"f{i}" for i in range(8)]
+    roots = spark.createDataFrame([("C0", "/r")], "class_name string, mount string")
+    steps = [(f"C{i}", f"p{i}", f"C{i + 1}") for i in range(10)] + [("C10", "back", "C0")]
+    got = {r["class_name"]: r["mount"] for r in E.mounts(spark.createDataFrame(steps, "class_name string, path string, target string"), roots).collect()}
+    assert len(got) == 11 and got["C10"] == "/r/" + "/".join(f"p{i}" for i in range(10))
+    names = [("k0", [("literal", "/v")])] + [(f"k{i}", [("reference", f"k{i - 1}")]) for i in range(1, 20)]
+    got = {r["name"]: r["value"] for r in H.resolve_constants(spark.createDataFrame(names, "name string, tokens array<struct<kind:string,text:string>>")).collect()}
+    assert set(got.values()) == {"/v"}
+    up = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(36)], "class_name string, parent string")
+    assert H.closure(up).filter("child = 'c0'").count() == 37
+    with pytest.raises(RuntimeError, match="settle"):
+        H.closure(up, max_depth=3)
