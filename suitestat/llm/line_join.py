@@ -1,6 +1,7 @@
 """Operator 5: line dedup by an exact set-similarity join.
 
-A line is the set of its five-word shingles; lines of fewer words are left alone.
+A line is the set of its five-word shingles; a line of one to four words is one token of
+all its words, so short lines match equal ones.
 Tokens are ordered by rarity: by the corpus counts of their words, which a first pass
 gathers into a fixed number of counters, then by hash.  Any one order gives the same
 result; a rare one first makes the index short.  Lines of one token set are one set.
@@ -84,12 +85,25 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def line_sets(h: np.ndarray, line: np.ndarray, weight: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(line, token) of the distinct tokens of each line of k words or more, the rarest of a line first."""
-    if len(h) < k:
-        return line[:0], h[:0]
-    inside = line[: len(h) - k + 1] == line[k - 1 :]
-    token, rare = shingles(h, k)[inside], np.convolve(weight[(h >> np.uint64(48)).astype(np.int64)], np.ones(k, np.int64), "valid")[inside]
-    line = line[: len(h) - k + 1][inside]
+    """(line, token) of the distinct tokens of each line that has a word, the rarest of a line first."""
+    if not len(h):
+        return line, h
+    rare = weight[(h >> np.uint64(48)).astype(np.int64)]
+    start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    size = np.diff(np.append(start, len(line)))
+    lines, tokens, rares = [], [], []
+    if len(h) >= k:
+        inside = line[: len(h) - k + 1] == line[k - 1 :]
+        lines, tokens, rares = [line[: len(h) - k + 1][inside]], [shingles(h, k)[inside]], [np.convolve(rare, np.ones(k, np.int64), "valid")[inside]]
+    for n in range(1, k):
+        at = start[size == n]
+        token = np.zeros(len(at), np.uint64)
+        for i in range(n):
+            token = mix64(token + h[at + i] + GOLDEN)
+        lines.append(line[at])
+        tokens.append(token)
+        rares.append(np.zeros(len(at), np.int64))
+    line, token, rare = np.concatenate(lines), np.concatenate(tokens), np.concatenate(rares)
     order = np.lexsort((token, rare, line))
     line, token = line[order], token[order]
     new = np.ones(len(token), bool)
@@ -107,7 +121,7 @@ def digests(token: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def line_rows(docs: DataFrame, text: str, key: str, counts: np.ndarray, threshold: float) -> DataFrame:
-    """A row for each line of SHINGLE words or more: k, pos (line number), d1, d2 (digest of the token set), prefix (rarest tokens)."""
+    """A row for each line that has a word: k, pos (line number), d1, d2 (digest of the token set), prefix (rarest tokens)."""
     import pyarrow as pa
 
     weight = rarity(counts)
@@ -292,7 +306,7 @@ def links_within(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document with a line of SHINGLE words or more: k, n_lines (of those), n_links, removed (line numbers from 0).
+    """A row for each document with a word: k, n_lines (with a word), n_links, removed (line numbers from 0).
 
     n_links counts, over its lines, the other token sets that are similar.  Documents
     are ranked by key, null first, lines by number.  Rows that share a key count as one

@@ -134,8 +134,8 @@ WITH l AS (
   SELECT doc_id, u.pos - 1 AS pos, regexp_extract_all(u.line, '[^\\x20\\x09-\\x0D]+') AS w
   FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(line, pos)),
 s AS (
-  SELECT doc_id, pos, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS t
-  FROM l WHERE len(w) >= 5),
+  SELECT doc_id, pos, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS t
+  FROM l WHERE len(w) > 0),
 f AS (SELECT t, min((doc_id, pos)) AS first, row_number() OVER (ORDER BY t) AS id, len(t) AS n FROM s GROUP BY t),
 e AS (SELECT id, n, unnest(t) AS x FROM f),
 p AS (
