@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,19 +27,44 @@ def shared_dir(spark: SparkSession) -> str:
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold while a plan runs, and are as before after it."""
+    before = {name: spark.conf.get(name) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+#: Rows of an Arrow batch for operators on texts: a batch of 10,000 long texts, several times over, is a large share of an executor.
+TEXT_BATCH = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
-    later readers prune columns.
+    later readers prune columns.  Spark deletes the shuffle files of the write when it ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/suitestat-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/suitestat-{name}-{uuid.uuid4().hex}"
+    batch = int(spark.conf.get(BATCH_SETTING))
+    batch = min(batch, TEXT_BATCH) if batch > 0 else TEXT_BATCH
+    with settings(spark, {CLEAN_SETTING: "true", BATCH_SETTING: str(batch)}):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
@@ -49,15 +76,6 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage, which a job of many small plans may not do for long."""
-    df.sparkSession._jvm.System.gc()
-
-
-#: Rows of an Arrow batch for operators on texts: a batch of 10,000 long texts, several times over, is a large share of an executor.
-TEXT_BATCH = 2000
-
-
 def bound_batches(df: DataFrame) -> DataFrame:
     """Lower the session's rows of an Arrow batch to TEXT_BATCH, where it is above that."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, WORD, _power, block_words, bound_batches, discard, free_shuffles, materialize, mix64, release
+from suitestat.llm.common import GOLDEN, WORD, _power, block_words, discard, materialize, mix64, release
 
 SEED = 25  # words of a window
 
@@ -75,7 +75,7 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str
     share is a join whose large side Spark may split.  The tables that the result
     reads are added to written.
     """
-    rows = materialize(unit_rows(bound_batches(docs), text, key, unit), "units")
+    rows = materialize(unit_rows(docs, text, key, unit), "units")
     first = rows.groupBy("digest").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     first = materialize(first, "repeated")
     if written is not None:
@@ -194,8 +194,7 @@ def removed_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", u
     used: list[DataFrame] = []
     whole = materialize(removals(docs, text, key, unit, min_words, used), "whole-units")
     discard(*used)
-    free_shuffles(whole)
-    seeds = materialize(seed_rows(bound_batches(docs), text, key, size), "seeds")
+    seeds = materialize(seed_rows(docs, text, key, size), "seeds")
     first = seeds.groupBy("d1", "d2").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first")
     first = materialize(first, "repeated-seeds")
     hits = seeds.join(first, ["d1", "d2"]).select("k", "pos", F.col("first.k").alias("fk"), (F.col("pos") - F.col("first.pos")).alias("shift"))
@@ -205,7 +204,6 @@ def removed_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", u
     runs = hits.groupBy("k", "fk", "shift", "run").agg(F.min("pos").alias("a"), (F.max("pos") + size).alias("b")).drop("run")
     runs = materialize(runs, "runs")
     discard(seeds, first)
-    free_shuffles(runs)
     side = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), F.col(pos).alias("pos"))
     edges = runs.withColumn("e", F.explode(F.array(side(LEFT, "a"), side(RIGHT, "b")))).select("k", "fk", "e.kind", "e.pos", (F.col("e.pos") - F.col("shift")).alias("fpos")).distinct()
     no = F.lit(None).cast("int").alias("b")
@@ -236,7 +234,6 @@ def removed_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", u
     rows = docs.select(F.col(key).cast("long").alias("dk"), F.col(text).cast("string").alias("t"))
     rows = rows.join(asked.hint("merge"), F.col("dk").eqNullSafe(F.col("k"))).select("t", "k", "asked")
     told = materialize(rows.mapInArrow(run, _ANSWER), "passages")
-    free_shuffles(told)
     near = told.filter(F.col("kind") < CORE).dropDuplicates(["k", "kind", "pos"])
     own = near.select(F.col("k").alias("k1"), F.col("kind").alias("kind1"), F.col("pos").alias("pos1"), F.col("hashes").alias("x"), "around")
     theirs = near.select(F.col("k").alias("k2"), F.col("kind").alias("kind2"), F.col("pos").alias("pos2"), F.col("hashes").alias("y"))

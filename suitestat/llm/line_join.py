@@ -1,19 +1,23 @@
 """Operator 5: line dedup by an exact set-similarity join.
 
-A line is the set of its five-word shingles; a line of one to four words is one token of
-all its words, so short lines match equal ones.
-Tokens are ordered by rarity: by the corpus counts of their words, which a first pass
-gathers into a fixed number of counters, then by hash.  Any one order gives the same
-result; a rare one first makes the index short.  Lines of one token set are one set.
-Two sets of the similarity t share a token among the first n - ceil(t n) + 1 of each
-(prefix filter).  Sets that share such a token, directly or through others, are a
-family; similar sets are never in two families.  Within a family, blocks of sets meet
-in tasks: the prefix index there gives candidates, their sizes may differ by no more
-than t allows (length filter), and what can still be shared after a token's places
-must reach what t asks for (positional filter); what passes is verified by the exact
-Jaccard similarity of the whole sets.  What leaves a task is a row for each set that
-has links, never the pairs.  A line goes if a line before it, in the order of
-documents and lines, has its set or a similar one.
+A line is the set of its five-word shingles; a line of one to four words is one token
+of all its words, so short lines match equal ones.  Tokens are ordered by rarity: by the
+corpus counts of their words, which a first pass gathers into a fixed number of counters,
+then by hash.  Any one order gives the same result; a rare one first makes the index
+short.  Lines of one token set are one set.  Two sets of the similarity t share a token
+among the first n - ceil(t n) + 1 of each (prefix filter), so a row for each set and
+prefix token is dealt out by token, once.  Under a token, a set stays if another set
+there has a size that t allows (length filter) and the tokens left after the places of
+both reach the overlap that t asks for (positional filter); sizes and places travel as
+bounds of 8 and 4 bits, which never reject a pair that the exact values would pass.
+
+Tokens whose sets are the same are one group: the tokens of a lone pair of near copies
+cost one comparison.  Sets that are in a group are read from the texts once more with all
+their tokens and meet there, in blocks of at most 2 * PER_PART sets a task; a pair that
+shares several groups is compared in the least of them alone.  Pairs are verified by the
+exact Jaccard similarity.  What leaves a task is a row for each set that has links, never
+the pairs.  A line goes if a line before it, in the order of documents and lines, has its
+set or a similar one.
 """
 
 from __future__ import annotations
@@ -25,13 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, block_words, bound_batches, free_shuffles, materialize, mix64, release, shingles
-from suitestat.llm.components import components
+from suitestat.llm.common import GOLDEN, block_words, discard, materialize, mix64, release, shingles
 
 SHINGLE, THRESHOLD = 5, 0.8
 COUNTERS, PART = 1 << 16, 1 << 10
-PER_PART = 1024  # sets of a family that meet at once
+PER_PART = 1024  # sets of one side of a comparison
+SMALL = 16  # groups of so many sets are compared many at once
+HELD = 50_000  # sets of a token that are looked at together
 BLOCK = 1 << 19  # bytes of text handled at once; a longer text is a block of its own
+STEPS = 4  # classes of sizes in one factor of the threshold
+PLACES = 16  # classes of places within a prefix
 
 
 def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], bytes]]:
@@ -120,189 +127,360 @@ def digests(token: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.add.reduceat(mix64(token), start).view(np.int64), np.add.reduceat(mix64(token ^ GOLDEN), start).view(np.int64)
 
 
-def line_rows(docs: DataFrame, text: str, key: str, counts: np.ndarray, threshold: float) -> DataFrame:
-    """A row for each line that has a word: k, pos (line number), d1, d2 (digest of the token set), prefix (rarest tokens)."""
+def block_sets(texts: list[str | None], weight: np.ndarray) -> Iterator[tuple]:
+    """For each block of texts: (places of its texts, text of each set, line of each set, tokens of all, start of each set's, size of each)."""
+    for held, raw in blocks(texts):
+        h, _, line = block_words(raw)
+        line, token = line_sets(h, line, weight)
+        if not len(line):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        head = first_lines(raw, [texts[i] for i in held])
+        doc = np.searchsorted(head, line[start], "right") - 1
+        yield held, doc, line[start] - head[doc], token, start, np.diff(np.append(start, len(line)))
+
+
+def line_rows(docs: DataFrame, text: str, key: str, counts: np.ndarray) -> DataFrame:
+    """A row for each line that has a word: k, pos (line number), d1, d2 (digest of the token set)."""
     import pyarrow as pa
 
     weight = rarity(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for held, raw in blocks(texts):
-                h, _, line = block_words(raw)
-                line, token = line_sets(h, line, weight)
-                if not len(line):
-                    continue
-                start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-                n = np.diff(np.append(start, len(line)))
-                head = first_lines(raw, [texts[i] for i in held])
-                doc = np.searchsorted(head, line[start], "right") - 1
-                take = prefix_length(n, threshold)
+            for held, doc, pos, token, start, _ in block_sets(batch.column(1).to_pylist(), weight):
                 d1, d2 = digests(token, start)
-                prefix = [token[s : s + p].tobytes() for s, p in zip(start.tolist(), take.tolist(), strict=True)]
-                arrays = [pa.array([keys[held[d]] for d in doc.tolist()], pa.int64()), pa.array((line[start] - head[doc]).astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(prefix, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["k", "pos", "d1", "d2", "prefix"])
+                k = batch.column(0).take(pa.array(np.array(held)[doc]))
+                yield pa.RecordBatch.from_arrays([k, pa.array(pos.astype(np.int32)), pa.array(d1), pa.array(d2)], names=["k", "pos", "d1", "d2"])
         release()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, "k long, pos int, d1 long, d2 long, prefix binary")
+    return rows.mapInArrow(run, "k long, pos int, d1 long, d2 long")
+
+
+def size_class(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Whole steps of the logarithm of a set's size, at most 255: similar sets are no more than STEPS + 1 apart."""
+    return np.minimum(np.floor(STEPS * np.log(n) / -np.log(threshold)), 255).astype(np.int64)
+
+
+def place_class(place: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    return np.minimum(np.floor(PLACES * place / ((1 - threshold) * n) + 1e-9), PLACES - 1).astype(np.int64)
+
+
+def able_cells(threshold: float) -> np.ndarray:
+    """[difference of size classes + STEPS + 1, place class, place class]: whether some sizes and places of those classes pass the positional filter."""
+    d = np.arange(-STEPS - 1, STEPS + 2)
+    least, most = threshold ** (-(d - 1) / STEPS), threshold ** (-(d + 1) / STEPS)
+    left = 1 - np.arange(PLACES) / PLACES * (1 - threshold)
+    share = threshold / (1 + threshold)
+    one = left[None, :] >= share * (1 + least[:, None]) - 1e-9
+    two = left[None, :] >= share * (1 + 1 / most[:, None]) - 1e-9
+    return one[:, :, None] & two[:, None, :]
 
 
-def families(lines: DataFrame) -> DataFrame:
-    """(d1, family): sets that share a prefix token, directly or through others; sets that share none are left out.
+def able(a: np.ndarray, b: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether sets with these low bits (size class, place class) can be similar; the last size class has no upper end."""
+    d = (b >> 4) - (a >> 4)
+    near = np.abs(d) <= STEPS + 1
+    fits = cells[np.where(near, d, 0) + STEPS + 1, a & 15, b & 15]
+    return (near & fits) | ((a >> 4) == 255) | ((b >> 4) == 255)
+
+
+def memberships(docs: DataFrame, text: str, key: str, counts: np.ndarray, threshold: float) -> DataFrame:
+    """(token, d1): the sets under each prefix token that another set there may be similar to.
 
     The index has a row for each set and prefix token (once in a task, so that a line
-    that stands a thousand times is one set).  Each token links its sets to the least
-    of those in its part; parts of a token are linked by their least sets.
+    that stands a thousand times is one set).  A token's row carries 52 bits of the
+    token, the size class and the place class.  Of a token with more than HELD sets all stay.
     """
     import pyarrow as pa
 
+    weight, cells = rarity(counts), able_cells(threshold)
+    low = np.uint64(0xFFF)
+
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            on = []
-            for i, d in enumerate(ids):
-                if d not in seen:
-                    seen.add(d)
-                    on.append(i)
-            if len(seen) > 200_000:
-                seen.clear()
-            if not on:
-                continue
-            prefix = batch.column(1).take(pa.array(on)).to_pylist()
-            sizes = np.array([len(p) // 8 for p in prefix])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefix), np.int64)), pa.array(np.repeat(np.array([ids[i] for i in on], np.int64), sizes))], names=["token", "d1"])
+            for _, _, _, token, start, n in block_sets(batch.column(0).to_pylist(), weight):
+                d1 = digests(token, start)[0]
+                on = np.zeros(len(d1), bool)
+                for i, d in enumerate(d1.tolist()):
+                    if d not in seen:
+                        seen.add(d)
+                        on[i] = True
+                if len(seen) > 200_000:
+                    seen.clear()
+                take = np.where(on, prefix_length(n, threshold), 0)
+                if not take.sum():
+                    continue
+                place = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+                size = np.repeat(n, take)
+                bits = size_class(size, threshold) << 4 | place_class(place, size, threshold)
+                index = (token[np.repeat(start, take) + place] & ~low) | bits.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(index.view(np.int64)), pa.array(np.repeat(d1, take))], names=["key", "d1"])
+        release()
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_token = last_head = None
+    def kept(key: np.ndarray) -> np.ndarray:
+        """Of whole groups in order, the rows that have an able partner."""
+        token = key >> 12
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        bits = key & 0xFFF
+        on = np.zeros(len(key), bool)
+        two = start[size == 2]
+        on[two] = on[two + 1] = able(bits[two], bits[two + 1], cells)
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            cell, which, times = np.unique(bits[s : s + n], return_inverse=True, return_counts=True)
+            fits = able(cell[:, None], cell[None, :], cells)
+            fits[np.diag_indices(len(cell))] &= times > 1
+            on[s : s + n] = fits.any(axis=1)[which]
+        return on
+
+    def under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda key, d1: pa.RecordBatch.from_arrays([pa.array(key >> 12), pa.array(d1)], names=["token", "d1"])
+        key, d1, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
-            token, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(token):
+            key, d1 = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([d1, batch.column(1).to_numpy()])
+            if not len(key):
                 continue
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            head = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-            if last_token is not None and token[0] == last_token:
-                head[: np.flatnonzero(np.append(new[1:], True))[0] + 1] = last_head
-            last_token, last_head = token[-1], head[-1]
-            on = head != d
-            edges = np.unique(np.stack([head[on], d[on]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-
-    index = lines.select("d1", "prefix").mapInArrow(unfold, "token long, d1 long")
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = index.repartition(n, "token").sortWithinPartitions("token", "d1").mapInArrow(stars, "a long, b long")
-    edges = materialize(edges, "line-stars")
-    free_shuffles(edges)
-    return components(edges).select(F.col("id").alias("d1"), F.col("root").alias("family"))
-
-
-def token_table(docs: DataFrame, text: str, key: str, wanted: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(family, parts, d1, d2, k, pos, tokens binary, rarest first) of the sets that wanted (all of those but tokens) names by a line that has them."""
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (d1[1:] != d1[:-1])
+            key, d1 = key[new], d1[new]
+            token = key >> 12
+            if open_ is not None:
+                n = int(np.searchsorted(token, open_, "right"))
+                if n:
+                    yield out(key[:n], d1[:n])
+                    key, d1, token = key[n:], d1[n:], token[n:]
+                if not len(key):
+                    continue
+                open_ = None
+            # The last group may go on in the next batch.
+            n = int(np.searchsorted(token, token[-1], "left"))
+            if n:
+                on = kept(key[:n])
+                yield out(key[:n][on], d1[:n][on])
+                key, d1 = key[n:], d1[n:]
+            if len(key) > HELD:
+                yield out(key, d1)
+                open_ = key[-1] >> 12
+                key, d1 = key[:0], d1[:0]
+        if len(key):
+            on = kept(key)
+            yield out(key[on], d1[on])
+
+    index = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(unfold, "key long, d1 long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.repartition(n, F.shiftright("key", 12)).sortWithinPartitions("key", "d1")
+    return dealt.mapInArrow(under, "token long, d1 long")
+
+
+def groups_of(members: DataFrame) -> DataFrame:
+    """(d1, groups array<struct<id, parts>>): the groups of each set; tokens with the same sets are one group, whose id is the least of those tokens."""
+    alike = members.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("d1")).alias("x"), F.bit_xor(F.xxhash64("d1", F.lit(1))).alias("y"))
+    kept = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / PER_PART).cast("int").alias("parts"))
+    found = members.join(kept.hint("merge"), "token")
+    return found.groupBy("d1").agg(F.array_sort(F.collect_set(F.struct(F.col("token").alias("id"), "parts"))).alias("groups"))
+
+
+_SET = "id long, a int, b int, part int, d1 long, d2 long, k long, pos int, groups binary, tokens binary"
+
+
+def set_rows(docs: DataFrame, text: str, key: str, wanted: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The sets that wanted (d1, d2, k, pos, groups) names by a line that has them, with their tokens: a row for each of a set's groups.
+
+    A group of several parts is compared part with part, so a set stands once for each
+    part that its own meets, under (a, b) with a <= b.
+    """
     import pyarrow as pa
 
     weight = rarity(counts)
-    names = ["family", "parts", "d1", "d2", "k", "pos"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    schema = pa.schema([("id", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("part", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("k", pa.int64()), ("pos", pa.int32()), ("groups", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows.clear()
+            return done
+
         for batch in batches:
-            out: list[tuple] = []
             texts, keys, asked = (c.to_pylist() for c in batch.columns)
-            for held, raw in blocks(texts):
-                h, _, line = block_words(raw)
-                head = first_lines(raw, [texts[i] for i in held])
-                pairs = [(int(head[j]) + r["pos"], keys[i], r) for j, i in enumerate(held) for r in asked[i] if head[j] + r["pos"] < head[j + 1]]
-                if not pairs:
-                    continue
-                on = np.isin(line, np.array([p[0] for p in pairs]))
-                line, token = line_sets(h[on], line[on], weight)
-                if not len(line):
-                    continue
-                start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-                e1, e2 = digests(token, start)
-                at = dict(zip(line[start].tolist(), range(len(start)), strict=True))
-                ends = np.append(start, len(line))
-                for g, k, r in pairs:
-                    j = at.get(g)
+            by = [{r["pos"]: r for r in a} for a in asked]
+            for held, doc, pos, token, start, n in block_sets(texts, weight):
+                d1, d2 = digests(token, start)
+                for j, (d, p, e1, e2) in enumerate(zip(doc.tolist(), pos.tolist(), d1.tolist(), d2.tolist(), strict=True)):
+                    r = by[held[d]].get(p)
                     # Rows that share a key may hold other texts: only the set that was asked for counts.
-                    if j is not None and e1[j] == r["d1"] and e2[j] == r["d2"]:
-                        out.append((r["family"], r["parts"], r["d1"], r["d2"], k, r["pos"], token[ends[j] : ends[j + 1]].tobytes()))
-            cols = zip(*out, strict=True) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=[*names, "tokens"])
+                    if r is None or r["d1"] != e1 or r["d2"] != e2:
+                        continue
+                    raw, ids = token[start[j] : start[j] + n[j]].tobytes(), np.array([g["id"] for g in r["groups"]], np.int64).tobytes()
+                    for g in r["groups"]:
+                        own = e2 % g["parts"]
+                        for other in range(g["parts"]):
+                            rows.append((g["id"], min(own, other), max(own, other), own, e1, e2, keys[held[d]], p, ids, raw))
+                            size += len(raw)
+                            if size > 4 * BLOCK:
+                                yield flush()
+                                size = 0
+        if rows:
+            yield flush()
         release()
 
-    asked = wanted.groupBy("k").agg(F.collect_list(F.struct("pos", "d1", "d2", "family", "parts")).alias("asked"))
+    asked = wanted.groupBy("k").agg(F.collect_list(F.struct("pos", "d1", "d2", "groups")).alias("asked"))
     rows = docs.select(F.col(key).cast("long").alias("dk"), F.col(text).cast("string").alias("t"))
     rows = rows.join(asked.hint("merge"), F.col("dk").eqNullSafe(F.col("k"))).select("t", "k", "asked")
-    return rows.mapInArrow(run, "family long, parts int, d1 long, d2 long, k long, pos int, tokens binary")
+    return rows.mapInArrow(run, _SET)
+
+
+class Met:
+    """The rows of one or more whole groups that meet in a task."""
+
+    def __init__(self, rows: dict[str, list]):
+        turn = list(zip(rows["id"], rows["a"], rows["b"], rows["d1"], rows["d2"], strict=True))
+        # Rows of documents that repeat show a set again.
+        at = np.array(list({t: i for i, t in enumerate(turn)}.values()))
+        pick = lambda c: np.array(rows[c])[at]
+        self.id, self.a, self.b, self.part, self.d1, self.d2, self.pos = (pick(c) for c in ("id", "a", "b", "part", "d1", "d2", "pos"))
+        self.k = [rows["k"][i] for i in at.tolist()]
+        sets = [rows["tokens"][i] for i in at.tolist()]
+        groups = [rows["groups"][i] for i in at.tolist()]
+        self.n = np.array([len(x) // 8 for x in sets])
+        self.token, self.owner = np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(sets)), self.n)
+        size = np.array([len(x) // 8 for x in groups])
+        self.others, self.others_of = np.frombuffer(b"".join(groups), np.int64), np.repeat(np.arange(len(groups)), size)
+        less = self.others < self.id[self.others_of]
+        self.others, self.others_of = self.others[less], self.others_of[less]
+        new = np.ones(len(self.id), bool)
+        new[1:] = (self.id[1:] != self.id[:-1]) | (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])
+        self.turn = np.cumsum(new) - 1
+        self.rank = np.empty(len(self.k), np.int64)
+        known = np.array([x is not None for x in self.k])
+        self.rank[np.lexsort((self.pos, np.array([x or 0 for x in self.k]), known))] = np.arange(len(self.k))
+        self.links = np.zeros(len(self.k), np.int64)
+        self.best = np.full(len(self.k), len(self.k), np.int64)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.links, i, 1)
+        np.add.at(self.links, j, 1)
+        np.minimum.at(self.best, i, self.rank[j])
+        np.minimum.at(self.best, j, self.rank[i])
+
+    def overlaps(self, key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, shared keys) of the pairs i < j of rows of small groups that share one."""
+        order = np.lexsort((owner, key, self.turn[owner]))
+        key, owner, turn = key[order], owner[order], self.turn[owner[order]]
+        pairs = []
+        for lag in range(1, SMALL):
+            on = (key[lag:] == key[:-lag]) & (turn[lag:] == turn[:-lag])
+            if not on.any():
+                break
+            pairs.append(owner[:-lag][on] * len(self.k) + owner[lag:][on])
+        if not pairs:
+            return owner[:0], owner[:0], owner[:0]
+        pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+        return pair // len(self.k), pair % len(self.k), times
+
+    def small(self, on: np.ndarray, threshold: float) -> None:
+        """Compares groups of at most SMALL sets all at once."""
+        mine = on[self.owner]
+        i, j, both = self.overlaps(self.token[mine], self.owner[mine])
+        good = (both >= threshold * (self.n[i] + self.n[j] - both) - 1e-9) & ((self.a[i] == self.b[i]) | (self.part[i] != self.part[j]))
+        i, j = i[good], j[good]
+        mine = on[self.others_of]
+        x, y, _ = self.overlaps(self.others[mine], self.others_of[mine])
+        again = np.isin(i * len(self.k) + j, x * len(self.k) + y)
+        self.link(i[~again], j[~again])
+
+    def large(self, lo: int, hi: int, threshold: float) -> None:
+        """Compares the sets of one group, rows lo to hi: each counts what it shares with all, from an index of their tokens."""
+        s, e = np.searchsorted(self.owner, (lo, hi))
+        order = np.argsort(self.token[s:e], kind="stable")
+        token, owner, n, m = self.token[s:e][order], self.owner[s:e][order] - lo, self.n[lo:hi], hi - lo
+        new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        alone = np.repeat(np.diff(np.append(new, len(token))) == 1, np.diff(np.append(new, len(token))))
+        token, owner = token[~alone], owner[~alone]
+        if not len(token):
+            return
+        run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.diff(np.append(first, len(token)))
+        by = np.argsort(owner, kind="stable")
+        runs, ends = run[by], np.searchsorted(owner[by], np.arange(m + 1))
+        g0, g1 = np.searchsorted(self.others_of, (lo, hi))
+        others, others_of = self.others[g0:g1], self.others_of[g0:g1] - lo
+        same = self.a[lo] == self.b[lo]
+        part = self.part[lo:hi]
+        for i in range(m):
+            # Of two parts, one asks.
+            if not same and part[i] != self.a[lo]:
+                continue
+            r = runs[ends[i] : ends[i + 1]]
+            if not len(r):
+                continue
+            c = length[r]
+            hit = np.repeat(first[r] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            both = np.bincount(owner[hit], minlength=m)
+            good = both >= threshold * (n[i] + n - both) - 1e-9
+            good &= (np.arange(m) > i) if same else (part != part[i])
+            if len(others):
+                mine = others[others_of == i] if good.any() else others[:0]
+                if len(mine):
+                    good[others_of[np.isin(others, mine)]] = False
+            j = np.flatnonzero(good)
+            if len(j):
+                self.link(np.full(len(j), lo + i), lo + j)
+
+    def compare(self, threshold: float) -> None:
+        start = np.flatnonzero(np.concatenate([[True], self.turn[1:] != self.turn[:-1]]))
+        size = np.diff(np.append(start, len(self.turn)))
+        self.small(np.repeat(size <= SMALL, size), threshold)
+        for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            self.large(s, s + n, threshold)
 
 
 def links_within(sets: DataFrame, threshold: float) -> DataFrame:
-    """(d1, d2, links, first_k, first_pos): for each set of a family with similar ones, how many, and the earliest line that has one of those.
+    """(d1, d2, links, first_k, first_pos): for each set with similar ones, how many, and the earliest line that has one of those; sets: see set_rows().
 
-    sets: family, parts, d1, d2, k, pos, tokens.  Families are cut into parts, and each
-    part asks each part, so a pair is seen once from either side.
+    A set has a row for each comparison that found it links.
     """
     import pyarrow as pa
 
-    # A family of one part asks itself: its rows stand once.  Of others each row stands in each part's turn, as a member and as one that asks.
-    part = F.pmod(F.col("d2"), F.col("parts")).cast("int")
-    turn = lambda asks: lambda i: F.struct(F.when(F.lit(asks), part).otherwise(i).alias("ask"), F.when(F.lit(asks), i).otherwise(part).alias("live"), F.lit(asks).alias("asks"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    turns = F.when(F.col("parts") == 1, F.transform(every, turn(False))).otherwise(F.concat(F.transform(every, turn(False)), F.transform(every, turn(True))))
-    rows = sets.withColumn("x", F.explode(turns)).select("family", "x.*", "d1", "d2", "k", "pos", "tokens")
+    names = [c.split()[0] for c in _SET.split(", ")]
     schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("links", pa.int64()), ("first_k", pa.int64()), ("first_pos", pa.int32())])
 
-    def meet(table: pa.Table) -> pa.Table:
-        asks, d1, d2, ks, pos, raw = (table.column(c).to_pylist() for c in ("asks", "d1", "d2", "k", "pos", "tokens"))
-        # Rows of documents that repeat show a set again.
-        once = list({(a, x, y): i for i, (a, x, y) in enumerate(zip(asks, d1, d2, strict=True))}.values())
-        asks, d1, d2, ks, pos, raw = ([c[i] for i in once] for c in (asks, d1, d2, ks, pos, raw))
-        asks = np.array(asks, bool)
-        sets_ = [np.frombuffer(x, np.uint64) for x in raw]
-        n = np.array([len(x) for x in sets_])
-        live = np.flatnonzero(~asks)
-        at = np.flatnonzero(asks) if asks.any() else live
-        if not len(live) or not len(at):
-            return schema.empty_table()
-        rank = np.empty(len(ks), np.int64)
-        rank[np.array(sorted(range(len(ks)), key=lambda i: (ks[i] is not None, ks[i] or 0, pos[i])))] = np.arange(len(ks))
-        take = prefix_length(n, threshold)
-        token = np.concatenate([sets_[i][: take[i]] for i in live])
-        owner = np.repeat(live, take[live])
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(take[live]) - take[live], take[live])
-        order = np.argsort(token, kind="stable")
-        token, owner, place = token[order], owner[order], place[order]
-        ordered = [np.sort(x) for x in sets_]
-        e1, e2, alike = np.array(d1), np.array(d2), bool(asks.any())
-        out = {c: [] for c in schema.names}
-        for i in at.tolist():
-            x = sets_[i][: take[i]]
-            lo, hi = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
-            m = hi - lo
-            hit = np.repeat(lo - np.cumsum(m) + m, m) + np.arange(m.sum())
-            j, pj, pi = owner[hit], place[hit], np.repeat(np.arange(len(x)), m)
-            long, short = np.maximum(n[i], n[j]), np.minimum(n[i], n[j])
-            need = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
-            first = np.minimum(n[i] - pi, n[j] - pj) >= need
-            other = (e1[j] != d1[i]) | (e2[j] != d2[i]) if alike else j != i
-            able = np.unique(j[(short >= threshold * long - 1e-9) & first & other])
-            if not len(able):
+    def answer(rows: dict[str, list]) -> pa.RecordBatch:
+        met = Met(rows)
+        met.compare(threshold)
+        on = np.flatnonzero(met.links)
+        order = np.argsort(met.rank)
+        first = order[met.best[on]] if len(on) else on
+        return pa.RecordBatch.from_arrays([pa.array(met.d1[on]), pa.array(met.d2[on]), pa.array(met.links[on]), pa.array([met.k[i] for i in first.tolist()], pa.int64()), pa.array(met.pos[first].astype(np.int32), pa.int32())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in names}
+        for batch in batches:
+            for c, v in zip(names, batch.columns, strict=True):
+                held[c] += v.to_pylist()
+            last = len(held["id"]) - 1
+            if last < 2 * PER_PART:
                 continue
-            mine, theirs = ordered[i], np.concatenate([ordered[a] for a in able])
-            same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-            both = np.add.reduceat(same, np.cumsum(n[able]) - n[able], dtype=np.int64)
-            good = able[both >= threshold * (n[i] + n[able] - both) - 1e-9]
-            if len(good):
-                f = good[rank[good].argmin()]
-                for c, v in zip(schema.names, (d1[i], d2[i], len(good), ks[f], pos[f]), strict=True):
-                    out[c].append(v)
-        return pa.Table.from_pydict(out, schema=schema)
+            turn = lambda i: (held["id"][i], held["a"][i], held["b"][i])
+            # The last group may go on in the next batch.
+            end = last
+            while end >= 0 and turn(end) == turn(last):
+                end -= 1
+            if end >= 0:
+                yield answer({c: v[: end + 1] for c, v in held.items()})
+                held = {c: v[end + 1 :] for c, v in held.items()}
+        if held["id"]:
+            yield answer(held)
+        release()
 
-    return rows.groupBy("family", "ask", "live").applyInArrow(meet, "d1 long, d2 long, links long, first_k long, first_pos int")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(n, "id", "a", "b").sortWithinPartitions("id", "a", "b").mapInArrow(run, "d1 long, d2 long, links long, first_k long, first_pos int")
 
 
 def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -312,16 +490,21 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
     are ranked by key, null first, lines by number.  Rows that share a key count as one
     document, whose first occurrences stay in each of them: give keys that are unique.
     """
-    counts = word_counts(bound_batches(docs), text)
-    lines = materialize(line_rows(docs, text, key, counts, threshold), "lines")
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must be above 0 and below 1")
+    counts = word_counts(docs, text)
+    lines = materialize(line_rows(docs, text, key, counts), "lines")
     firsts = materialize(lines.groupBy("d1", "d2").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("copies")), "line-sets")
-    family = materialize(families(lines), "line-families")
-    free_shuffles(family)
-    parts = materialize(family.groupBy("family").agg(F.ceil(F.count("*") / PER_PART).cast("int").alias("parts")), "line-parts")
-    wanted = firsts.join(family.join(parts, "family"), "d1").select("d1", "d2", "first.k", "first.pos", "family", "parts")
-    seen = links_within(token_table(docs, text, key, wanted, counts), threshold).groupBy("d1", "d2").agg(F.sum("links").alias("links"), F.min(F.struct(F.col("first_k").alias("k"), F.col("first_pos").alias("pos"))).alias("other"))
+    members = materialize(memberships(docs, text, key, counts, threshold), "line-members")
+    groups = materialize(groups_of(members), "line-groups")
+    wanted = materialize(firsts.join(groups.hint("merge"), "d1").select("d1", "d2", "first.k", "first.pos", "groups"), "line-wanted")
+    discard(members, groups)
+    found = materialize(links_within(set_rows(docs, text, key, wanted, counts), threshold), "line-links")
+    discard(wanted)
+    seen = found.groupBy("d1", "d2").agg(F.sum("links").alias("links"), F.min(F.struct(F.col("first_k").alias("k"), F.col("first_pos").alias("pos"))).alias("other"))
     known = firsts.join(seen, ["d1", "d2"], "left").filter("copies > 1 or links > 0").select("d1", "d2", F.coalesce("links", F.lit(0)).alias("links"), F.least("first", "other").alias("first"))
     known = materialize(known, "line-known")
+    discard(firsts, found)
     rows = lines.select("k", "pos", "d1", "d2").join(known, ["d1", "d2"], "left")
     before = F.col("first").isNotNull() & ~F.struct("k", "pos").eqNullSafe(F.struct(F.col("first.k"), F.col("first.pos")))
     gone = F.array_sort(F.collect_set(F.when(before, F.col("pos"))))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, bound_batches, hash_words, materialize, mix64, release, shingles, split_words
+from suitestat.llm.common import GOLDEN, hash_words, materialize, mix64, release, shingles, split_words
 from suitestat.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -195,7 +195,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = S
     threshold shares a band with probability 1 - (1 - threshold^rows)^bands: 0.99997
     as set here, more above it.
     """
-    signed = materialize(sign(bound_batches(docs), text, key, k, bands, rows), "signed")
+    signed = materialize(sign(docs, text, key, k, bands, rows), "signed")
     # Copies: one representative for each digest.
     copies = materialize(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")), "copies")
     keyed = materialize(copies.select("rep", "n", F.explode("bands").alias("bucket")), "banded")
