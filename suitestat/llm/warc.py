@@ -1,9 +1,11 @@
 """Operator 10: a deterministic, sharded WARC writer, and a reader.
 
-Records are range-sorted by page_id.  Each task writes its range to archives that
+Records are range-sorted by page_id.  The bounds of the ranges come from sums of bytes
+over the rows, so reruns cut alike; a page_id with more than a range's share, and rows
+without one, are cut further by payload digest.  Each task writes its range to archives that
 roll at a compressed size; every record is a gzip member of its own, with headers
 and digests made anew from the payload.  A file is written under a temporary name
-and renamed when it is whole; names come from the partition and a running number,
+and renamed when it is whole; names come from the range and a running number,
 so a task that runs again writes the same bytes to the same names.  A manifest,
 written last and also by rename, lists the files that tasks reported: readers take
 only those, so leavings of lost tasks are never read.
@@ -20,6 +22,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2000-01-01T00:00:00Z"
 
 MANIFEST = "manifest.json"
+BINS = 4096  # ranges of ids that are summed at once
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, offset long"
 
 
@@ -55,10 +61,10 @@ def one_line(value: str | None) -> str:
     return "" if value is None else value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record.  A revisit keeps the digest and the size of the full payload, not the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One record, its block an HTTP response.  A revisit keeps the digest and the size of the full payload, not the payload."""
     revisit = refers_to is not None
-    body = b"" if revisit else payload
+    body = HTTP if revisit else HTTP + payload
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(page_id, url)),
@@ -66,7 +72,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("WARC-Target-URI", one_line(url)),
         ("WARC-Payload-Digest", "sha1:" + digest32(payload)),
         ("WARC-Block-Digest", "sha1:" + digest32(body)),
-        ("Content-Type", "text/html; charset=utf-8"),
+        ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", str(len(body))),
         ("X-Payload-Length", str(len(payload))),
     ]
@@ -75,7 +81,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if url is None:
         headers.append(("X-No-Target", "1"))
     if revisit:
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, refers_url)), ("WARC-Refers-To-Target-URI", one_line(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", str(refers_to))]
     head = "".join(f"{k}: {v}\r\n" for k, v in headers).encode()
     return VERSION + b"\r\n" + head + b"\r\n" + body + b"\r\n\r\n"
 
@@ -93,7 +99,8 @@ def parse(raw: bytes) -> dict:
     if h["WARC-Block-Digest"] != "sha1:" + digest32(body):
         raise ValueError("a record's block digest is wrong")
     revisit = h["WARC-Type"] == "revisit"
-    if not revisit and h["WARC-Payload-Digest"] != h["WARC-Block-Digest"]:
+    payload = body.partition(b"\r\n\r\n")[2]
+    if not revisit and h["WARC-Payload-Digest"] != "sha1:" + digest32(payload):
         raise ValueError("a response's payload digest is wrong")
     return {
         "page_id": int(h["X-Page-Id"]) if "X-Page-Id" in h else None,
@@ -102,12 +109,12 @@ def parse(raw: bytes) -> dict:
         "refers_to": int(h["X-Refers-To-Page-Id"]) if revisit else None,
         "payload_bytes": int(h["X-Payload-Length"]),
         "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "payload": None if revisit else body,
+        "payload": None if revisit else payload,
     }
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds refers_to: the smallest page_id of an equal payload, for records that are not it.
+    """Adds sha, size, and for records that are not the smallest page_id of their payload, refers_to: that page_id, and refers_url: its url.
 
     Counting by digest combines before it shuffles; only digests with two or more
     records are joined back, through a written table, so that a payload that a third
@@ -116,9 +123,62 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.withColumn("sha", F.sha1(payload)).withColumn("size", F.octet_length(payload))
-    first = keyed.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull()).select("sha", "first")
+    first = keyed.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull()).select("sha", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
     first = materialize(first, "warc-first")
-    return keyed.join(first, "sha", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))).select("page_id", "url", "html", "refers_to")
+    other = ~F.col("page_id").eqNullSafe(F.col("first"))
+    return keyed.join(first, "sha", "left").select("page_id", "url", "html", "sha", "size", F.when(other, F.col("first")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
+
+
+def ranges(rows: DataFrame, n: int) -> tuple[list[tuple[int, int, int]], int, int]:
+    """About n ranges of like bytes, the same on every run: (least page_id, number, shards) of each, and number and shards of the rows without a page_id.
+
+    rows: page_id, size.  Bytes are summed by the high bits of page_id, and by more
+    bits within bins of more than a range's share, so the driver gets BINS sums at
+    first and 64 for each such bin, of which there are at most n, in each later step.
+    """
+    weight = F.col("size").cast("long") + 400
+    lo, hi, total, bare = rows.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), weight)), F.lit(0))).first()
+    share = max(1, total / n)
+    leaves: list[tuple[int, int, bool]] = []
+    bits, open_ = 0, rows.filter("page_id is not null")
+    while lo is not None and (hi >> bits) - (lo >> bits) >= BINS:
+        bits += 1
+    while lo is not None:
+        found = open_.groupBy(F.shiftright("page_id", bits).alias("bin")).agg(F.sum(weight).alias("w")).collect()
+        heavy = [r["bin"] for r in found if r["w"] > share and bits]
+        deep = set(heavy)
+        leaves += [(r["bin"] << bits, r["w"], not bits) for r in found if r["bin"] not in deep]
+        if not heavy:
+            break
+        open_ = open_.filter(F.shiftright("page_id", bits).isin(heavy))
+        bits -= min(bits, 6)
+    out: list[tuple[int, int, int]] = []
+    number, held = 0, share
+    for least, w, one in sorted(leaves):
+        shards = -int(-w // share) if one else 1
+        if shards > 1 or held + w > share:
+            out.append((least, number, shards))
+            number, held = number + shards, share if shards > 1 else 0
+        held += w
+    return out, number, max(1, -int(-bare // share))
+
+
+def numbered(rows: DataFrame, found: tuple[list[tuple[int, int, int]], int, int]) -> tuple[DataFrame, int]:
+    """rows with the number of their range, and how many there are."""
+    cuts, bare, bare_shards = found
+    least, first, shards = (np.array([c[i] for c in cuts], np.int64) for i in range(3))
+
+    @F.pandas_udf("int")
+    def number(has: pd.Series, page_id: pd.Series, part: pd.Series) -> pd.Series:
+        if not len(least):
+            return (bare + (part * bare_shards >> 30)).astype("int32")
+        i = np.maximum(np.searchsorted(least, page_id.to_numpy(), "right") - 1, 0)
+        of = np.where(has, first[i] + (part.to_numpy() * shards[i] >> 30), bare + (part.to_numpy() * bare_shards >> 30))
+        return pd.Series(of.astype("int32"))
+
+    # 30 bits of the digest deal out what one page_id has.
+    part = F.shiftright(F.conv(F.substring("sha", 1, 8), 16, 10).cast("long"), 2)
+    return rows.withColumn("range", number(F.col("page_id").isNotNull(), F.coalesce(F.col("page_id").cast("long"), F.lit(0)), part)), bare + bare_shards
 
 
 def write(pages: DataFrame, target: str, roll_bytes: int = 256 << 20, min_bytes: int = 0, level: int = 6, partitions: int | None = None) -> str:
@@ -127,12 +187,15 @@ def write(pages: DataFrame, target: str, roll_bytes: int = 256 << 20, min_bytes:
     Null html is an empty payload, a null url an empty target, a null page_id no id.
     Rows that repeat are records that repeat.  An empty table gives a manifest
     without files.  A payload of any length is one record: a file exceeds roll_bytes
-    by one record at most.
+    by one record at most.  Two runs with as many partitions (by default those of a
+    shuffle) write the same files, whatever order the rows come in.
     """
     spark = pages.sparkSession
     rows = mark_revisits(pages.select("page_id", "url", "html"), min_bytes)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "url", "html")
+    sizes = pages.select("page_id", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    rows, n = numbered(rows, ranges(sizes, n))
+    rows = rows.repartitionById(n, "range").sortWithinPartitions("range", F.asc_nulls_last("page_id"), "sha", "url").select("range", "page_id", "url", "html", "refers_to", "refers_url")
 
     def put(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -142,7 +205,7 @@ def write(pages: DataFrame, target: str, roll_bytes: int = 256 << 20, min_bytes:
         fs, root = filesystem(target)
         fs.create_dir(root, recursive=True)
         done: list[tuple] = []
-        out = None
+        out, at = None, (None, 0)
 
         def close() -> None:
             nonlocal out
@@ -152,12 +215,15 @@ def write(pages: DataFrame, target: str, roll_bytes: int = 256 << 20, min_bytes:
             out = None
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, page_id, url, html, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is not None and part != at[0]:
+                    close()
                 if out is None:
-                    name = f"part-{ctx.partitionId():06d}-{len(done):05d}.warc.gz"
+                    at = (part, at[1] + 1 if part == at[0] else 0)
+                    name = f"part-{part:06d}-{at[1]:05d}.warc.gz"
                     temp = f"{root}/.{name}.{ctx.taskAttemptId()}.tmp"
                     out = {"name": name, "temp": temp, "stream": fs.open_output_stream(temp, compression=None), "records": 0, "bytes": 0, "sha": hashlib.sha256()}
-                raw = member(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to), level)
+                raw = member(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to, refers_url), level)
                 out["stream"].write(raw)
                 out["sha"].update(raw)
                 out["bytes"] += len(raw)
