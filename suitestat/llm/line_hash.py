@@ -1,12 +1,10 @@
-"""Operator 8: substring dedup by hashing of lines, paragraphs or the sentences of lines.
+"""Operator 8: substring dedup by hashing of paragraphs or lines.
 
 Units are normalised (lower case, white space folded) and digested with 128 bits.
 Digests are grouped over all documents; the earliest occurrence of each by (document,
-place) stays and the others go, with their offsets in the original text.  A unit
-only goes as part of a stretch of neighbouring repeated units of min_words words or
-more, so that short phrases which any two texts may share stay.
+place) stays and every other goes, with its offsets in the original text.
 
-A passage may start and end within a unit.  So windows of SEED words are hashed too;
+A passage may start and end within a unit, which no digest of units shows.  So windows of SEED words are hashed too;
 of every SEED + 1 neighbouring windows the one of the smallest hash is kept, so two
 texts that share 2 * SEED words or more keep a window in common (winnowing).  Repeated
 windows of one shift against their first occurrence abut or overlap, and a run of them
@@ -24,23 +22,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, WORD, _power, block_words, discard, materialize, mix64, release
+from suitestat.llm.common import GOLDEN, WORD, _power, block_words, discard, materialize, mix64, release, split_words, unused
 
 SEED = 25  # words of a window
 
-UNITS = {
-    "line": re.compile(r"[^\n]+"),
-    "paragraph": re.compile(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*"),
-    "sentence": re.compile(r"(?:[^\n.!?]|[.!?]+(?=[^\s.!?]))+[.!?]*"),
-}
-
-
 def units_of(text: str, unit: str) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit that has a word; offsets count code points."""
-    for m in UNITS[unit].finditer(text):
-        ws = m[0].lower().split()
-        if ws:
-            yield m.start(), m.end(), len(ws), hashlib.md5(" ".join(ws).encode()).digest()
+    """(start, end, words, digest) of each unit that has a word; offsets count code points.
+
+    A line ends at a line feed; a paragraph is a run of lines that have a word.
+    """
+    at, start, end, ws = 0, 0, 0, []
+    for line in [*text.split("\n"), ""] if unit == "paragraph" else text.split("\n"):
+        found = split_words(line.lower())
+        if found:
+            start, end = (start if ws else at), at + len(line)
+            ws += found
+        if ws and (unit == "line" or not found):
+            yield start, end, len(ws), hashlib.md5(" ".join(ws).encode("utf-8", "surrogatepass")).digest()
+            ws = []
+        at += len(line) + 1
 
 
 def unit_rows(docs: DataFrame, text: str, key: str, unit: str) -> DataFrame:
@@ -65,7 +65,7 @@ def unit_rows(docs: DataFrame, text: str, key: str, unit: str) -> DataFrame:
     return rows.mapInArrow(run, "k long, pos int, start int, stop int, words int, digest binary")
 
 
-def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str = "sentence", min_words: int = 20, written: list | None = None) -> DataFrame:
+def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str = "paragraph", written: list | None = None) -> DataFrame:
     """What whole units lose.  A row for each document that loses something: k, spans array<struct<start, stop>> in order, words (lost).
 
     Documents are ranked by key, null first.  Rows that share a key are one document
@@ -81,12 +81,7 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str
     if written is not None:
         written += [rows, first]
     again = rows.join(first, "digest").filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("pos") == F.col("first.pos"))))
-    # Neighbouring repeated units of a document are a stretch.
-    w = Window.partitionBy("k").orderBy("pos", "start")
-    stretch = again.select("k", "pos", "start", "stop", "words").withColumn("part", F.col("pos") - F.dense_rank().over(w))
-    whole = Window.partitionBy("k", "part")
-    gone = stretch.withColumn("all", F.sum("words").over(whole)).filter(F.col("all") >= min_words)
-    return gone.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.sum("words").cast("long").alias("words"))
+    return again.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.sum("words").cast("long").alias("words"))
 
 
 def word_hashes_of(text: str) -> np.ndarray:
@@ -180,8 +175,8 @@ def answers(text: str, asked: list[dict], reach: int) -> Iterator[tuple]:
         yield r["kind"], r["a"], h[list(places)].view(np.int64).tolist(), around, None, None
 
 
-def removed_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str = "sentence", min_words: int = 20) -> DataFrame:
-    """removals(), and passages that start or end within a unit: every run of 2 * SEED words or more that an earlier place has.
+def removed_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str = "paragraph", size: int = SEED) -> DataFrame:
+    """removals(), and passages that start or end within a unit: every run of 2 * size words or more that an earlier place has.
 
     Earlier is as in removals(); within a document, windows that overlap their first
     occurrence stay.  A run is extended against the first occurrence of its windows only.
@@ -190,9 +185,8 @@ def removed_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", u
     """
     import pyarrow as pa
 
-    size = max(SEED, min_words)
     used: list[DataFrame] = []
-    whole = materialize(removals(docs, text, key, unit, min_words, used), "whole-units")
+    whole = materialize(removals(docs, text, key, unit, used), "whole-units")
     discard(*used)
     seeds = materialize(seed_rows(docs, text, key, size), "seeds")
     first = seeds.groupBy("d1", "d2").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first")
@@ -269,16 +263,17 @@ def cut(text: str | None, spans: list) -> str | None:
     return "\n".join(line.replace("\0", "").strip(" ") if "\0" in line else line for line in left.split("\n") if line.strip("\0 \t") or "\0" not in line)
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str = "sentence", min_words: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str = "paragraph", size: int = SEED) -> DataFrame:
     """docs with the text cut, and removed_spans (offsets in the original text) and removed_words.
 
     A null text stays null and an empty one empty; both lose nothing.  Columns of docs
     with the names that are added are replaced.  Rows that repeat a key: see removals().  What goes: see removed_passages().
     """
     docs = docs.drop(*[c for c in docs.columns if c in ("removed_spans", "removed_words")])
-    gone = removed_passages(docs, text, key, unit, min_words)
-    gone = gone.select(F.col("k").alias("_k"), F.col("spans").alias("removed_spans"), F.col("words").alias("removed_words"))
-    out = docs.join(gone, docs[key].eqNullSafe(gone["_k"]), "left").drop("_k")
+    gone = removed_passages(docs, text, key, unit, size)
+    own = unused(docs, "k")
+    gone = gone.select(F.col("k").alias(own), F.col("spans").alias("removed_spans"), F.col("words").alias("removed_words"))
+    out = docs.join(gone, docs[key].eqNullSafe(gone[own]), "left").drop(own)
     out = out.withColumn("removed_spans", F.coalesce("removed_spans", F.array().cast("array<struct<start:int,stop:int>>"))).withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
 
     @F.pandas_udf("string")
