@@ -100,6 +100,14 @@ def release() -> None:
         pass
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name for an operator's own use that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """array<string> of the words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import bound_batches, id_hash, release
+from suitestat.llm.common import bound_batches, id_hash, release, unused
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -164,9 +164,9 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     docs = bound_batches(docs).drop(*[c for c in docs.columns if c in ("held_out", "lang_pred", "score")])
     x, y, languages = sample(docs, text, lang, key, train_docs, windows_each, max_languages, seed)
     net = train(x, y, languages) if languages else None
-    base = docs.withColumn("held_out", held_out(key)).withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    base = docs.withColumn("held_out", held_out(key)).withColumn(letters := unused(docs, "letters"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     names = base.columns[:-1]
-    schema = base.drop("_letter").schema.add("lang_pred", "string").add("score", "double")
+    schema = base.drop(letters).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = net.pairs() if net else {}

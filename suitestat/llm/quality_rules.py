@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import id_hash, materialize, words
+from suitestat.llm.common import id_hash, materialize, unused, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHINGLE = 5
@@ -47,28 +47,29 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     the repeated positions, and sorted positions the words they cover, so the work is
     n log n in the words of a text.
     """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    d = docs.withColumn("_t", t).withColumn("_w", words(F.col("_t")))
-    d = d.withColumn("n_words", F.size("_w").cast("long"))
-    d = d.withColumn("_h", F.when(F.col("n_words") > SHINGLE, F.transform(F.sequence(F.lit(1), (F.col("n_words") - SHINGLE + 1).cast("int")), lambda i: F.xxhash64(F.slice(F.col("_w"), i, SHINGLE)))).otherwise(F.array().cast("array<bigint>")))
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("_l", lines)
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t, w, h, l_, s, p = (unused(docs, name) for name in "twhlsp")
+    d = docs.withColumn(t, whole).withColumn(w, words(F.col(t)))
+    d = d.withColumn("n_words", F.size(w).cast("long"))
+    d = d.withColumn(h, F.when(F.col("n_words") > SHINGLE, F.transform(F.sequence(F.lit(1), (F.col("n_words") - SHINGLE + 1).cast("int")), lambda i: F.xxhash64(F.slice(F.col(w), i, SHINGLE)))).otherwise(F.array().cast("array<bigint>")))
+    lines = F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    d = d.withColumn(l_, lines)
     d = d.withColumns(
         {
-            "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_upper": F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long"),
-            "n_distinct": F.size(F.array_distinct("_w")).cast("long"),
-            "_s": F.when(F.size("_h") > F.size(F.array_distinct("_h")), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))),
+            "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
+            "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+            "n_lines": F.size(l_).cast("long"),
+            "n_dup_lines": (F.size(l_) - F.size(F.array_distinct(l_))).cast("long"),
+            "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
+            "n_distinct": F.size(F.array_distinct(w)).cast("long"),
+            s: F.when(F.size(h) > F.size(F.array_distinct(h)), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))),
         }
-    ).drop("_t", "_w", "_l", "_h", text)
-    before, after = (lambda i: F.get(F.col("_s"), i - 1)["h"]), (lambda i: F.get(F.col("_s"), i + 1)["h"])
-    twice = F.filter("_s", lambda x, i: (x["h"] == F.coalesce(before(i), F.bitwise_not(x["h"]))) | (x["h"] == F.coalesce(after(i), F.bitwise_not(x["h"]))))
-    d = d.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("_s")
-    covered = F.transform("_p", lambda p, k: F.least(F.lit(SHINGLE), F.coalesce(F.get(F.col("_p"), k + 1) - p, F.lit(SHINGLE))))
-    return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop("_p")
+    ).drop(t, w, l_, h, text)
+    before, after = (lambda i: F.get(F.col(s), i - 1)["h"]), (lambda i: F.get(F.col(s), i + 1)["h"])
+    twice = F.filter(s, lambda x, i: (x["h"] == F.coalesce(before(i), F.bitwise_not(x["h"]))) | (x["h"] == F.coalesce(after(i), F.bitwise_not(x["h"]))))
+    d = d.withColumn(p, F.sort_array(F.transform(twice, lambda x: x["i"]))).drop(s)
+    covered = F.transform(p, lambda x, i: F.least(F.lit(SHINGLE), F.coalesce(F.get(F.col(p), i + 1) - x, F.lit(SHINGLE))))
+    return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop(p)
 
 
 def base_failed() -> Column:

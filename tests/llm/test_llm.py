@@ -17,7 +17,8 @@ from suitestat.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SMALL = "/root/testdata/sf0.001"
-DOC = "doc_id bigint, text string, lang string, source string, size int, class_id string"
+CLASH = "id k h s t w l p salt rank quota epochs letters".split()
+DOC = "doc_id bigint, text string, lang string, source string, size int, class_id string, " + ", ".join(f"{c} string" for c in CLASH)
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +36,7 @@ def odd(spark):
     """Nulls in any column, empty and long texts, rows that repeat, columns whose names clash."""
     long = "word " * 30_000 + "\n" + "x" * 5000
     rows = [(1, None, "en", "a", 1, "z"), (2, "", None, None, None, None), (3, long, "en", "a", 2, "z"), (4, "same words stand here in this row twice\nand once", "en", "b", 3, "z"), (4, "same words stand here in this row twice\nand once", "en", "b", 3, "z"), (None, "no key at all but some words here", "de", "b", 4, None), (5, " \t\n", "de", None, 5, "y"), (6, "é́ 　 ​ \0 \U0001f600", "fr", "c", 6, "y")]
-    return spark.createDataFrame(rows, DOC)
+    return spark.createDataFrame([(*r, *CLASH) for r in rows], DOC)
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +79,13 @@ def test_twin(name, same):
     same(queries.queries()[name], queries.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("add", [line_hash.dedup_substrings, line_join.dedup_lines, prob_minhash.near_duplicates, mixing.mix, language_cnn.identify, sentencepiece_bpe.encode_decode, quality_rules.statistics], ids=lambda f: f.__name__)
+def test_columns_that_clash_stay(add, odd):
+    out = add(odd)
+    assert len(set(out.columns)) == len(out.columns)
+    assert out.count() == odd.count() and all(tuple(r) == tuple(CLASH) for r in out.select(*CLASH).collect())
+
+
 # ---- 1
 
 
@@ -352,36 +360,53 @@ def test_near_duplicates_of_repeated_words(spark):
 # ---- 8
 
 
-def test_substrings_by_brute_force(spark, docs, texts):
-    first, units = {}, {}
-    for i in sorted(texts):
-        units[i] = list(line_hash.units_of(texts[i] or "", "sentence"))
-        for pos, u in enumerate(units[i]):
-            first.setdefault(u[3], (i, pos))
-    want = {}
-    for i, us in units.items():
-        again = [pos for pos, u in enumerate(us) if first[u[3]] != (i, pos)]
-        runs = []
-        for pos in again:
-            if runs and runs[-1][-1] == pos - 1:
-                runs[-1].append(pos)
+def brute_paragraphs(text, whole):
+    """(start, end, folded words) of runs of lines with a word, or of each such line."""
+    out, at = [], 0
+    for line in (text or "").split("\n"):
+        ws = WORD.findall(line.lower())
+        if ws:
+            if whole and out and out[-1][3]:
+                out[-1] = (out[-1][0], at + len(line), out[-1][2] + ws, True)
             else:
-                runs.append([pos])
-        spans = [us[p][:2] for run in runs if sum(us[p][2] for p in run) >= 20 for p in run]
-        if spans:
-            want[i] = spans
-    got = {r["k"]: [tuple(s) for s in r["spans"]] for r in line_hash.removals(docs).collect()}
+                out.append((at, at + len(line), ws, True))
+        elif out:
+            out[-1] = (*out[-1][:3], False)
+        at += len(line) + 1
+    return [(a, b, tuple(ws)) for a, b, ws, _ in out]
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_units_by_brute_force(unit, spark, docs, odd, texts):
+    more = {10_001: "A b\n\n\nc\n \t\nA  B\nx", 10_002: "a B\n\nc", 10_003: "\u3000\na\u3000b\n\ny\r\n\r\nA b"}
+    seen, want = set(), {}
+    for i in sorted(texts | more):
+        for a, b, ws in brute_paragraphs((texts | more)[i], unit == "paragraph"):
+            if ws in seen:
+                want.setdefault(i, []).append((a, b))
+            seen.add(ws)
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(more.items()), "doc_id bigint, text string"))
+    got = {r["k"]: [tuple(s) for s in r["spans"]] for r in line_hash.removals(every, unit=unit).collect()}
     assert got == want and got
 
 
+def test_units_take_linear_time():
+    import time
+
+    for text in ("." * 1_000_000, " \n" * 500_000, "a \n" * 300_000, "\n" * 1_000_000):
+        began = time.process_time()
+        list(line_hash.units_of(text, "paragraph"))
+        assert time.process_time() - began < 2
+
+
 def test_passage_goes_and_the_rest_stays(spark, odd, none):
-    passage = "This long passage stands in two documents word for word and so its second copy has to go away. It goes on for a second sentence with many more words in it."
-    df = spark.createDataFrame([(1, f"Own words first. {passage} Own end."), (2, f"Other words. {passage}\nLast line."), (3, None), (4, "Own words first.")], "doc_id bigint, text string")
+    passage = "This long passage stands in two documents word for word and so its second copy has to go away.\nIt goes on for a second line with many more words in it."
+    df = spark.createDataFrame([(1, f"Own words first.\n\n{passage}\n\nOwn end."), (2, f"Other words.\n\n{passage}\n\nLast line."), (3, None), (4, "Own words, first.")], "doc_id bigint, text string")
     got = {r["doc_id"]: r for r in line_hash.dedup_substrings(df).collect()}
     assert got[1]["removed_words"] == 0 and got[4]["removed_words"] == 0 and got[3]["text"] is None
     assert "passage" not in got[2]["text"] and got[2]["text"].startswith("Other words.") and got[2]["text"].endswith("Last line.")
     text = df.filter("doc_id = 2").first()["text"]
-    assert "".join(text[s["start"] : s["stop"]] for s in got[2]["removed_spans"]).split() == passage.split()
+    assert [text[s["start"] : s["stop"]] for s in got[2]["removed_spans"]] == [passage]
     assert line_hash.dedup_substrings(odd).count() == odd.count() and line_hash.dedup_substrings(none).count() == 0
 
 
@@ -455,6 +480,28 @@ def test_archives(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_reruns_write_the_same_bytes(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hot = pages.withColumn("page_id", F.when(F.col("page_id") % 3 == 0, 7).when(F.col("page_id") % 7 == 0, None).when(F.col("page_id") % 11 == 0, F.col("page_id") + (1 << 61)).otherwise(F.col("page_id")))
+    for df in (pages, hot):
+        files = []
+        for i, q in enumerate((df, df.repartition(7).orderBy(F.rand(9)))):
+            name = tmp_path / f"{df is hot}{i}"
+            warc.write(q, str(name), roll_bytes=40_000, partitions=5)
+            files.append({p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in name.iterdir() if p.suffix == ".gz"})
+        assert files[0] == files[1] and len(files[0]) > 5
+        ranges = warc.read(spark, str(name)).groupBy(F.substring("file", 1, 11).alias("f")).agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count("*").alias("n")).orderBy("f").collect()
+        assert sum(r["n"] for r in ranges) == df.count() and max(r["n"] for r in ranges) < 0.4 * df.count()
+        assert all(x["b"] is None or y["a"] is None or x["b"] <= y["a"] for x, y in zip(ranges, ranges[1:]))
+
+
+def test_records_name_what_they_refer_to():
+    first, again = (warc.record(i, f"http://a/{i}", b"<p>", *more) for i, more in ((1, (None,)), (2, (1, "http://a/1"))))
+    assert f"WARC-Refers-To: {warc.record_id(1, 'http://a/1')}\r\n".encode() in again and f"WARC-Record-ID: {warc.record_id(1, 'http://a/1')}\r\n".encode() in first
+    assert first.partition(b"\r\n\r\n")[2] == b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>\r\n\r\n"
+    assert warc.parse(first)["payload"] == b"<p>" and warc.parse(again)["payload"] is None
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "yyyy"), (4, "d", "yyyy")], "page_id bigint, url string, html string")
     warc.write(pages, str(tmp_path), min_bytes=4)
