@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, block_words, discard, materialize, mix64, release, shingles
+from suitestat.llm.common import GOLDEN, block_words, discard, materialize, mix64, release, shingles, unused
 
 SHINGLE, THRESHOLD = 5, 0.8
 COUNTERS, PART = 1 << 16, 1 << 10
@@ -91,17 +91,30 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.round(16 * np.log2(1 + counts)).astype(np.int64)
 
 
+def in_order(line: np.ndarray, rare: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Places in the order of line, rarity and token: by one key of 24, 13 and 27 bits where no two that differ share it."""
+    if not len(line) or line.max() >> 24 or rare.max() >> 13:
+        return np.lexsort((token, rare, line))
+    key = line.astype(np.uint64) << np.uint64(40) | rare.astype(np.uint64) << np.uint64(27) | token >> np.uint64(37)
+    order = np.argsort(key)
+    key, token_ = key[order], token[order]
+    if ((key[1:] == key[:-1]) & (token_[1:] != token_[:-1])).any():
+        return np.lexsort((token, rare, line))
+    return order
+
+
 def line_sets(h: np.ndarray, line: np.ndarray, weight: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(line, token) of the distinct tokens of each line that has a word, the rarest of a line first."""
     if not len(h):
         return line, h
     rare = weight[(h >> np.uint64(48)).astype(np.int64)]
+    total = np.concatenate([[0], np.cumsum(rare)])
     start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     size = np.diff(np.append(start, len(line)))
     lines, tokens, rares = [], [], []
     if len(h) >= k:
         inside = line[: len(h) - k + 1] == line[k - 1 :]
-        lines, tokens, rares = [line[: len(h) - k + 1][inside]], [shingles(h, k)[inside]], [np.convolve(rare, np.ones(k, np.int64), "valid")[inside]]
+        lines, tokens, rares = [line[: len(h) - k + 1][inside]], [shingles(h, k)[inside]], [(total[k:] - total[:-k])[inside]]
     for n in range(1, k):
         at = start[size == n]
         token = np.zeros(len(at), np.uint64)
@@ -111,7 +124,7 @@ def line_sets(h: np.ndarray, line: np.ndarray, weight: np.ndarray, k: int = SHIN
         tokens.append(token)
         rares.append(np.zeros(len(at), np.int64))
     line, token, rare = np.concatenate(lines), np.concatenate(tokens), np.concatenate(rares)
-    order = np.lexsort((token, rare, line))
+    order = in_order(line, rare, token)
     line, token = line[order], token[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -524,8 +537,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     Null and empty texts stay as they are.  See removed_lines() for keys that repeat.
     """
     docs = docs.drop(*[c for c in docs.columns if c in ("n_lines", "n_links", "removed")])
-    found = removed_lines(docs, text, key, threshold).withColumnRenamed("k", "_k")
-    out = docs.join(found, docs[key].cast("long").eqNullSafe(found["_k"]), "left").drop("_k")
+    own = unused(docs, "k")
+    found = removed_lines(docs, text, key, threshold).withColumnRenamed("k", own)
+    out = docs.join(found, docs[key].cast("long").eqNullSafe(found[own]), "left").drop(own)
     none = F.array().cast("array<int>")
     out = out.withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "removed": F.coalesce("removed", none)})
 

@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import id_hash, materialize, n_words
+from suitestat.llm.common import id_hash, materialize, n_words, unused
 
 SALTS = 64
 
@@ -103,11 +103,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     import pandas as pd
 
-    own = ["size", "source_size", "target", "times", "taken", "_salt", "_rank", "_n", "_h", "_s"]
+    own = ["size", "source_size", "target", "times", "taken"]
     docs = docs.drop(*[c for c in docs.columns if c in own and c not in (key, source, text)])
     spark = docs.sparkSession
-    sized = docs.withColumn("size", n_words(F.col(text))).withColumn("_h", id_hash(F.col(key), seed)).withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
-    parts = materialize(sized.groupBy(F.col(source).alias("_s"), "size", "_salt").agg(F.count("*").alias("_n")), "mix-counts")
+    h, salt, rank, quota_, epochs, s_ = (unused(docs, name) for name in ("h", "salt", "rank", "quota", "epochs", "s"))
+    sized = docs.withColumn("size", n_words(F.col(text))).withColumn(h, id_hash(F.col(key), seed)).withColumn(salt, F.pmod(h, F.lit(SALTS)).cast("int"))
+    parts = materialize(sized.groupBy(F.col(source).alias("_s"), "size", F.col(salt).alias("_salt")).agg(F.count("*").alias("_n")), "mix-counts")
     rows = parts.groupBy("_s").agg(F.sum(F.col("size") * F.col("_n")).alias("words")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -115,8 +116,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     goal = targets(sizes, weights, max_epochs)
     whole = {s: min(max_epochs, int(goal[s] // sizes[s])) if sizes[s] else 0 for s in sizes}
     rest = {s: max(0, round(goal[s] - whole[s] * sizes[s])) if whole[s] < max_epochs else 0 for s in sizes}
-    schema = "_s string, source_size long, target double, epochs int"
-    plan = spark.createDataFrame([(s, sizes[s], float(goal[s]), whole[s]) for s in sizes], schema)
+    plan = spark.createDataFrame([(s, sizes[s], float(goal[s]), whole[s]) for s in sizes], f"{s_} string, source_size long, target double, {epochs} int")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf["_s"].iloc[0]
@@ -130,12 +130,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     before = F.sum("_n").over(Window.partitionBy("_s", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     same = lambda a, b, cs: [a[c].eqNullSafe(b[c]) for c in cs]
     counted = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
-    quota = counted.join(more, same(counted, more, ["_s", "size"])).select(counted["_s"], counted["size"], "_salt", F.least(F.col("_n"), F.col("more") - F.col("_before")).alias("quota")).filter("quota > 0")
+    # Both may have a row for each document: never broadcast.
+    quota = counted.join(more.hint("merge"), same(counted, more, ["_s", "size"])).select(counted["_s"], counted["size"], "_salt", F.least(F.col("_n"), F.col("more") - F.col("_before")).alias(quota_)).filter(F.col(quota_) > 0)
     quota = materialize(quota, "mix-quota")
-    rank = F.row_number().over(Window.partitionBy(source, "size", "_salt").orderBy("_h", key))
-    ranked = sized.withColumn("_rank", rank)
-    out = ranked.join(quota, [ranked[source].eqNullSafe(quota["_s"]), ranked["size"] == quota["size"], ranked["_salt"] == quota["_salt"]], "left").select(*[ranked[c] for c in ranked.columns], "quota")
-    out = out.join(F.broadcast(plan), out[source].eqNullSafe(plan["_s"]), "left")  # a row for each source: at most max_sources
-    times = F.col("epochs") + F.when(F.col("_rank") <= F.coalesce("quota", F.lit(0)), 1).otherwise(0)
+    ranked = sized.withColumn(rank, F.row_number().over(Window.partitionBy(source, "size", salt).orderBy(h, key)))
+    out = ranked.join(quota.hint("merge"), [ranked[source].eqNullSafe(quota["_s"]), ranked["size"] == quota["size"], ranked[salt] == quota["_salt"]], "left").select(*[ranked[c] for c in ranked.columns], quota_)
+    out = out.join(F.broadcast(plan), out[source].eqNullSafe(plan[s_]), "left")  # a row for each source: at most max_sources
+    times = F.col(epochs) + F.when(F.col(rank) <= F.coalesce(quota_, F.lit(0)), 1).otherwise(0)
     out = out.withColumn("times", times.cast("int")).withColumn("taken", (F.col("times") * F.col("size")).cast("long"))
     return out.select(*docs.columns, "size", "source_size", "target", "times", "taken")
