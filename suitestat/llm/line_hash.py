@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, WORD, _power, block_words, discard, materialize, mix64, release, split_words, unused
+from suitestat.llm.common import GOLDEN, WORD, _power, block_words, discard, materialize, mix64, release, unused
 
 SEED = 25  # words of a window
 
@@ -33,12 +33,12 @@ def units_of(text: str, unit: str) -> Iterator[tuple[int, int, int, bytes]]:
     """
     at, start, end, ws = 0, 0, 0, []
     for line in [*text.split("\n"), ""] if unit == "paragraph" else text.split("\n"):
-        found = split_words(line.lower())
+        found = line.lower().encode("utf-8", "surrogatepass").split()  # bytes split at the six ASCII white-space characters alone
         if found:
             start, end = (start if ws else at), at + len(line)
             ws += found
         if ws and (unit == "line" or not found):
-            yield start, end, len(ws), hashlib.md5(" ".join(ws).encode("utf-8", "surrogatepass")).digest()
+            yield start, end, len(ws), hashlib.md5(b" ".join(ws)).digest()
             ws = []
         at += len(line) + 1
 
