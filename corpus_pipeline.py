@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import materialize, table
+from suitestat.llm.common import materialize, table, unused
 from suitestat.llm.language_cnn import UNKNOWN, identify
 from suitestat.llm.line_join import dedup_lines
 from suitestat.llm.mixing import mix
@@ -44,7 +44,8 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each time."""
     mixed = mix(docs).filter("times > 0")
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
+    time = unused(docs, "time")
+    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias(time)).drop(time)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
