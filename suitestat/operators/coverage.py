@@ -57,66 +57,94 @@ def segment_pattern(segment: Column) -> Column:
     )
 
 
+def path_pieces(parts: Column) -> Column:
+    """COV-04: of each segment, its piece of the pattern of a whole path: /a/b, where ** takes no segment or more."""
+    return F.transform(F.transform(parts, segment_pattern), lambda q: F.when(q == "**", "(?:/[^/]+)*").otherwise(F.concat(F.lit("/"), q)))
+
+
 def path_pattern(parts: Column) -> Column:
-    """COV-04: the pattern of a whole path from its segments' patterns: /a/b, where ** takes no segment or more."""
-    each = F.transform(parts, lambda s: F.when(segment_pattern(s) == "**", "(?:/[^/]+)*").otherwise(F.concat(F.lit("/"), segment_pattern(s))))
-    return F.concat(F.lit("^"), F.array_join(each, ""), F.lit("$"))
+    """COV-04: the pattern of a whole path from its segments."""
+    return F.concat(F.lit("^"), F.array_join(path_pieces(parts), ""), F.lit("$"))
+
+
+WHOLE, CUT, SUFFIX = 1, 2, 3
 
 
 def templates(endpoints: DataFrame) -> DataFrame:
-    """Patterns of eligible endpoints: pattern, cut_pattern (for cut paths, null unless the tail is a plain variable), suffix_patterns, route.
+    """The distinct templates of eligible endpoints: project_id, method, is_method_wildcard, path_template, route, and variants array<struct<kind, n, first, pattern>>.
 
-    COV-05: the tail must be a variable without star and constraint.  COV-07: suffixes
-    drop only literal segments and start with one.
+    A variant is a pattern and what a path must have for it: n segments (-1: any
+    number) and that first segment (*: any).  COV-05: the tail of a CUT path must be a
+    variable without star and constraint.  COV-07: a SUFFIX drops only literal segments
+    and starts with one.
     """
-    e = eligible(endpoints).withColumn("_s", segments(normalize_path(F.col("path_template"))))
+    e = eligible(endpoints).select("project_id", F.upper("http_method").alias("method"), "is_method_wildcard", "path_template").distinct()
+    e = e.withColumn("_s", segments(normalize_path(F.col("path_template")))).withColumn("_q", path_pieces(F.col("_s")))
     literal = lambda s: ~s.contains("{") & ~s.contains("*")
-    last = F.element_at("_s", -1)
-    tail = F.when((F.size("_s") > 0) & last.rlike(VARIABLE) & (F.regexp_extract(last, VARIABLE, 1) == "") & (F.regexp_extract(last, VARIABLE, 3) == ""), path_pattern(F.slice("_s", F.lit(1), F.size("_s") - 1)))
-    lead = F.size("_s") - F.size(F.filter(F.transform("_s", lambda s, i: F.exists(F.slice(F.col("_s"), F.lit(1), i + 1), lambda x: ~literal(x))), lambda x: x))
-    e = e.withColumn("pattern", path_pattern(F.col("_s"))).withColumn("cut_pattern", F.when(F.size("_s") > 0, tail)).withColumn("_lead", lead)
-    # With the first _lead segments literal, 1 .. _lead - 1 of them can go and leave a literal first.
-    drops = F.when(F.col("_lead") >= 2, F.sequence(F.lit(1), F.col("_lead") - 1)).otherwise(F.array().cast("array<int>"))
-    suffixes = F.transform(drops, lambda d: path_pattern(F.slice(F.col("_s"), d + 1, F.greatest(F.size("_s") - d, F.lit(0)))))
-    e = e.withColumn("suffix_patterns", suffixes)
-    return e.withColumn("route", F.concat_ws(" ", F.upper("http_method"), F.array_join("_s", "/"))).drop("_s", "_lead")
+    size, last = F.size("_s"), F.element_at("_s", -1)
+    # A constraint may match several segments, as ** does.
+    e = e.withColumn("_fixed", ~F.exists("_s", lambda s: s.contains("**") | s.contains(":")))
+
+    def variant(kind: int, drop: Column, keep: Column) -> Column:
+        first = F.when(keep > 0, F.get(F.col("_s"), drop))
+        pattern = F.concat(F.lit("^"), F.array_join(F.slice(F.col("_q"), drop + 1, keep), ""), F.lit("$"))
+        return F.struct(F.lit(kind).alias("kind"), F.when(F.col("_fixed"), keep).otherwise(-1).alias("n"), F.when(literal(first), first).otherwise("*").alias("first"), pattern.alias("pattern"))
+
+    plain = last.rlike(VARIABLE) & (F.regexp_extract(last, VARIABLE, 1) == "") & (F.regexp_extract(last, VARIABLE, 3) == "")
+    # With the first lead segments literal, 1 .. lead - 1 of them can go and leave a literal first.
+    lead = F.coalesce(F.nullif(F.array_position(F.transform("_s", literal), False), F.lit(0)) - 1, size).cast("int")
+    drops = F.when(lead >= 2, F.sequence(F.lit(1), lead - 1)).otherwise(F.array().cast("array<int>"))
+    whole, cut = F.array(variant(WHOLE, F.lit(0), size)), F.array(variant(CUT, F.lit(0), size - 1))
+    none = F.slice(whole, 1, 0)
+    e = e.withColumn("variants", F.concat(whole, F.when((size > 0) & plain, cut).otherwise(none), F.transform(drops, lambda d: variant(SUFFIX, d, size - d))))
+    return e.withColumn("route", F.concat_ws(" ", "method", F.array_join("_s", "/"))).drop("_s", "_q", "_fixed")
+
+
+def _hits(paths: DataFrame, variants: DataFrame) -> DataFrame:
+    """paths (project_id, verb, _p, ...) with each variant whose pattern they match: equal project, verb, number of segments and first segment, or variants that leave those open."""
+    whole = F.when(F.col("_p") == "/", "").otherwise(F.col("_p"))
+    parts = F.split(F.col("_w"), "/")
+    n, first = F.size(parts) - 1, F.get(parts, 1)
+    key = lambda n, first: F.struct(n.alias("n"), first.alias("first"))
+    keys = F.array(key(n, first), key(n, F.lit("*")), key(F.lit(-1), first), key(F.lit(-1), F.lit("*")))
+    asked = paths.withColumn("_w", whole).withColumn("_k", F.explode(keys)).withColumns({"n": F.col("_k.n"), "first": F.col("_k.first")}).drop("_k")
+    return asked.join(variants, ["project_id", "verb", "n", "first"]).filter(F.rlike(F.col("_w"), F.col("pattern")))
 
 
 def match(requests: DataFrame, endpoints: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """COV-04..08: (project_id, http_method, http_path, path_truncated, endpoint_id, tier) for each distinct request that matches.
 
-    Each distinct (project, verb, path, cut) is matched once (COV-08); join the result
-    back to requests.  Tiers: 1 direct, 2 after an application prefix is stripped, 3 by
-    a unique suffix.  A request keeps the matches of its first tier only (COV-06).
-    Candidates meet templates on project and verb, wildcard endpoints under each verb that
-    is observed; the pattern is tested on what those keys leave.
+    Each distinct (project, verb, path, cut) is matched once (COV-08), against each
+    distinct template once; join the result back to requests.  Tiers: 1 direct, 2 after
+    an application prefix is stripped, 3 by a unique suffix.  A request keeps the
+    matches of its first tier only (COV-06).  Paths meet templates on project, verb,
+    number of segments and first segment, wildcard endpoints under each verb that is
+    observed; the pattern is tested on what those keys leave.
     """
     cut = F.col("path_truncated") if "path_truncated" in requests.columns else F.lit(False)
     asked = requests.select("project_id", "http_method", "http_path", cut.alias("path_truncated")).filter("http_path is not null").distinct()
     seen = observed_path(F.col("http_path"))
     asked = asked.withColumn("_p", seen["path"]).filter(F.col("_p").isNotNull() & (seen["target"] != "external") & (F.upper(F.coalesce("http_method", F.lit("UNKNOWN"))) != "UNKNOWN"))
     asked = asked.withColumn("verb", F.upper("http_method"))
-    t = templates(endpoints).select("project_id", "endpoint_id", F.upper("http_method").alias("_m"), "is_method_wildcard", "pattern", "cut_pattern", "suffix_patterns", "route")
-    verbs = asked.select("project_id", "verb").distinct()
-    named = t.filter("_m <> 'UNKNOWN'").withColumn("verb", F.col("_m"))
-    wild = t.filter("_m = 'UNKNOWN' and is_method_wildcard").join(verbs, "project_id").select(*t.columns, "verb")
-    t = named.select(*t.columns, "verb").unionByName(wild)
+    own = ["project_id", "method", "is_method_wildcard", "path_template"]
+    t = templates(endpoints)
+    verbs = asked.groupBy("project_id").agg(F.collect_set("verb").alias("_verbs"))
+    under = F.when(F.col("method") != "UNKNOWN", F.array("method")).when(F.col("is_method_wildcard"), F.col("_verbs"))
+    v = t.join(verbs, "project_id").withColumn("verb", F.explode(under)).withColumn("x", F.explode("variants")).select(*own, "route", "verb", "x.*")
     keys = ["project_id", "http_method", "http_path", "path_truncated"]
-    pairs = asked.join(t, ["project_id", "verb"])
-    whole = F.when(F.col("_p") == "/", "").otherwise(F.col("_p"))
-    direct = F.rlike(whole, F.col("pattern")) | (F.col("path_truncated") & F.coalesce(F.rlike(whole, F.col("cut_pattern")), F.lit(False)))
-    suffix = ~F.col("path_truncated") & (F.size(segments("_p")) >= MIN_SUFFIX) & F.exists("suffix_patterns", lambda x: F.rlike(whole, x))
-    tiers = pairs.withColumn("tier", F.when(direct, 1).when(suffix, 3)).filter("tier is not null").select(*keys, "endpoint_id", "route", "tier")
+    able = (F.col("kind") == WHOLE) | ((F.col("kind") == CUT) & F.col("path_truncated")) | ((F.col("kind") == SUFFIX) & ~F.col("path_truncated") & (F.size(segments("_p")) >= MIN_SUFFIX))
+    tier = F.when(F.col("kind") == SUFFIX, 3).otherwise(1)
+    tiers = _hits(asked, v).filter(able).select(*keys, *own[1:], "route", tier.alias("tier")).distinct()
     if prefixes is not None:
-        rest = asked.join(prefixes.select("project_id", "prefix").distinct(), "project_id").withColumn("_r", strip_prefix(segments("_p"), segments(normalize_path(F.col("prefix"))))).filter("_r is not null")
-        rest = rest.withColumn("_w", F.when(F.col("_r") == "/", "").otherwise(F.col("_r"))).join(t, ["project_id", "verb"])
-        hit = F.rlike(F.col("_w"), F.col("pattern")) | (F.col("path_truncated") & F.coalesce(F.rlike(F.col("_w"), F.col("cut_pattern")), F.lit(False)))
-        tiers = tiers.unionByName(rest.filter(hit).select(*keys, "endpoint_id", "route", F.lit(2).alias("tier")).distinct())
+        rest = asked.join(prefixes.select("project_id", "prefix").distinct(), "project_id").withColumn("_p", strip_prefix(segments("_p"), segments(normalize_path(F.col("prefix"))))).filter("_p is not null")
+        tiers = tiers.unionByName(_hits(rest, v.filter(F.col("kind") != SUFFIX)).filter(able).select(*keys, *own[1:], "route", F.lit(2).alias("tier")).distinct())
     w = Window.partitionBy(*keys)
     best = tiers.withColumn("_best", F.min("tier").over(w)).filter("tier = _best")
     # A suffix counts only if one route has it.
     one = F.min("route").over(w) == F.max("route").over(w)
-    return best.withColumn("_one", one).filter("tier < 3 or _one").select(*keys, "endpoint_id", "tier")
+    best = best.withColumn("_one", one).filter("tier < 3 or _one").select(*keys, *own[1:], "tier")
+    e = eligible(endpoints).select("project_id", "endpoint_id", F.upper("http_method").alias("method"), "is_method_wildcard", "path_template")
+    return best.join(e, own).select(*keys, "endpoint_id", "tier").distinct()
 
 
 def matched_requests(requests: DataFrame, matches: DataFrame) -> DataFrame:
