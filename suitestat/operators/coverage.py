@@ -82,8 +82,8 @@ def templates(endpoints: DataFrame) -> DataFrame:
     e = e.withColumn("_s", segments(normalize_path(F.col("path_template")))).withColumn("_q", path_pieces(F.col("_s")))
     literal = lambda s: ~s.contains("{") & ~s.contains("*")
     size, last = F.size("_s"), F.element_at("_s", -1)
-    # A constraint may match several segments, as ** does.
-    e = e.withColumn("_fixed", ~F.exists("_s", lambda s: s.contains("**") | s.contains(":")))
+    # A constraint may match several segments, as ** and {*rest} do.
+    e = e.withColumn("_fixed", ~F.exists("_s", lambda s: s.contains("**") | s.contains("{*") | s.contains(":")))
 
     def variant(kind: int, drop: Column, keep: Column) -> Column:
         first = F.when(keep > 0, F.get(F.col("_s"), drop))
