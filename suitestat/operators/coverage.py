@@ -81,7 +81,7 @@ def templates(endpoints: DataFrame) -> DataFrame:
     e = eligible(endpoints).select("project_id", F.upper("http_method").alias("method"), "is_method_wildcard", "path_template").distinct()
     e = e.withColumn("_s", segments(normalize_path(F.col("path_template")))).withColumn("_q", path_pieces(F.col("_s")))
     literal = lambda s: ~s.contains("{") & ~s.contains("*")
-    size, last = F.size("_s"), F.element_at("_s", -1)
+    size, last = F.size("_s"), F.get("_s", F.size("_s") - 1)
     # A constraint may match several segments, as ** and {*rest} do.
     e = e.withColumn("_fixed", ~F.exists("_s", lambda s: s.contains("**") | s.contains("{*") | s.contains(":")))
 
@@ -94,7 +94,7 @@ def templates(endpoints: DataFrame) -> DataFrame:
     # With the first lead segments literal, 1 .. lead - 1 of them can go and leave a literal first.
     lead = F.coalesce(F.nullif(F.array_position(F.transform("_s", literal), False), F.lit(0)) - 1, size).cast("int")
     drops = F.when(lead >= 2, F.sequence(F.lit(1), lead - 1)).otherwise(F.array().cast("array<int>"))
-    whole, cut = F.array(variant(WHOLE, F.lit(0), size)), F.array(variant(CUT, F.lit(0), size - 1))
+    whole, cut = F.array(variant(WHOLE, F.lit(0), size)), F.array(variant(CUT, F.lit(0), F.greatest(size - 1, F.lit(0))))
     none = F.slice(whole, 1, 0)
     e = e.withColumn("variants", F.concat(whole, F.when((size > 0) & plain, cut).otherwise(none), F.transform(drops, lambda d: variant(SUFFIX, d, size - d))))
     return e.withColumn("route", F.concat_ws(" ", "method", F.array_join("_s", "/"))).drop("_s", "_q", "_fixed")
