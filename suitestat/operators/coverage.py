@@ -173,15 +173,20 @@ def coverage_summary(coverage: DataFrame, *keys: str) -> DataFrame:
     return coverage.groupBy(*keys).agg(*out) if keys else coverage.agg(*out)
 
 
+def credited(segmented: DataFrame, matches: DataFrame, checks: DataFrame, by: str) -> DataFrame:
+    """Checks (project_id, test_id, seq, by, n) of each sequence credited to every endpoint that its first request matches: (project_id, endpoint_id, by, checks)."""
+    first = Window.partitionBy("project_id", "test_id", "seq").orderBy("pos")
+    lead = segmented.filter("kind = 'http-request'").withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("project_id", "test_id", "seq", "http_method", "http_path")
+    hit = matched_requests(lead, matches).select("project_id", "test_id", "seq", "endpoint_id").distinct()
+    return hit.join(checks, ["project_id", "test_id", "seq"]).groupBy("project_id", "endpoint_id", by).agg(F.sum("n").alias("checks"))
+
+
 def outcomes(segmented: DataFrame, matches: DataFrame) -> DataFrame:
     """COV-11: status checks of each sequence credited to every endpoint that its first request matches: (project_id, endpoint_id, range, checks)."""
     from suitestat.operators.sequences import status_range
 
-    first = Window.partitionBy("project_id", "test_id", "seq").orderBy("pos")
-    lead = segmented.filter("kind = 'http-request'").withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("project_id", "test_id", "seq", "http_method", "http_path")
     checks = segmented.filter("kind = 'response-check' and assertion_role = 'status'").withColumn("range", status_range("status_code")).groupBy("project_id", "test_id", "seq", "range").agg(F.count(F.lit(1)).alias("n"))
-    hit = matched_requests(lead, matches).select("project_id", "test_id", "seq", "endpoint_id").distinct()
-    return hit.join(checks, ["project_id", "test_id", "seq"]).groupBy("project_id", "endpoint_id", "range").agg(F.sum("n").alias("checks"))
+    return credited(segmented, matches, checks, "range")
 
 
 def surface(endpoints: DataFrame, params: DataFrame) -> DataFrame:
