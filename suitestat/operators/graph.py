@@ -87,7 +87,9 @@ def runtime_metrics(expanded: DataFrame, methods: DataFrame, *metrics: str) -> D
 def ncloc(code: str | Column) -> Column:
     """SYM-21: lines that are not blank once comments are gone; strings and text blocks are matched first, so comment marks inside them stay."""
     c = F.col(code) if isinstance(code, str) else code
-    plain = F.regexp_replace(c, r'(?s)("""(?:\\.|(?!""").)*"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')|/\*.*?\*/|//[^\n]*', "$1")
+    # Loops go over what stands between escapes, so a long string needs no deep stack.
+    block, string, char = r'"""[^"\\]*+(?:(?:\\.|"{1,2}(?!"))[^"\\]*+)*+"""', r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+    plain = F.regexp_replace(c, f"(?s)({block}|{string}|{char})|/\\*.*?\\*/|//[^\n]*", "$1")
     return F.size(F.filter(F.split(plain, "\n"), lambda x: F.trim(x) != "")).cast("long")
 
 

@@ -191,12 +191,12 @@ def sym_visible_methods(spark, sf_dir):
     return H.visible_methods(H.closure(_edges(spark, sf_dir)), n.unionByName(r).withColumn("method_signature", F.lit("run()")))
 
 
-_SPAN = "SELECT conv_id, turn AS call_id, (turn % 3) * 10 AS start, (turn % 3) * 10 + 40 - 5 * turn AS stop FROM conversations WHERE turn < 7"
+_SPAN = "SELECT conv_id, turn AS call_id, (turn % 3) * 10 AS start, (turn % 3) * 10 + 40 - 5 * (turn % 7) AS stop FROM conversations"
 
 
 def _spans(spark, sf_dir):
     t = F.col("turn")
-    return _t(spark, sf_dir, "conversations").filter("turn < 7").select("conv_id", t.alias("call_id"), ((t % 3) * 10).alias("start"), ((t % 3) * 10 + 40 - 5 * t).alias("stop")).distinct()
+    return _t(spark, sf_dir, "conversations").select("conv_id", t.alias("call_id"), ((t % 3) * 10).alias("start"), ((t % 3) * 10 + 40 - 5 * (t % 7)).alias("stop")).distinct()
 
 
 @query(f"""WITH s AS (SELECT DISTINCT * FROM ({_SPAN})), j AS (SELECT a.conv_id, a.call_id, b.call_id AS p, row_number() OVER (PARTITION BY a.conv_id, a.call_id ORDER BY b.stop - b.start, b.call_id) AS rn FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.start <= a.start AND b.stop >= a.stop AND (b.start < a.start OR b.stop > a.stop))
@@ -210,21 +210,19 @@ def sym_receiver_chains(spark, sf_dir):
     return H.receiver_chains(_spans(spark, sf_dir), "conv_id").withColumn("chain", F.array_join("chain", ","))
 
 
-_CALLS = "SELECT DISTINCT l_partkey % 97 AS owner, l_suppkey % 97 AS callee FROM lineitem"
+_CALLS = "SELECT DISTINCT l_orderkey AS owner, l_partkey AS callee FROM lineitem"
 
 
-@query(f"""WITH RECURSIVE c AS ({_CALLS}), x AS (SELECT owner AS root, owner, callee, [owner] AS path, 0 AS depth FROM c WHERE owner < 10 UNION ALL SELECT x.root, c.owner, c.callee, list_append(x.path, x.callee), x.depth + 1 FROM x JOIN c ON c.owner = x.callee WHERE x.depth < 1 AND NOT list_contains(x.path, x.callee))
+@query(f"""WITH RECURSIVE c AS ({_CALLS}), x AS (SELECT owner AS root, owner, callee, [owner] AS path, 0 AS depth FROM c UNION ALL SELECT x.root, c.owner, c.callee, list_append(x.path, x.callee), x.depth + 1 FROM x JOIN c ON c.owner = x.callee WHERE x.depth < 3 AND NOT list_contains(x.path, x.callee))
 SELECT root, count(DISTINCT callee) AS helpers FROM x GROUP BY root""")
 def sym_helper_expansion(spark, sf_dir):
-    d = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 97).alias("owner"), (F.col("l_suppkey") % 97).alias("callee")).distinct()
-    roots = d.filter("owner < 10").select(F.col("owner").alias("root")).distinct()
-    return H.distinct_helpers(H.expand(d, roots, 1))
+    d = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("callee")).distinct()
+    return H.distinct_helpers(H.expand(d, d.select(F.col("owner").alias("root")).distinct()))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS ncloc FROM documents WHERE text NOT LIKE '%/*%' AND text NOT LIKE '%//%' AND text NOT LIKE '%\"%' AND text NOT LIKE '%''%'")
+@query(r"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '(?s)(\"\"\"(?:\"{0,2}(?:[^\"\\]|\\.))*\"\"\"|\"(?:\\.|[^\"\\\n])*\"|''(?:\\.|[^''\\\n])*'')|/\*.*?\*/|//[^\n]*', '\1', 'g'), chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS ncloc FROM documents""")
 def sym_ncloc(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"/\*|//|[\"']"))
-    return d.select("doc_id", H.ncloc("text").alias("ncloc"))
+    return _t(spark, sf_dir, "documents").select("doc_id", H.ncloc("text").alias("ncloc"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN s_suppkey IS NOT NULL THEN 'local' WHEN p_partkey IS NOT NULL THEN 'field' END AS source, CASE WHEN s_suppkey IS NOT NULL THEN s_name WHEN p_partkey IS NOT NULL THEN p_name END AS type
@@ -236,18 +234,19 @@ def sym_first_hit(spark, sf_dir):
     return H.first_hit(calls, [("local", local), ("field", field)], ["name"]).select("l_orderkey", "l_linenumber", "source", "type")
 
 
-@query("SELECT p_brand, min(p_type) AS type FROM part WHERE p_size < 3 GROUP BY p_brand HAVING count(DISTINCT p_type) = 1")
+@query("SELECT p_name, min(p_type) AS type FROM part GROUP BY p_name HAVING count(DISTINCT p_type) = 1")
 def sym_unambiguous(spark, sf_dir):
-    return H.unambiguous(_t(spark, sf_dir, "part").filter("p_size < 3").select("p_brand", F.col("p_type").alias("type")), "p_brand")
+    return H.unambiguous(_t(spark, sf_dir, "part").select("p_name", F.col("p_type").alias("type")), "p_name")
 
 
-@query("SELECT concat('k', CAST(n_nationkey AS VARCHAR)) AS name, CASE WHEN n_nationkey = 24 THEN NULL ELSE concat('/r', CAST(n_regionkey AS VARCHAR), '/', n_name) END AS value FROM nation UNION ALL SELECT concat('b', CAST(r_regionkey AS VARCHAR)), concat('/r', CAST(r_regionkey AS VARCHAR)) FROM region")
+@query("SELECT concat('k', CAST(p_partkey AS VARCHAR)) AS name, CASE WHEN p_partkey % 24 > 0 AND s_suppkey IS NOT NULL THEN concat('/s', CAST(s_suppkey AS VARCHAR), '/', p_brand) END AS value FROM part LEFT JOIN supplier ON s_suppkey = p_partkey UNION ALL SELECT concat('b', CAST(s_suppkey AS VARCHAR)), concat('/s', CAST(s_suppkey AS VARCHAR)) FROM supplier")
 def sym_constants(spark, sf_dir):
     tok = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
-    key = F.concat(F.lit("k"), F.col("n_nationkey").cast("string"))
-    n = _t(spark, sf_dir, "nation").select(key.alias("name"), F.array(tok("reference", F.when(F.col("n_nationkey") == 24, key).otherwise(F.concat(F.lit("b"), F.col("n_regionkey").cast("string")))), tok("literal", F.concat(F.lit("/"), F.col("n_name")))).alias("tokens"))
-    r = _t(spark, sf_dir, "region").select(F.concat(F.lit("b"), F.col("r_regionkey").cast("string")).alias("name"), F.array(tok("literal", F.concat(F.lit("/r"), F.col("r_regionkey").cast("string")))).alias("tokens"))
-    return H.resolve_constants(n.unionByName(r))
+    of = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    base = F.when(F.col("p_partkey") % 24 == 0, of("k", "p_partkey")).otherwise(of("b", "p_partkey"))
+    p = _t(spark, sf_dir, "part").select(of("k", "p_partkey").alias("name"), F.array(tok("reference", base), tok("literal", F.concat(F.lit("/"), F.col("p_brand")))).alias("tokens"))
+    b = _t(spark, sf_dir, "supplier").select(of("b", "s_suppkey").alias("name"), F.array(tok("literal", of("/s", "s_suppkey"))).alias("tokens"))
+    return H.resolve_constants(p.unionByName(b))
 
 
 # ---- endpoints from annotations: a part is a method
@@ -355,9 +354,9 @@ def fig_rescaled(spark, sf_dir):
     return G.rescale_without_unknown(_series(spark, sf_dir)).select("suite", "category", "value")
 
 
-@query(f"WITH {_SERIES} SELECT category, {', '.join(f'''CAST(max(value) FILTER (suite = '{i}') AS DOUBLE) AS "{i}"''' for i in range(3))} FROM s GROUP BY category")
+@query(f"WITH {_SERIES} SELECT category, {', '.join(f'''CAST(max(value) FILTER (suite = '{i}') AS DOUBLE) AS "{i}"''' for i in range(10))} FROM s GROUP BY category")
 def fig_comparison(spark, sf_dir):
-    return G.comparison(_series(spark, sf_dir), ["0", "1", "2"])
+    return G.comparison(_series(spark, sf_dir), [str(i) for i in range(10)])
 
 
 @query(f"WITH {_SERIES} SELECT suite, category, CAST(value AS DOUBLE) AS value, CAST(row_number() OVER (PARTITION BY suite ORDER BY value DESC, category) AS INT) AS place FROM s WHERE value > 0")
