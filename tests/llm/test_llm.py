@@ -244,6 +244,35 @@ def test_lines_in_small_parts(spark, docs, monkeypatch):
     assert {r["k"]: r["removed"] for r in line_join.removed_lines(twice).collect()} == {r[0]: r[3] for r in whole}
 
 
+def test_lines_of_a_large_group(spark, monkeypatch):
+    """Many near copies of one line, some by chance in several groups, against all pairs."""
+    rng = random.Random(55)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (60, 60, 25)]
+    rows = []
+    for i in range(90):
+        ws = list(base[i % 3])
+        for _ in range(rng.randrange(4)):
+            ws[rng.choice([0, 1, 2, -1, -2, -3, len(ws) // 2])] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(ws) + ("\nsame" if i % 9 == 0 else "")))
+    sets = [(i, pos, frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or frozenset([tuple(w)])) for i, t in rows for pos, w in enumerate(map(str.split, t.split("\n")))]
+    distinct = {s for _, _, s in sets}
+    links = {s: {x for x in distinct if x != s and 10 * len(s & x) >= 8 * len(s | x)} for s in distinct}
+    first = {}
+    for i, pos, s in sets:
+        first.setdefault(s, (i, pos))
+    want = {i: [0, []] for i, _ in rows}
+    for i, pos, s in sets:
+        want[i][0] += len(links[s])
+        if min(first[x] for x in {s} | links[s]) != (i, pos):
+            want[i][1].append(pos)
+    assert max(map(len, links.values())) > line_join.SMALL
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for per_part in (1024, 9):
+        monkeypatch.setattr(line_join, "PER_PART", per_part)
+        got = {r["k"]: [r["n_links"], r["removed"]] for r in line_join.removed_lines(df).collect()}
+        assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {}
+
+
 def test_words_of_a_block(texts):
     every = [t or "" for t in texts.values()][:60] + ["", " ", "é\u3000 \x0b\x1f x\n\ny"]
     h, start, line = common.block_words("\n".join(every).encode())
