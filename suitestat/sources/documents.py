@@ -1,52 +1,21 @@
-"""Nested project documents, their audits, run logs, and result sinks."""
+"""Nested project documents, their audits, run logs, and result sinks; facts.py has the tables that are read out of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from suitestat.sources.schema import PROJECT_DDL
+
 FILE_NAME = "suite.json"
 CORRUPT = "_corrupt"
 
-_CALL = "struct<framework:string,http_method:string,path:string,path_truncated:boolean,has_body_payload:boolean,header_names:array<string>,query_param_names:array<string>,path_param_names:array<string>,form_param_names:array<string>,builders:array<struct<method_name:string,start_line:bigint,properties:array<string>>>>"
-_ORIGIN = "struct<phase:string,kind:string,owner:string,entry:string,depth:bigint>"
-_STEP = "struct<kind:string,phase:string,http_method:string,http_path:string,path_truncated:boolean,assertion_role:string,status_code:bigint,status_range:string>"
-_SEQUENCE = f"struct<order:bigint,length:bigint,fingerprint:string,steps:array<{_STEP}>>"
-_RSTEP = "struct<event_order:bigint,http_method:string,path:string,normalized_path:string,phase:string,crud_operation:string>"
-_RSEQ = f"struct<resource_key:string,steps:array<{_RSTEP}>,exercised_operations:array<string>,available_operations:array<string>,missing_available_operations:array<string>,lifecycle_label:string,has_read_after_write:boolean,has_cleanup_delete:boolean>"
-_REQUEST = f"struct<kind:string,role:string,origin:{_ORIGIN},request:{_CALL},verification:struct<role:string,status_code:bigint,status_range:string>>"
-_HTTP = f"struct<interactions:array<{_REQUEST}>,test_sequences:array<{_SEQUENCE}>,resource_sequences:array<{_RSEQ}>,request_dispatch:struct<labels:array<string>,signals:map<string,array<string>>>>"
-_TEST = f"struct<method_signature:string,is_api_test:boolean,is_controller_unit_test:boolean,ncloc:bigint,cyclomatic_complexity:bigint,helper_count:bigint,objects_created:bigint,assertions:struct<status_count:bigint,body_count:bigint,header_count:bigint,general_count:bigint,exception_count:bigint>,oracle_type:string,auth_handling:struct<label:string,signals:map<string,array<string>>>,dependency_strategies:array<string>,status_code_counts:map<string,bigint>,http:{_HTTP}>"
-_FIXTURE = "struct<phase:string,owner:string,method_signature:string,ncloc:bigint>"
-_ENDPOINT = "struct<http_method:string,path_template:string,framework:string,class_name:string,method_signature:string,is_method_wildcard:boolean,parameters:array<struct<name:string,source:string,required:boolean,is_aggregate:boolean,is_synthetic:boolean,is_unscorable:boolean,type:string,annotation:string>>>"
-#: SRC-02: one document per project.
-PROJECT_DDL = (
-    "dataset_name string, metadata struct<project_path:string,git_commit_hash:string,git_remote_host:string,git_repository:string,expanded_helper_depth:bigint,analysis_level:string>,"
-    "summary struct<api_test_count:bigint,non_api_test_count:bigint,controller_unit_test_count:bigint,total_http_interactions:bigint,coverage_ratio:double>,"
-    "application_class_count bigint, application_method_count bigint, application_cyclomatic_complexity bigint, test_class_count bigint, test_method_count bigint, test_utility_class_count bigint, test_utility_method_count bigint,"
-    f"endpoint_coverage struct<total_application_endpoints:bigint,covered_endpoint_count:bigint,untested_endpoint_count:bigint,coverage_ratio:double,endpoints:array<struct<endpoint:{_ENDPOINT},covering_test_count:bigint,is_covered:boolean,status_range_counts:map<string,bigint>>>,discovered_application_paths:array<string>>,"
-    f"test_class_analyses array<struct<qualified_class_name:string,testing_frameworks:array<string>,fixtures:array<{_FIXTURE}>,test_method_analyses:array<{_TEST}>>>"
-)
-
 
 def project_schema() -> StructType:
     return StructType.fromDDL(PROJECT_DDL)
 
 
-#: SRC-06. Closed vocabularies by the dotted path of the field.
-DOMAINS = {
-    "test_class_analyses.test_method_analyses.http.test_sequences.steps.kind": ("request-build", "http-request", "response-check"),
-    "test_class_analyses.test_method_analyses.http.test_sequences.steps.phase": ("setup", "test", "teardown"),
-    "test_class_analyses.test_method_analyses.http.test_sequences.steps.assertion_role": ("status", "body", "header", "exception", "general"),
-    "test_class_analyses.test_method_analyses.http.interactions.origin.kind": ("test-method", "test-helper", "fixture", "fixture-helper"),
-    "test_class_analyses.test_method_analyses.http.interactions.kind": ("request", "verification"),
-    "test_class_analyses.test_method_analyses.auth_handling.label": ("bypassed", "mocked", "test-token", "real-flow", "unknown", "none"),
-    "test_class_analyses.test_method_analyses.dependency_strategies": ("mocked", "virtualized", "containerized"),
-    "endpoint_coverage.endpoints.endpoint.parameters.source": ("path", "query", "header", "body", "form"),
-}
-
-
 def discover(spark: SparkSession, root: str, name: str = FILE_NAME) -> DataFrame:
     """SRC-01: paths of the documents below a root, sorted; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
@@ -175,47 +144,6 @@ def kind_mismatches(interactions: DataFrame) -> DataFrame:
     return interactions.filter(~fits)
 
 
-# ---- fact tables from documents
-
-
-def tests(docs: DataFrame) -> DataFrame:
-    """PRJ-05/31: a row for each test, with its class and project."""
-    c = docs.select("project_id", F.explode("doc.test_class_analyses").alias("c"))
-    return c.select("project_id", F.col("c.qualified_class_name").alias("class_name"), F.explode("c.test_method_analyses").alias("t")).select("project_id", "class_name", "t.*")
-
-
-def test_classes(docs: DataFrame) -> DataFrame:
-    """PRJ-26: a row for each test class: frameworks, API tests, fixtures by phase."""
-    c = docs.select("project_id", F.explode("doc.test_class_analyses").alias("c"))
-    api = F.size(F.filter("c.test_method_analyses", lambda t: t["is_api_test"]))
-    phase = lambda p: F.size(F.filter("c.fixtures", lambda f: f["phase"] == p))
-    return c.select("project_id", F.col("c.qualified_class_name").alias("class_name"), F.col("c.testing_frameworks").alias("testing_frameworks"), api.cast("long").alias("api_tests"), phase("setup").cast("long").alias("setup_fixtures"), phase("teardown").cast("long").alias("teardown_fixtures"))
-
-
-def steps(tests_: DataFrame) -> DataFrame:
-    """Steps of the sequences of each test; SRC-08: length is the number of steps."""
-    s = tests_.select("project_id", "class_name", "method_signature", F.explode("http.test_sequences").alias("s"))
-    return s.select("project_id", "class_name", "method_signature", F.col("s.order").alias("seq"), F.size("s.steps").cast("long").alias("length"), F.posexplode("s.steps").alias("pos", "x")).select("project_id", "class_name", "method_signature", "seq", "length", "pos", "x.*")
-
-
-def interactions(tests_: DataFrame) -> DataFrame:
-    """PRJ-06..12: requests and verifications of each test, with origin."""
-    i = tests_.select("project_id", "class_name", "method_signature", F.posexplode("http.interactions").alias("pos", "i"))
-    return i.select("project_id", "class_name", "method_signature", "pos", "i.*")
-
-
-def role_counts(rows: DataFrame, origin: Column) -> DataFrame:
-    """PRJ-06: builders and dispatched events of a test by origin."""
-    bucket = rows.filter("kind = 'request'").withColumn("bucket", origin)
-    keys = ["project_id", "class_name", "method_signature"]
-    return bucket.groupBy(*keys).agg(*[F.count_if((F.col("role") == r) & (F.col("bucket") == b)).alias(f"{r}_{b.replace('-', '_')}") for r in ("builder", "event") for b in ("test-method", "test-helper", "fixture")])
-
-
-def endpoints(docs: DataFrame) -> DataFrame:
-    """PRJ-27: a row for each endpoint with its coverage."""
-    return docs.select("project_id", F.posexplode("doc.endpoint_coverage.endpoints").alias("endpoint_id", "e")).select("project_id", "endpoint_id", "e.endpoint.*", "e.covering_test_count", "e.is_covered", "e.status_range_counts")
-
-
 # ---- logs and reconciliation
 
 LOG_LINE = r"^\[(\d+)/(\d+)\]\s+([A-Za-z_-]+):\s*(.+?)\s*$"
