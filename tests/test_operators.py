@@ -255,3 +255,54 @@ def test_deep_nesting_is_whole(spark):
     assert H.closure(up).filter("child = 'c0'").count() == 37
     with pytest.raises(RuntimeError, match="settle"):
         H.closure(up, max_depth=3)
+
+
+def test_tables_of_a_document(spark):
+    import json
+
+    from suitestat.sources import facts as P
+
+    test = {"identity": {"defining_class_name": "C", "method_signature": "m"}, "is_api_test": True, "http": {"sequence_summary": {"distinct_endpoint_count": 1}, "resource_interaction_sequences": [{"resource_key": "/a", "steps": [{"http_method": "POST", "phase": "test"}, {"http_method": "UNKNOWN", "phase": "setup"}]}, {"resource_key": "/b", "steps": []}]}}
+    other = {"identity": {"defining_class_name": "C", "method_signature": "n"}}
+    ref = {"test_method": {"qualified_class_name": "C", "method_signature": "m"}, "resource_key": "/a"}
+    doc = {
+        "test_class_analyses": [{"qualified_class_name": "C", "testing_frameworks": ["junit5"], "fixtures": [{"phase": "setup"}], "test_method_analyses": [test, other]}],
+        "endpoint_coverage": {"endpoints": [{"endpoint": {"http_method": "GET", "path_template": "/a"}, "is_covered": True}]},
+        "endpoint_parameter_coverage": {"endpoints": [{"exercise_rate": 0.5, "exercise_rate_by_source": {"query": 0.5}, "optional_exercise_rate": None}]},
+        "resource_crud": {"resources": [{"resource_key": "/a", "endpoints": [{"http_method": "post", "is_method_wildcard": False}, {"http_method": "GET", "is_method_wildcard": False}], "exercising_test_resources_by_operation": {"create": [ref], "read": [ref]}}, {"resource_key": "/c"}]},
+    }
+    texts = spark.createDataFrame([(1, json.dumps(doc)), (2, "{}")], "project_id long, json string")
+    docs = D.good(D.parse(texts))
+    facts = {r["method_signature"]: r for r in P.test_facts(P.tests(docs)).collect()}
+    m, n = facts["m"], facts["n"]
+    assert (m["distinct_resource_count"], m["method_resolved_distinct_resource_count"], m["unresolved_resource_crud_sequence_count"], m["resource_crud_combinations"]) == (2, 1, 2, [])
+    assert n["is_api_test"] is None and n["event_counts"] == [0, 0, 0] and n["http_sequence_status_ranges"] == [] and not n["is_parameterized"]
+    c = P.test_classes(docs).first()
+    assert (c["api_test_count"], c["fixture_count"]) == (1, 1)
+    assert P.endpoints(docs).first()["is_covered"] and P.endpoint_parameters(docs).first()["exercise_rate_by_source"] == {"query": 0.5}
+    assert [tuple(r) for r in P.project_gates(docs).collect()] == [(1, 1, True)]
+    r = {x["production_key"]: x for x in P.resource_facts(docs).collect()}
+    assert (r["/a"]["available_verbs"], r["/a"]["exercised_verbs"], r["/a"]["missing_available_verbs"], r["/a"]["exercising_sequence_verb_sets"]) == (["GET", "POST"], ["POST"], ["GET"], [["POST"]])
+    assert r["/c"]["exercising_sequence_verb_sets"] == [] and P.shared_sequences(P.tests(docs)).count() == 0
+
+
+def test_urls_without_a_query(spark):
+    assert [one(spark, U.is_external_url(F.lit(u))) for u in ("http://a.example/x", "http://localhost/x", "/x", "ftp://a.example")] == [True, False, False, False]
+    assert [one(spark, U.join_parts(F.lit(a), F.lit(b))) for a, b in (("a/", "/b"), ("", "b"), ("a", ""))] == ["a/b", "b", "a"]
+    assert [one(spark, U.in_test_directory(F.lit(f), ["src/test"])) for f in ("a\\src\\test\\B.java", "src/tests/B.java")] == [True, False]
+    assert [one(spark, U.test_scope_rule(F.lit(f))) for f in ("src/itTest/java/A.java", "it/A.java", "src/main/ATest.java", "src/main/A.java")] == ["source-set", "test-directory", "file-name", None]
+
+
+def test_small_operators(spark):
+    from suitestat.operators import labels as L
+
+    f = spark.createDataFrame
+    shares = A.complete_shares(f([("a", 1)], "k string, n int"), "k", ["a", "b"], F.lit(2)).orderBy("rank").collect()
+    assert [(r["k"], r["n"], r["proportion"]) for r in shares] == [("a", 1, 0.5), ("b", 0, 0.0)]
+    assert [one(spark, C.methods_match(F.lit(p), F.lit(w), F.lit(o))) for p, w, o in (("get", False, "GET"), ("UNKNOWN", True, "PUT"), ("UNKNOWN", False, "PUT"), ("GET", False, None))] == [True, True, False, False]
+    whole = T.full_traversal(f([(1, "/a", ["GET", "POST"]), (1, "/b", ["GET"])], "project_id int, resource_key string, verbs array<string>"), f([(1, "/a", ["GET"]), (1, "/b", ["GET", "PUT"])], "project_id int, resource_key string, available_verbs array<string>"))
+    assert tuple(whole.first()) == (2, 1)
+    mocked = L.mocked_calls(f([(1, "when"), (2, "get"), (3, "verify"), (4, "post"), (5, "put")], "call_id int, method_name string"), f([(2, 1), (4, 3), (5, 2)], "call_id int, parent_id int"))
+    assert {r["method_name"]: r["mocking"] for r in mocked.collect()} == {"get": "stubbing", "post": "verification"}
+    total = H.runtime_metrics(f([("t", "h"), ("t", "h")], "root string, callee string"), f([("t", 5), ("h", 2)], "method string, ncloc int"), "ncloc")
+    assert [tuple(r) for r in total.collect()] == [("t", 9)]
