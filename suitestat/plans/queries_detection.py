@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from suitestat.operators import detection as T
 from suitestat.operators import rules as R
+from suitestat.operators import verbs as V
 from suitestat.plans import views
 from suitestat.plans.registry import query
 
@@ -63,3 +64,14 @@ SELECT child, ancestor, min(depth) AS depth, CASE WHEN min(depth) = 0 THEN 'clas
 def sym_fixture_owners(spark, sf_dir):
     views.tables(spark, sf_dir, "part")
     return T.fixture_owners(spark.sql(_EDGES))
+
+
+@query("""WITH b AS (SELECT l_orderkey, bool_or(l_linenumber % 2 = 1 AND l_returnflag = 'N') AS url, bool_or((l_linenumber % 2 = 1 AND l_returnflag = 'R' AND l_quantity > 40) OR (l_linenumber % 2 = 0 AND l_quantity > 45)) AS other FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND substr(o_orderpriority, 1, 1) IN ('1', '2', '3') AND coalesce(url, false) AND NOT coalesce(other, false) THEN 'GET'
+  WHEN o_orderstatus = 'O' AND substr(o_orderpriority, 1, 1) IN ('1', '2') AND o_totalprice > 100000 THEN 'GET' WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'UNKNOWN' ELSE 'PUT' END AS http_method
+FROM orders LEFT JOIN b ON l_orderkey = o_orderkey""")
+def cls_verb_defaults(spark, sf_dir):
+    views.tables(spark, sf_dir, "orders", "lineitem")
+    events = spark.sql("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'okhttp' WHEN 'O' THEN 'micronaut-client' ELSE 'feign' END AS framework, 'event' AS request_role, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'UNKNOWN' ELSE 'PUT' END AS http_method, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'exchange' WHEN '2' THEN 'retrieve' ELSE 'send' END AS method_name, array(CASE WHEN o_totalprice > 100000 THEN 'java.lang.String' ELSE 'io.micronaut.http.HttpRequest' END) AS argument_types FROM orders")
+    builders = spark.sql("SELECT l_orderkey AS o_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_quantity > 45 THEN 'newBuilder' ELSE 'header' END WHEN l_returnflag = 'N' THEN 'url' WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 'method' ELSE 'build' END AS method_name, CASE WHEN l_linenumber % 2 = 0 THEN 'okhttp3.Request' ELSE 'okhttp3.Request.Builder' END AS receiver_type FROM lineitem")
+    return V.verb_defaults(events, builders, "o_orderkey").select("o_orderkey", "http_method")

@@ -306,3 +306,15 @@ def test_small_operators(spark):
     assert {r["method_name"]: r["mocking"] for r in mocked.collect()} == {"get": "stubbing", "post": "verification"}
     total = H.runtime_metrics(f([("t", "h"), ("t", "h")], "root string, callee string"), f([("t", 5), ("h", 2)], "method string, ncloc int"), "ncloc")
     assert [tuple(r) for r in total.collect()] == [("t", 9)]
+
+
+def test_form_names_and_frameworks(spark):
+    from suitestat.operators import verbs as V
+
+    names = lambda f, m, *a: one(spark, V.form_names(F.lit(f), F.lit(m), F.array(*[F.lit(x) for x in a])))
+    assert names("rest-assured", "formParam", '"a"', "x") == ["a"] and names("mockmvc", "multipart", '"/up"') == []
+    assert names("rest-assured", "formParams", '"a"', "1", '"b"', '"v"', '"a"', "2") == ["a", "b"]
+    assert names("rest-assured", "multiPart", '"f"') == ["f"] and names("mockmvc", "file", 'new MockMultipartFile("p", b)') == ["p"]
+    assert names("webclient", "body", 'BodyInserters.fromFormData("u", "v").with("w", "x")') == ["u", "w"] and names("webclient", "body", "x") == []
+    pairs = [("okhttp", "okhttp"), ("rest-template", "test-rest-template"), ("okhttp", "feign"), (None, "feign")]
+    assert [one(spark, V.frameworks_match(F.lit(a).cast("string"), F.lit(b))) for a, b in pairs] == [True, True, False, False]
