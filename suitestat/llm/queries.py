@@ -88,12 +88,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each text, of which one in ten has its tail repeated first: their number, the one of the greatest exponent, digests."""
+    from pyspark.sql import functions as F
+
+    from suitestat.llm.basic_factors import periodic_runs, repeat_tail
+
+    found = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), prepare=repeat_tail)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    out = found.withColumn("best", best).select("doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period", lines.alias("lines"), "collapsed")
+    return out.withColumn("exponent_milli", F.expr("1000 * length div period")).withColumn("runs_sha256", F.sha2("lines", 256)).withColumn("collapsed_sha256", F.sha2("collapsed", 256)).drop("lines", "collapsed")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from suitestat.llm.jacobi_davidson import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted conversations say when read back, with one more conversation whose texts hold control strings."""
+    from suitestat.llm.chat_format import format_chats, read_digests
+
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_digests(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embeddings": OP4_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op4_embeddings": OP4_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op13_chat_formatting": OP13_SQL}
 
 
 #: The digest in base 32: 40 hex digits as 160 bits, five at a time.
@@ -149,3 +177,20 @@ d AS (SELECT doc_id, count(*) AS n_lines, sum(links) AS n_links, count(*) FILTER
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
 FROM documents LEFT JOIN d USING (doc_id)
 """
+
+#: Quoted code points: each backslash, each # that follows a #, the slash of a control string; headers and ends by their lengths.
+OP13_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, role)),
+q AS (
+  SELECT *, length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '</turn>', '/turn>')))
+    + list_sum(list_transform(regexp_extract_all(text, '#+'), lambda x: length(x) - 1)) AS quoted,
+    length('### ' || role || ': ' || ' </turn>') + 1 AS around
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(coalesce(quoted, length(text)) + around) AS BIGINT) AS formatted_chars
+FROM q GROUP BY conv_id
+"""
