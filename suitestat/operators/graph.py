@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suitestat.functions.lineage import cut
+from suitestat.operators.spans import nest
 
 
 def closure(edges: DataFrame, child: str = "class_name", parent: str = "parent", max_depth: int = 1000) -> DataFrame:
@@ -35,15 +36,8 @@ def visible_methods(ancestors: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def containment(calls: DataFrame, *keys: str) -> DataFrame:
-    """SYM-14: parent_id of each call: the innermost one that strictly contains its span, null at the top.
-
-    Spans meet within a method only (keys); start and stop are numbers (line * 10000 + column).
-    """
-    a = calls.select(*keys, "call_id", "start", "stop")
-    b = calls.select(*keys, F.col("call_id").alias("parent_id"), F.col("start").alias("ps"), F.col("stop").alias("pe"))
-    inside = (F.col("ps") <= F.col("start")) & (F.col("pe") >= F.col("stop")) & ((F.col("ps") < F.col("start")) | (F.col("pe") > F.col("stop")))
-    best = a.join(b, list(keys)).filter(inside).groupBy(*keys, "call_id").agg(F.min_by("parent_id", F.struct(F.col("pe") - F.col("ps"), "parent_id")).alias("parent_id"))
-    return a.join(best, [*keys, "call_id"], "left")
+    """SYM-14: parent_id of each call: the innermost one that strictly contains its span, null at the top (see spans.nest)."""
+    return nest(calls.select(*keys, "call_id", "start", "stop"), *keys).drop("host_id")
 
 
 def receiver_chains(calls: DataFrame, *keys: str) -> DataFrame:
