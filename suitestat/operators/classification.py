@@ -15,6 +15,7 @@ start, stop (numbers: line * 10000 + column), line, method_name, receiver_type,
 receiver_expr, args, arg_types (arrays), values (array: constants that arguments resolve
 to, null where unknown), is_constructor, callee_signature.  Nulls in text columns count
 as empty, null arrays as arrays of none; rows that repeat a call_id within a method count as one.
+Calls whose key is null are classified each by itself.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from suitestat.operators.spans import nest
 QUOTED = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
 VERB = "GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|TRACE|CONNECT"
 NAME = r"[A-Za-z_$][\w$]*"
-NONE = F.array().cast("array<string>")
 
 # Which argument holds a path, and which a verb, by family and method.
 PATH_AT: dict[str, dict[int, str]] = {
@@ -97,6 +97,10 @@ VERIFIES = "verify then should".split()
 MOCKING = "org.mockito."
 
 
+def no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
 def text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -212,7 +216,7 @@ def header_name(x: Column) -> Column:
 
 def _names(found: Column) -> Column:
     """Distinct names without nulls and empty ones, in order."""
-    return F.array_distinct(F.filter(F.coalesce(found, NONE), lambda n: n.isNotNull() & (n != "")))
+    return F.array_distinct(F.filter(F.coalesce(found, no_names()), lambda n: n.isNotNull() & (n != "")))
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
@@ -276,14 +280,14 @@ def describe(calls: DataFrame) -> DataFrame:
     one = F.array(literal_at(args))
     of_query = F.transform(F.filter(F.split(F.coalesce(literal_at(args), F.lit("")), "&"), lambda x: x != ""), lambda x: F.regexp_extract(x, r"^([^=]*)", 1))
     asked = (
-        F.when(either, NONE)
+        F.when(either, no_names())
         .when((family == "pact.request") & m.isin("queryparam", "param", "query", "encodedquery"), of_query)
         .when(m.isin("queryparam", "param", "query"), one)
         .when(m.isin("queryparams", "params", "queries"), every_other(args))
-        .when(m == "uri", F.flatten(F.transform(args, lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"\bqueryParams?\s*\(\s*{QUOTED}"), 1), F.trim))))
+        .when(m == "uri", F.flatten(F.transform(args, lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"\bqueryParams?\s*\(\s*{QUOTED}"), 1), lambda x: F.trim(x)))))
     )
     part = F.coalesce(literal_at(args), F.nullif(F.trim(F.regexp_extract(F.get(args, F.lit(0)), rf"^\s*new\s+(?:{NAME}\.)*MockMultipartFile\s*\(\s*{QUOTED}\s*,", 1)), F.lit("")))
-    inserted = F.flatten(F.transform(args, lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"\bfrom(?:FormData|MultipartData)\s*\(\s*{QUOTED}\s*,"), 1), F.trim)))
+    inserted = F.flatten(F.transform(args, lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"\bfrom(?:FormData|MultipartData)\s*\(\s*{QUOTED}\s*,"), 1), lambda x: F.trim(x))))
     fields = (
         F.when((m == "formparam") | ((m == "multipart") & (framework == "rest-assured")), one)
         .when(m == "formparams", every_other(args))
@@ -295,10 +299,10 @@ def describe(calls: DataFrame) -> DataFrame:
         {
             "headers": headers,
             "header_names": _names(named),
-            "query_names": _names(F.concat(F.array_sort(query_names("path")), F.coalesce(asked, NONE))),
-            "path_names": _names(F.concat(template_variables("path"), F.coalesce(variables, NONE))),
+            "query_names": _names(F.concat(F.array_sort(query_names("path")), F.coalesce(asked, no_names()))),
+            "path_names": _names(F.concat(template_variables("path"), F.coalesce(variables, no_names()))),
             "form_names": _names(fields),
-            "either_names": F.when(either, _names(F.when(m == "param", one).otherwise(every_other(args)))).otherwise(NONE),
+            "either_names": F.when(either, _names(F.when(m == "param", one).otherwise(every_other(args)))).otherwise(no_names()),
             "has_body": has_body(framework, m, F.col("http_method"), args, text("receiver_type")),
             "auth_hints": hints,
         }
@@ -406,8 +410,8 @@ def container_names(calls: DataFrame, *keys: str) -> DataFrame:
 
 def classify(calls: DataFrame, *keys: str) -> DataFrame:
     """CLS-07/35: passes 1 to 5; calls without a family keep null in what the passes find."""
-    arrays = {c: F.coalesce(F.transform(c, lambda x: F.coalesce(x, F.lit(""))), NONE) for c in ("args", "arg_types")}
-    d = calls.dropDuplicates([*keys, "call_id"]).withColumns(arrays).withColumn("values", F.coalesce("values", NONE))
+    arrays = {c: F.coalesce(F.transform(c, lambda x: F.coalesce(x, F.lit(""))), no_names()) for c in ("args", "arg_types")}
+    d = calls.dropDuplicates([*keys, "call_id"]).withColumns(arrays).withColumn("values", F.coalesce("values", no_names()))
     d = K.resolve(d)
     builds = {n.lower() for *_, asks, names in K.RECEIVERLESS if asks == K.BUILDER for n in names.split()}
     may_build = (F.col("request_role") == K.BUILDER) | (F.col("framework").isNull() & method().isin(*sorted(builds)))

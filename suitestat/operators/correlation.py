@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from suitestat.functions.lineage import cut
 from suitestat.functions.urls import join_parts
 from suitestat.operators import families as K
-from suitestat.operators.classification import APPENDING, NAME, NONE, _in, method, text
+from suitestat.operators.classification import APPENDING, NAME, _in, method, no_names, text
 from suitestat.operators.spans import nest
 from suitestat.operators.verbs import frameworks_match
 
@@ -61,7 +61,7 @@ def target_names(chains: DataFrame, declarations: DataFrame | None, *keys: str)
     places, so a chain meets the declarations open around it and no others.
     """
     own = F.filter("receivers", lambda x: x.rlike(rf"^\s*{NAME}\s*$"))
-    d = chains.withColumn("_own", F.transform(own, F.trim))
+    d = chains.withColumn("_own", F.transform(own, lambda x: F.trim(x)))
     if declarations is None:
         return d.withColumn("names", F.array_sort(F.array_distinct("_own"))).drop("_own")
     # Stretched so that a declaration contains a chain of the same span: 4s..4e+3 holds 4s+1..4e+2.
@@ -72,7 +72,7 @@ def target_names(chains: DataFrame, declarations: DataFrame | None, *keys: str)
     around = swept.filter("is_chain").select(*keys, "chain", F.explode("ancestors.call_id").alias("call_id"))
     named = around.join(a.select(*keys, "call_id", "declared"), [*keys, "call_id"]).groupBy(*keys, "chain").agg(F.array_distinct(F.flatten(F.collect_list("declared"))).alias("_declared"))
     out = d.join(named, [*keys, "chain"], "left")
-    return out.withColumn("names", F.array_sort(F.array_union("_own", F.coalesce("_declared", NONE)))).drop("_own", "_declared")
+    return out.withColumn("names", F.array_sort(F.array_union("_own", F.coalesce("_declared", no_names())))).drop("_own", "_declared")
 
 
 def drained(items: DataFrame, *keys: str) -> DataFrame:
@@ -169,7 +169,7 @@ def correlate(calls: DataFrame, *keys: str, declarations: DataFrame | None = Non
     joined = events.withColumnRenamed("call_id", "event_id").join(has, ids, "left").join(chained.select(*ids, F.lit(True).alias("_c")), ids, "left")
     lacks = ((F.col("http_method") == K.UNKNOWN) & ~F.coalesce("_v", F.lit(False))) | ~((F.col("path") != "") | F.coalesce("_p", F.lit(False)) | F.coalesce("_c", F.lit(False)))
     identifier = F.regexp_extract(text("receiver_expr"), rf"^\s*({NAME})\s*$", 1)
-    asks = joined.select(*keys, "cls", F.col("start").alias("chain"), "stop", "event_id", lacks.alias("open"), identifier.alias("receiver"), NONE.alias("names"), F.lit(False).alias("base"))
+    asks = joined.select(*keys, "cls", F.col("start").alias("chain"), "stop", "event_id", lacks.alias("open"), identifier.alias("receiver"), no_names().alias("names"), F.lit(False).alias("base"))
 
     # Chains of builders without an event.
     with_event = events.select(*keys, "start").distinct()
@@ -228,7 +228,7 @@ def correlate(calls: DataFrame, *keys: str, declarations: DataFrame | None = Non
     path = F.when(F.col("_joins"), F.aggregate("_parts", F.lit(""), lambda a, x: join_parts(a, x["path"]))).otherwise(F.coalesce("_path.path", F.lit("")))
     truncated = F.when(F.col("_joins"), F.get("_parts", F.size("_parts") - 1)["truncated"]).otherwise(F.coalesce("_path.truncated", F.lit(False)))
     into = F.when(F.col("_final") == "POST", "form_names").when(F.col("_final") != K.UNKNOWN, "query_names")
-    final = {p: F.coalesce(f"_{p}", NONE) for p in LISTS}
+    final = {p: F.coalesce(f"_{p}", no_names()) for p in LISTS}
     either = final.pop("either_names")
     for p in ("form_names", "query_names"):
         final[p] = F.when(into == p, F.array_union(final[p], either)).otherwise(final[p])

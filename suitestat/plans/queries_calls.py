@@ -32,7 +32,7 @@ def _calls(spark, sf_dir):
     pieces = spark.createDataFrame(rows, f"piece bigint, calls array<{kind}>")
     d = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % len(SNIPPETS)).alias("piece"), (F.col("o_orderkey") % 97).cast("string").alias("_n"))
     d = d.join(F.broadcast(pieces), "piece").select("o_orderkey", "_n", F.explode("calls").alias("c")).select("o_orderkey", "_n", "c.*")  # a fixed table
-    return d.withColumn("args", F.transform("args", lambda x: F.replace(x, F.lit("@"), F.col("_n")))).drop("_n").withColumns({"line": (F.col("start") / 100).cast("int"), "values": C.NONE, "callee_signature": F.lit("")})
+    return d.withColumn("args", F.transform("args", lambda x: F.replace(x, F.lit("@"), F.col("_n")))).drop("_n").withColumns({"line": (F.col("start") / 100).cast("int"), "values": C.no_names(), "callee_signature": F.lit("")})
 
 
 _O = f"o AS (SELECT o_orderkey, o_custkey % {len(SNIPPETS)} AS piece, CAST(o_orderkey % 97 AS VARCHAR) AS n FROM orders)"
@@ -66,3 +66,70 @@ SELECT o_orderkey, CAST(event_id AS BIGINT) AS event_id, CAST(builder_id AS BIGI
 def cls_builder_sources(spark, sf_dir):
     _, sources = B.correlate(C.classify(_calls(spark, sf_dir), "o_orderkey"), "o_orderkey")
     return sources.select("o_orderkey", "event_id", "builder_id", F.array_join("properties", ",").alias("properties"))
+
+
+# ---- the rule table alone: receivers and methods of the table, whole, with a nested type, and with a longer name
+
+_RECEIVERS = sorted({k for _, k, _, _ in K.receiver_rows()})
+_METHODS = sorted({m for _, m, *_ in K.method_rows() if m != "*"})
+_PAIRS = f"""SELECT DISTINCT concat({_RECEIVERS!r}[CAST(1 + l_partkey % {len(_RECEIVERS)} AS INT)], CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '$Sub' ELSE 'x' END) AS receiver_type,
+  {_METHODS!r}[CAST(1 + (l_partkey * 7 + l_suppkey) % {len(_METHODS)} AS INT)] AS method_name, l_linenumber = 3 AS is_constructor FROM lineitem"""
+_RULES = f"""f(rule, framework, family) AS (VALUES {_values((i, f.framework, f.family) for i, f in enumerate(K.FAMILIES))}), r(rule, key, match, length) AS (VALUES {_values(K.receiver_rows())}),
+m(rule, method, request_role, response_role, verb) AS (VALUES {_values(K.method_rows())})"""
+
+
+def _pairs(spark, sf_dir):
+    pick = lambda xs, at: F.get(F.array(*[F.lit(x) for x in xs]), (at % len(xs)).cast("int"))
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "").when(F.col("l_linenumber") % 3 == 1, "$Sub").otherwise("x")
+    d = _t(spark, sf_dir, "lineitem")
+    return d.select(F.concat(pick(_RECEIVERS, F.col("l_partkey")), kind).alias("receiver_type"), pick(_METHODS, F.col("l_partkey") * 7 + F.col("l_suppkey")).alias("method_name"), (F.col("l_linenumber") == 3).alias("is_constructor")).distinct()
+
+
+_MEETS = "(r.match = 'exact' AND p.receiver_type = r.key OR r.match = 'prefix' AND (p.receiver_type = r.key OR starts_with(p.receiver_type, concat(r.key, '.')) OR starts_with(p.receiver_type, concat(r.key, '$'))) OR r.match = 'inside' AND (starts_with(p.receiver_type, concat(r.key, '.')) OR starts_with(p.receiver_type, concat(r.key, '$'))))"
+
+
+@query(f"""WITH p AS ({_PAIRS}), {_RULES},
+c AS (SELECT p.*, f.framework, f.family, m.request_role, m.response_role, m.verb, row_number() OVER (PARTITION BY receiver_type, method_name, is_constructor ORDER BY r.length DESC, m.method = '*', r.rule) AS n FROM p JOIN r ON {_MEETS} JOIN m ON m.rule = r.rule AND m.method IN (p.method_name, '*') JOIN f ON f.rule = r.rule)
+SELECT p.receiver_type, p.method_name, p.is_constructor, framework, family, request_role, response_role, verb FROM p LEFT JOIN c ON c.receiver_type = p.receiver_type AND c.method_name = p.method_name AND c.is_constructor = p.is_constructor AND c.n = 1""")
+def cls_owner_families(spark, sf_dir):
+    return K.resolve(_pairs(spark, sf_dir))
+
+
+_HOLDS = _values((i, f.holds_path) for i, f in enumerate(K.FAMILIES))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT receiver_type FROM ({_PAIRS})), {_RULES}, h(rule, holds_path) AS (VALUES {_HOLDS}),
+c AS (SELECT receiver_type, r.length, bool_or(holds_path) AS holds_path FROM p JOIN r ON {_MEETS} JOIN h ON h.rule = r.rule GROUP BY receiver_type, r.length)
+SELECT receiver_type, max_by(holds_path, length) AS holds_path FROM c GROUP BY receiver_type""")
+def cls_path_receivers(spark, sf_dir):
+    return K.holds_path(_pairs(spark, sf_dir))
+
+
+# ---- chains that wait: the lines of an order as chains of two frameworks
+
+_ITEM = """SELECT l_orderkey, CASE l_linestatus WHEN 'O' THEN 'mockmvc' ELSE 'okhttp' END AS cls, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS chain, CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey END AS event_id, l_suppkey % 2 = 0 AS open FROM lineitem"""
+
+
+@query(f"""WITH i AS ({_ITEM}) SELECT a.l_orderkey, a.cls, a.chain, min(b.event_id) AS event_id FROM i a JOIN i b ON b.l_orderkey = a.l_orderkey AND b.cls = a.cls AND b.chain > a.chain AND b.event_id IS NOT NULL AND b.open
+WHERE a.event_id IS NULL GROUP BY a.l_orderkey, a.cls, a.chain""")
+def cls_waiting_chains(spark, sf_dir):
+    pos = F.expr("CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey")
+    d = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linestatus") == "O", "mockmvc").otherwise("okhttp").alias("cls"), pos.alias("chain"), pos.alias("stop"), F.when(F.col("l_suppkey") % 3 == 0, pos).alias("event_id"), (F.col("l_suppkey") % 2 == 0).alias("open"))
+    return B.drained(d.withColumns({"receiver": F.lit(""), "names": C.no_names(), "base": F.lit(False)}), "l_orderkey")
+
+
+_DECL = "SELECT DISTINCT l_orderkey, concat('v', CAST(l_linenumber AS VARCHAR)) AS name, l_partkey % 50 AS start, l_partkey % 50 + l_suppkey % 30 AS stop, CASE WHEN l_suppkey % 5 > 0 THEN 'x' ELSE ' ' END AS initializer FROM lineitem WHERE l_linenumber % 2 = 0"
+_CHAIN = "SELECT l_orderkey, l_partkey % 50 AS chain, max(l_partkey % 50 + l_suppkey % 6) AS stop, list(DISTINCT CASE WHEN l_suppkey % 4 = 0 THEN concat('r', CAST(l_linenumber AS VARCHAR)) ELSE 'a.b()' END) AS receivers FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY l_orderkey, l_partkey % 50"
+
+
+@query(f"""WITH d AS ({_DECL}), c AS ({_CHAIN}), n AS (SELECT l_orderkey, chain, unnest(list_filter(receivers, lambda x: x LIKE 'r%')) AS name FROM c UNION
+SELECT c.l_orderkey, chain, name FROM c JOIN d ON d.l_orderkey = c.l_orderkey AND d.start <= c.chain AND c.stop <= d.stop AND trim(initializer) <> '')
+SELECT c.l_orderkey, c.chain, coalesce(string_agg(name, ',' ORDER BY name), '') AS names FROM c LEFT JOIN n ON n.l_orderkey = c.l_orderkey AND n.chain = c.chain GROUP BY c.l_orderkey, c.chain""")
+def cls_target_names(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem")
+    number = F.col("l_linenumber").cast("string")
+    place = F.col("l_partkey") % 50
+    d = lines.filter("l_linenumber % 2 = 0").select("l_orderkey", F.concat(F.lit("v"), number).alias("name"), place.alias("start"), (place + F.col("l_suppkey") % 30).alias("stop"), F.when(F.col("l_suppkey") % 5 > 0, "x").otherwise(" ").alias("initializer"))
+    receiver = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("r"), number)).otherwise("a.b()")
+    c = lines.filter("l_linenumber % 2 = 1").groupBy("l_orderkey", place.alias("chain")).agg(F.max(place + F.col("l_suppkey") % 6).alias("stop"), F.collect_set(receiver).alias("receivers"))
+    return B.target_names(c, d, "l_orderkey").select("l_orderkey", "chain", F.array_join("names", ",").alias("names"))
