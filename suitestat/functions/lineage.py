@@ -1,15 +1,29 @@
-"""Cutting the lineage of iterative plans."""
+"""The folder that driver and executors share, and cutting the lineage of iterative plans."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or on one machine (tests) a folder of our own where that is unset; elsewhere it must be set."""
+    sc = spark.sparkContext
+    set_by_cluster = sc.getConf().get("spark.checkpoint.dir")
+    made = sc._jsc.sc().getCheckpointDir()
+    if set_by_cluster:
+        if not made.isDefined():
+            sc.setCheckpointDir(set_by_cluster)
+        return set_by_cluster.rstrip("/")
+    if not made.isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir, or in a folder of our own where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """df.checkpoint() in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -81,6 +81,25 @@ def ranked_runs(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return runs.withColumn("before", before).withColumn("items", F.sum("n").over(whole)).withColumn("total_value", F.sum(F.col("v") * F.col("n")).over(whole))
 
 
+def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """df with a rank over all rows (from 1, in order; rows that compare equal rank in any order).
+
+    Rows are dealt to partitions by ranges of the order and numbered within them; what the
+    partitions before hold is added.  Only counts of partitions are summed in one place.
+    The numbered rows are written once, so that counts and rows see the same ranges.
+    """
+    from suitestat.functions.lineage import cut
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    offsets = counts.select("_part", before.alias("_before"))
+    return numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_at", "_part", "_before")
+
+
 def concentration(df: DataFrame, value: str, *keys: str, percents: Sequence[int] = (1, 5, 10, 25)) -> DataFrame:
     """AGG-07/08: the share of the total that the items of the top percents hold, one row for each key and percent.
 

@@ -79,17 +79,38 @@ def dispatch_labels(requests: DataFrame) -> DataFrame:
     return seen.select("test_id", F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("unknown"))).alias("labels"))
 
 
-def state_observations(reads: DataFrame, assertions: DataFrame) -> DataFrame:
-    """SEQ-26: reads of a medium that an assertion uses: nested in its span, or bound to a name that an assertion after it names.
-
-    reads: test_id, call_id, medium, start, stop, target (name or null); assertions: test_id, start, stop, names.
+def state_observations(reads: DataFrame, assertions: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
+    """SEQ-26: (test_id, call_id, medium, tier): reads of a medium that an assertion uses.
+
+    reads: test_id, call_id, medium, start, stop, target (the variable that gets the
+    value, or null); assertions: test_id, start, stop, names (variables in it);
+    assignments: test_id, name, pos of other values that variables get.  Each may have
+    scope (the frames of helpers down to the method, a string; without it all is one scope).
+    nested: the read stands within an assertion of its scope.  binding: an assertion after
+    it names the variable, and the variable has no other value by then: a use takes the
+    last assignment before it.  Both are one pass over a scope in order of places: a running
+    maximum of the ends of assertions, and an as-of join of uses to assignments by variable.
+    Nulls in places bind nothing; an empty table of assertions gives no rows.
     """
-    a = assertions.select("test_id", F.col("start").alias("as"), F.col("stop").alias("ae"), "names")
-    j = reads.join(a, "test_id")
-    nested = (F.col("as") <= F.col("start")) & (F.col("ae") >= F.col("stop"))
-    bound = F.col("target").isNotNull() & (F.col("as") > F.col("stop")) & F.array_contains("names", F.col("target"))
-    tier = F.when(nested, "nested").when(bound, "binding")
-    return j.withColumn("tier", tier).filter("tier is not null").groupBy("test_id", "call_id", "medium").agg(F.max("tier").alias("tier"))
+    scoped = lambda d: d if "scope" in d.columns else d.withColumn("scope", F.lit(""))
+    r, a = scoped(reads), scoped(assertions)
+    keys = ["test_id", "scope"]
+    spans = a.select(*keys, "start", "stop", F.lit(None).cast(r.schema["call_id"].dataType).alias("call_id"), F.lit(None).cast("string").alias("medium"))
+    both = spans.unionByName(r.select(*keys, "start", "stop", "call_id", "medium"))
+    w = Window.partitionBy(*keys).orderBy("start", F.col("medium").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.max(F.when(F.col("medium").isNull(), F.col("stop"))).over(w)
+    nested = both.withColumn("_until", until).filter("medium is not null and _until >= stop").select("test_id", "call_id", "medium", F.lit("nested").alias("tier"))
+    value = F.struct("call_id", "medium")
+    sets = r.filter("target is not null").select(*keys, F.col("target").alias("name"), F.col("stop").alias("pos"), F.lit(0).alias("_use"), value.alias("_v"))
+    none = F.lit(None).cast(sets.schema["_v"].dataType)
+    if assignments is not None:
+        sets = sets.unionByName(scoped(assignments).select(*keys, "name", "pos", F.lit(0).alias("_use"), none.alias("_v")))
+    uses = a.select(*keys, F.explode(F.array_distinct("names")).alias("name"), F.col("start").alias("pos"), F.lit(1).alias("_use"), none.alias("_v"))
+    # A use at the very end of an assignment is before it: pos orders uses first.
+    before = Window.partitionBy(*keys, "name").orderBy("pos", F.desc("_use"), "_v").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_use") == 0, F.struct(F.col("_v").alias("v"))), ignorenulls=True).over(before)
+    bound = sets.unionByName(uses).withColumn("_last", last).filter("_use = 1 and _last.v is not null").select("test_id", "_last.v.call_id", "_last.v.medium", F.lit("binding").alias("tier"))
+    return nested.unionByName(bound).groupBy("test_id", "call_id", "medium").agg(F.max("tier").alias("tier"))
 
 
 #: Annotations that give a parameterised test its rows.

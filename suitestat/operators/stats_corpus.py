@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from suitestat.operators.aggregates import CRUD, count_share, domain, summary, top_count
+from suitestat.operators.aggregates import CRUD, count_share, domain, global_rank, summary, top_count
 
 COVERAGE_VERBS = ("GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "TRACE", "WILDCARD")
 
@@ -146,15 +146,11 @@ RANK_ORDER = ("api_tests", "multi_tests", "total_sequences")
 
 
 def rank_projects(projects: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """ST2-55: projects with API tests that are not excluded, in a total order (counts descending, then the id).
-
-    The rank over all projects is one task's window over one row for each project.
-    """
+    """ST2-55: projects with API tests that are not excluded, with their rank in a total order (counts descending, then the id)."""
     p = projects.filter("api_tests > 0")
     if excluded is not None:
         p = p.join(excluded, "project_id", "left_anti")
-    w = Window.orderBy(*[F.desc(c) for c in RANK_ORDER], "project_id")
-    return p.withColumn("rank", F.row_number().over(w))
+    return global_rank(p, *[F.desc(c) for c in RANK_ORDER], F.col("project_id"))
 
 
 def select_sample(ranked: DataFrame, count: int | None = None, percent: float | None = None) -> DataFrame:
@@ -163,8 +159,8 @@ def select_sample(ranked: DataFrame, count: int | None = None, percent: float |
         raise ValueError("give exactly one of count and percent")
     if count is not None:
         return ranked.filter(F.col("rank") <= count)
-    n = F.max("rank").over(Window.partitionBy())
-    return ranked.withColumn("_k", top_count(n, percent)).filter(F.col("rank") <= F.col("_k")).drop("_k")
+    whole = ranked.agg(top_count(F.max("rank"), percent).alias("_k"))
+    return ranked.crossJoin(whole).filter(F.col("rank") <= F.col("_k")).drop("_k")  # one row
 
 
 def random_sample(pool: DataFrame, count: int, seed: int, key: str = "project_id") -> DataFrame:

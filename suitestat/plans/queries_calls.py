@@ -133,3 +133,130 @@ def cls_target_names(spark, sf_dir):
     receiver = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("r"), number)).otherwise("a.b()")
     c = lines.filter("l_linenumber % 2 = 1").groupBy("l_orderkey", place.alias("chain")).agg(F.max(place + F.col("l_suppkey") % 6).alias("stop"), F.collect_set(receiver).alias("receivers"))
     return B.target_names(c, d, "l_orderkey").select("l_orderkey", "chain", F.array_join("names", ",").alias("names"))
+
+
+# ---- timelines: an order is a method, its lines are calls; a part's number may be that of an order, which is then a helper
+
+_PLACE = "CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey"
+_RUNS = f"""SELECT l_orderkey AS owner, {_PLACE} AS call_id, {_PLACE} AS start, {_PLACE} + l_quantity * 10000000 AS stop, CASE WHEN l_suppkey % 4 = 0 THEN l_partkey END AS callee,
+  CASE l_returnflag WHEN 'R' THEN 'builder' WHEN 'A' THEN 'event' END AS request_role, 'okhttp' AS framework, CASE l_linenumber WHEN 1 THEN 'UNKNOWN' ELSE 'PUT' END AS http_method, CASE WHEN l_linenumber = 2 THEN '' ELSE concat('/', l_linestatus) END AS http_path,
+  CASE l_linestatus WHEN 'O' THEN 'status' ELSE 'general' END AS assertion_role, l_linenumber % 3 > 0 AS counts, CAST(200 + l_linenumber AS INT) AS status_code FROM lineitem"""
+_ENTRIES = "SELECT o_orderkey AS root, 'test' AS phase, 1 AS entry, o_orderkey AS method FROM orders UNION ALL SELECT o_orderkey, 'setup', 0, 1 + o_custkey % 7 FROM orders"
+_RUN_SQL = f"""c AS ({_RUNS}), p AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY stop, start DESC, call_id) AS place FROM c), e AS ({_ENTRIES}),
+d0 AS (SELECT e.root, e.phase, [CAST(e.entry AS BIGINT), p.place] AS path, 0 AS depth, [e.method] AS running, p.* FROM e JOIN p ON p.owner = e.method),
+d1 AS (SELECT d0.root, d0.phase, list_append(d0.path, p.place) AS path, 1 AS depth, p.* FROM d0 JOIN p ON p.owner = d0.callee WHERE NOT list_contains(d0.running, d0.callee)),
+t AS (SELECT * EXCLUDE (running) FROM d0 UNION ALL BY NAME SELECT * FROM d1)"""
+
+
+def _timeline(spark, sf_dir):
+    from suitestat.operators.timeline import timeline
+    from suitestat.plans import views
+
+    views.tables(spark, sf_dir, "lineitem", "orders")
+    return timeline(spark.sql(_RUNS), spark.sql(_ENTRIES))
+
+
+@query(f"WITH {_RUN_SQL} SELECT root, count(*) AS n, md5(string_agg(concat(phase, ':', depth, ':', owner, ':', call_id), ',' ORDER BY path)) AS digest FROM t GROUP BY root")
+def sym_timeline(spark, sf_dir):
+    said = F.concat_ws(":", "phase", "depth", "owner", "call_id")
+    rows = F.array_sort(F.collect_list(F.struct("path", said.alias("said"))))
+    return _timeline(spark, sf_dir).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(rows, lambda x: x["said"]), ",")).alias("digest"))
+
+
+@query(f"""WITH {_RUN_SQL}, k AS (SELECT *, CASE WHEN request_role = 'builder' THEN 'request-build' WHEN request_role = 'event' THEN 'http-request' WHEN counts AND assertion_role = 'status' THEN 'response-check' END AS kind FROM t),
+s AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS n, kind <> 'response-check' AS asks FROM k WHERE kind IS NOT NULL)
+SELECT root, CAST(n AS INT) AS "order", kind, phase, owner, call_id, framework, CASE WHEN asks THEN nullif(http_method, 'UNKNOWN') END AS http_method, CASE WHEN asks THEN nullif(http_path, '') END AS http_path,
+  CASE WHEN NOT asks THEN assertion_role END AS assertion_role, CASE WHEN NOT asks THEN status_code END AS status_code FROM s""")
+def seq_call_steps(spark, sf_dir):
+    from suitestat.operators.timeline import call_steps
+
+    return call_steps(_timeline(spark, sf_dir))
+
+
+# ---- hierarchies: a part is a class, with a superclass, two interfaces and sometimes a class around it
+
+_HIERARCHY = """SELECT concat('c', CAST(p_partkey AS STRING)) AS class_name, concat('c', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING)) AS parent, 'extends' AS kind, 0 AS place FROM part WHERE p_partkey > 1
+UNION ALL SELECT concat('c', CAST(p_partkey AS STRING)), concat('i', CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING)), 'implements', 1 FROM part
+UNION ALL SELECT concat('c', CAST(p_partkey AS STRING)), concat('i', CAST(CAST(floor(p_partkey / 7) AS BIGINT) AS STRING)), 'implements', 0 FROM part
+UNION ALL SELECT concat('i', CAST(p_partkey AS STRING)), concat('i', CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS STRING)), 'extends', 1 FROM part WHERE p_partkey >= 4
+UNION ALL SELECT concat('i', CAST(p_partkey AS STRING)), concat('i', CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS STRING)), 'extends', 0 FROM part WHERE p_partkey % 3 = 0 AND p_partkey >= 10
+UNION ALL SELECT concat('c', CAST(p_partkey AS STRING)), concat('c', CAST(p_partkey - 1 AS STRING)), 'encloses', 0 FROM part WHERE p_partkey % 6 IN (4, 5)"""
+_ORDER_SQL = f"""e AS (SELECT DISTINCT class_name, parent, kind, CAST(place AS BIGINT) AS place FROM ({_HIERARCHY.replace("STRING", "VARCHAR")})), k AS (SELECT class_name AS child FROM e UNION SELECT parent FROM e),
+sup AS (SELECT child, child AS ancestor, CAST([] AS BIGINT[]) AS path FROM k UNION ALL SELECT sup.child, e.parent, list_append(sup.path, e.place) FROM sup JOIN e ON e.kind = 'extends' AND e.class_name = sup.ancestor),
+enc AS (SELECT child, child AS outer_, 0 AS ring FROM k UNION ALL SELECT enc.child, e.parent, enc.ring + 1 FROM enc JOIN e ON e.kind = 'encloses' AND e.class_name = enc.outer_),
+h0 AS (SELECT child, ancestor, CASE WHEN len(path) = 0 THEN [CAST(0 AS BIGINT)] ELSE list_concat([CAST(1 AS BIGINT), 0, len(path)], path) END AS key FROM sup
+  UNION ALL SELECT enc.child, sup.ancestor, list_concat([CAST(2 AS BIGINT), ring, len(path)], path) FROM enc JOIN sup ON sup.child = enc.outer_ WHERE ring > 0),
+h AS (SELECT child, ancestor, min(key) AS key FROM h0 GROUP BY child, ancestor),
+f AS (SELECT h.child, e.parent AS ancestor, list_append(h.key, e.place) AS path, CAST(0 AS BIGINT) AS depth FROM h JOIN e ON e.kind = 'implements' AND e.class_name = h.ancestor
+  UNION ALL SELECT f.child, e.parent, list_append(f.path, e.place), f.depth + 1 FROM f JOIN e ON e.kind = 'extends' AND e.class_name = f.ancestor),
+b AS (SELECT child, ancestor, min(key) AS key FROM (SELECT * FROM h UNION ALL SELECT child, ancestor, list_concat([CAST(3 AS BIGINT), depth], path) FROM f) GROUP BY child, ancestor),
+o AS (SELECT child, ancestor, row_number() OVER (PARTITION BY child ORDER BY key, ancestor) - 1 AS position, CASE WHEN key[1] = 0 THEN 'class' WHEN key[1] < 3 THEN 'super' ELSE 'interface' END AS relation FROM b)"""
+
+
+def _order(spark, sf_dir):
+    from suitestat.operators.resolution import resolution_order
+    from suitestat.plans import views
+
+    views.tables(spark, sf_dir, "part")
+    return resolution_order(spark.sql(_HIERARCHY))
+
+
+@query(f"WITH RECURSIVE {_ORDER_SQL} SELECT child, ancestor, position, relation FROM o")
+def sym_resolution_order(spark, sf_dir):
+    return _order(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_ORDER_SQL}, c AS (SELECT DISTINCT l_partkey, l_suppkey, concat('c', CAST(l_partkey AS VARCHAR)) AS child, concat('m', CAST(l_suppkey % 9 AS VARCHAR)) AS sig, l_suppkey % 4 = 0 AS up FROM lineitem),
+m AS (SELECT concat(CASE p_size % 2 WHEN 0 THEN 'c' ELSE 'i' END, CAST(p_partkey AS VARCHAR)) AS ancestor, concat('m', CAST(p_size % 9 AS VARCHAR)) AS sig FROM part WHERE p_partkey % 5 > 0)
+SELECT c.l_partkey, c.l_suppkey, min_by(o.ancestor, o.position) FILTER (m.sig IS NOT NULL AND (NOT up OR position > 0)) AS target FROM c JOIN o ON o.child = c.child LEFT JOIN m ON m.ancestor = o.ancestor AND m.sig = c.sig GROUP BY c.l_partkey, c.l_suppkey""")
+def sym_callees(spark, sf_dir):
+    from suitestat.operators.resolution import callees
+
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    lines = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    up = F.col("l_suppkey") % 4 == 0
+    own = name("c", F.col("l_partkey"))
+    calls = lines.select("l_partkey", "l_suppkey", F.struct("l_partkey", "l_suppkey").alias("call_id"), own.alias("owner"), F.when(~up & (F.col("l_suppkey") % 3 > 0), own).alias("receiver_type"), F.when(up, "super").otherwise("").alias("receiver_expr"), name("m", F.col("l_suppkey") % 9).alias("callee_signature"))
+    p = _t(spark, sf_dir, "part")
+    methods = p.select(F.when(F.col("p_size") % 2 == 0, name("c", F.col("p_partkey"))).otherwise(name("i", F.col("p_partkey"))).alias("class_name"), name("m", F.col("p_size") % 9).alias("method_signature"), (F.col("p_partkey") % 5 > 0).alias("has_code"))
+    return callees(calls, _order(spark, sf_dir), methods).select("l_partkey", "l_suppkey", "target")
+
+
+_IMPORTS = """SELECT concat('c', CAST(l_orderkey AS STRING)) AS class_name, CASE l_linenumber % 3 WHEN 0 THEN concat('p', CAST(l_partkey % 40 AS STRING)) WHEN 1 THEN concat('q.X.', CASE WHEN l_suppkey % 5 = 0 THEN 'RUN' ELSE 'run' END, CAST(l_suppkey % 4 AS STRING)) ELSE 'lib.Util' END AS path, l_linenumber % 7 <> 6 AS is_static, l_linenumber % 3 <> 1 AS is_wildcard FROM lineitem"""
+
+
+@query(f"""WITH i AS (SELECT DISTINCT class_name, path, is_wildcard FROM ({_IMPORTS.replace("STRING", "VARCHAR")}) WHERE is_static), m AS (SELECT concat('p', CAST(p_partkey % 40 AS VARCHAR)) AS owner, concat('run', CAST(p_size % 6 AS VARCHAR)) AS method, 1 AS tier FROM part WHERE p_partkey % 2 = 0 UNION SELECT 'lib.Util', 'run1', 2),
+a AS (SELECT class_name, substr(path, 5) AS method, 'q.X' AS owner, 0 AS tier FROM i WHERE NOT is_wildcard AND path NOT LIKE '%RUN%' UNION SELECT class_name, method, owner, tier FROM i JOIN m ON m.owner = i.path WHERE is_wildcard),
+u AS (SELECT class_name, method, tier, min(owner) AS owner FROM a GROUP BY class_name, method, tier HAVING count(DISTINCT owner) = 1)
+SELECT class_name, method, min_by(owner, tier) AS receiver_type FROM u GROUP BY class_name, method""")
+def sym_static_index(spark, sf_dir):
+    from suitestat.operators.resolution import static_index
+    from suitestat.plans import views
+
+    views.tables(spark, sf_dir, "lineitem")
+    p = _t(spark, sf_dir, "part")
+    methods = p.select(F.concat(F.lit("p"), (F.col("p_partkey") % 40).cast("string")).alias("class_name"), F.concat(F.lit("Run"), (F.col("p_size") % 6).cast("string"), F.lit("(int)")).alias("method_signature"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("public"), F.lit("static"))).otherwise(F.array(F.lit("public"))).alias("modifiers"))
+    known = spark.createDataFrame([("lib.Util", "run1", "utility")], "owner string, method string, tier string")
+    return static_index(spark.sql(_IMPORTS), methods, known)
+
+
+# ---- reads of a medium that assertions use: the lines of an order as reads, assertions and other assignments, by place
+
+_USE = "SELECT l_orderkey AS test_id, CASE l_linestatus WHEN 'O' THEN '' ELSE 'helper' END AS scope, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS start, concat('v', CAST(l_suppkey % 2 AS STRING)) AS name, l_partkey % 3 AS kind, l_quantity FROM lineitem"
+
+
+@query(f"""WITH l AS ({_USE.replace("STRING", "VARCHAR")}), r AS (SELECT *, start + 100000 AS stop FROM l WHERE kind = 0), a AS (SELECT *, start + CAST(l_quantity AS BIGINT) * 500000000 AS stop FROM l WHERE kind = 1),
+n AS (SELECT DISTINCT r.test_id, r.start FROM r JOIN a ON a.test_id = r.test_id AND a.scope = r.scope AND a.start <= r.start AND a.stop >= r.stop),
+s AS (SELECT test_id, scope, name, stop AS pos, start AS call_id FROM r UNION ALL SELECT test_id, scope, name, start, NULL FROM l WHERE kind = 2),
+b AS (SELECT DISTINCT a.test_id, arg_max(s.call_id, s.pos) AS call_id FROM (SELECT a.*, a.start AS use FROM a) a JOIN s ON s.test_id = a.test_id AND s.scope = a.scope AND s.name = a.name AND s.pos < a.start
+  AND s.pos = (SELECT max(x.pos) FROM s x WHERE x.test_id = a.test_id AND x.scope = a.scope AND x.name = a.name AND x.pos < a.start) GROUP BY a.test_id, a.scope, a.name, a.use)
+SELECT r.test_id, r.start AS call_id, 'db' AS medium, CASE WHEN n.start IS NOT NULL THEN 'nested' ELSE 'binding' END AS tier FROM r LEFT JOIN n ON n.test_id = r.test_id AND n.start = r.start WHERE n.start IS NOT NULL OR (r.test_id, r.start) IN (SELECT test_id, call_id FROM b WHERE call_id IS NOT NULL)""")
+def seq_state_observations(spark, sf_dir):
+    from suitestat.operators.labels import state_observations
+    from suitestat.plans import views
+
+    views.tables(spark, sf_dir, "lineitem")
+    d = spark.sql(_USE)
+    reads = d.filter("kind = 0").select("test_id", "scope", F.col("start").alias("call_id"), F.lit("db").alias("medium"), "start", (F.col("start") + 100000).alias("stop"), F.col("name").alias("target"))
+    uses = d.filter("kind = 1").select("test_id", "scope", "start", (F.col("start") + F.col("l_quantity").cast("long") * 500000000).alias("stop"), F.array("name").alias("names"))
+    return state_observations(reads, uses, d.filter("kind = 2").select("test_id", "scope", "name", F.col("start").alias("pos")))
