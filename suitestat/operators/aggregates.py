@@ -92,12 +92,12 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    offsets = counts.select("_part", before.alias("_before"))
-    return numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_at", "_part", "_before")
+    numbered = cut(dealt.withColumn("_rank_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_rank_at", 33)
+    counts = numbered.groupBy(part.alias("_rank_part")).agg(F.count(F.lit(1)).alias("_rank_n"))
+    before = F.coalesce(F.sum("_rank_n").over(Window.orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    offsets = counts.select("_rank_part", before.alias("_rank_before"))
+    return numbered.withColumn("_rank_part", part).join(F.broadcast(offsets), "_rank_part").withColumn(name, (F.col("_rank_before") + F.col("_rank_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_rank_at", "_rank_part", "_rank_before")
 
 
 def concentration(df: DataFrame, value: str, *keys: str, percents: Sequence[int] = (1, 5, 10, 25)) -> DataFrame:
