@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from suitestat.functions.lineage import shared_dir
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,19 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    set_by_cluster = sc.getConf().get("spark.checkpoint.dir")
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings that hold while a plan runs, and are as before after it."""
@@ -100,6 +88,12 @@ def release() -> None:
         pass
 
 
+def drop_columns(df: DataFrame, *names: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df without the columns that have one of the names, in any case: Spark doesn't tell Score from score."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[df[f"`{c}`"] for c in df.columns if c.lower() in taken and c not in keep])
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name for an operator's own use that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import bound_batches, id_hash, release, unused
+from suitestat.llm.common import bound_batches, id_hash, release, unused, drop_columns
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -114,23 +114,19 @@ def held_out(key: str) -> "F.Column":
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def sample(docs: DataFrame, text: str, lang: str, key: str, train_docs: int, windows_each: int, max_languages: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def sample(docs: DataFrame, text: str, lang: str, key: str, train_docs: int, windows_each: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of about train_docs labelled documents, shared evenly among the languages; at most windows_each from places spread over each whole text."""
     import pyarrow as pa
 
     known = docs.filter(F.col(lang).isNotNull() & ~held_out(key) & F.col(text).rlike(r"\p{L}"))
-    counts = {r[lang]: r["count"] for r in known.groupBy(lang).count().limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    counts = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
     languages = sorted(counts)
     share = -(-train_docs // len(languages))
-    limit = F.lit(None).cast("double")
-    for name in languages:
-        limit = F.when(F.col(lang) == name, float(min(1.0, share / counts[name]))).otherwise(limit)
+    shares = docs.sparkSession.createDataFrame([(name, float(min(1.0, share / counts[name]))) for name in languages], "_lang string, _share double")
     draw = F.pmod(id_hash(F.col(key), seed), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.filter(draw < limit).select(F.col(lang).alias("lang"), F.pmod(id_hash(F.col(key), seed + 1), F.lit(1 << 30)).alias("h"), F.col(text).alias("text"))
+    drawn = known.join(shares, F.col(lang) == F.col("_lang")).filter(draw < F.col("_share")).select(F.col(lang).alias("lang"), F.pmod(id_hash(F.col(key), seed + 1), F.lit(1 << 30)).alias("h"), F.col(text).alias("text"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,25 +140,27 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, train_docs: int, win
                     out_x.append(raw[s : s + WINDOW].ljust(WINDOW, b"\0"))
             yield pa.RecordBatch.from_arrays([pa.array(out_lang, pa.string()), pa.array(out_x, pa.binary())], names=["lang", "x"])
 
-    rows = drawn.mapInArrow(pick, "lang string, x binary").limit(4 * train_docs * windows_each).collect()
+    rows = drawn.mapInArrow(pick, "lang string, x binary").limit(4 * share * len(languages) * windows_each).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.uint8).reshape(-1, WINDOW)
     at = {name: i for i, name in enumerate(languages)}
     return x, np.array([at[r["lang"]] for r in rows], int), languages
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = 2000, windows_each: int = 4, max_languages: int = 500, seed: int = 9) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = 2000, windows_each: int = 4, seed: int = 9) -> DataFrame:
     """docs with held_out, lang_pred and score (mean probability of lang_pred over the windows); columns of those names are replaced.
 
     Null texts and texts without a letter are und with score 0; so is every text if
-    there is nothing to learn from.  Labels are read only from rows that are not held
+    there is nothing to learn from.  Each language of the labelled rows has a column of
+    the softmax and at least one document to learn from, however many there are; of
+    equal probabilities the first in code-point order wins.  Labels are read only from rows that are not held
     out; about train_docs of them train the network (fewer in a small table).  A text
     of any length is read whole.  Rows that repeat stay.
     """
     import pyarrow as pa
 
-    docs = bound_batches(docs).drop(*[c for c in docs.columns if c in ("held_out", "lang_pred", "score")])
-    x, y, languages = sample(docs, text, lang, key, train_docs, windows_each, max_languages, seed)
+    docs = drop_columns(bound_batches(docs), "held_out", "lang_pred", "score")
+    x, y, languages = sample(docs, text, lang, key, train_docs, windows_each, seed)
     net = train(x, y, languages) if languages else None
     base = docs.withColumn("held_out", held_out(key)).withColumn(letters := unused(docs, "letters"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     names = base.columns[:-1]

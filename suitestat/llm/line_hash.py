@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, WORD, _power, block_words, discard, materialize, mix64, release, unused
+from suitestat.llm.common import GOLDEN, WORD, _power, block_words, discard, materialize, mix64, release, unused, drop_columns
 
 SEED = 25  # words of a window
 
@@ -251,16 +251,26 @@ def removed_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", u
 
 
 def cut(text: str | None, spans: list) -> str | None:
-    """The text without the spans, and without lines that this leaves empty."""
+    """The text without the spans (sorted, apart), and without the lines that this leaves blank; what stays, stays as it is."""
     if not isinstance(text, str) or spans is None or not len(spans):
         return text
-    out, at = [], 0
+    kept, cuts, at, size = [], [], 0, 0
     for s in spans:
-        out.append(text[at : s["start"]])
-        out.append("\0" if "\0" not in text else "")
+        kept.append(text[at : s["start"]])
+        size += len(kept[-1])
+        cuts.append(size)
         at = s["stop"]
-    left = "".join([*out, text[at:]])
-    return "\n".join(line.replace("\0", "").strip(" ") if "\0" in line else line for line in left.split("\n") if line.strip("\0 \t") or "\0" not in line)
+    left = "".join([*kept, text[at:]])
+    out, begin, i = [], 0, 0
+    for line in left.split("\n"):
+        end = begin + len(line)
+        while i < len(cuts) and cuts[i] < begin:
+            i += 1
+        touched = i < len(cuts) and cuts[i] <= end
+        if not touched or line.strip(" \t"):
+            out.append(line)
+        begin = end + 1
+    return "\n".join(out)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str = "paragraph", size: int = SEED) -> DataFrame:
@@ -269,7 +279,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", u
     A null text stays null and an empty one empty; both lose nothing.  Columns of docs
     with the names that are added are replaced.  Rows that repeat a key: see removals().  What goes: see removed_passages().
     """
-    docs = docs.drop(*[c for c in docs.columns if c in ("removed_spans", "removed_words")])
+    docs = drop_columns(docs, "removed_spans", "removed_words")
     gone = removed_passages(docs, text, key, unit, size)
     own = unused(docs, "k")
     gone = gone.select(F.col("k").alias(own), F.col("spans").alias("removed_spans"), F.col("words").alias("removed_words"))

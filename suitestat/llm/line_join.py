@@ -29,10 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, block_words, discard, materialize, mix64, release, shingles, unused
+from suitestat.llm.common import GOLDEN, block_words, discard, materialize, mix64, release, shingles, unused, drop_columns
 
 SHINGLE, THRESHOLD = 5, 0.8
 COUNTERS, PART = 1 << 16, 1 << 10
+SUMS = 256  # sums of one part of the counters that are made side by side
 PER_PART = 1024  # sets of one side of a comparison
 SMALL = 16  # groups of so many sets are compared many at once
 HELD = 50_000  # sets of a token that are looked at together
@@ -67,19 +68,29 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     """Counts of all words of the corpus in COUNTERS counters by hash: what comes to the driver is of one size."""
     import pyarrow as pa
 
+    from pyspark import TaskContext
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, raw in blocks(batch.column(0).to_pylist()):
                 total += np.bincount((block_words(raw)[0] >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
         parts = total.reshape(-1, PART)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = sum(np.frombuffer(b, np.int64) for b in pdf["counts"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [s.tobytes()]})
+        lane = TaskContext.get().partitionId() % SUMS
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([lane] * len(parts), pa.int32())], names=["part", "counts", "lane"])
 
-    rows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
+
+    # A tree: each task's counts stream into SUMS sums for each part, those into one; a task holds one sum for each part.
+    kind = "part int, counts binary"
+    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, f"{kind}, lane int")
+    first = counted.repartition("part", "lane").mapInArrow(add, kind)
+    rows = first.repartition("part").mapInArrow(add, kind).collect()
     out = np.zeros(COUNTERS, np.int64)
     for r in rows:
         out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.int64)
@@ -536,7 +547,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
 
     Null and empty texts stay as they are.  See removed_lines() for keys that repeat.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in ("n_lines", "n_links", "removed")])
+    docs = drop_columns(docs, "n_lines", "n_links", "removed")
     own = unused(docs, "k")
     found = removed_lines(docs, text, key, threshold).withColumnRenamed("k", own)
     out = docs.join(found, docs[key].cast("long").eqNullSafe(found[own]), "left").drop(own)

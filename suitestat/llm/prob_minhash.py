@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import GOLDEN, hash_words, materialize, mix64, release, shingles, split_words, unused
+from suitestat.llm.common import GOLDEN, hash_words, materialize, mix64, release, shingles, split_words, unused, drop_columns
 from suitestat.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -218,7 +218,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = S
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs with class_id (its own id where it is in no class; null without an id) and kept (one document of each class, and all without an id)."""
-    docs = docs.drop(*[c for c in docs.columns if c in ("class_id", "kept")])
+    docs = drop_columns(docs, "class_id", "kept")
     name = unused(docs, "id")
     found = classes(docs, text, key, **options).withColumnRenamed("id", name)
     out = docs.join(found, docs[key] == found[name], "left").drop(name)

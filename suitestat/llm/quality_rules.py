@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from suitestat.llm.common import id_hash, materialize, unused, words
+from suitestat.llm.common import id_hash, materialize, unused, drop_columns, words
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHINGLE = 5
@@ -100,8 +100,8 @@ def covers(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, (c.column() for c in rule), F.lit(True))
 
 
-def learn(labelled: DataFrame, names: list[str], bins: int = 64, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9, min_support: float = 0.002, folds: int = 3) -> list[Rule]:
-    """Rules for the rows with bad = 1, in order.  labelled: bad (0/1), fold (0..folds-1; 0 prunes, the others grow), and the features.
+def learn(labelled: DataFrame, names: list[str], bins: int = 64, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9, min_support: float = 0.002) -> list[Rule]:
+    """Rules for the rows with bad = 1, in order.  labelled: bad (0/1), fold (0 prunes, others grow), and the features.
 
     A rule is kept if, on rows that earlier rules leave, it covers at least the share
     min_support of the growing rows and at least the share min_precision of what it
@@ -205,7 +205,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     Rows that repeat stay; columns of docs with the names used here are replaced.
     """
     own = [*STATS, "n_lines", "n_upper", "n_distinct", "base_failed", "rule", "kept"]
-    docs = docs.drop(*[c for c in docs.columns if c in own and c != key])
+    docs = drop_columns(docs, *own, keep=(key,))
     stats = materialize(statistics(docs, text), "quality")
     feats = features()
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, (F.col(label) == 0).cast("int").alias("bad"))
@@ -215,7 +215,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     fold = F.pmod(id_hash(F.col(key), seed + 1), F.lit(3)).alias("fold")
     labelled = materialize(stats.join(known, key).select("bad", fold, *[c.alias(k) for k, c in feats.items()]), "quality-labelled")
     rules = learn(labelled, list(feats), **learner)
-    out = stats.withColumns({f"_f_{k}": c for k, c in feats.items()})
-    named = [tuple(Condition(f"_f_{c.feature}", c.above, c.threshold) for c in r) for r in rules]
+    own = {k: unused(stats, f"_f_{k}") for k in feats}
+    out = stats.withColumns({own[k]: c for k, c in feats.items()})
+    named = [tuple(Condition(own[c.feature], c.above, c.threshold) for c in r) for r in rules]
     out = out.withColumn("base_failed", base_failed()).withColumn("rule", verdict(named))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop(*[f"_f_{k}" for k in feats])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop(*own.values())

@@ -37,6 +37,43 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def proto_fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised message: numbers and byte strings."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if tag & 7 == 2 else 4 if tag & 7 == 5 else 8
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def check_model(raw: bytes) -> None:
+    """Raise for a model that this encoder isn't exact for: not of merge type, or with a normaliser that changes more than spaces."""
+    parts = {k: dict(proto_fields(v)) for k, v in proto_fields(raw) if k in (2, 3)}
+    trainer, normaliser = parts.get(2, {}), parts.get(3, {})
+    if trainer.get(3, 1) != 2:
+        raise ValueError("the model isn't of merge type (BPE)")
+    if trainer.get(24, 0):
+        raise ValueError("the model puts the space mark behind words")
+    if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+        raise ValueError("the model's normaliser changes more than spaces")
+
+
 class PieceCodec:
     """Vocabulary, exact encoder and decoder of one model file."""
 
@@ -45,6 +82,7 @@ class PieceCodec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        check_model(sp.serialized_model_proto())
         n = sp.vocab_size()
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -245,7 +283,7 @@ def encode_decode(df: DataFrame, text: str = "text", model_file: str | None = No
         release()
 
     new = [x.split(" ")[0] for x in schema.split(", ")]
-    keep = bound_batches(df).select(*[c for c in df.columns if c != text and c not in new], F.col(text).cast("string").alias(text))
+    keep = bound_batches(df).select(*[F.col(f"`{c}`") for c in df.columns if c != text and c.lower() not in new], F.col(text).cast("string").alias(text))
     names = [*keep.columns[:-1], *new]
     kept = keep.drop(text).schema
     for field in StructType.fromDDL(schema):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from suitestat.llm.common import GOLDEN, WordHashes, bound_batches, id_hash, mix64, release, split_words
+from suitestat.llm.common import GOLDEN, WordHashes, bound_batches, id_hash, mix64, release, split_words, drop_columns
 
 BITS = 18
 SIZE = 1 << BITS
@@ -128,7 +128,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """
     import pyarrow as pa
 
-    docs = bound_batches(docs).drop(*[c for c in docs.columns if c in ("held_out", "score", "predicted")])
+    docs = drop_columns(bound_batches(docs), "held_out", "score", "predicted")
     at, found = learn(docs, labels, text, key, label, train_rows, seed, epochs, alpha, beta, l1, l2)
     base = docs.withColumn("held_out", held_out(key))
     place = base.columns.index(text)

@@ -254,3 +254,59 @@ def test_conversations_come_back(spark, monkeypatch):
 def test_a_conversation_of_few_turns_is_one_row(spark):
     made = chat_format.format_chats(spark.read.parquet(f"{SMALL}/conversations.parquet"))
     assert made.count() == made.select("conv_id").distinct().count()
+
+
+# ---- mended corpus operators
+
+
+def test_any_number_of_sources_is_planned_alike(spark):
+    from suitestat.llm import mixing
+
+    rng = random.Random(8)
+    names = [None, "", "é", "z", "A", "\U0001f600"] + [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join("w" * rng.randrange(0, 40)), rng.choice(names)) for i in range(900)] + [(2000, "only one word here " * 200, "big"), (2001, None, "none"), (2002, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain, wide = ({r["doc_id"]: tuple(r) for r in mixing.mix(df, max_sources=m).collect()} for m in (1000, 3))
+    assert plain == wide and len(plain) == len(rows)
+
+
+def test_cut_keeps_what_stays():
+    from suitestat.llm.line_hash import cut
+
+    span = lambda a, b: {"start": a, "stop": b}
+    text = "alpha\0beta  \nkeep me\ngone words"
+    assert cut(text, [span(21, 31)]) == "alpha\0beta  \nkeep me"
+    assert cut("  indented line tail", [span(15, 20)]) == "  indented line"
+    assert cut("a\n\nb", [span(3, 4)]) == "a\n" and cut("one\ntwo\nthree", [span(0, 3), span(8, 13)]) == "two"
+    assert cut("x yyy z", [span(2, 5)]) == "x  z" and cut("all", [span(0, 3)]) == "" and cut(None, [span(0, 1)]) is None and cut("a", []) == "a"
+
+
+def test_names_that_differ_in_case_are_replaced(spark):
+    from suitestat.llm import language_cnn, line_hash, line_join, mixing, prob_minhash, quality_rules, sentencepiece_bpe, toxicity_ftrl, warc  # noqa: F401
+
+    df = spark.createDataFrame([(1, "some words stand here\nand some more", "en", "a", *"12345678"), (2, None, None, None, *"12345678")], "doc_id long, text string, lang string, source string, Score string, KEPT string, Taken string, N_Tokens string, Removed string, Removed_Spans string, _f_n_words string, Rule string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    made = [language_cnn.identify(df), line_hash.dedup_substrings(df), line_join.dedup_lines(df), mixing.mix(df), prob_minhash.near_duplicates(df), quality_rules.quality_rules(df, labels), sentencepiece_bpe.encode_decode(df), toxicity_ftrl.toxicity(df, labels)]
+    for out in made:
+        low = [c.lower() for c in out.columns]
+        assert len(set(low)) == len(low) and "_f_n_words" in low and out.count() == 2
+
+
+def test_other_models_are_refused():
+    from suitestat.llm import sentencepiece_bpe as S
+
+    number = lambda k, v: bytes([k << 3, v]) if k < 16 else bytes([(k << 3) & 127 | 128, k >> 4, v])
+    part = lambda k, raw: bytes([k << 3 | 2, len(raw)]) + raw
+    good = part(2, number(3, 2)) + part(3, number(3, 1) + number(4, 0))
+    S.check_model(good)
+    for bad in (part(2, number(3, 1)) + part(3, number(4, 0)), part(3, number(4, 0)), part(2, number(3, 2)) + part(3, part(2, b"map") + number(4, 0)), part(2, number(3, 2)), part(2, number(3, 2) + number(24, 1)) + part(3, number(4, 0))):
+        with pytest.raises(ValueError):
+            S.check_model(bad)
+
+
+def test_word_counts_are_sums_over_all_tasks(spark):
+    from suitestat.llm import line_join
+
+    df = spark.createDataFrame([(f"a b c{i % 7}\na",) for i in range(500)] + [(None,), ("",)], "t string").repartition(9)
+    counts = line_join.word_counts(df, "t")
+    assert counts.sum() == 2000 and sorted(counts[counts > 0].tolist()) == sorted([1000, 500] + [72] * 3 + [71] * 4)
