@@ -150,3 +150,44 @@ c AS (SELECT user_id, fingerprint FROM u GROUP BY ALL HAVING count(*) > 1)
 SELECT DISTINCT user_id AS project_id, concat('t', CAST(test_id AS VARCHAR)) AS method_signature FROM u JOIN c USING (user_id, fingerprint)""")
 def doc_shared_sequences(spark, sf_dir):
     return P.shared_sequences(P.tests(_documents(spark, sf_dir))).select("project_id", "method_signature")
+
+
+# ---- audits by the whole schema and its vocabularies: a customer's orders as a project with gaps, keys too many and odd words
+
+
+def _gapped(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("k", F.col("o_orderkey"))
+    k = F.col("k")
+    name = F.concat(F.lit("C"), k.cast("string")).alias("qualified_class_name")
+    phase = F.when(k % 3 == 0, "setup").when(k % 3 == 1, "test").otherwise("boot").alias("phase")
+    cls = F.struct(name, F.array(F.struct(phase)).alias("fixtures"), F.when(k % 11 == 0, 1).alias("extra"))
+    ask = F.struct(F.struct(F.array(F.struct(F.when(k % 6 == 5, "matrix").otherwise("query").alias("source"))).alias("parameters")).alias("endpoint"))
+    p = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(cls)).alias("classes"), F.collect_list(ask).alias("endpoints"))
+    c = F.col("o_custkey")
+    level = F.when(c % 7 == 0, "call_graph").when(c % 5 > 0, "symbol_table").alias("analysis_level")
+    doc = F.struct(F.when(c % 4 > 0, "p").alias("dataset_name"), F.struct(F.lit("/x").alias("project_path"), level, F.when(c % 3 == 0, "main").alias("branch")).alias("metadata"), F.struct("endpoints").alias("endpoint_coverage"), F.col("classes").alias("test_class_analyses"))
+    return p.select(c.alias("project_id"), F.to_json(doc).alias("json"))
+
+
+_E = "endpoint_coverage.endpoints"
+_GIVEN = {"": "metadata endpoint_coverage test_class_analyses", "metadata": "project_path", "endpoint_coverage": "endpoints", _E: "endpoint", f"{_E}.endpoint": "parameters", f"{_E}.endpoint.parameters": "source", "test_class_analyses": "qualified_class_name fixtures", "test_class_analyses.fixtures": "phase"}
+_GAPS = [f"{within}.{name}".lstrip(".") for within, name in D.declared(D.project_schema()) if within in _GIVEN and name not in _GIVEN[within].split() and (within, name) not in (("", "dataset_name"), ("metadata", "analysis_level"))]
+
+
+@query(f"""WITH c AS (SELECT DISTINCT o_custkey AS key FROM orders), g(path) AS (VALUES {", ".join(f"('{p}')" for p in _GAPS)})
+SELECT key, path FROM c, g UNION ALL SELECT key, 'dataset_name' FROM c WHERE key % 4 = 0 UNION ALL SELECT key, 'metadata.analysis_level' FROM c WHERE key % 5 = 0 AND key % 7 > 0""")
+def src_project_missing_keys(spark, sf_dir):
+    return D.missing_keys(_gapped(spark, sf_dir), "project_id", "json")
+
+
+@query("SELECT DISTINCT o_custkey AS key, 'metadata.branch' AS path FROM orders WHERE o_custkey % 3 = 0 UNION ALL SELECT DISTINCT o_custkey, 'test_class_analyses.extra' FROM orders WHERE o_orderkey % 11 = 0")
+def src_project_unknown_keys(spark, sf_dir):
+    return D.unknown_keys(_gapped(spark, sf_dir), "project_id", "json")
+
+
+@query(f"""SELECT DISTINCT o_custkey AS key, 'metadata.analysis_level' AS path, 'call_graph' AS value, CAST(1 AS BIGINT) AS n FROM orders WHERE o_custkey % 7 = 0
+UNION ALL SELECT o_custkey, 'test_class_analyses.fixtures.phase', 'boot', count(*) FROM orders WHERE o_orderkey % 3 = 2 GROUP BY o_custkey UNION ALL SELECT o_custkey, '{_E}.endpoint.parameters.source', 'matrix', count(*) FROM orders WHERE o_orderkey % 6 = 5 GROUP BY o_custkey""")
+def src_project_enum_drift(spark, sf_dir):
+    from suitestat.sources.schema import DOMAINS
+
+    return D.enum_drift(_gapped(spark, sf_dir), "project_id", "json", DOMAINS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from suitestat.functions.lineage import cut
 from suitestat.sources.schema import PROJECT_DDL
 
 FILE_NAME = "suite.json"
@@ -88,27 +89,35 @@ def depth(schema: StructType) -> int:
     return of(schema)
 
 
-def nodes(texts: DataFrame, key: str, json: str, levels: int) -> DataFrame:
-    """(key, parent, path, name, is_object, scalar): every value of the documents, a level at a time.
+def nodes(texts: DataFrame, key: str, json: str, levels: int | None = None) -> DataFrame:
+    """(key, parent, within, name, instance, path, is_object, scalar): every value of the documents.
 
     parent is the instance (with array positions) that holds it and path its dotted
-    path without positions; elements of arrays have the array's name.
+    path without positions; elements of arrays have the array's name.  One walk: a level
+    is written once, with what its objects and arrays hold, and the next is read from
+    it; a text is parsed once.  The walk ends below the deepest value, or after levels.
+    A null or broken text has no values.
     """
-    now = texts.select(F.col(key).alias("doc_key"), F.lit("$").alias("instance"), F.lit("").alias("path"), F.try_parse_json(json).alias("v"))
-    out = None
-    for _ in range(levels + 1):
+    now = texts.select(F.col(key).alias("doc_key"), F.lit("$").alias("instance"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
+    out, level = None, 0
+    while True:
         now = now.lateralJoin(texts.sparkSession.tvf.variant_explode(F.col("v").outer()).alias("e")).select("doc_key", F.col("instance").alias("parent"), F.col("path").alias("within"), F.col("e.key").alias("name"), F.concat_ws(".", "instance", F.coalesce("e.key", F.col("e.pos").cast("string"))).alias("instance"), F.when(F.col("e.key").isNull(), F.col("path")).when(F.col("path") == "", F.col("e.key")).otherwise(F.concat_ws(".", "path", "e.key")).alias("path"), F.col("e.value").alias("v"))
         kind = F.schema_of_variant("v")
-        row = now.select(F.col("doc_key").alias("key"), "parent", "within", "name", "instance", "path", kind.startswith("OBJECT").alias("is_object"), F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.try_variant_get("v", "$", "string")).alias("scalar"))
+        holds = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        wrote = cut(now.select(F.col("doc_key").alias("key"), "parent", "within", "name", "instance", "path", kind.startswith("OBJECT").alias("is_object"), F.when(~holds, F.try_variant_get("v", "$", "string")).alias("scalar"), F.when(holds, F.col("v")).alias("v")))
+        row = wrote.drop("v")
         out = row if out is None else out.unionByName(row)
-        now = now.select("doc_key", "instance", "path", "v")
-    return out
+        level += 1
+        inner = wrote.filter("v is not null")
+        if (levels is not None and level > levels) or inner.isEmpty():
+            return out
+        now = inner.select(F.col("key").alias("doc_key"), "instance", "path", "v")
 
 
 def missing_keys(texts: DataFrame, key: str, json: str, schema: StructType | None = None) -> DataFrame:
     """SRC-04: (key, path) of schema fields that an object of a document doesn't have."""
     schema = schema or project_schema()
-    n = nodes(texts, key, json, depth(schema))
+    n = nodes(texts, key, json)
     objects = n.filter("is_object").select("key", F.col("instance").alias("parent"), F.col("path").alias("within")).unionByName(texts.select(F.col(key).alias("key"), F.lit("$").alias("parent"), F.lit("").alias("within")))
     fields = texts.sparkSession.createDataFrame(declared(schema), "within string, name string")
     need = objects.join(F.broadcast(fields), "within")  # the fields of a schema: a fixed list
@@ -120,7 +129,7 @@ def missing_keys(texts: DataFrame, key: str, json: str, schema: StructType | Non
 def unknown_keys(texts: DataFrame, key: str, json: str, schema: StructType | None = None) -> DataFrame:
     """SRC-05: (key, path) of fields that the schema doesn't have; keys of maps are data."""
     schema = schema or project_schema()
-    n = nodes(texts, key, json, depth(schema)).filter("name is not null")
+    n = nodes(texts, key, json).filter("name is not null")
     spark = texts.sparkSession
     known = spark.createDataFrame(declared(schema), "within string, name string")
     out = n.join(F.broadcast(known), ["within", "name"], "left_anti")
@@ -129,7 +138,7 @@ def unknown_keys(texts: DataFrame, key: str, json: str, schema: StructType | Non
     return out.select("key", "path").distinct()
 
 
-def enum_drift(texts: DataFrame, key: str, json: str, domains: dict[str, tuple[str, ...]], levels: int) -> DataFrame:
+def enum_drift(texts: DataFrame, key: str, json: str, domains: dict[str, tuple[str, ...]], levels: int | None = None) -> DataFrame:
     """SRC-06: (key, path, value, n) of values outside a closed vocabulary."""
     spark = texts.sparkSession
     allowed = spark.createDataFrame([(p, v) for p, vs in domains.items() for v in vs], "path string, scalar string")
