@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from suitestat.functions.urls import is_relative_path, join_parts
 from suitestat.operators.rules import assertion_role, prefixes, status_argument
 
 #: Node kinds by method name; names not listed are direct.
@@ -16,9 +15,6 @@ EQUALITY = ("is", "equalTo", "isEqualTo", "eq", "assertEquals")
 ASSERTION_PACKAGES = ("org.junit", "org.assertj", "org.hamcrest", "com.google.common.truth", "org.testng", "io.restassured.matcher")
 #: HTTP response roles and the assertion role that they stand for.
 RESPONSE_ROLE = {"status-assertion": "status", "body-assertion": "body", "header-assertion": "header"}
-MEDIA_TYPE = r"^(?:application|text|image|audio|video|multipart)/[\w.+*-]+(?:;.*)?$"
-
-
 def _map(values: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
@@ -57,31 +53,6 @@ def promoted(matchers: DataFrame, wrappers: DataFrame) -> DataFrame:
     return matchers.join(w, "parent_id", "left").withColumn("role", F.coalesce("_r", "role")).drop("_r")
 
 
-def receiverless(calls: DataFrame, families: DataFrame) -> DataFrame:
-    """CLS-05: framework, role and verb of calls without a receiver's type, from the one framework that a class shows evidence of.
-
-    calls: class_name, call_id, method_name; families: class_name, framework, method_name, role, verb.
-    """
-    one = families.groupBy("class_name").agg(F.count_distinct("framework").alias("_n")).filter("_n = 1").select("class_name")
-    return calls.join(families.join(one, "class_name", "left_semi"), ["class_name", "method_name"]).select("class_name", "call_id", "framework", "role", "verb")
-
-
-def argument_at(arguments: Column, position: Column) -> Column:
-    """CLS-37: the argument at a rule's position (from 0), null if there is none or no position."""
-    return F.when(position >= 0, F.get(arguments, position))
-
-
-def path_text(text: Column, single_segment: Column) -> Column:
-    """CLS-38: text that may be a path: no media type, and a single segment only where the method allows it."""
-    return F.when(~text.rlike(MEDIA_TYPE) & is_relative_path(text, False) & (text.contains("/") | single_segment), text)
-
-
-def header_expressions(method_name: Column, arguments: Column) -> Column:
-    """CLS-36: header name arguments as they are written."""
-    none = F.array().cast("array<string>")
-    return F.when(method_name == "header", F.slice(arguments, 1, 1)).when(method_name == "headers", F.filter(arguments, lambda x, i: i % 2 == 0)).otherwise(none)
-
-
 def helper_return_types(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """CLS-39: empty receiver types filled with the return type of the helper whose result is called. calls: call_id, receiver_type, helper; methods: method, return_type."""
     m = methods.select(F.col("method").alias("helper"), F.col("return_type").alias("_t"))
@@ -130,8 +101,3 @@ def classify(calls: DataFrame) -> DataFrame:
     m = F.col("method_name")
     out = calls.withColumn("role", F.coalesce(assertion_role(m), F.when(is_assertion_library(F.col("receiver_type")), "general"))).withColumn("kind", node_kind(m))
     return out.withColumn("status_code", matcher_status(m, F.col("args"))).withColumn("counts", F.col("role").isNotNull() & countable(F.col("kind")))
-
-
-def composed(base: Column, parts: Column) -> Column:
-    """CLS-21/22: base and ordered path parts as one path."""
-    return F.aggregate(parts, F.coalesce(base, F.lit("")), lambda a, x: join_parts(a, x))

@@ -132,12 +132,6 @@ def type_name(reference: str | Column) -> Column:
     return F.replace(F.trim(F.regexp_replace(F.regexp_replace(r, r"<.*>", ""), r"(?:\[\]|\.\.\.)", "")), F.lit("$"), F.lit("."))
 
 
-def timeline(setup: DataFrame, body: DataFrame, teardown: DataFrame) -> DataFrame:
-    """SYM-19: events of a test in the order of its life: setup, test, teardown."""
-    rank = lambda d, i, p: d.withColumn("phase", F.lit(p)).withColumn("phase_rank", F.lit(i))
-    return rank(setup, 0, "setup").unionByName(rank(body, 1, "test")).unionByName(rank(teardown, 2, "teardown"))
-
-
 def effective_annotations(ancestors: DataFrame, annotations: DataFrame) -> DataFrame:
     """SYM-05/33: of each class and annotation name, the nearest declaration; from ancestors only inheritable ones."""
     a = ancestors.join(annotations.withColumnRenamed("class_name", "ancestor"), "ancestor").filter((F.col("depth") == 0) | F.col("inheritable"))
@@ -171,16 +165,6 @@ def parameter_values(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     return v.join(parameters, ["callee", "pos"]).groupBy("callee", "name").agg(F.when((F.count("value") == F.count(F.lit(1))) & (F.count_distinct("value") == 1), F.min("value")).alias("value"))
 
 
-def helper_targets(calls: DataFrame, ancestors: DataFrame, methods: DataFrame, allowed: DataFrame) -> DataFrame:
-    """SYM-35/37: the class in which a call is resolved: the nearest ancestor of the receiver, or of the caller without one, that has the method and is allowed.
-
-    calls: call_id, owner, receiver_type (null: own class), callee_signature; allowed: class_name.
-    """
-    c = calls.withColumn("child", F.coalesce("receiver_type", "owner")).join(ancestors, "child")
-    m = methods.select(F.col("class_name").alias("ancestor"), F.col("method_signature").alias("callee_signature")).join(allowed.withColumnRenamed("class_name", "ancestor"), "ancestor", "left_semi")
-    return c.join(m, ["ancestor", "callee_signature"]).groupBy("call_id").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("target"))
-
-
 def method_totals(methods: DataFrame, calls: DataFrame) -> DataFrame:
     """SYM-22: per class, methods, complexity and objects that they create. methods: class_name, method_signature, complexity; calls: class_name, is_constructor."""
     made = calls.groupBy("class_name").agg(F.count_if("is_constructor").alias("objects_created"))

@@ -170,8 +170,18 @@ def _gapped(spark, sf_dir):
 
 
 _E = "endpoint_coverage.endpoints"
-_GIVEN = {"": "metadata endpoint_coverage test_class_analyses", "metadata": "project_path", "endpoint_coverage": "endpoints", _E: "endpoint", f"{_E}.endpoint": "parameters", f"{_E}.endpoint.parameters": "source", "test_class_analyses": "qualified_class_name fixtures", "test_class_analyses.fixtures": "phase"}
-_GAPS = [f"{within}.{name}".lstrip(".") for within, name in D.declared(D.project_schema()) if within in _GIVEN and name not in _GIVEN[within].split() and (within, name) not in (("", "dataset_name"), ("metadata", "analysis_level"))]
+#: Fields of the document that the objects of these projects never have.
+_NEVER = {
+    "": "summary application_class_count application_method_count application_cyclomatic_complexity test_class_count test_method_count test_utility_class_count test_utility_method_count endpoint_parameter_coverage resource_crud controller_unit_tests",
+    "metadata": "git_commit_hash git_remote_host git_repository expanded_helper_depth",
+    "endpoint_coverage": "total_application_endpoints covered_endpoint_count untested_endpoint_count coverage_ratio discovered_application_paths",
+    _E: "covering_test_methods covering_test_method_count is_covered asserted_outcomes",
+    f"{_E}.endpoint": "http_method path_template framework declaring_class_name declaring_method_signature is_method_wildcard surface",
+    f"{_E}.endpoint.parameters": "name type annotation required is_aggregate is_synthetic is_unscorable",
+    "test_class_analyses": "testing_frameworks test_method_analyses",
+    "test_class_analyses.fixtures": "defining_class_name method_signature annotations ncloc request_interaction_count verification_interaction_count http_interaction_count request_interactions verification_interactions http_interactions",
+}
+_GAPS = [f"{within}.{name}".lstrip(".") for within, names in _NEVER.items() for name in names.split()]
 
 
 @query(f"""WITH c AS (SELECT DISTINCT o_custkey AS key FROM orders), g(path) AS (VALUES {", ".join(f"('{p}')" for p in _GAPS)})
