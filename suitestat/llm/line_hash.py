@@ -276,7 +276,8 @@ def cut(text: str | None, spans: list) -> str | None:
 def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", unit: str = "paragraph", size: int = SEED) -> DataFrame:
     """docs with the text cut, and removed_spans (offsets in the original text) and removed_words.
 
-    A null text stays null and an empty one empty; both lose nothing.  Columns of docs
+    A null text stays null and an empty one empty; both lose nothing; a text is handled
+    whole, however long, and an empty table gives an empty table.  Columns of docs
     with the names that are added are replaced.  Rows that repeat a key: see removals().  What goes: see removed_passages().
     """
     docs = drop_columns(docs, "removed_spans", "removed_words")

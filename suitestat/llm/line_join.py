@@ -545,7 +545,8 @@ def without(text: str | None, removed: list[int] | None) -> str | None:
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the text without its removed lines, and n_lines, n_links, removed; columns of those names are replaced.
 
-    Null and empty texts stay as they are.  See removed_lines() for keys that repeat.
+    Null and empty texts stay as they are; a text is handled whole, however long.  See
+    removed_lines() for keys that repeat.  An empty table gives an empty table.
     """
     docs = drop_columns(docs, "n_lines", "n_links", "removed")
     own = unused(docs, "k")

@@ -217,7 +217,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = S
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs with class_id (its own id where it is in no class; null without an id) and kept (one document of each class, and all without an id)."""
+    """docs with class_id (its own id where it is in no class; null without an id) and kept (one document of each class, and all without an id).
+
+    Null and empty texts are in no class; a text is handled whole, however long.  Columns
+    of docs with those names, in any case, are replaced.  Rows that repeat an id are one
+    document of the classes and all come out.  An empty table gives an empty table.
+    """
     docs = drop_columns(docs, "class_id", "kept")
     name = unused(docs, "id")
     found = classes(docs, text, key, **options).withColumnRenamed("id", name)

@@ -124,7 +124,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     them at most train the model.  Null and empty texts get the score of the constant
     alone.  Of several labels of one key the greatest counts.  Without labels all
     weights are 0 and every score is 0.5.  A text of any length is read
-    whole; rows that repeat stay.
+    whole; rows that repeat stay; a score of exactly 0.5 predicts 1.  An empty table gives an empty table.
     """
     import pyarrow as pa
 

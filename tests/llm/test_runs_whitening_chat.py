@@ -310,3 +310,20 @@ def test_word_counts_are_sums_over_all_tasks(spark):
     df = spark.createDataFrame([(f"a b c{i % 7}\na",) for i in range(500)] + [(None,), ("",)], "t string").repartition(9)
     counts = line_join.word_counts(df, "t")
     assert counts.sum() == 2000 and sorted(counts[counts > 0].tolist()) == sorted([1000, 500] + [72] * 3 + [71] * 4)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = [(None, "no id but words of some length here", "en", "a", 35), (900_001, None, None, None, None), (900_002, "", "en", "a", 0), (900_003, " \t\n", "de", None, 3), (900_004, "1234 5678 !!", "en", "b", 12), (900_005, "word " * 40_000, "en", "b", 200_000), (900_006, "twice the same row stands here", "en", None, 30), (900_006, "twice the same row stands here", "en", None, 30)]
+    extra = spark.createDataFrame(odd, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    both = docs.unionByName(extra).withColumn("Score", F.lit("mine")).withColumn("times", F.lit("mine"))
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    out = P.run(spark, str(tmp_path))
+    got = {r["doc_id"] for r in out.select("doc_id").collect()}
+    assert not got & {900_001, 900_002, 900_003, 900_004} and len(got) > 50 and set(out.columns) >= {"doc_id", "ids", "n_tokens"}
+    now = P.language_id(spark, both, str(tmp_path))
+    assert now.columns == both.columns and now.filter("Score <> 'mine' or times <> 'mine'").count() == 0
+    both.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
