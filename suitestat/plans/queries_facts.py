@@ -245,3 +245,38 @@ def fig_box(spark, sf_dir):
 def fig_scope_links(spark, sf_dir):
     s = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("requests"), F.col("l_linestatus").alias("resources"), F.col("l_linenumber").cast("string").alias("endpoints")).agg(F.count(F.lit(1)).alias("n"))
     return G.scope_links(s)
+
+
+# ---- authentication: each order is a test with one of the cases; ~ stands for its number
+
+_SEC = "org.springframework.security.test.web.servlet.request.SecurityMockMvcRequestPostProcessors"
+#: (annotation, role, path, header, receiver, method, label, signals).
+_AUTH = (
+    ("@WithMockUser(roles = \"A\")", "event", "/oauth/~", None, None, "perform", "real-flow", "real-flow=route:/oauth/~|mocked=annotation:@WithMockUser(roles = \"A\")"),
+    ("@WithTenantPrincipal", "event", "/authors/~", None, None, None, "unknown", "unknown=weak:annotation:@WithTenantPrincipal"),
+    ("@WithEnvironmentVariable", None, None, None, None, None, "none", ""),
+    ("@a.b.PermitAll", "builder", "/login", '"Bearer ~"', "okhttp3.Request", "header", "test-token", "test-token=header:authorization|bypassed=annotation:@a.b.PermitAll"),
+    ("@Test", None, None, None, _SEC, "httpBasic", "test-token", f"test-token=call-site:receiver:{_SEC}.httpBasic"),
+    ("@Test", None, None, None, _SEC, "anonymous", "bypassed", f"bypassed=call-site:receiver:{_SEC}.anonymous"),
+    ("@Test", None, None, None, "x.Y", "oidcLogin", "mocked", "mocked=method:oidcLogin"),
+    ("@Test", None, None, None, "org.keycloak.Admin", "authorize", "real-flow", "real-flow=call-site:receiver:org.keycloak.Admin.authorize"),
+    ("@Test", None, None, None, "org.keycloak.Admin", "realms", "unknown", "unknown=weak:auth-receiver:org.keycloak.Admin.realms"),
+    ("@Test", None, None, None, "org.keycloakish.Admin", "login", "none", ""),
+    ("@Test", "event", "/token-~", '"X-API-Key"', "io.restassured.specification.RequestSpecification", "oauth2", "real-flow", "real-flow=route:/token-~|test-token=call-site:receiver:io.restassured.specification.RequestSpecification.oauth2|test-token=header:authorization"),
+)
+
+
+def _lit(value):
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query(f"WITH v(piece, label, signals) AS (VALUES {', '.join(f'({i}, {_lit(c[6])}, {_lit(c[7])})' for i, c in enumerate(_AUTH))}) SELECT o_orderkey AS test_id, label, replace(signals, '~', CAST(o_orderkey % 97 AS VARCHAR)) AS signals FROM orders JOIN v ON piece = o_orderkey % {len(_AUTH)}")
+def seq_auth_handling(spark, sf_dir):
+    from suitestat.operators.auth import auth_handling
+
+    cases = spark.createDataFrame([(i, *c[:6]) for i, c in enumerate(_AUTH)], "piece long, annotation string, request_role string, path string, header string, receiver_type string, method_name string")
+    d = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_id"), (F.col("o_orderkey") % len(_AUTH)).alias("piece"), (F.col("o_orderkey") % 97).cast("string").alias("n")).join(F.broadcast(cases), "piece")  # a fixed list
+    own = lambda c: F.replace(c, F.lit("~"), F.col("n"))
+    events = d.withColumn("path", own("path")).withColumn("headers", F.when(F.col("header").isNotNull(), F.array(own("header")))).withColumn("auth_hints", F.lit(None).cast("array<string>"))
+    found = auth_handling(d.select("test_id"), events, d.select("test_id", "annotation"))
+    return found.select("test_id", "label", F.array_join(F.transform("signals", lambda s: F.concat_ws("=", s["label"], s["signal"])), "|").alias("signals"))
