@@ -125,6 +125,8 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, train_docs: int, win
     languages = sorted(counts)
     share = -(-train_docs // len(languages))
     shares = docs.sparkSession.createDataFrame([(name, float(min(1.0, share / counts[name]))) for name in languages], "_lang string, _share double")
+    if len(languages) <= 1000:  # a row for each language; more are left to Spark
+        shares = F.broadcast(shares)
     draw = F.pmod(id_hash(F.col(key), seed), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.join(shares, F.col(lang) == F.col("_lang")).filter(draw < F.col("_share")).select(F.col(lang).alias("lang"), F.pmod(id_hash(F.col(key), seed + 1), F.lit(1 << 30)).alias("h"), F.col(text).alias("text"))
 
