@@ -9,6 +9,9 @@ from suitestat.functions.urls import normalize_path, observed_path, segments, st
 
 VARIABLE = r"^\{(\*?)([^{}:]+)(?::(.+))?\}$"
 MIN_SUFFIX = 2
+#: What a request is matched by, and the endpoints of a group that one part of it has, about.
+REQUEST = ["project_id", "http_method", "http_path", "path_truncated"]
+GROUP_PART = 1024
 
 
 def eligible(endpoints: DataFrame) -> DataFrame:
@@ -111,15 +114,22 @@ def _hits(paths: DataFrame, variants: DataFrame) -> DataFrame:
     return asked.join(variants, ["project_id", "verb", "n", "first"]).filter(F.rlike(F.col("_w"), F.col("pattern")))
 
 
-def match(requests: DataFrame, endpoints: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
-    """COV-04..08: (project_id, http_method, http_path, path_truncated, endpoint_id, tier) for each distinct request that matches.
+def endpoint_groups(endpoints: DataFrame) -> DataFrame:
+    """(project_id, endpoint_id, group) of eligible endpoints: group is the sorted set of their templates, so endpoints that the same requests match share one."""
+    e = eligible(endpoints).select("project_id", "endpoint_id", F.struct(F.upper("http_method").alias("method"), "is_method_wildcard", "path_template").alias("_t"))
+    return e.groupBy("project_id", "endpoint_id").agg(F.array_sort(F.collect_set("_t")).alias("group"))
+
+
+def match_groups(requests: DataFrame, endpoints: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """COV-04..08: (project_id, http_method, http_path, path_truncated, group, tier) for each distinct request that matches.
 
     Each distinct (project, verb, path, cut) is matched once (COV-08), against each
-    distinct template once; join the result back to requests.  Tiers: 1 direct, 2 after
-    an application prefix is stripped, 3 by a unique suffix.  A request keeps the
-    matches of its first tier only (COV-06).  Paths meet templates on project, verb,
-    number of segments and first segment, wildcard endpoints under each verb that is
-    observed; the pattern is tested on what those keys leave.
+    distinct template once.  Tiers: 1 direct, 2 after an application prefix is stripped,
+    3 by a unique suffix.  A request keeps the matches of its first tier only (COV-06).
+    Paths meet templates on project, verb, number of segments and first segment, wildcard
+    endpoints under each verb that is observed; the pattern is tested on what those keys
+    leave.  What is counted for requests is counted for a group of endpoints
+    (endpoint_groups) and handed to its endpoints last, so requests never meet endpoints in pairs.
     """
     cut = F.col("path_truncated") if "path_truncated" in requests.columns else F.lit(False)
     asked = requests.select("project_id", "http_method", "http_path", cut.alias("path_truncated")).filter("http_path is not null").distinct()
@@ -131,32 +141,47 @@ def match(requests: DataFrame, endpoints: DataFrame, prefixes: DataFrame | None
     verbs = asked.groupBy("project_id").agg(F.collect_set("verb").alias("_verbs"))
     under = F.when(F.col("method") != "UNKNOWN", F.array("method")).when(F.col("is_method_wildcard"), F.col("_verbs"))
     v = t.join(verbs, "project_id").withColumn("verb", F.explode(under)).withColumn("x", F.explode("variants")).select(*own, "route", "verb", "x.*")
-    keys = ["project_id", "http_method", "http_path", "path_truncated"]
     able = (F.col("kind") == WHOLE) | ((F.col("kind") == CUT) & F.col("path_truncated")) | ((F.col("kind") == SUFFIX) & ~F.col("path_truncated") & (F.size(segments("_p")) >= MIN_SUFFIX))
     tier = F.when(F.col("kind") == SUFFIX, 3).otherwise(1)
-    tiers = _hits(asked, v).filter(able).select(*keys, *own[1:], "route", tier.alias("tier")).distinct()
+    tiers = _hits(asked, v).filter(able).select(*REQUEST, *own[1:], "route", tier.alias("tier")).distinct()
     if prefixes is not None:
         rest = asked.join(prefixes.select("project_id", "prefix").distinct(), "project_id").withColumn("_p", strip_prefix(segments("_p"), segments(normalize_path(F.col("prefix"))))).filter("_p is not null")
-        tiers = tiers.unionByName(_hits(rest, v.filter(F.col("kind") != SUFFIX)).filter(able).select(*keys, *own[1:], "route", F.lit(2).alias("tier")).distinct())
-    w = Window.partitionBy(*keys)
+        tiers = tiers.unionByName(_hits(rest, v.filter(F.col("kind") != SUFFIX)).filter(able).select(*REQUEST, *own[1:], "route", F.lit(2).alias("tier")).distinct())
+    w = Window.partitionBy(*REQUEST)
     best = tiers.withColumn("_best", F.min("tier").over(w)).filter("tier = _best")
     # A suffix counts only if one route has it.
     one = F.min("route").over(w) == F.max("route").over(w)
-    best = best.withColumn("_one", one).filter("tier < 3 or _one").select(*keys, *own[1:], "tier")
-    e = eligible(endpoints).select("project_id", "endpoint_id", F.upper("http_method").alias("method"), "is_method_wildcard", "path_template")
-    return best.join(e, own).select(*keys, "endpoint_id", "tier").distinct()
+    best = best.withColumn("_one", one).filter("tier < 3 or _one").select(*REQUEST, *own[1:], "tier")
+    g = endpoint_groups(endpoints).select("project_id", "group").distinct().withColumn("_t", F.explode("group")).select("project_id", "group", "_t.*")
+    return best.join(g, own).select(*REQUEST, "group", "tier").distinct()
 
 
-def matched_requests(requests: DataFrame, matches: DataFrame) -> DataFrame:
-    """Requests with each endpoint that they match."""
+def match(requests: DataFrame, endpoints: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """COV-04..08: match_groups() with a row for each endpoint: (project_id, http_method, http_path, path_truncated, endpoint_id, tier).
+
+    A group of many endpoints meets its requests in parts, so no task holds a whole group.
+    """
+    members = endpoint_groups(endpoints)
+    parts = members.groupBy("project_id", "group").agg(F.ceil(F.count(F.lit(1)) / GROUP_PART).cast("int").alias("_parts"))
+    hits = match_groups(requests, endpoints, prefixes).join(parts, ["project_id", "group"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    members = members.join(parts, ["project_id", "group"]).withColumn("_part", F.pmod(F.hash("endpoint_id"), F.col("_parts"))).drop("_parts")
+    return hits.join(members, ["project_id", "group", "_part"]).select(*REQUEST, "endpoint_id", "tier")
+
+
+def _requests_with(requests: DataFrame, hits: DataFrame) -> DataFrame:
+    """Requests with each group that they match."""
     cut = F.col("path_truncated") if "path_truncated" in requests.columns else F.lit(False)
-    return requests.withColumn("path_truncated", cut).join(matches, ["project_id", "http_method", "http_path", "path_truncated"])
+    return requests.withColumn("path_truncated", cut).join(hits, REQUEST)
 
 
-def endpoint_coverage(endpoints: DataFrame, matched: DataFrame) -> DataFrame:
-    """COV-09: every eligible endpoint with its covering tests."""
-    tests = matched.groupBy("project_id", "endpoint_id").agg(F.count_distinct("test_id").alias("covering_tests"), F.count(F.lit(1)).alias("requests"))
-    out = eligible(endpoints).join(tests, ["project_id", "endpoint_id"], "left")
+def endpoint_coverage(endpoints: DataFrame, requests: DataFrame, hits: DataFrame) -> DataFrame:
+    """COV-09: every eligible endpoint with its covering tests. hits: match_groups()."""
+    cut = F.col("path_truncated") if "path_truncated" in requests.columns else F.lit(False)
+    asked = requests.withColumn("path_truncated", cut).groupBy(*REQUEST, "test_id").agg(F.count(F.lit(1)).alias("_n"))
+    tests = _requests_with(asked, hits).groupBy("project_id", "group", "test_id").agg(F.sum("_n").alias("_n"))
+    tests = tests.groupBy("project_id", "group").agg(F.count("test_id").alias("covering_tests"), F.sum("_n").alias("requests"))
+    per = endpoint_groups(endpoints).join(tests, ["project_id", "group"]).drop("group")
+    out = eligible(endpoints).join(per, ["project_id", "endpoint_id"], "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("covering_tests", "requests")})
     return out.withColumn("is_covered", F.col("covering_tests") > 0)
 
@@ -173,20 +198,21 @@ def coverage_summary(coverage: DataFrame, *keys: str) -> DataFrame:
     return coverage.groupBy(*keys).agg(*out) if keys else coverage.agg(*out)
 
 
-def credited(segmented: DataFrame, matches: DataFrame, checks: DataFrame, by: str) -> DataFrame:
-    """Checks (project_id, test_id, seq, by, n) of each sequence credited to every endpoint that its first request matches: (project_id, endpoint_id, by, checks)."""
+def credited(segmented: DataFrame, endpoints: DataFrame, hits: DataFrame, checks: DataFrame, by: str) -> DataFrame:
+    """Checks (project_id, test_id, seq, by, n) of each sequence credited to every endpoint that its first request matches: (project_id, endpoint_id, by, checks). hits: match_groups()."""
     first = Window.partitionBy("project_id", "test_id", "seq").orderBy("pos")
     lead = segmented.filter("kind = 'http-request'").withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("project_id", "test_id", "seq", "http_method", "http_path")
-    hit = matched_requests(lead, matches).select("project_id", "test_id", "seq", "endpoint_id").distinct()
-    return hit.join(checks, ["project_id", "test_id", "seq"]).groupBy("project_id", "endpoint_id", by).agg(F.sum("n").alias("checks"))
+    hit = _requests_with(lead, hits).select("project_id", "test_id", "seq", "group").distinct()
+    per = hit.join(checks, ["project_id", "test_id", "seq"]).groupBy("project_id", "group", by).agg(F.sum("n").alias("checks"))
+    return endpoint_groups(endpoints).join(per, ["project_id", "group"]).select("project_id", "endpoint_id", by, "checks")
 
 
-def outcomes(segmented: DataFrame, matches: DataFrame) -> DataFrame:
+def outcomes(segmented: DataFrame, endpoints: DataFrame, hits: DataFrame) -> DataFrame:
     """COV-11: status checks of each sequence credited to every endpoint that its first request matches: (project_id, endpoint_id, range, checks)."""
     from suitestat.operators.sequences import status_range
 
     checks = segmented.filter("kind = 'response-check' and assertion_role = 'status'").withColumn("range", status_range("status_code")).groupBy("project_id", "test_id", "seq", "range").agg(F.count(F.lit(1)).alias("n"))
-    return credited(segmented, matches, checks, "range")
+    return credited(segmented, endpoints, hits, checks, "range")
 
 
 def surface(endpoints: DataFrame, params: DataFrame) -> DataFrame:
@@ -235,19 +261,26 @@ def coverage_with_prefixes(requests: DataFrame, endpoints: DataFrame, prefixes:
     """PRJ-35, ST2-07: covered endpoints per project with the discovered prefixes, and with extra deploy prefixes: (project_id, variant, endpoints, covered, coverage_ratio)."""
     out = None
     for variant, table in (("discovered", prefixes), ("with-deploy-prefixes", prefixes.unionByName(more))):
-        cov = endpoint_coverage(endpoints, matched_requests(requests, match(requests, endpoints, table)))
+        cov = endpoint_coverage(endpoints, requests, match_groups(requests, endpoints, table))
         part = coverage_summary(cov, "project_id").withColumn("variant", F.lit(variant))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def production_keys(resource_steps: DataFrame, matches: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """PRJ-36: resource steps with production_key: the resource of the endpoints that the request matches if they have one key, else the step's own; and whether it was resolved."""
+    """PRJ-36: resource steps with production_key: the resource of the endpoints that the request matches if they have one key, else the step's own; and whether it was resolved.
+
+    matches: match(), or match_groups(), whose rows don't grow with the endpoints.
+    """
     from suitestat.functions.urls import normalize_request_path, resource_key
 
-    key = endpoints.select("project_id", "endpoint_id", resource_key(normalize_request_path(F.col("path_template"))).alias("_k")).filter("_k is not null")
+    of = lambda template: resource_key(normalize_request_path(template))
     request = ["project_id", "http_method", "http_path"]
-    one = matches.join(key, ["project_id", "endpoint_id"]).groupBy(*request).agg(F.count_distinct("_k").alias("_n"), F.min("_k").alias("_k")).filter("_n = 1").drop("_n")
+    if "group" in matches.columns:
+        keyed = matches.select(*request, F.explode("group.path_template").alias("_t")).distinct().select(*request, of(F.col("_t")).alias("_k")).filter("_k is not null")
+    else:
+        keyed = matches.join(endpoints.select("project_id", "endpoint_id", of(F.col("path_template")).alias("_k")).filter("_k is not null"), ["project_id", "endpoint_id"])
+    one = keyed.groupBy(*request).agg(F.count_distinct("_k").alias("_n"), F.min("_k").alias("_k")).filter("_n = 1").drop("_n")
     out = resource_steps.join(one, request, "left")
     return out.withColumn("production_key", F.coalesce("_k", "resource_key")).withColumn("resolved", F.col("_k").isNotNull()).drop("_k")
 

@@ -60,25 +60,26 @@ m AS (SELECT project_id, http_method, http_path, endpoint_id, tier FROM b WHERE
 def _match(spark, sf_dir):
     steps = views.steps(spark, sf_dir).filter("kind = 'http-request'")
     e = views.endpoints(spark, sf_dir)
-    return steps, e, C.match(steps, e)
+    return steps, e, C.match_groups(steps, e)
 
 
 @query(f"WITH {_MATCH} SELECT * FROM m")
 def cov_matches(spark, sf_dir):
-    return _match(spark, sf_dir)[2].drop("path_truncated")
+    steps = views.steps(spark, sf_dir).filter("kind = 'http-request'")
+    return C.match(steps, views.endpoints(spark, sf_dir)).drop("path_truncated")
 
 
 @query(f"""WITH {_MATCH}, t AS (SELECT m.project_id, endpoint_id, count(DISTINCT test_id) AS covering_tests, count(*) AS requests FROM m JOIN steps s ON s.kind = 'http-request' AND s.project_id = m.project_id AND s.http_method = m.http_method AND s.http_path = m.http_path GROUP BY ALL)
 SELECT el.project_id, el.endpoint_id, el.http_method, el.path_template, coalesce(covering_tests, 0) AS covering_tests, coalesce(requests, 0) AS requests, coalesce(covering_tests, 0) > 0 AS is_covered FROM el LEFT JOIN t USING (project_id, endpoint_id)""")
 def cov_endpoint_coverage(spark, sf_dir):
     steps, e, m = _match(spark, sf_dir)
-    return C.endpoint_coverage(e, C.matched_requests(steps, m)).select("project_id", "endpoint_id", "http_method", "path_template", "covering_tests", "requests", "is_covered")
+    return C.endpoint_coverage(e, steps, m).select("project_id", "endpoint_id", "http_method", "path_template", "covering_tests", "requests", "is_covered")
 
 
 @query(f"WITH {_MATCH}, c AS (SELECT DISTINCT project_id, endpoint_id FROM m) SELECT el.project_id, count(*) AS endpoints, count(c.endpoint_id) AS covered, round(CAST(count(c.endpoint_id) AS DOUBLE) / count(*), 4) AS coverage_ratio FROM el LEFT JOIN c USING (project_id, endpoint_id) GROUP BY el.project_id")
 def cov_project_ratio(spark, sf_dir):
     steps, e, m = _match(spark, sf_dir)
-    return C.coverage_summary(C.endpoint_coverage(e, C.matched_requests(steps, m)), "project_id")
+    return C.coverage_summary(C.endpoint_coverage(e, steps, m), "project_id")
 
 
 @query(f"""WITH {_MATCH}, {SEG.replace(f"steps AS ({STEPS}),", "")},
@@ -86,8 +87,8 @@ f AS (SELECT * FROM (SELECT project_id, test_id, seq, http_method, http_path, ro
 k AS (SELECT project_id, test_id, seq, CASE WHEN status_code IS NULL THEN 'unknown' ELSE concat(CAST(status_code // 100 AS VARCHAR), 'xx') END AS range, count(*) AS n FROM seg WHERE kind = 'response-check' AND assertion_role = 'status' GROUP BY ALL)
 SELECT f.project_id, m.endpoint_id, k.range, CAST(sum(k.n) AS BIGINT) AS checks FROM f JOIN m ON m.project_id = f.project_id AND m.http_method = f.http_method AND m.http_path = f.http_path JOIN k ON k.test_id = f.test_id AND k.seq = f.seq GROUP BY ALL""")
 def cov_outcomes(spark, sf_dir):
-    steps, _, m = _match(spark, sf_dir)
-    return C.outcomes(S.segment(views.steps(spark, sf_dir)), m)
+    _, e, m = _match(spark, sf_dir)
+    return C.outcomes(S.segment(views.steps(spark, sf_dir)), e, m)
 
 
 @query(f"""WITH endpoints AS ({ENDPOINTS}), {PAR}, s AS (SELECT endpoint_id, {", ".join(f"count(*) FILTER (source = '{x}') AS {x}_params" for x in ("path", "query", "header", "form", "body"))}, count(*) FILTER (required) AS required_params, count(*) FILTER (NOT required) AS optional_params, count(*) AS total_params FROM params GROUP BY endpoint_id)
@@ -218,7 +219,7 @@ cov AS (SELECT el.*, coalesce(tests, 0) AS covering_tests FROM el LEFT JOIN t US
 
 def _cov(spark, sf_dir):
     steps, e, m = _match(spark, sf_dir)
-    return C.endpoint_coverage(e, C.matched_requests(steps, m))
+    return C.endpoint_coverage(e, steps, m)
 
 
 @query(f"""WITH {_COV}, v AS (SELECT CASE WHEN is_method_wildcard AND http_method = 'UNKNOWN' THEN 'WILDCARD' ELSE http_method END AS verb, covering_tests > 0 AS hit FROM cov)

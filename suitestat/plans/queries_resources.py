@@ -93,7 +93,9 @@ def prj_exercising_verbs(spark, sf_dir):
 oc AS (SELECT f.project_id, m.endpoint_id, kc.status_code, sum(kc.n) AS checks FROM f JOIN m ON m.project_id = f.project_id AND m.http_method = f.http_method AND m.http_path = f.http_path JOIN kc ON kc.test_id = f.test_id AND kc.seq = f.seq GROUP BY ALL),
 g AS (SELECT count(*) AS a FROM (SELECT DISTINCT project_id, endpoint_id FROM oc)) SELECT status_code, CAST(sum(checks) AS BIGINT) AS checks, count(*) AS endpoints, CAST(sum(checks) AS DOUBLE) / (SELECT sum(checks) FROM oc) AS check_share, any_value(a) AS asserted, CAST(count(*) AS DOUBLE) / any_value(a) AS endpoint_share FROM oc, g GROUP BY status_code""")
 def st2_asserted_codes(spark, sf_dir):
-    return R.asserted_codes(C.credited(S.segment(views.steps(spark, sf_dir)), _match(spark, sf_dir)[2], R.code_checks(S.segment(views.steps(spark, sf_dir))), "status_code"))
+    _, e, m = _match(spark, sf_dir)
+    segmented = S.segment(views.steps(spark, sf_dir))
+    return R.asserted_codes(C.credited(segmented, e, m, R.code_checks(segmented), "status_code"))
 
 
 @query(f"WITH {SEG}, x AS (SELECT kind, count(CASE WHEN kind = 'request-build' THEN 1 END) OVER (PARTITION BY test_id, seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fan_in, count(CASE WHEN kind = 'response-check' THEN 1 END) OVER (PARTITION BY test_id, seq ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fan_out FROM seg), l AS (SELECT m AS metric, CASE m WHEN 'fan_in' THEN fan_in ELSE fan_out END AS value FROM x, unnest(['fan_in', 'fan_out']) AS u(m) WHERE kind = 'http-request') SELECT metric, {summary('value')} FROM l GROUP BY metric")

@@ -202,7 +202,8 @@ outc AS (SELECT f.project_id, m.endpoint_id, k.range, CAST(sum(k.n) AS BIGINT) A
 
 
 def _outcomes(spark, sf_dir):
-    return C.outcomes(S.segment(views.steps(spark, sf_dir)), _match(spark, sf_dir)[2])
+    _, e, m = _match(spark, sf_dir)
+    return C.outcomes(S.segment(views.steps(spark, sf_dir)), e, m)
 
 
 @query(f"WITH {_OUT}, e AS (SELECT project_id, endpoint_id, bool_or(range = '2xx') AS ok, bool_or(range IN ('4xx', '5xx')) AS bad FROM outc GROUP BY ALL), l AS (SELECT CASE WHEN ok AND bad THEN 'both' WHEN ok THEN 'success-only' WHEN bad THEN 'error-only' ELSE 'neither' END AS mix FROM e) SELECT mix, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM l) AS proportion FROM l GROUP BY mix")
