@@ -171,18 +171,23 @@ def bean_parameters(beans: DataFrame, fields: DataFrame, max_depth: int = 1000)
     """EXT-16: fields of bean parameters as parameters, through beans within beans; a type without fields is one row that can't be scored.
 
     Raises if max_depth rounds don't do.  beans: class_name, method_signature, type; fields: type, name, source, bean (the field's bean type or null).
+    The fields climb from each type to the types that hold it, each once a type, so work
+    grows with the result and not with the paths between beans; cycles end.
     """
-    keys = ["class_name", "method_signature"]
-    now = beans.select(*keys, "type", F.array("type").alias("_seen"))
-    out = None
+    f = fields.select("type", "name", "source", "bean")
+    held = f.filter("bean is not null").select(F.col("type").alias("_holder"), F.col("bean").alias("type")).distinct()
+    row = ["name", "source", "is_unscorable"]
+    shown = [F.coalesce("name", "type").alias("name"), F.coalesce("source", F.lit("query")).alias("source"), F.col("name").isNull().alias("is_unscorable")]
+    bare = beans.select("type").unionByName(held.select("type")).distinct().join(f.select("type"), "type", "left_anti")
+    out = now = cut(f.filter("bean is null").select("type", *shown).unionByName(bare.select("type", F.col("type").alias("name"), F.lit("query").alias("source"), F.lit(True).alias("is_unscorable"))).distinct())
     for _ in range(max_depth):
-        step = now.join(fields, "type", "left")
-        rows = step.filter("bean is null").select(*keys, F.coalesce("name", "type").alias("name"), F.coalesce("source", F.lit("query")).alias("source"), F.col("name").isNull().alias("is_unscorable"))
-        out = rows if out is None else out.unionByName(rows)
-        now = step.filter(F.col("bean").isNotNull() & ~F.array_contains("_seen", F.col("bean"))).select(*keys, F.col("bean").alias("type"), F.concat("_seen", F.array("bean")).alias("_seen"))
-        now = cut(now.distinct())
+        up = now.join(held, "type").select(F.col("_holder").alias("type"), *row).distinct()
+        # Rows are never null but for a type that is null, and such a type has no holder.
+        now = cut(up.join(out, ["type", *row], "left_anti"))
         if now.isEmpty():
-            return out.distinct()
+            b = beans.select("class_name", "method_signature", F.col("type").alias("_t"))
+            return b.join(out, F.col("_t").eqNullSafe(F.col("type"))).select("class_name", "method_signature", *row).distinct()
+        out = out.unionByName(now)
     raise RuntimeError(f"beans did not settle in {max_depth} rounds")
 
 

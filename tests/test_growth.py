@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from suitestat.operators import coverage as C
+from suitestat.operators import extract as E
 
 ENDPOINTS = "project_id int, endpoint_id int, http_method string, is_method_wildcard boolean, path_template string"
 
@@ -24,3 +25,11 @@ def test_a_large_group_meets_requests_in_parts(spark):
     e = spark.range(n).select(F.lit(1).alias("project_id"), F.col("id").alias("endpoint_id"), F.lit("GET").alias("http_method"), F.lit(False).alias("is_method_wildcard"), F.lit("/a").alias("path_template"))
     m = C.match(spark.createDataFrame([(1, "GET", "/a"), (1, "get", "/a")], "project_id int, http_method string, http_path string"), e)
     assert m.count() == m.distinct().count() == 2 * n
+
+
+def test_beans_that_all_hold_each_other(spark):
+    n = 14  # 14 beans have more than 10**10 paths
+    rows = [(f"T{i}", None, None, f"T{j}") for i in range(n) for j in range(n) if i != j] + [(f"T{i}", f"f{i}", "header", None) for i in range(n)]
+    beans = spark.createDataFrame([("A", "m", "T0"), ("A", "k", "U")], "class_name string, method_signature string, type string")
+    got = E.bean_parameters(beans, spark.createDataFrame(rows, "type string, name string, source string, bean string")).collect()
+    assert sorted((r["method_signature"], r["name"], r["is_unscorable"]) for r in got) == [("k", "U", True)] + sorted(("m", f"f{i}", False) for i in range(n))
