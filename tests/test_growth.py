@@ -1,9 +1,12 @@
 """Work that grows with the result: no pairs or paths on the way that the result doesn't hold."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from suitestat.operators import coverage as C
 from suitestat.operators import extract as E
+from suitestat.operators import graph as H
 
 ENDPOINTS = "project_id int, endpoint_id int, http_method string, is_method_wildcard boolean, path_template string"
 
@@ -33,3 +36,18 @@ def test_beans_that_all_hold_each_other(spark):
     beans = spark.createDataFrame([("A", "m", "T0"), ("A", "k", "U")], "class_name string, method_signature string, type string")
     got = E.bean_parameters(beans, spark.createDataFrame(rows, "type string, name string, source string, bean string")).collect()
     assert sorted((r["method_signature"], r["name"], r["is_unscorable"]) for r in got) == [("k", "U", True)] + sorted(("m", f"f{i}", False) for i in range(n))
+
+
+def test_helpers_without_paths(spark):
+    draw = random.Random(5)
+    edges = sorted({(draw.randrange(30), draw.randrange(25)) for _ in range(70)})
+    calls = spark.createDataFrame(edges, "owner int, callee int")
+    roots = calls.select(F.col("owner").alias("root")).distinct()
+    for depth in (0, 1, 3):
+        want = {r["root"]: r["helpers"] for r in H.distinct_helpers(H.expand(calls, roots, depth)).collect()}
+        assert {r["root"]: r["helpers"] for r in H.helper_counts(calls, roots, depth).collect()} == want
+    # All of 300 methods call all: 300**5 paths.
+    n = 300
+    every = spark.range(n * n).select((F.col("id") / n).cast("int").alias("owner"), (F.col("id") % n).cast("int").alias("callee"))
+    got = H.helper_counts(every, spark.createDataFrame([(0,), (1,)], "root int")).collect()
+    assert sorted((r["root"], r["helpers"]) for r in got) == [(0, n), (1, n)]
