@@ -69,14 +69,18 @@ def callees(calls: DataFrame, order: DataFrame, methods: DataFrame, valid: DataF
     m = methods.filter("has_code").select(F.col("class_name").alias("ancestor"), F.col("method_signature").alias("callee_signature")).distinct()
     typed = F.coalesce(F.trim("receiver_type"), F.lit("")) != ""
     c = calls.select("call_id", "callee_signature", F.when(typed, F.trim("receiver_type")).otherwise(F.col("owner")).alias("child"), (~typed & (F.coalesce(F.trim("receiver_expr"), F.lit("")) == "super")).alias("_up"), typed.alias("_typed"))
-    own = c.select("child").distinct().select("child", F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("position"))
-    o = order.select("child", "ancestor", "position").unionByName(own).distinct()
+    asked = c.select("child", "callee_signature").distinct()
+    own = asked.select("child").distinct().select("child", F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("position"))
+    # The least position of an ancestor is kept by the minimum below, so own needs no distinct.
+    o = order.select("child", "ancestor", "position").join(asked.select("child").distinct(), "child", "left_semi").unionByName(own)
     if valid is not None:
         ok = valid.select(F.col("class_name").alias("ancestor")).distinct()
         o, refused = o.join(ok, "ancestor", "left_semi"), c.filter("_typed").select("child").distinct().join(ok, F.col("child") == F.col("ancestor"), "left_anti")
         c = c.join(refused.withColumn("_no", F.lit(True)), "child", "left").filter(~(F.coalesce("_no", F.lit(False)) & F.col("_typed"))).drop("_no")
-    met = c.join(m, "callee_signature").join(o, ["child", "ancestor"]).filter(~F.col("_up") | (F.col("position") > 0))
-    best = met.groupBy("call_id").agg(F.min_by("ancestor", "position").alias("target"))
+    # Classes meet methods through their ancestors, never calls through a signature that many classes have.
+    seen = o.join(m, "ancestor").join(asked, ["child", "callee_signature"], "left_semi")
+    first = seen.groupBy("child", "callee_signature").agg(F.min_by("ancestor", "position").alias("_first"), F.min_by("ancestor", F.when(F.col("position") > 0, F.col("position"))).alias("_above"))
+    best = c.join(first, ["child", "callee_signature"]).select("call_id", F.when(F.col("_up"), F.col("_above")).otherwise(F.col("_first")).alias("target")).filter("target is not null")
     return calls.join(best, "call_id", "left")
 
 

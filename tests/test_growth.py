@@ -1,12 +1,14 @@
 """Work that grows with the result: no pairs or paths on the way that the result doesn't hold."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from suitestat.operators import coverage as C
 from suitestat.operators import extract as E
 from suitestat.operators import graph as H
+from suitestat.operators import resolution as R
 
 ENDPOINTS = "project_id int, endpoint_id int, http_method string, is_method_wildcard boolean, path_template string"
 
@@ -51,3 +53,12 @@ def test_helpers_without_paths(spark):
     every = spark.range(n * n).select((F.col("id") / n).cast("int").alias("owner"), (F.col("id") % n).cast("int").alias("callee"))
     got = H.helper_counts(every, spark.createDataFrame([(0,), (1,)], "root int")).collect()
     assert sorted((r["root"], r["helpers"]) for r in got) == [(0, n), (1, n)]
+
+
+def test_callees_do_not_meet_methods_by_signature_alone(spark):
+    calls = spark.createDataFrame([(1, "B", "", "super", "m"), (2, "B", "", "", "m"), (3, "B", "B", "", "m")], "call_id int, owner string, receiver_type string, receiver_expr string, callee_signature string")
+    order = R.resolution_order(spark.createDataFrame([("B", "A", "extends", 0)], "class_name string, parent string, kind string, place int"))
+    methods = spark.createDataFrame([("A", "m", True), ("B", "m", True)], "class_name string, method_signature string, has_code boolean")
+    d = R.callees(calls, order, methods)
+    assert {r["call_id"]: r["target"] for r in d.collect()} == {1: "A", 2: "B", 3: "B"}
+    assert not re.search(r"Join \[callee_signature#\d+\], \[callee_signature#\d+\]", d._jdf.queryExecution().sparkPlan().toString())
