@@ -20,10 +20,12 @@ Calls whose key is null are classified each by itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from suitestat.functions.lineage import cut
+from suitestat.functions.lineage import cut, written
 from suitestat.functions.urls import is_local_host, is_relative_path, query_names, template_variables, url_part
 from suitestat.operators import families as K
 from suitestat.operators.rules import string_literal
@@ -424,3 +426,30 @@ def classify(calls: DataFrame, *keys: str) -> DataFrame:
     known = container_names(cut(describe(d)), *keys)
     blank = F.col("framework").isNull()
     return known.withColumns({c: F.when(~blank, F.col(c)) for c in ("http_method", "path", "truncated", "headers", "header_names", "query_names", "path_names", "form_names", "either_names", "has_body", "auth_hints")})
+
+
+def once_a_body(calls: DataFrame, of: Callable[[DataFrame], DataFrame], *keys: str) -> DataFrame:
+    """of(calls), found once for all methods whose calls are the same, and given to each of them.
+
+    of: steps whose rows have keys and follow from the calls of their method alone, such as
+    classify() and correlate().  Methods with the same calls (all columns, in any order) have
+    one body; the method with the least key stands for it.  Bodies are told by the number of
+    calls and sums of two hashes of each, so only those, not the calls, are shuffled to find
+    them.  Calls whose key is null stand for themselves.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    row = F.to_json(F.struct(*sorted(c for c in calls.columns if c not in keys)))
+    hashes = calls.filter(whole).select(*keys, F.xxhash64(row).alias("_x"), F.xxhash64(F.lit(1), row).alias("_y"))
+    # Halves, so that a sum of 2**31 rows still fits.
+    halves = [part.alias(f"_s{i}") for i, part in enumerate(F.sum(h) for c in ("_x", "_y") for h in (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(c, 32)))]
+    body = ["_n", "_s0", "_s1", "_s2", "_s3"]
+    methods = cut(hashes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *halves))
+    first = written(methods.groupBy(*body).agg(F.min(F.struct(*keys)).alias("_first")))
+    stand = first.select(*[F.col(f"_first.{k}").alias(k) for k in keys])
+    found = written(of(calls.join(stand, list(keys), "left_semi").unionByName(calls.filter(~whole))))
+    members = methods.join(first, body).select(*keys, *[F.col(f"_first.{k}").alias(f"_b{i}") for i, k in enumerate(keys)])
+    given = found.filter(whole).select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], *[c for c in found.columns if c not in keys])
+    out = members.join(given, [f"_b{i}" for i in range(len(keys))]).select(*found.columns)
+    return out.unionByName(found.filter(~whole))

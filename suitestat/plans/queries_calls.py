@@ -48,23 +48,26 @@ def _names():
 @query(f"""WITH {_O}, f(piece, call_id, framework, family, request_role, response_role, mocking, http_method, path, names, has_body) AS (VALUES {_FOUND})
 SELECT o_orderkey, CAST(call_id AS BIGINT) AS call_id, framework, family, request_role, response_role, mocking, http_method, replace(path, '@', n) AS path, names, has_body FROM o JOIN f USING (piece)""")
 def cls_call_sites(spark, sf_dir):
-    d = C.classify(_calls(spark, sf_dir), "o_orderkey")
+    d = C.once_a_body(_calls(spark, sf_dir), lambda calls: C.classify(calls, "o_orderkey"), "o_orderkey")
     return d.select("o_orderkey", "call_id", "framework", "family", "request_role", "response_role", F.col("mocking.kind").alias("mocking"), "http_method", "path", F.when(F.col("framework").isNotNull(), _names()).alias("names"), "has_body")
 
 
 @query(f"""WITH {_O}, a(piece, call_id, http_method, path, names, has_body) AS (VALUES {_ASKED})
 SELECT o_orderkey, CAST(call_id AS BIGINT) AS call_id, http_method, replace(path, '@', n) AS path, names, has_body FROM o JOIN a USING (piece)""")
 def cls_requests(spark, sf_dir):
-    calls = C.classify(_calls(spark, sf_dir), "o_orderkey")
-    events, _ = B.correlate(calls, "o_orderkey")
-    rows = B.requests(calls, events, "o_orderkey").filter("request_role = 'event'")
+    def asked(calls):
+        known = C.classify(calls, "o_orderkey")
+        events, _ = B.correlate(known, "o_orderkey")
+        return B.requests(known, events, "o_orderkey").filter("request_role = 'event'")
+
+    rows = C.once_a_body(_calls(spark, sf_dir), asked, "o_orderkey")
     return rows.select("o_orderkey", "call_id", "http_method", "path", _names().alias("names"), "has_body")
 
 
 @query(f"""WITH {_O}, g(piece, event_id, builder_id, properties) AS (VALUES {_GAVE})
 SELECT o_orderkey, CAST(event_id AS BIGINT) AS event_id, CAST(builder_id AS BIGINT) AS builder_id, properties FROM o JOIN g USING (piece)""")
 def cls_builder_sources(spark, sf_dir):
-    _, sources = B.correlate(C.classify(_calls(spark, sf_dir), "o_orderkey"), "o_orderkey")
+    sources = C.once_a_body(_calls(spark, sf_dir), lambda calls: B.correlate(C.classify(calls, "o_orderkey"), "o_orderkey")[1], "o_orderkey")
     return sources.select("o_orderkey", "event_id", "builder_id", F.array_join("properties", ",").alias("properties"))
 
 

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from suitestat.operators import classification as K
 from suitestat.operators import coverage as C
 from suitestat.operators import extract as E
 from suitestat.operators import graph as H
@@ -62,3 +63,23 @@ def test_callees_do_not_meet_methods_by_signature_alone(spark):
     d = R.callees(calls, order, methods)
     assert {r["call_id"]: r["target"] for r in d.collect()} == {1: "A", 2: "B", 3: "B"}
     assert not re.search(r"Join \[callee_signature#\d+\], \[callee_signature#\d+\]", d._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_methods_with_the_same_calls_are_classified_once(spark):
+    mvc = "org.springframework.test.web.servlet.request.MockMvcRequestBuilders"
+    call = "k int, call_id int, start int, stop int, line int, method_name string, receiver_type string, receiver_expr string, args array<string>, arg_types array<string>, values array<string>, is_constructor boolean, callee_signature string"
+    body = lambda k, path: [(k, 0, 0, 50, 1, "perform", "", "mvc", ["get(...)"], [], None, False, ""), (k, 1, 12, 40, 1, "get", mvc, "", [path], [], None, None, "")]
+    rows = [r for k in range(40) for r in body(k, '"/a"')] + body(50, '"/b"') + body(51, '"/b"')[::-1] + body(None, '"/c"') + body(None, '"/c"')
+    # A method that lacks a call, and one whose call has another text in another column, have bodies of their own; so has one that repeats a call.
+    rows += body(60, '"/a"')[1:] + [(61, 0, 0, 50, 1, "perform", "", "mvc", [], ["get(...)"], None, False, ""), *body(61, '"/a"')[1:]] + body(62, '"/a"') + body(62, '"/a"')[:1]
+    calls = spark.createDataFrame(rows, call)
+    seen = []
+
+    def of(d):
+        seen.append(d.count())
+        return K.classify(d, "k").select("k", "call_id", "framework", "request_role", "path")
+
+    got = K.once_a_body(calls, of, "k")
+    assert seen == [2 + 2 + 1 + 2 + 3 + 4]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, K.classify(calls, "k").select("k", "call_id", "framework", "request_role", "path").collect()))
