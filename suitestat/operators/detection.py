@@ -120,4 +120,4 @@ def fixture_owners(edges: DataFrame) -> DataFrame:
     """
     supers = closure(edges.filter("kind = 'extends'")).select("child", "ancestor", F.lit(True).alias("_super"))
     relation = F.when(F.col("depth") == 0, "class").when(F.col("_super"), "super").otherwise("interface")
-    return closure(edges).join(supers, ["child", "ancestor"], "left").withColumn("relation", relation).drop("_super")
+    return closure(edges).join(supers.hint("merge"), ["child", "ancestor"], "left").withColumn("relation", relation).drop("_super")

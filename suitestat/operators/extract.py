@@ -78,11 +78,12 @@ def mounts(locators: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Data
     roots: class_name, mount; locators: class_name, path, target.  Each round follows one
     edge more, until nothing is new; a class reached by several ways has several mounts.
     A way that comes to a class again ends there.  Raises if max_depth rounds don't do.
+    Locators grow with the classes, so they aren't broadcast.
     """
     front = roots.select("class_name", normalize_path("mount").alias("mount")).distinct().withColumn("_seen", F.array("class_name"))
     out = front
     for _ in range(max_depth):
-        nxt = front.join(locators, "class_name").filter(~F.array_contains("_seen", F.col("target")))
+        nxt = front.join(locators.hint("merge"), "class_name").filter(~F.array_contains("_seen", F.col("target")))
         front = cut(nxt.select(F.col("target").alias("class_name"), join_paths("mount", "path").alias("mount"), F.concat("_seen", F.array("target")).alias("_seen")).distinct())
         if front.isEmpty():
             return out.select("class_name", "mount").distinct()

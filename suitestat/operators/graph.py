@@ -14,15 +14,15 @@ def closure(edges: DataFrame, child: str = "class_name", parent: str = "parent",
 
     A loop of joins, one level a round, until a round finds nothing new; cycles end
     because an ancestor is kept at its first depth only.  Raises if max_depth rounds
-    don't do.
+    don't do.  What meets in a round grows with the classes, so none of it is broadcast.
     """
     e = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).filter("parent is not null").distinct()
     every = edges.select(F.col(child).alias("child")).unionByName(e.select(F.col("parent").alias("child"))).distinct()
     out = every.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth"))
     front = out
     for d in range(1, max_depth + 1):
-        up = front.select("child", F.col("ancestor").alias("_a")).join(e, F.col("_a") == e["child"]).select(front["child"], F.col("parent").alias("ancestor")).distinct()
-        front = cut(up.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(d)))
+        up = front.select("child", F.col("ancestor").alias("_a")).join(e.hint("merge"), F.col("_a") == e["child"]).select(front["child"], F.col("parent").alias("ancestor")).distinct()
+        front = cut(up.join(out.select("child", "ancestor").hint("merge"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             return out
         out = out.unionByName(front)

@@ -83,3 +83,14 @@ def test_methods_with_the_same_calls_are_classified_once(spark):
     assert seen == [2 + 2 + 1 + 2 + 3 + 4]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, got.collect())) == sorted(map(key, K.classify(calls, "k").select("k", "call_id", "framework", "request_role", "path").collect()))
+
+
+def test_rounds_over_classes_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    for module in (H, E):
+        cut = module.cut
+        monkeypatch.setattr(module, "cut", lambda d, cut=cut: (plans.append(d._jdf.queryExecution().executedPlan().toString()), cut(d))[1])
+    assert H.closure(spark.createDataFrame([(1, 2), (2, 3)], "class_name int, parent int")).count() == 6
+    steps = spark.createDataFrame([("A", "x", "B"), ("B", "y", "C")], "class_name string, path string, target string")
+    assert E.mounts(steps, spark.createDataFrame([("A", "/a")], "class_name string, mount string")).count() == 3
+    assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
