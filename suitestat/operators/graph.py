@@ -29,9 +29,18 @@ def closure(edges: DataFrame, child: str = "class_name", parent: str = "parent",
     raise RuntimeError(f"closure did not settle in {max_depth} rounds")
 
 
+def inherited(ancestors: DataFrame, facts: DataFrame) -> DataFrame:
+    """ancestors with the facts (class_name, ...) of each ancestor.
+
+    A class has few facts and stands above many others, so tasks hold the facts by class
+    and ancestors stream past them: the large side is never sorted.
+    """
+    return ancestors.join(facts.withColumnRenamed("class_name", "ancestor").hint("shuffle_hash"), "ancestor")
+
+
 def visible_methods(ancestors: DataFrame, methods: DataFrame) -> DataFrame:
     """SYM-10: methods that a class sees: of each signature the nearest owner's."""
-    m = ancestors.join(methods.withColumnRenamed("class_name", "ancestor"), "ancestor")
+    m = inherited(ancestors, methods)
     return m.groupBy("child", "method_signature").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("owner"), F.min("depth").alias("depth"))
 
 
@@ -156,7 +165,7 @@ def type_name(reference: str | Column) -> Column:
 
 def effective_annotations(ancestors: DataFrame, annotations: DataFrame) -> DataFrame:
     """SYM-05/33: of each class and annotation name, the nearest declaration; from ancestors only inheritable ones."""
-    a = ancestors.join(annotations.withColumnRenamed("class_name", "ancestor"), "ancestor").filter((F.col("depth") == 0) | F.col("inheritable"))
+    a = inherited(ancestors, annotations).filter((F.col("depth") == 0) | F.col("inheritable"))
     return a.groupBy("child", "short_name").agg(F.min_by(F.struct("ancestor", "body"), F.struct("depth", "ancestor")).alias("_b"), F.min("depth").alias("depth")).select("child", "short_name", "_b.ancestor", "_b.body", "depth")
 
 
@@ -165,7 +174,7 @@ def fixtures(ancestors: DataFrame, methods: DataFrame, rules: DataFrame) -> Data
 
     methods: class_name, method_signature, annotation; rules: annotation, phase.
     """
-    m = ancestors.join(methods.withColumnRenamed("class_name", "ancestor"), "ancestor")
+    m = inherited(ancestors, methods)
     near = m.withColumn("_d", F.min("depth").over(Window.partitionBy("child", "method_signature"))).filter("depth = _d").drop("_d")
     f = near.join(F.broadcast(rules), "annotation")  # a fixed list of annotations
     order = F.when(F.col("phase") == "setup", -F.col("depth")).otherwise(F.col("depth"))
@@ -195,9 +204,14 @@ def method_totals(methods: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def imports_of(imports: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
-    """SYM-32: imports of each class, its ancestors' too where they are given, each path once, with is_static."""
+    """SYM-32: imports of each class, its ancestors' too where they are given, each path once, with is_static.
+
+    What a class inherits goes to it as one array for each ancestor and opens where all of
+    a class's arrays are, so a task that joins holds no imports of the classes below.
+    """
     own = imports.select("class_name", "path", "is_static", "is_wildcard").distinct()
     if ancestors is None:
         return own
-    up = ancestors.join(own.withColumnRenamed("class_name", "ancestor"), "ancestor").select(F.col("child").alias("class_name"), "path", "is_static", "is_wildcard")
-    return own.unionByName(up).distinct()
+    sets = own.groupBy("class_name").agg(F.collect_list(F.struct("path", "is_static", "is_wildcard")).alias("_i"))
+    up = inherited(ancestors, sets).select(F.col("child").alias("class_name"), "_i")
+    return sets.unionByName(up).repartition("class_name").select("class_name", F.explode("_i").alias("_i")).select("class_name", "_i.*").distinct()

@@ -88,14 +88,24 @@ def sym_categories(spark, sf_dir):
 #: A line's class stands below its order's and its part's.
 _UP = "SELECT DISTINCT concat('l', CAST(l_orderkey AS STRING)) AS child, concat('p', CAST(l_partkey AS STRING)) AS ancestor, CAST(1 + l_partkey % 2 AS INT) AS depth FROM lineitem UNION SELECT concat('l', CAST(o_orderkey AS STRING)), concat('l', CAST(o_orderkey AS STRING)), 0 FROM orders"
 _UP_SQL = _UP.replace("STRING", "VARCHAR")
+
+
+def _up(spark, sf_dir):
+    """_UP, made distinct by its numbers before they become texts; its two parts share no row, as depth tells them apart."""
+    k = F.col("l_partkey")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    own = _t(spark, sf_dir, "orders").select("o_orderkey").distinct()
+    return lines.select(_text("l", "l_orderkey").alias("child"), _text("p", "l_partkey").alias("ancestor"), (1 + k % 2).cast("int").alias("depth")).unionByName(own.select(_text("l", "o_orderkey").alias("child"), _text("l", "o_orderkey").alias("ancestor"), F.lit(0).alias("depth")))
+
+
 _ANNOTATED = "SELECT concat('p', CAST(p_partkey AS STRING)) AS class_name, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS short_name, p_brand AS body, p_size % 4 > 0 AS inheritable FROM part UNION ALL SELECT concat('l', CAST(o_orderkey AS STRING)), 'A', o_orderstatus, false FROM orders WHERE o_orderkey % 3 = 0"
 
 
 @query(f"""WITH u AS ({_UP_SQL}), a AS ({_ANNOTATED.replace("STRING", "VARCHAR")}), j AS (SELECT u.child, short_name, u.ancestor, body, depth, row_number() OVER (PARTITION BY u.child, short_name ORDER BY depth, u.ancestor) AS n FROM u JOIN a ON a.class_name = u.ancestor WHERE depth = 0 OR inheritable)
 SELECT child, short_name, ancestor, body, depth FROM j WHERE n = 1""")
 def sym_effective_annotations(spark, sf_dir):
-    views.tables(spark, sf_dir, "lineitem", "orders", "part")
-    return H.effective_annotations(spark.sql(_UP), spark.sql(_ANNOTATED))
+    views.tables(spark, sf_dir, "orders", "part")
+    return H.effective_annotations(_up(spark, sf_dir), spark.sql(_ANNOTATED))
 
 
 _METHODS = "SELECT concat('p', CAST(p_partkey AS STRING)) AS class_name, concat('m', CAST(p_size % 6 AS STRING), '()') AS method_signature, CASE p_size % 3 WHEN 0 THEN 'BeforeEach' WHEN 1 THEN 'AfterEach' ELSE 'Test' END AS annotation FROM part"
@@ -105,9 +115,9 @@ _METHODS = "SELECT concat('p', CAST(p_partkey AS STRING)) AS class_name, concat(
 f AS (SELECT *, CASE annotation WHEN 'BeforeEach' THEN 'setup' ELSE 'teardown' END AS phase FROM j WHERE depth = d AND annotation <> 'Test')
 SELECT child, ancestor, method_signature, phase, CAST(row_number() OVER (PARTITION BY child, phase ORDER BY CASE phase WHEN 'setup' THEN -depth ELSE depth END, ancestor, method_signature) AS INT) AS place FROM f""")
 def sym_fixtures(spark, sf_dir):
-    views.tables(spark, sf_dir, "lineitem", "orders", "part")
+    views.tables(spark, sf_dir, "part")
     rules = spark.createDataFrame([("BeforeEach", "setup"), ("AfterEach", "teardown")], "annotation string, phase string")
-    return H.fixtures(spark.sql(_UP), spark.sql(_METHODS), rules).select("child", "ancestor", "method_signature", "phase", "place")
+    return H.fixtures(_up(spark, sf_dir), spark.sql(_METHODS), rules).select("child", "ancestor", "method_signature", "phase", "place")
 
 
 @query("""WITH f AS (SELECT DISTINCT l_orderkey, l_suppkey, l_suppkey % 5 = 0 AS always, CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN [] ELSE [concat('g', CAST(l_suppkey % 3 AS VARCHAR))] END AS groups FROM lineitem)
@@ -153,8 +163,8 @@ _IMPORTED = "SELECT DISTINCT concat('p', CAST(l_partkey AS STRING)) AS class_nam
 
 @query(f"WITH u AS ({_UP_SQL}), i AS ({_IMPORTED.replace('STRING', 'VARCHAR')}) SELECT class_name, path, is_static, is_wildcard FROM i UNION SELECT child, path, is_static, is_wildcard FROM u JOIN i ON i.class_name = u.ancestor")
 def sym_imports(spark, sf_dir):
-    views.tables(spark, sf_dir, "lineitem", "orders")
-    return H.imports_of(spark.sql(_IMPORTED), spark.sql(_UP))
+    views.tables(spark, sf_dir, "lineitem")
+    return H.imports_of(spark.sql(_IMPORTED), _up(spark, sf_dir))
 
 
 # ---- endpoints
@@ -207,9 +217,8 @@ def ext_beans(spark, sf_dir):
 @query(f"""WITH u AS ({_UP_SQL}), a AS (SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS class_name, p_size % 3 AS pos, CASE WHEN p_size % 2 = 0 THEN 'PathVariable' ELSE 'RequestParam' END AS short_name, p_name AS annotation FROM part)
 SELECT child AS class_name, pos, short_name, arg_min(annotation, (depth, ancestor)) AS annotation FROM u JOIN a ON a.class_name = u.ancestor GROUP BY child, pos, short_name""")
 def ext_inherited_annotations(spark, sf_dir):
-    views.tables(spark, sf_dir, "lineitem", "orders")
     a = _t(spark, sf_dir, "part").select(_text("p", "p_partkey").alias("class_name"), F.lit("m()").alias("method_signature"), (F.col("p_size") % 3).alias("pos"), F.when(F.col("p_size") % 2 == 0, "PathVariable").otherwise("RequestParam").alias("short_name"), F.col("p_name").alias("annotation"))
-    return E.inherited_parameter_annotations(spark.sql(_UP), a).select("class_name", "pos", "short_name", "annotation")
+    return E.inherited_parameter_annotations(_up(spark, sf_dir), a).select("class_name", "pos", "short_name", "annotation")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE l_partkey % 3 WHEN 0 THEN 'Accept' ELSE 'ETag' END AS header FROM lineitem WHERE l_partkey % 3 < 2 AND l_orderkey % 2 = 0")

@@ -94,3 +94,21 @@ def test_rounds_over_classes_broadcast_nothing(spark, monkeypatch):
     steps = spark.createDataFrame([("A", "x", "B"), ("B", "y", "C")], "class_name string, path string, target string")
     assert E.mounts(steps, spark.createDataFrame([("A", "/a")], "class_name string, mount string")).count() == 3
     assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
+
+
+def _physical(d):
+    return d._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_ancestors_stream_past_the_facts_of_classes(spark):
+    up = spark.createDataFrame([("a", "a", 0), ("a", "P", 1), ("b", "P", 2), ("b", "Q", 1), ("a", None, 1)], "child string, ancestor string, depth int")
+    i = spark.createDataFrame([("P", "x", False, False), ("P", "y", True, False), ("P", "x", False, False), ("Q", "x", False, False), (None, "z", False, True)], "class_name string, path string, is_static boolean, is_wildcard boolean")
+    d = H.imports_of(i, up)
+    assert sorted((str(r["class_name"]), r["path"]) for r in d.collect()) == [("None", "z"), ("P", "x"), ("P", "y"), ("Q", "x"), ("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
+    # Imports open once they are dealt by the class that has them, not where ancestors meet.
+    plan = _physical(d)
+    assert "ShuffledHashJoin" in plan and plan.index("Generate explode(_i") < plan.index("ShuffledHashJoin")
+    m = spark.createDataFrame([("P", "m()", "BeforeEach"), ("Q", "m()", "BeforeEach")], "class_name string, method_signature string, annotation string")
+    d = H.fixtures(up, m, spark.createDataFrame([("BeforeEach", "setup")], "annotation string, phase string"))
+    assert sorted((r["child"], r["ancestor"], r["place"]) for r in d.collect()) == [("a", "P", 1), ("b", "Q", 1)]
+    assert "ShuffledHashJoin" in _physical(d)
