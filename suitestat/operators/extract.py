@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from suitestat.functions.lineage import cut
 from suitestat.functions.urls import join_paths, normalize_path, template_variables
+from suitestat.operators.graph import inherited
 
 #: Mapping annotations and their verbs (an empty verb: the annotation says).
 MAPPINGS = {
@@ -151,7 +152,7 @@ def inherited_parameter_annotations(ancestors: DataFrame, annotations: DataFrame
 
     annotations: class_name, method_signature, pos, short_name, annotation.
     """
-    a = ancestors.join(annotations.withColumnRenamed("class_name", "ancestor"), "ancestor")
+    a = inherited(ancestors, annotations)
     return a.groupBy(F.col("child").alias("class_name"), "method_signature", "pos", "short_name").agg(F.min_by("annotation", F.struct("depth", "ancestor")).alias("annotation"), F.min("depth").alias("depth"))
 
 

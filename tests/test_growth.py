@@ -112,3 +112,11 @@ def test_ancestors_stream_past_the_facts_of_classes(spark):
     d = H.fixtures(up, m, spark.createDataFrame([("BeforeEach", "setup")], "annotation string, phase string"))
     assert sorted((r["child"], r["ancestor"], r["place"]) for r in d.collect()) == [("a", "P", 1), ("b", "Q", 1)]
     assert "ShuffledHashJoin" in _physical(d)
+
+
+def test_annotations_meet_ancestors_unsorted(spark):
+    up = spark.createDataFrame([("a", "P", 1), ("b", "P", 2), ("b", "Q", 1)], "child string, ancestor string, depth int")
+    a = spark.createDataFrame([("P", "m()", 0, "RequestParam", "p"), ("Q", "m()", 0, "RequestParam", "q")], "class_name string, method_signature string, pos int, short_name string, annotation string")
+    d = E.inherited_parameter_annotations(up, a)
+    assert sorted((r["class_name"], r["annotation"]) for r in d.collect()) == [("a", "p"), ("b", "q")]
+    assert "ShuffledHashJoin" in _physical(d)
