@@ -9,6 +9,7 @@ from suitestat.operators import classification as K
 from suitestat.operators import coverage as C
 from suitestat.operators import extract as E
 from suitestat.operators import graph as H
+from suitestat.operators import parameters as P
 from suitestat.operators import resolution as R
 
 ENDPOINTS = "project_id int, endpoint_id int, http_method string, is_method_wildcard boolean, path_template string"
@@ -120,3 +121,21 @@ def test_annotations_meet_ancestors_unsorted(spark):
     d = E.inherited_parameter_annotations(up, a)
     assert sorted((r["class_name"], r["annotation"]) for r in d.collect()) == [("a", "p"), ("b", "q")]
     assert "ShuffledHashJoin" in _physical(d)
+
+
+def test_requests_stream_past_the_parameters_of_endpoints(spark):
+    p = spark.createDataFrame([(1, "a", "query", False), (1, "b", "query", False), (1, "B", "query", False), (1, "c", "header", True), (2, "a", "path", True)], "endpoint_id int, name string, source string, required boolean")
+    r = spark.createDataFrame([(1, 7, 1, ["a"], []), (1, 7, 1, ["B", "a"], ["c"]), (1, 7, 2, None, None), (2, 7, 3, [], []), (None, 7, 4, [], []), (3, 7, 5, ["a"], [])], "endpoint_id int, test_id int, request_id int, query_names array<string>, header_names array<string>")
+    r = r.withColumn("form_names", F.lit(None).cast("array<string>")).withColumn("has_body", F.lit(False))
+    used = P.exercised(r, p)
+    # A request that comes twice, with other names, is one; keys that differ in case only are one.
+    assert sorted((x["endpoint_id"], x["request_id"], x["key"]) for x in used.collect()) == [(1, 1, "header:c"), (1, 1, "query:a"), (1, 1, "query:b"), (2, 3, "path:a")]
+    plan = _physical(used)
+    assert "ShuffledHashJoin" in plan and "Aggregate" not in plan[: plan.index("ShuffledHashJoin")]
+    sets = P.optional_sets(r, used, p)
+    found = {(x["endpoint_id"], tuple(x["present"]), x["tests"]) for x in sets.collect()}
+    assert found == {(1, ("query:a", "query:b"), 1), (1, (), 1), (2, (), 1), (None, (), 1), (3, (), 1)}
+    assert [tuple(x) for x in P.one_way(sets, p).collect()] == [(1, 2, 2)]
+    assert [tuple(x) for x in P.two_way(sets, p).collect()] == [(1, 0, 2, 1)]
+    # A request's keys and the request meet by a grouping, not by a join.
+    assert len(re.findall("Join", _physical(sets))) == 2
