@@ -115,14 +115,30 @@ def nodes(texts: DataFrame, key: str, json: str, levels: int | None = None) -> D
 
 
 def missing_keys(texts: DataFrame, key: str, json: str, schema: StructType | None = None) -> DataFrame:
-    """SRC-04: (key, path) of schema fields that an object of a document doesn't have."""
+    """SRC-04: (key, path) of schema fields that an object of a document doesn't have.
+
+    An object is compared with the schema where it stands, by its own keys. Only what may
+    hold an object of the schema is followed: a level is written once, and the next one is
+    read from it. A null or broken text lacks every field of a document.
+    """
     schema = schema or project_schema()
-    n = nodes(texts, key, json)
-    objects = n.filter("is_object").select("key", F.col("instance").alias("parent"), F.col("path").alias("within")).unionByName(texts.select(F.col(key).alias("key"), F.lit("$").alias("parent"), F.lit("").alias("within")))
-    fields = texts.sparkSession.createDataFrame(declared(schema), "within string, name string")
-    need = objects.join(F.broadcast(fields), "within")  # the fields of a schema: a fixed list
-    have = n.filter("name is not null").select("key", "parent", "name")
-    gone = need.join(have, ["key", "parent", "name"], "left_anti")
+    fields: dict[str, list[str]] = {}
+    for within, name in declared(schema):
+        fields.setdefault(within, []).append(name)
+    wanted = F.create_map(*[x for within, names in fields.items() for x in (F.lit(within), F.array(*map(F.lit, names)))])
+    now, out = texts.select(F.col(key).alias("doc_key"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")), None
+    while True:
+        keys = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))  # null for what is no object
+        keys = F.coalesce(keys, F.array().cast("array<string>")) if out is None else keys
+        wrote = cut(now.select("doc_key", "path", F.array_except(F.element_at(wanted, F.col("path")), keys).alias("lacks"), "v"))
+        row = wrote.filter(F.size("lacks") > 0).select(F.col("doc_key").alias("key"), F.col("path").alias("within"), "lacks")
+        out = row if out is None else out.unionByName(row)
+        if wrote.isEmpty():
+            break
+        held = wrote.filter("v is not null").select("doc_key", "path", "v").lateralJoin(texts.sparkSession.tvf.variant_explode(F.col("v").outer()).alias("e"))
+        path = F.when(F.col("e.key").isNull(), F.col("path")).when(F.col("path") == "", F.col("e.key")).otherwise(F.concat_ws(".", "path", "e.key"))
+        now = held.select("doc_key", path.alias("path"), F.col("e.value").alias("v")).filter(F.col("path").isin(*fields))
+    gone = out.distinct().select("key", "within", F.explode("lacks").alias("name"))
     return gone.select("key", F.when(F.col("within") == "", F.col("name")).otherwise(F.concat_ws(".", "within", "name")).alias("path")).distinct()
 
 

@@ -11,6 +11,7 @@ from suitestat.operators import extract as E
 from suitestat.operators import graph as H
 from suitestat.operators import parameters as P
 from suitestat.operators import resolution as R
+from suitestat.sources import documents as D
 
 ENDPOINTS = "project_id int, endpoint_id int, http_method string, is_method_wildcard boolean, path_template string"
 
@@ -139,3 +140,12 @@ def test_requests_stream_past_the_parameters_of_endpoints(spark):
     assert [tuple(x) for x in P.two_way(sets, p).collect()] == [(1, 0, 2, 1)]
     # A request's keys and the request meet by a grouping, not by a join.
     assert len(re.findall("Join", _physical(sets))) == 2
+
+
+def test_missing_keys_without_a_row_for_each_field(spark):
+    schema = D.StructType.fromDDL("a int, s struct<b: int, t: array<struct<c: int, d: int>>>")
+    texts = ['{"a": null, "s": {"b": 1, "t": [{"c": 1}, {"d": 1}]}, "x": {"t": [{}]}}', '[{"a": 1}]', '{"a": 1, "s": 5}', "{broken", None, '{"a": 1, "s": [[{"b": 1}]]}']
+    d = D.missing_keys(spark.createDataFrame(list(enumerate(texts)), "k int, json string"), "k", "json", schema)
+    want = [(0, "s.t.c"), (0, "s.t.d"), (1, "a"), (1, "s"), (3, "a"), (3, "s"), (4, "a"), (4, "s"), (5, "s.t")]
+    assert sorted((r["key"], r["path"]) for r in d.collect()) == want
+    assert "Join" not in _physical(d)
