@@ -29,10 +29,14 @@ def read_text(spark: SparkSession, root: str, name: str = FILE_NAME) -> DataFram
 
 
 def parse(texts: DataFrame, schema: StructType | None = None, json: str = "json") -> DataFrame:
-    """SRC-02/03: texts with doc (the document) and error (null for the good ones)."""
+    """SRC-02/03: texts with doc (the document) and error (null for the good ones).
+
+    doc comes out of a generator, through which Spark pushes no filter, so a text is made
+    and parsed once and not again for each condition on doc.
+    """
     full = StructType([*(schema or project_schema()).fields]).add(CORRUPT, "string")
     doc = F.from_json(json, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    out = texts.withColumn("doc", doc)
+    out = texts.select(*[c for c in texts.columns if c != "doc"], F.explode_outer(F.array(doc)).alias("doc"))
     is_object = F.ltrim(F.col(json)).startswith("{")
     error = F.when(F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull(), "not valid JSON of the schema").when(~is_object, "not a JSON object")
     return out.withColumn("error", error)

@@ -149,3 +149,10 @@ def test_missing_keys_without_a_row_for_each_field(spark):
     want = [(0, "s.t.c"), (0, "s.t.d"), (1, "a"), (1, "s"), (3, "a"), (3, "s"), (4, "a"), (4, "s"), (5, "s.t")]
     assert sorted((r["key"], r["path"]) for r in d.collect()) == want
     assert "Join" not in _physical(d)
+
+
+def test_a_text_is_parsed_once(spark):
+    texts = spark.createDataFrame([(1, '{"dataset_name": "p"}'), (2, "[1]"), (3, None), (4, "{x")], "k int, json string")
+    d = D.good(D.parse(texts)).select("k", "doc.dataset_name")
+    assert [tuple(r) for r in d.collect()] == [(1, "p")]
+    assert _physical(d).count("from_json(") == 1
