@@ -4,8 +4,10 @@ Encoding is exact.  A token sequence is the merge result of its text if and only
 if every two neighbours are: merging the text of both alone gives those two back.
 So the encoder walks over the text by the longest vocabulary match (Aho-Corasick),
 asks for each step whether the new token is compatible with the one before by
-merging both again (the answers are kept), falls back to the next shorter match
-where it is not, and steps back where none is left.  The encoding of each prefix
+merging both again (the answers are kept, and so is the order in which each token
+alone is merged: both orders, one within the other, until a merge would join the
+two), falls back to the next shorter match where it is not, and steps back where
+none is left.  The encoding of each prefix
 is unique, so a position that failed once fails always: a bitfield keeps those.
 
 Texts are cut, before that, where no vocabulary piece can reach across: before a
@@ -74,6 +76,22 @@ def check_model(raw: bytes) -> None:
         raise ValueError("the model's normaliser changes more than spaces")
 
 
+class Units(dict):
+    """unit -> its ids as bytes; short ones are kept, and all are forgotten when there are too many."""
+
+    def __init__(self, codec: PieceCodec):
+        super().__init__()
+        self.encode = codec.encode_unit
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.encode(unit)
+        if len(unit) < 64:
+            if len(self) >= UNIT_CACHE:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class PieceCodec:
     """Vocabulary, exact encoder and decoder of one model file."""
 
@@ -92,8 +110,8 @@ class PieceCodec:
         self.ids = {self.pieces[i]: i for i in range(n) if i not in special}
         self.score = {self.pieces[i]: sp.get_score(i) for i in range(n) if i not in special}
         self.trie = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            self.trie.add_word(p, (len(p), i))
+        for p in self.ids:
+            self.trie.add_word(p, (len(p) - 1, p))
         self.trie.make_automaton()
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         self.alone = "\n" not in joined
@@ -109,8 +127,12 @@ class PieceCodec:
         self.high = np.zeros(n, bool)
         self.high[[i for i, b in self.byte_of.items() if b > 127]] = True
         self.silent = {i for i in range(n) if sp.is_control(i)}
+        # The next shorter match of each: a character stands for itself, in the vocabulary or not.
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 1, -1) if p[:k] in self.ids), p[0]) for p in self.ids if len(p) > 1}
+        self.raw = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.merges: dict[str, list[tuple[float, str, str]] | None] = {}
+        self.known = Units(self)
 
     # ---- encoding
 
@@ -129,76 +151,106 @@ class PieceCodec:
                 gain[i] = score.get(parts[i] + parts[i + 1], none)
         return parts
 
+    def order(self, token: str) -> list[tuple[float, str, str]] | None:
+        """The merges that make a token of its characters: the score of each, then the parts at both ends after it; None where they don't make it."""
+        parts, score, out = list(token), self.score, []
+        none = float("-inf")
+        while len(parts) > 1:
+            gain = [score.get(a + b, none) for a, b in zip(parts, parts[1:])]
+            best = max(gain)
+            if best == none:
+                return None
+            i = gain.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            out.append((best, parts[0], parts[-1]))
+        return out
+
     def compatible(self, left: str, right: str) -> bool:
+        """Whether merging the text of both gives both: whether merge(left + right) is [left, right]."""
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= PAIR_CACHE:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merge(left + right) == ([left, right] if left else [right])
+            found = self.pairs[key] = self.apart(left, right)
         return found
 
+    def apart(self, left: str, right: str) -> bool:
+        orders = []
+        for token in (left, right):
+            if token not in self.merges:
+                if len(self.merges) >= PAIR_CACHE:
+                    self.merges.clear()
+                self.merges[token] = self.order(token)
+            orders.append(self.merges[token])
+        one, two = orders
+        if one is None or two is None:
+            return False
+        if not left:
+            return True
+        none, score = float("-inf"), self.score
+        m, n, i, j, a, b = len(one), len(two), 0, 0, left[-1], right[0]
+        while True:
+            x = one[i][0] if i < m else none
+            y = two[j][0] if j < n else none
+            across = score.get(a + b, none)
+            if across > x and across >= y and across > none:
+                return False
+            if x >= y and i < m:
+                a = one[i][2]
+                i += 1
+            elif j < n:
+                b = two[j][1]
+                j += 1
+            else:
+                return True
+
     def split(self, text: str) -> list[str]:
         """The pieces of one unit by backtracking."""
-        n, pieces = len(text), self.pieces
-        starts: list[list[str]] = [[] for _ in range(n)]  # by length, the longest last
-        for end, (size, i) in self.trie.iter(text):
-            starts[end - size + 1].append(pieces[i])
-        for i, c in enumerate(text):
-            if not starts[i] or len(starts[i][0]) > 1:
-                starts[i].insert(0, c)  # a character that the vocabulary doesn't have
-        failed = bytearray((n >> 3) + 1)
+        n, pairs, shorter, compatible = len(text), self.pairs, self.shorter, self.compatible
+        longest = list(text)  # the longest match at each place; a character that the vocabulary doesn't have is one
+        for end, (back, p) in self.trie.iter(text):
+            longest[end - back] = p  # later ends are longer matches
+        failed = None
         out: list[str] = []
-        tried: list[int] = []
-        pos, k, last = 0, len(starts[0]) - 1, ""
+        pos, last, token = 0, "", longest[0] if n else None
         while pos < n:
-            here = starts[pos]
-            while k >= 0:
-                token = here[k]
+            while token is not None:
                 end = pos + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(last, token):
-                    break
-                k -= 1
-            if k >= 0:
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    fits = pairs.get((last, token))
+                    if compatible(last, token) if fits is None else fits:
+                        break
+                token = shorter.get(token)
+            if token is not None:
                 out.append(token)
-                tried.append(k)
                 pos, last = end, token
-                k = len(starts[pos]) - 1 if pos < n else 0
+                token = longest[pos] if pos < n else None
             else:
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise ValueError("no encoding: the vocabulary is not a merge vocabulary")
-                pos -= len(out.pop())
-                k = tried.pop() - 1
+                token = out.pop()
+                pos -= len(token)
+                token = shorter.get(token)
                 last = out[-1] if out else ""
         return out
 
     def encode_unit(self, text: str) -> bytes:
-        ids: list[int] = []
-        for p in self.split(text):
-            i = self.ids.get(p)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in p.encode())
-            else:
-                ids.append(self.unk)
-        return np.array(ids, "<u4").tobytes()
+        raw, pieces = self.raw, self.split(text)
+        try:
+            return b"".join([raw[p] for p in pieces])
+        except KeyError:  # a character that the vocabulary doesn't have
+            other = lambda p: b"".join([self.bytes[b].to_bytes(4, "little") for b in p.encode()]) if self.bytes else self.unk.to_bytes(4, "little")
+            return b"".join([raw.get(p) or other(p) for p in pieces])
 
     def encode(self, text: str | None, ends: bool = True) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers; null counts as empty."""
         parts = [np.array([self.bos], "<u4").tobytes()] if ends else []
         if text:
-            known = self.known
-            for unit in self.unit.findall(MARK + text.replace(" ", MARK)):
-                ids = known.get(unit)
-                if ids is None:
-                    ids = self.encode_unit(unit)
-                    if len(unit) < 64:
-                        if len(known) >= UNIT_CACHE:
-                            known.clear()
-                        known[unit] = ids
-                parts.append(ids)
+            parts.extend(map(self.known.__getitem__, self.unit.findall(MARK + text.replace(" ", MARK))))
         if ends:
             parts.append(np.array([self.eos], "<u4").tobytes())
         return b"".join(parts)

@@ -104,6 +104,19 @@ def test_encoding_is_the_librarys():
         assert c.decode(mine) == sp.decode(ids), t
 
 
+def test_neighbours_meet_by_stored_orders_of_merges(monkeypatch):
+    c, rng = sentencepiece_bpe.PieceCodec(sentencepiece_bpe.default_model()), random.Random(8)
+    pieces = list(c.ids)
+    near = [c.split(sentencepiece_bpe.MARK + "".join(rng.choices("aeinrstxé漢", k=12))) for _ in range(200)]
+    pairs = [p for parts in near for p in zip(parts, parts[1:])] + [(p[:k], p[k:]) for p in rng.choices(pieces, k=2000) for k in range(1, len(p))] + [(rng.choice(pieces), rng.choice(pieces)) for _ in range(2000)] + [("", p) for p in pieces[:500]]
+    want = [c.merge(left + right) == ([left, right] if left else [right]) for left, right in pairs]
+    assert {True, False} == set(want)
+    c.pairs.clear()
+    # The text of two is never merged anew.
+    monkeypatch.setattr(c, "merge", None)
+    assert [c.compatible(*p) for p in pairs] == want
+
+
 def test_encoding_query(spark, docs, odd, none):
     import sentencepiece
 
