@@ -62,6 +62,13 @@ def test_timelines_as_a_recursive_walk(spark):
         T.timeline(calls, calls, -1)
 
 
+def test_timelines_sort_without_interpreted_comparisons(spark):
+    from conftest import SMALL
+    from suitestat.plans.queries_calls import sym_timeline
+
+    assert "lambda" not in sym_timeline(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_steps_of_a_timeline(spark):
     kind = "root int, phase string, owner string, call_id int, path array<bigint>, request_role string, framework string, http_method string, http_path string, assertion_role string, counts boolean, status_code int"
     rows = [(1, "test", "m", 3, [1, 3], None, None, None, None, "status", True, 200), (1, "test", "m", 1, [1, 1], "builder", "okhttp", "UNKNOWN", "", None, None, None), (1, "test", "m", 2, [1, 1, 5], "event", "okhttp", "GET", "/a", "status", True, 404), (1, "test", "m", 4, [1, 4], None, None, None, None, "general", True, None), (1, "test", "m", 5, [1, 5], None, None, None, None, "body", False, None), (1, "test", "m", 6, [1, 6], None, None, None, None, None, None, None)]
