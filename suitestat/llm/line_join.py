@@ -164,24 +164,6 @@ def block_sets(texts: list[str | None], weight: np.ndarray) -> Iterator[tuple]:
         yield held, doc, line[start] - head[doc], token, start, np.diff(np.append(start, len(line)))
 
 
-def line_rows(docs: DataFrame, text: str, key: str, counts: np.ndarray) -> DataFrame:
-    """A row for each line that has a word: k, pos (line number), d1, d2 (digest of the token set)."""
-    import pyarrow as pa
-
-    weight = rarity(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for held, doc, pos, token, start, _ in block_sets(batch.column(1).to_pylist(), weight):
-                d1, d2 = digests(token, start)
-                k = batch.column(0).take(pa.array(np.array(held)[doc]))
-                yield pa.RecordBatch.from_arrays([k, pa.array(pos.astype(np.int32)), pa.array(d1), pa.array(d2)], names=["k", "pos", "d1", "d2"])
-        release()
-
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, "k long, pos int, d1 long, d2 long")
-
-
 def size_class(n: np.ndarray, threshold: float) -> np.ndarray:
     """Whole steps of the logarithm of a set's size, at most 255: similar sets are no more than STEPS + 1 apart."""
     return np.minimum(np.floor(STEPS * np.log(n) / -np.log(threshold)), 255).astype(np.int64)
@@ -210,23 +192,23 @@ def able(a: np.ndarray, b: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (near & fits) | ((a >> 4) == 255) | ((b >> 4) == 255)
 
 
-def memberships(docs: DataFrame, text: str, key: str, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(token, d1): the sets under each prefix token that another set there may be similar to.
+def line_rows(docs: DataFrame, text: str, key: str, counts: np.ndarray, threshold: float) -> DataFrame:
+    """A row for each line that has a word: k, pos (line number), d1, d2 (digest of the token set), index.
 
-    The index has a row for each set and prefix token (once in a task, so that a line
-    that stands a thousand times is one set).  A token's row carries 52 bits of the
-    token, the size class and the place class.  Of a token with more than HELD sets all stay.
+    The index of a set has a number for each prefix token, which stands with its first
+    line (once in a task, so that a line that stands a thousand times is one set): 52
+    bits of the token, the size class and the place class.
     """
     import pyarrow as pa
 
-    weight, cells = rarity(counts), able_cells(threshold)
+    weight = rarity(counts)
     low = np.uint64(0xFFF)
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, _, token, start, n in block_sets(batch.column(0).to_pylist(), weight):
-                d1 = digests(token, start)[0]
+            for held, doc, pos, token, start, n in block_sets(batch.column(1).to_pylist(), weight):
+                d1, d2 = digests(token, start)
                 on = np.zeros(len(d1), bool)
                 for i, d in enumerate(d1.tolist()):
                     if d not in seen:
@@ -235,15 +217,28 @@ def memberships(docs: DataFrame, text: str, key: str, counts: np.ndarray, thresh
                 if len(seen) > 200_000:
                     seen.clear()
                 take = np.where(on, prefix_length(n, threshold), 0)
-                if not take.sum():
-                    continue
                 place = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
                 size = np.repeat(n, take)
                 bits = size_class(size, threshold) << 4 | place_class(place, size, threshold)
                 index = (token[np.repeat(start, take) + place] & ~low) | bits.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(index.view(np.int64)), pa.array(np.repeat(d1, take))], names=["key", "d1"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32))
+                k = batch.column(0).take(pa.array(np.array(held)[doc]))
+                yield pa.RecordBatch.from_arrays([k, pa.array(pos.astype(np.int32)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, pa.array(index.view(np.int64)))], names=["k", "pos", "d1", "d2", "index"])
         release()
 
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, "k long, pos int, d1 long, d2 long, index array<long>")
+
+
+def memberships(lines: DataFrame, threshold: float) -> DataFrame:
+    """(token, d1): the sets under each prefix token that another set there may be similar to; lines: see line_rows().
+
+    Of a token with more than HELD sets all stay.
+    """
+    import pyarrow as pa
+
+    cells = able_cells(threshold)
+
     def kept(key: np.ndarray) -> np.ndarray:
         """Of whole groups in order, the rows that have an able partner."""
         token = key >> 12
@@ -293,8 +288,8 @@ def memberships(docs: DataFrame, text: str, key: str, counts: np.ndarray, thresh
             on = kept(key)
             yield out(key[on], d1[on])
 
-    index = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(unfold, "key long, d1 long")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = lines.select(F.explode("index").alias("key"), "d1")
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = index.repartition(n, F.shiftright("key", 12)).sortWithinPartitions("key", "d1")
     return dealt.mapInArrow(under, "token long, d1 long")
 
@@ -310,6 +305,12 @@ def groups_of(members: DataFrame) -> DataFrame:
 _SET = "id long, a int, b int, part int, d1 long, d2 long, k long, pos int, groups binary, tokens binary"
 
 
+def lines_at(text: str | None, places: list[int]) -> str:
+    """The lines of a text at these places, which rise; a place beyond its end has none."""
+    lines = (text or "").split("\n")
+    return "\n".join([lines[p] for p in places if p < len(lines)])
+
+
 def set_rows(docs: DataFrame, text: str, key: str, wanted: DataFrame, counts: np.ndarray) -> DataFrame:
     """The sets that wanted (d1, d2, k, pos, groups) names by a line that has them, with their tokens: a row for each of a set's groups.
 
@@ -333,12 +334,14 @@ def set_rows(docs: DataFrame, text: str, key: str, wanted: DataFrame, counts: np
         for batch in batches:
             texts, keys, asked = (c.to_pylist() for c in batch.columns)
             by = [{r["pos"]: r for r in a} for a in asked]
-            for held, doc, pos, token, start, n in block_sets(texts, weight):
+            places = [sorted(a) for a in by]
+            for held, doc, pos, token, start, n in block_sets([lines_at(t, p) for t, p in zip(texts, places, strict=True)], weight):
                 d1, d2 = digests(token, start)
                 for j, (d, p, e1, e2) in enumerate(zip(doc.tolist(), pos.tolist(), d1.tolist(), d2.tolist(), strict=True)):
-                    r = by[held[d]].get(p)
+                    p = places[held[d]][p]
+                    r = by[held[d]][p]
                     # Rows that share a key may hold other texts: only the set that was asked for counts.
-                    if r is None or r["d1"] != e1 or r["d2"] != e2:
+                    if r["d1"] != e1 or r["d2"] != e2:
                         continue
                     raw, ids = token[start[j] : start[j] + n[j]].tobytes(), np.array([g["id"] for g in r["groups"]], np.int64).tobytes()
                     for g in r["groups"]:
@@ -394,14 +397,21 @@ class Met:
 
     def overlaps(self, key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, shared keys) of the pairs i < j of rows of small groups that share one."""
-        order = np.lexsort((owner, key, self.turn[owner]))
-        key, owner, turn = key[order], owner[order], self.turn[owner[order]]
+        # One key for group and token, mixed one to one within a group; where those of two groups meet, the exact order.
+        turn, key = self.turn[owner], key.view(np.uint64)
+        mixed = mix64(key + turn.astype(np.uint64) * GOLDEN)
+        order = np.argsort(mixed)
+        mixed, ordered = mixed[order], turn[order]
+        if ((mixed[1:] == mixed[:-1]) & (ordered[1:] != ordered[:-1])).any():
+            order = np.lexsort((owner, key, turn))
+        key, owner, turn = key[order], owner[order], turn[order]
         pairs = []
         for lag in range(1, SMALL):
             on = (key[lag:] == key[:-lag]) & (turn[lag:] == turn[:-lag])
             if not on.any():
                 break
-            pairs.append(owner[:-lag][on] * len(self.k) + owner[lag:][on])
+            one, two = owner[:-lag][on], owner[lag:][on]
+            pairs.append(np.minimum(one, two) * len(self.k) + np.maximum(one, two))
         if not pairs:
             return owner[:0], owner[:0], owner[:0]
         pair, times = np.unique(np.concatenate(pairs), return_counts=True)
@@ -517,9 +527,9 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thre
     if not 0 < threshold < 1:
         raise ValueError("threshold must be above 0 and below 1")
     counts = word_counts(docs, text)
-    lines = materialize(line_rows(docs, text, key, counts), "lines")
+    lines = materialize(line_rows(docs, text, key, counts, threshold), "lines")
     firsts = materialize(lines.groupBy("d1", "d2").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("copies")), "line-sets")
-    members = materialize(memberships(docs, text, key, counts, threshold), "line-members")
+    members = materialize(memberships(lines, threshold), "line-members")
     groups = materialize(groups_of(members), "line-groups")
     wanted = materialize(firsts.join(groups.hint("merge"), "d1").select("d1", "d2", "first.k", "first.pos", "groups"), "line-wanted")
     discard(members, groups)

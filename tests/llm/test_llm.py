@@ -248,6 +248,13 @@ def test_lines_by_hand(spark, odd, none):
     assert line_join.dedup_lines(odd).count() == odd.count() and line_join.dedup_lines(none).count() == 0
 
 
+def test_lines_and_index_come_from_one_reading(spark, docs):
+    lines = line_join.line_rows(docs, "text", "doc_id", np.zeros(line_join.COUNTERS, np.int64), 0.8)
+    assert lines.columns == ["k", "pos", "d1", "d2", "index"]
+    assert line_join.memberships(lines.limit(0), 0.8).count() == 0
+    assert line_join.lines_at("a\nb\n\nd", [0, 2, 3, 9]) == "a\n\nd" and line_join.lines_at(None, [1]) == ""
+
+
 def test_lines_in_small_parts(spark, docs, monkeypatch):
     rows = lambda: sorted((r["k"], r["n_lines"], r["n_links"], r["removed"]) for r in line_join.removed_lines(docs).collect())
     whole = rows()
