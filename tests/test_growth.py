@@ -156,3 +156,38 @@ def test_a_text_is_parsed_once(spark):
     d = D.good(D.parse(texts)).select("k", "doc.dataset_name")
     assert [tuple(r) for r in d.collect()] == [(1, "p")]
     assert _physical(d).count("from_json(") == 1
+
+
+def _shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_helpers_of_a_root_are_not_shuffled(spark, monkeypatch):
+    draw = random.Random(7)
+    edges = [(10**6 + m, draw.randrange(10**7, 10**9)) for m in range(100) for _ in range(100)] + [(r, 10**6 + m) for r in range(4000) for m in draw.sample(range(100), 5)]
+    below = {}
+    for owner, callee in edges:
+        below.setdefault(owner, set()).add(callee)
+    want = {r: len(mine.union(*(below.get(m, ()) for m in mine))) for r, mine in below.items() if r < 4000}
+    calls = spark.createDataFrame(edges, "owner long, callee long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = _shuffled(spark)
+    got = {r["root"]: r["helpers"] for r in H.helper_counts(calls, calls.filter("owner < 4000").select(F.col("owner").alias("root"))).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == want
+    # 4000 roots by 5 sets of 100 would be 16 MB.
+    assert _shuffled(spark) - before < 2 << 20
+    # Several groups, slices of them, and chunks of roots; keys of any type; a null calls nothing and is no helper.
+    monkeypatch.setattr(H, "GROUP_CALLS", 10)
+    monkeypatch.setattr(H, "GROUPS_AT_ONCE", 3)
+    monkeypatch.setattr(H, "PAIRS_AT_ONCE", 20)
+    few = [(f"m{draw.randrange(30)}", f"m{draw.randrange(25)}") for _ in range(70)] + [("m1", "m1"), ("n", None), (None, "m2")]
+    calls = spark.createDataFrame(few, "owner string, callee string")
+    for depth in (0, 1, 3):
+        want = {r["root"]: r["helpers"] for r in H.distinct_helpers(H.expand(calls, calls.select(F.col("owner").alias("root")).distinct(), depth)).collect()}
+        assert {r["root"]: r["helpers"] for r in H.helper_counts(calls, max_depth=depth).collect()} == want
