@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from suitestat.functions.lineage import cut
+from suitestat.operators.ancestry import Group, gathered, groups
 
+if TYPE_CHECKING:
+    import pyarrow as pa
 
-def _climb(front: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(child, ancestor, depth, path): what front (child, ancestor, path) reaches over edges (class_name, parent, place), each ancestor once.
 
-    A round is a level.  Places lengthen the path, so that paths of one level sort as a
-    queue would visit them; of several the least stays, and what an earlier level reached isn't
-    visited again.
-    """
-    e = edges.select(F.col("class_name").alias("ancestor"), F.col("parent"), F.col("place").cast("long").alias("place"))
-    now = cut(front.groupBy("child", "ancestor").agg(F.min("path").alias("path")).withColumn("depth", F.lit(0)))
-    out = now
-    for depth in range(1, rounds + 1):
-        up = now.join(e, "ancestor").select("child", F.col("parent").alias("ancestor"), F.concat("path", F.array("place")).alias("path"))
-        up = up.groupBy("child", "ancestor").agg(F.min("path").alias("path")).join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
-        now = cut(up.withColumn("depth", F.lit(depth)))
-        if now.isEmpty():
-            return out
-        out = out.unionByName(now)
-    raise RuntimeError(f"the hierarchy did not settle in {rounds} rounds")
+def _edges(edges: DataFrame) -> DataFrame:
+    """Edges with both ends, of one type, and a place."""
+    kind = edges.select("class_name").unionAll(edges.select("parent")).schema[0].dataType
+    ends = [F.col(c).cast(kind).alias(c) for c in ("class_name", "parent")]
+    return edges.filter("parent is not null and class_name is not null").select(*ends, "kind", F.coalesce(F.col("place"), F.lit(0)).cast("long").alias("place"))
 
 
 def resolution_order(edges: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -37,25 +31,26 @@ def resolution_order(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     followed by its own superclasses; interfaces of all these follow level by level, in
     the order of their owners.  An ancestor counts where it is met first.  relation:
     class, super (superclasses and enclosing classes) or interface.  Null parents and
-    edges that repeat don't count; cycles end; a class without edges has no row.
+    edges that repeat don't count; cycles end; a class without edges has no row.  What
+    stands above a group of classes comes to one task, which orders it for each of them:
+    no pair of class and ancestor is shuffled.
     """
-    e = edges.filter("parent is not null and class_name is not null").select("class_name", "parent", "kind", F.coalesce(F.col("place"), F.lit(0)).cast("long").alias("place")).distinct()
-    of = lambda kind: e.filter(F.col("kind") == kind)
+    e = _edges(edges)
     classes = e.select(F.col("class_name").alias("child")).unionByName(e.select(F.col("parent").alias("child"))).distinct()
-    own = classes.select("child", F.col("child").alias("ancestor"), F.array().cast("array<bigint>").alias("path"))
-    supers = _climb(own, of("extends"), rounds)
-    around = _climb(own, of("encloses"), rounds).filter("depth > 0").select("child", F.col("ancestor").alias("outer"), F.col("depth").alias("ring"))
-    num = lambda c: F.array(c.cast("long") if not isinstance(c, int) else F.lit(c).cast("long"))
-    # The key of each meeting: section, ring of the enclosing class, level, places.
-    first = supers.select("child", "ancestor", F.when(F.col("depth") == 0, num(0)).otherwise(F.concat(num(1), num(0), num(F.col("depth")), "path")).alias("key"))
-    nested = around.join(supers.withColumnRenamed("child", "outer"), "outer").select("child", "ancestor", F.concat(num(2), num(F.col("ring")), num(F.col("depth")), "path").alias("key"))
-    held = cut(first.unionByName(nested).groupBy("child", "ancestor").agg(F.min("key").alias("key")))
-    faces = held.join(of("implements").withColumnRenamed("class_name", "ancestor"), "ancestor").select("child", F.col("parent").alias("ancestor"), F.concat("key", num(F.col("place"))).alias("path"))
-    known = _climb(faces, of("extends"), rounds).select("child", "ancestor", F.concat(num(3), num(F.col("depth")), "path").alias("key"))
-    both = held.unionByName(known).groupBy("child", "ancestor").agg(F.min("key").alias("key"))
-    position = (F.row_number().over(Window.partitionBy("child").orderBy("key", "ancestor")) - 1).cast("long")
-    section = F.get("key", 0)
-    return both.select("child", "ancestor", position.alias("position"), F.when(section == 0, "class").when(section < 3, "super").otherwise("interface").alias("relation"))
+    kind = e.schema["class_name"].dataType
+    schema = StructType().add("child", kind).add("ancestor", kind).add("position", "long").add("relation", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        relations = pa.array(["class", "super", "super", "interface"])
+        for rows in groups(batches):
+            group = Group(rows)
+            for at, (kid, ancestor, position, section) in group.orders():
+                names = [group.names.take(pa.array(x)) for x in (group.node[at][kid], ancestor)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(position), relations.take(pa.array(section))], names=schema.names)
+
+    return gathered(classes, e, rounds=rounds).mapInArrow(run, schema)
 
 
 def callees(calls: DataFrame, order: DataFrame, methods: DataFrame, valid: DataFrame | None = None) -> DataFrame:

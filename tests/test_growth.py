@@ -191,3 +191,13 @@ def test_helpers_of_a_root_are_not_shuffled(spark, monkeypatch):
     for depth in (0, 1, 3):
         want = {r["root"]: r["helpers"] for r in H.distinct_helpers(H.expand(calls, calls.select(F.col("owner").alias("root")).distinct(), depth)).collect()}
         assert {r["root"]: r["helpers"] for r in H.helper_counts(calls, max_depth=depth).collect()} == want
+
+
+def test_pairs_of_class_and_ancestor_are_not_shuffled(spark):
+    faces, kinds = 60, "class_name string, parent string, kind string, place int"
+    edges = [(f"C{i}", f"B{i % 10}", "extends", 0) for i in range(3000)] + [(f"B{b}", f"I{b}x{f}", "implements", f) for b in range(10) for f in range(faces)]
+    edges = spark.createDataFrame(edges, kinds)
+    before = _shuffled(spark)
+    order = R.resolution_order(edges)
+    assert order.count() == 3000 * (2 + faces) + 10 * (1 + faces) + 10 * faces
+    assert _shuffled(spark) - before < 1 << 20

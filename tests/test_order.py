@@ -147,6 +147,20 @@ def test_resolution_order_as_queues_visit(spark):
     assert R.resolution_order(spark.createDataFrame([], "class_name string, parent string, kind string, place int")).count() == 0
 
 
+def test_resolution_order_in_several_groups(spark, monkeypatch):
+    from suitestat.operators import ancestry
+
+    monkeypatch.setattr(ancestry, "GROUP_ROWS", 20)
+    test_resolution_order_as_queues_visit(spark)
+    # Names of another type; a kind that isn't known; a cycle of all kinds.
+    edges = spark.createDataFrame([(1, 2, "extends", None), (2, 3, "implements", 1), (3, 1, "extends", 0), (1, 1, "encloses", 0), (4, 5, "other", 0), (None, 1, "extends", 0)], "class_name int, parent long, kind string, place int")
+    got = sorted(tuple(r) for r in R.resolution_order(edges).collect())
+    assert got == [(1, 1, 0, "class"), (1, 2, 1, "super"), (1, 3, 2, "interface"), (2, 1, 2, "interface"), (2, 2, 0, "class"), (2, 3, 1, "interface"), (3, 1, 1, "super"), (3, 2, 2, "super"), (3, 3, 0, "class"), (4, 4, 0, "class"), (5, 5, 0, "class")]
+    monkeypatch.setattr(ancestry, "GROUP_ROWS", 1)
+    with pytest.raises(RuntimeError):
+        R.resolution_order(spark.createDataFrame([(i, i + 1, "extends", 0) for i in range(20)], "class_name int, parent int, kind string, place int"), rounds=2)
+
+
 def test_callees_along_the_order(spark):
     order = R.resolution_order(spark.createDataFrame([("C", "B", "extends", 0), ("B", "A", "extends", 0), ("C", "I", "implements", 0)], "class_name string, parent string, kind string, place int"))
     methods = spark.createDataFrame([("A", "m()", True), ("B", "m()", False), ("C", "own()", True), ("A", "own()", True), ("I", "d()", True), ("Z", "z()", True)], "class_name string, method_signature string, has_code boolean")
