@@ -223,3 +223,44 @@ class Group:
             yield rows, found
             lo += len(rows)
             step = max(1, min(4 * step, _CLASSES_AT_ONCE, PAIRS_AT_ONCE * len(rows) // max(1, len(found[0]))))
+
+
+class Answers(Group):
+    """A group whose classes have methods (has) and are asked for some (asked)."""
+
+    def __init__(self, rows: pa.Table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        super().__init__(rows)
+        has, asked = (rows.column(c).combine_chunks() for c in ("has", "asked"))
+        self.signatures = pc.unique(asked.flatten())
+        kind = lambda x: pc.index_in(x, value_set=self.signatures).fill_null(-1).to_numpy().astype(np.int64)
+        many = lambda x: x.value_lengths().fill_null(0).to_numpy()
+        # What nobody in the group asks for isn't looked through.
+        at, methods = np.repeat(self.node, many(has)), kind(has.flatten())
+        self.has = Lists(at[methods >= 0], self.size, methods[methods >= 0])
+        self.asked = Lists(np.repeat(np.arange(len(rows)), many(asked)), len(rows), kind(asked.flatten()))
+
+    def answers(self) -> Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]:
+        """(child, signature, first, above): of what each class asks for, the first ancestor that has it, and the first after the class itself, as ids of names and signatures."""
+        import numpy as np
+        import pyarrow as pa
+
+        n = max(1, len(self.signatures))
+        for rows, (kid, ancestor, position, _) in self.orders():
+            at, (wanted,) = self.asked.open(rows)
+            wanted = np.sort(at * n + wanted)
+            at, (method,) = self.has.open(ancestor)
+            pair, rank = kid[at] * n + method, position[at]
+            mine = among(pair, wanted)
+            # The place in the order says the ancestor.
+            begins = np.searchsorted(kid, np.arange(len(rows)))
+            first, place = least(pair[mine], rank[mine])
+            later, next_ = least(pair[mine & (rank > 0)], rank[mine & (rank > 0)])
+            found = ancestor[begins[first // n] + place]
+            above, none = np.zeros(len(first), np.int64), np.ones(len(first), bool)
+            where = np.searchsorted(first, later)
+            above[where], none[where] = ancestor[begins[later // n] + next_], False
+            yield pa.array(self.node[rows][first // n]), pa.array(first % n), pa.array(found), pa.array(above, mask=none)

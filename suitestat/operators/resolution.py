@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from suitestat.operators.ancestry import Group, gathered, groups
+from suitestat.operators.ancestry import Answers, Group, gathered, groups
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -53,6 +53,34 @@ def resolution_order(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return gathered(classes, e, rounds=rounds).mapInArrow(run, schema)
 
 
+def _asking(calls: DataFrame) -> DataFrame:
+    """calls with the class that each one asks (_child), whether it skips that class (_up) and whether its receiver names it (_typed)."""
+    typed = F.coalesce(F.trim("receiver_type"), F.lit("")) != ""
+    up = ~typed & (F.coalesce(F.trim("receiver_expr"), F.lit("")) == "super")
+    return calls.withColumns({"_child": F.when(typed, F.trim("receiver_type")).otherwise(F.col("owner")), "_up": up, "_typed": typed})
+
+
+def _able(methods: DataFrame, valid: DataFrame | None) -> DataFrame:
+    """(ancestor, callee_signature) of methods with a body, of valid classes."""
+    m = methods.filter("has_code").select(F.col("class_name").alias("ancestor"), F.col("method_signature").alias("callee_signature")).distinct()
+    return m if valid is None else m.join(valid.select(F.col("class_name").alias("ancestor")).distinct(), "ancestor", "left_semi")
+
+
+def _aimed(calls: DataFrame, first: DataFrame, valid: DataFrame | None) -> DataFrame:
+    """calls with target, by first: child, callee_signature, _first (the first class that answers) and _above (the first one other than child)."""
+    c = _asking(calls)
+    # A call without a class or signature meets nothing; a number of its own keeps such calls from one task.
+    c = c.withColumn("_salt", F.when(F.col("_child").isNull() | F.col("callee_signature").isNull(), F.xxhash64("call_id")).otherwise(F.lit(0).cast("long")))
+    f = first.select(F.col("child").alias("_child"), "callee_signature", F.lit(0).cast("long").alias("_salt"), "_first", "_above")
+    c = c.join(f, ["_child", "callee_signature", "_salt"], "left")
+    target = F.when(F.col("_up"), F.col("_above")).otherwise(F.col("_first"))
+    if valid is not None:
+        ok = valid.select(F.col("class_name").alias("_child"), F.lit(True).alias("_ok")).distinct()
+        c = c.join(ok, "_child", "left")
+        target = F.when(~F.col("_typed") | F.col("_ok"), target)
+    return c.select("call_id", *[x for x in calls.columns if x != "call_id"], target.alias("target"))
+
+
 def callees(calls: DataFrame, order: DataFrame, methods: DataFrame, valid: DataFrame | None = None) -> DataFrame:
     """SYM-35/37: calls with target: the first class in the resolution order that has the called method with a body.
 
@@ -61,22 +89,33 @@ def callees(calls: DataFrame, order: DataFrame, methods: DataFrame, valid: DataF
     has_code.  super.m() skips the class itself.  valid: class_name of the classes that
     may answer; a call on a receiver that isn't valid has no target.
     """
-    m = methods.filter("has_code").select(F.col("class_name").alias("ancestor"), F.col("method_signature").alias("callee_signature")).distinct()
-    typed = F.coalesce(F.trim("receiver_type"), F.lit("")) != ""
-    c = calls.select("call_id", "callee_signature", F.when(typed, F.trim("receiver_type")).otherwise(F.col("owner")).alias("child"), (~typed & (F.coalesce(F.trim("receiver_expr"), F.lit("")) == "super")).alias("_up"), typed.alias("_typed"))
-    asked = c.select("child", "callee_signature").distinct()
+    asked = _asking(calls).select(F.col("_child").alias("child"), "callee_signature").distinct()
     own = asked.select("child").distinct().select("child", F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("position"))
     # The least position of an ancestor is kept by the minimum below, so own needs no distinct.
     o = order.select("child", "ancestor", "position").join(asked.select("child").distinct(), "child", "left_semi").unionByName(own)
-    if valid is not None:
-        ok = valid.select(F.col("class_name").alias("ancestor")).distinct()
-        o, refused = o.join(ok, "ancestor", "left_semi"), c.filter("_typed").select("child").distinct().join(ok, F.col("child") == F.col("ancestor"), "left_anti")
-        c = c.join(refused.withColumn("_no", F.lit(True)), "child", "left").filter(~(F.coalesce("_no", F.lit(False)) & F.col("_typed"))).drop("_no")
     # Classes meet methods through their ancestors, never calls through a signature that many classes have.
-    seen = o.join(m, "ancestor").join(asked, ["child", "callee_signature"], "left_semi")
+    seen = o.join(_able(methods, valid), "ancestor").join(asked, ["child", "callee_signature"], "left_semi")
     first = seen.groupBy("child", "callee_signature").agg(F.min_by("ancestor", "position").alias("_first"), F.min_by("ancestor", F.when(F.col("position") > 0, F.col("position"))).alias("_above"))
-    best = c.join(first, ["child", "callee_signature"]).select("call_id", F.when(F.col("_up"), F.col("_above")).otherwise(F.col("_first")).alias("target")).filter("target is not null")
-    return calls.join(best, "call_id", "left")
+    return _aimed(calls, first, valid)
+
+
+def callees_above(calls: DataFrame, edges: DataFrame, methods: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """callees() along resolution_order(edges), without the rows of that order: classes and their methods come to the groups of the classes that calls ask."""
+    e = _edges(edges)
+    kind = e.schema["class_name"].dataType
+    asked = _asking(calls).select(F.col("_child").cast(kind).alias("child"), F.col("callee_signature").alias("asks")).filter("asks is not null").distinct()
+    has = _able(methods, valid).groupBy(F.col("ancestor").cast(kind).alias("node")).agg(F.collect_set("callee_signature").alias("has"))
+    schema = StructType().add("child", kind).add("callee_signature", asked.schema["asks"].dataType).add("_first", kind).add("_above", kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for rows in groups(batches):
+            group = Answers(rows)
+            for child, signature, first, above in group.answers():
+                yield pa.RecordBatch.from_arrays([group.names.take(child), group.signatures.take(signature), group.names.take(first), group.names.take(above)], names=schema.names)
+
+    return _aimed(calls, gathered(asked, e, has).mapInArrow(run, schema), valid)
 
 
 def callee_details(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:

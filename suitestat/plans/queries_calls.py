@@ -196,24 +196,25 @@ b AS (SELECT child, ancestor, min(key) AS key FROM (SELECT * FROM h UNION ALL SE
 o AS (SELECT child, ancestor, row_number() OVER (PARTITION BY child ORDER BY key, ancestor) - 1 AS position, CASE WHEN key[1] = 0 THEN 'class' WHEN key[1] < 3 THEN 'super' ELSE 'interface' END AS relation FROM b)"""
 
 
-def _order(spark, sf_dir):
-    from suitestat.operators.resolution import resolution_order
+def _hierarchy(spark, sf_dir):
     from suitestat.plans import views
 
     views.tables(spark, sf_dir, "part")
-    return resolution_order(spark.sql(_HIERARCHY))
+    return spark.sql(_HIERARCHY)
 
 
 @query(f"WITH RECURSIVE {_ORDER_SQL} SELECT child, ancestor, position, relation FROM o")
 def sym_resolution_order(spark, sf_dir):
-    return _order(spark, sf_dir)
+    from suitestat.operators.resolution import resolution_order
+
+    return resolution_order(_hierarchy(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_ORDER_SQL}, c AS (SELECT DISTINCT l_partkey, l_suppkey, concat('c', CAST(l_partkey AS VARCHAR)) AS child, concat('m', CAST(l_suppkey % 9 AS VARCHAR)) AS sig, l_suppkey % 4 = 0 AS up FROM lineitem),
 m AS (SELECT concat(CASE p_size % 2 WHEN 0 THEN 'c' ELSE 'i' END, CAST(p_partkey AS VARCHAR)) AS ancestor, concat('m', CAST(p_size % 9 AS VARCHAR)) AS sig FROM part WHERE p_partkey % 5 > 0)
 SELECT c.l_partkey, c.l_suppkey, min_by(o.ancestor, o.position) FILTER (m.sig IS NOT NULL AND (NOT up OR position > 0)) AS target FROM c JOIN o ON o.child = c.child LEFT JOIN m ON m.ancestor = o.ancestor AND m.sig = c.sig GROUP BY c.l_partkey, c.l_suppkey""")
 def sym_callees(spark, sf_dir):
-    from suitestat.operators.resolution import callees
+    from suitestat.operators.resolution import callees_above
 
     name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
     lines = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
@@ -222,7 +223,7 @@ def sym_callees(spark, sf_dir):
     calls = lines.select("l_partkey", "l_suppkey", F.struct("l_partkey", "l_suppkey").alias("call_id"), own.alias("owner"), F.when(~up & (F.col("l_suppkey") % 3 > 0), own).alias("receiver_type"), F.when(up, "super").otherwise("").alias("receiver_expr"), name("m", F.col("l_suppkey") % 9).alias("callee_signature"))
     p = _t(spark, sf_dir, "part")
     methods = p.select(F.when(F.col("p_size") % 2 == 0, name("c", F.col("p_partkey"))).otherwise(name("i", F.col("p_partkey"))).alias("class_name"), name("m", F.col("p_size") % 9).alias("method_signature"), (F.col("p_partkey") % 5 > 0).alias("has_code"))
-    return callees(calls, _order(spark, sf_dir), methods).select("l_partkey", "l_suppkey", "target")
+    return callees_above(calls, _hierarchy(spark, sf_dir), methods).select("l_partkey", "l_suppkey", "target")
 
 
 _IMPORTS = """SELECT concat('c', CAST(l_orderkey AS STRING)) AS class_name, CASE l_linenumber % 3 WHEN 0 THEN concat('p', CAST(l_partkey % 40 AS STRING)) WHEN 1 THEN concat('q.X.', CASE WHEN l_suppkey % 5 = 0 THEN 'RUN' ELSE 'run' END, CAST(l_suppkey % 4 AS STRING)) ELSE 'lib.Util' END AS path, l_linenumber % 7 <> 6 AS is_static, l_linenumber % 3 <> 1 AS is_wildcard FROM lineitem"""

@@ -201,3 +201,9 @@ def test_pairs_of_class_and_ancestor_are_not_shuffled(spark):
     order = R.resolution_order(edges)
     assert order.count() == 3000 * (2 + faces) + 10 * (1 + faces) + 10 * faces
     assert _shuffled(spark) - before < 1 << 20
+    methods = spark.createDataFrame([(f"I{b}x{f}", f"m{f % 7}", f >= 7) for b in range(10) for f in range(faces)], "class_name string, method_signature string, has_code boolean")
+    calls = spark.createDataFrame([(i, f"C{i}", None, "", f"m{i % 8}") for i in range(3000)], "call_id int, owner string, receiver_type string, receiver_expr string, callee_signature string")
+    before = _shuffled(spark)
+    got = {r["call_id"]: r["target"] for r in R.callees_above(calls, edges, methods).collect()}
+    assert got == {i: f"I{i % 10}x{7 + i % 8}" if i % 8 < 7 else None for i in range(3000)}
+    assert _shuffled(spark) - before < 1 << 20

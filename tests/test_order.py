@@ -161,6 +161,26 @@ def test_resolution_order_in_several_groups(spark, monkeypatch):
         R.resolution_order(spark.createDataFrame([(i, i + 1, "extends", 0) for i in range(20)], "class_name int, parent int, kind string, place int"), rounds=2)
 
 
+def test_callees_without_the_rows_of_the_order(spark, monkeypatch):
+    from suitestat.operators import ancestry
+
+    rng = random.Random(8)
+    name = lambda: f"c{rng.randrange(25)}"
+    edges = spark.createDataFrame([(name(), name(), rng.choice(["extends", "implements", "encloses"]), rng.randrange(3)) for _ in range(30)], "class_name string, parent string, kind string, place int")
+    methods = spark.createDataFrame([(name(), f"m{rng.randrange(4)}", rng.random() < 0.8) for _ in range(25)] + [("alone", "m1", True)], "class_name string, method_signature string, has_code boolean")
+    calls = [(i, rng.choice([name(), name(), None]), rng.choice([None, " ", f" {name()}", "alone", "nowhere"]), rng.choice([None, "super", "x"]), rng.choice([f"m{rng.randrange(5)}", None])) for i in range(300)]
+    calls = spark.createDataFrame(calls, "call_id int, owner string, receiver_type string, receiver_expr string, callee_signature string")
+    order = R.resolution_order(edges)
+    valid = spark.createDataFrame([(f"c{i}",) for i in range(0, 25, 2)] + [("alone",)], "class_name string")
+    for size in (10, 1 << 14):
+        monkeypatch.setattr(ancestry, "GROUP_ROWS", size)
+        for ok in (None, valid):
+            want = sorted(map(str, R.callees(calls, order, methods, ok).collect()))
+            got = R.callees_above(calls, edges, methods, ok)
+            assert sorted(map(str, got.collect())) == want
+            assert len(want) == 300 and any("target='c" in x for x in want) and any("target=None" in x for x in want)
+
+
 def test_callees_along_the_order(spark):
     order = R.resolution_order(spark.createDataFrame([("C", "B", "extends", 0), ("B", "A", "extends", 0), ("C", "I", "implements", 0)], "class_name string, parent string, kind string, place int"))
     methods = spark.createDataFrame([("A", "m()", True), ("B", "m()", False), ("C", "own()", True), ("A", "own()", True), ("I", "d()", True), ("Z", "z()", True)], "class_name string, method_signature string, has_code boolean")
