@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from suitestat.functions import lineage
 from suitestat.operators import classification as K
 from suitestat.operators import coverage as C
 from suitestat.operators import extract as E
@@ -184,13 +185,17 @@ def test_helpers_of_a_root_are_not_shuffled(spark, monkeypatch):
     assert _shuffled(spark) - before < 2 << 20
     # Several groups, slices of them, and chunks of roots; keys of any type; a null calls nothing and is no helper.
     monkeypatch.setattr(H, "GROUP_CALLS", 10)
-    monkeypatch.setattr(H, "GROUPS_AT_ONCE", 3)
+    monkeypatch.setattr(H, "_SHOWN", 3)
+    monkeypatch.setattr(H, "REACHED_AT_ONCE", 40)
     monkeypatch.setattr(H, "PAIRS_AT_ONCE", 20)
     few = [(f"m{draw.randrange(30)}", f"m{draw.randrange(25)}") for _ in range(70)] + [("m1", "m1"), ("n", None), (None, "m2")]
     calls = spark.createDataFrame(few, "owner string, callee string")
     for depth in (0, 1, 3):
         want = {r["root"]: r["helpers"] for r in H.distinct_helpers(H.expand(calls, calls.select(F.col("owner").alias("root")).distinct(), depth)).collect()}
+        tables = []
+        monkeypatch.setattr(H, "written", lambda d, free=False, tables=tables: (tables.append(d), lineage.written(d, free))[1])
         assert {r["root"]: r["helpers"] for r in H.helper_counts(calls, max_depth=depth).collect()} == want
+        assert len(tables) > 3 or depth == 0  # two, and one for each slice
 
 
 def test_pairs_of_class_and_ancestor_are_not_shuffled(spark):
